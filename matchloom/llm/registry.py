@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
+from .sharding import op10_sharding
 from .simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op8_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
