@@ -68,30 +68,65 @@ def _packer(window: int, buckets: int):
     return run
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """One bucket: (doc_id, key, bucket, hits) for each document with a window that starts in an earlier one."""
-    col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    h, ids, keys, sizes = col("hashes", np.uint64), col("ids", np.int64), col("keys", np.int64), col("sizes", np.int32)
-    doc = np.repeat(ids, sizes)
-    order = np.argsort(h, kind="stable")
-    start = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-    low = np.minimum.reduceat(doc[order], start) if len(order) else doc
-    hit = np.empty(len(h), bool)
-    hit[order] = np.repeat(low, np.diff(np.r_[start, len(order)])) < doc[order]
-    stop = np.cumsum(sizes)
-    some = np.flatnonzero(np.add.reduceat(hit, stop - sizes) > 0) if len(sizes) else sizes
-    answers = [np.packbits(hit[stop[i] - sizes[i] : stop[i]]).tobytes() for i in some.tolist()]
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table([pa.array(ids[some]), pa.array(keys[some]), pa.array(np.full(len(some), bucket, np.int32)), pa.array(answers, pa.binary())], names=["id", "key", "bucket", "hits"])
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+
+
+def _judge(groups: int):
+    """applyInArrow function over one bucket: for each group of documents, whose windows start in an earlier one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, ids, keys, sizes = (_column(table, n, k) for n, k in (("hashes", np.uint64), ("ids", np.int64), ("keys", np.int64), ("sizes", np.int32)))
+        doc = np.repeat(ids, sizes)
+        order = np.argsort(h, kind="stable")
+        start = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        low = np.minimum.reduceat(doc[order], start)
+        hit = np.empty(len(h), bool)
+        hit[order] = np.repeat(low, np.diff(np.r_[start, len(order)])) < doc[order]
+        stop = np.cumsum(sizes)
+        some = np.flatnonzero(np.add.reduceat(hit, stop - sizes) > 0)
+        group = _bucket(mix(keys[some].view(np.uint64)), groups)
+        some = some[np.argsort(group, kind="stable")]
+        edge = np.searchsorted(np.sort(group), np.arange(groups + 1, dtype=np.uint64))
+        bucket, rows = table.column("bucket")[0].as_py(), []
+        for g in np.flatnonzero(np.diff(edge)).tolist():
+            own = some[edge[g] : edge[g + 1]]
+            hits = b"".join([np.packbits(hit[stop[i] - sizes[i] : stop[i]]).tobytes() for i in own.tolist()])
+            rows.append((g, bucket, ids[own].tobytes(), keys[own].tobytes(), sizes[own].astype(np.int32).tobytes(), hits))
+        return pa.table(dict(zip(_ANSWERS.names, [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 6, _ANSWERS, strict=True)], strict=True)))
+
+    return run
+
+
+_ANSWERS = pa.schema([("group", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("hits", pa.binary())])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """All answers to one group of documents: a row (id, key, answers) for each document with any."""
+    found: dict[tuple[int, int], dict[int, bytes]] = {}
+    for row in table.select(["bucket", "ids", "keys", "sizes", "hits"]).to_pylist():
+        sizes, at = np.frombuffer(row["sizes"], np.int32), 0
+        for i, k, n in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["keys"], np.int64).tolist(), (-(-sizes // 8)).tolist(), strict=True):
+            found.setdefault((i, k), {})[row["bucket"]] = row["hits"][at : at + n]
+            at += n
+    answers = [[{"bucket": b, "hits": h} for b, h in x.items()] for x in found.values()]
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("hits", pa.binary())]))
+    return pa.table({"id": pa.array([i for i, _ in found], pa.int64()), "key": pa.array([k for _, k in found], pa.int64()), "answers": pa.array(answers, kind)})
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_windows: int = BUCKET_WINDOWS) -> tuple[DataFrame, int]:
-    """(id, key, bucket, hits) rows and the number of buckets, which follows the size of all texts."""
+    """(id, key, answers) for each document with repeated windows, and the number of buckets, which follows the size of all texts.
+
+    A bucket answers whole groups of documents, one row each, so the rows of an
+    answer don't multiply with the buckets.
+    """
     docs = ensure(docs, "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (6 * bucket_windows)))
+    groups = max(1, -(-size // (3 * bucket_windows)))
     packed = docs.mapInArrow(_packer(window, buckets), "bucket int, hashes binary, ids binary, keys binary, sizes binary")
-    return packed.groupBy("bucket").applyInArrow(_judge, "id long, key long, bucket int, hits binary"), buckets
+    judged = packed.groupBy("bucket").applyInArrow(_judge(groups), "group int, bucket int, ids binary, keys binary, sizes binary, hits binary")
+    return judged.groupBy("group").applyInArrow(_gather, "id long, key long, answers array<struct<bucket:int,hits:binary>>"), buckets
 
 
 def _cover(size: int, first: np.ndarray, window: int) -> np.ndarray:
@@ -158,8 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_windows: int =
     """
     docs = ensure(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hits, buckets = repeated_windows(docs, window, bucket_windows)
-    answers = hits.groupBy("id", "key").agg(F.collect_set(F.struct("bucket", "hits")).alias("answers"))
+    answers, buckets = repeated_windows(docs, window, bucket_windows)
     keyed = docs.mapInArrow(_keyed, f"doc_id {kind}, text string, id long, key long")
     both = keyed.hint("merge").join(answers.hint("merge"), ["id", "key"], "left").select("doc_id", "text", "answers")
     return both.mapInArrow(_cutter(window, buckets), f"doc_id {kind}, n_words long, n_removed long, removed array<array<long>>, kept string")
