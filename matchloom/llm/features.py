@@ -91,13 +91,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, metadata: tuple[str, ...], buckets: int, most: int) -> dict[str, list]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, metadata: tuple[str, ...], buckets: int, most: int, count=None) -> dict[str, list]:
     """Features of at most ``most`` labelled rows outside the held-out fold, gathered on the driver.
 
     The rows are those with the smallest hashes of doc_id; that bound is the only
     thing which limits what reaches the driver.  Labels that are null or not 0 or
     1 are ignored, of several labels of one id the smallest counts, and of several
-    documents with one id the one whose text hashes lowest.
+    documents with one id the one with the lowest statistics.  ``count`` turns
+    texts into sparse rows in place of the plain words; statistics are left out then.
     """
     known = ensure(labels, "doc_id", label).withColumnRenamed(label, "label").filter("label in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
@@ -107,9 +108,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, metadata: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                words = Words(part.column("text"))
-                hashes = words.hashes()
-                stats, sparse = statistics(words, hashes), hashed_words(words, hashes, buckets)
+                if count:
+                    stats, sparse = np.zeros((part.num_rows, 0)), count(part.column("text"))
+                else:
+                    words = Words(part.column("text"))
+                    hashes = words.hashes()
+                    stats, sparse = statistics(words, hashes), hashed_words(words, hashes, buckets)
                 stats = np.concatenate([stats, meta_columns(part, metadata)], 1).astype("<f4")
                 cut = [slice(a, b) for a, b in zip(sparse.first[:-1], sparse.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([
@@ -119,7 +123,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, metadata: tu
 
     got = rows.mapInArrow(run, "doc_id long, label int, stats binary, ids binary, times binary").toArrow()
     seen, out = set(), {"label": [], "stats": [], "ids": [], "times": []}
-    for x in sorted(got.to_pylist(), key=lambda x: (x["doc_id"], x["stats"])):
+    for x in sorted(got.to_pylist(), key=lambda x: (x["doc_id"], x["stats"], x["ids"])):
         if x["doc_id"] not in seen:
             seen.add(x["doc_id"])
             out["label"].append(x["label"])

@@ -7,10 +7,11 @@ from .quality_classifier import op7_quality
 from .sharding import op10_sharding
 from .simhash import op1_simhash
 from .substring_dedup import op5_substring_dedup
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op5_substring_dedup, op7_quality, op8_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op5_substring_dedup, op7_quality, op8_bpe, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
