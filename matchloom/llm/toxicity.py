@@ -25,6 +25,8 @@ BUCKETS = 1 << 18
 GRADES = 4
 #: Labelled rows that a model is fitted on at most.
 TRAIN_ROWS = 20_000
+#: P(grade > 0) from which a text counts as toxic; toxic rows are few, so one half would miss many.
+THRESHOLD = 0.25
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -47,7 +49,9 @@ def word_counts(texts: pa.Array) -> Sparse:
 
 
 def _values(sparse: Sparse) -> np.ndarray:
-    return 1 + np.log(sparse.times)
+    """Damped counts, scaled down in long texts so that many small weights don't outweigh a few strong words."""
+    n = row_sums(sparse.times, sparse.first)
+    return (1 + np.log(sparse.times)) * np.repeat((n / 100 + 1) ** -0.5, np.diff(sparse.first))
 
 
 def log_odds(toxic: np.ndarray, sparse: Sparse) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,7 @@ def grades(toxic: np.ndarray, sparse: Sparse, z: np.ndarray, least_z: float = 3.
     return out
 
 
-def fit(data: dict[str, list], rounds: int = 300, rate: float = 0.05, decay: float = 3e-4, least_z: float = 2.0, least: int = 4) -> Model:
+def fit(data: dict[str, list], rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, least_z: float = 2.5, least: int = 4) -> Model:
     """Full-batch Adam on the cumulative-link likelihood.  No rows, or no toxic ones: severity near zero.
 
     Only buckets that stand in ``least`` rows and tell the classes apart by a
@@ -85,8 +89,8 @@ def fit(data: dict[str, list], rounds: int = 300, rate: float = 0.05, decay: flo
     z, rows = log_odds(y, sparse)
     grade = grades(y, sparse, z)
     told = ((np.abs(z) >= least_z) & (rows >= least))[ids]
-    first = np.concatenate([[0], np.cumsum(told)])[first]
-    x = _values(sparse)[told]
+    full, first = first, np.concatenate([[0], np.cumsum(told)])[first]
+    x = _values(Sparse(full, ids, sparse.times))[told]
     used, where = np.unique(ids[told], return_inverse=True)
     w, row = np.zeros(len(used)), np.repeat(np.arange(len(y)), np.diff(first))
     n, gap = len(y), np.log(np.diff(thetas, prepend=thetas[0] - 1))
@@ -118,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, severity (expected grade, 0 to 3), p_toxic, grade (likeliest), toxic (p_toxic at least one half).
+    """doc_id, severity (expected grade, 0 to 3), p_toxic, grade (likeliest), toxic (p_toxic at least THRESHOLD).
 
     One row for each row, whole texts, null and empty ones as texts without
     words.  Columns besides doc_id and text are ignored.
@@ -135,7 +139,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 above = 1 - _sigmoid(model.thetas[None, :] - s[:, None])  # P(grade > j)
                 p = -np.diff(np.concatenate([np.ones((len(s), 1)), above, np.zeros((len(s), 1))], 1), axis=1)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(p.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= 0.5),
+                    part.column("doc_id"), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(p.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= THRESHOLD),
                 ], ["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
