@@ -6,6 +6,7 @@ from .bpe import op8_bpe
 from .decontamination import op3_decontamination
 from .ngram_quality import op4_ngram_quality
 from .quality_classifier import op7_quality
+from .secrets import op2_secrets
 from .sharding import op10_sharding
 from .simhash import op1_simhash
 from .substring_dedup import op5_substring_dedup
@@ -13,7 +14,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_ngram_quality, op5_substring_dedup, op7_quality, op8_bpe, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_secrets, op3_decontamination, op4_ngram_quality, op5_substring_dedup, op7_quality, op8_bpe, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
