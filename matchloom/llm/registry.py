@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .chat_prefix_tree import OP6_SQL, op6_chat_prefix_tree
 from .decontamination import op3_decontamination
 from .ngram_quality import op4_ngram_quality
 from .quality_classifier import op7_quality
@@ -14,8 +15,8 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_secrets, op3_decontamination, op4_ngram_quality, op5_substring_dedup, op7_quality, op8_bpe, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_secrets, op3_decontamination, op4_ngram_quality, op5_substring_dedup, op6_chat_prefix_tree, op7_quality, op8_bpe, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_prefix_tree": OP6_SQL}
