@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import matching_queries
+
+_MODULES = (matching_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in _MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.sql().items()}
