@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import matching_queries
+from . import audit_queries, matching_queries
 
-_MODULES = (matching_queries,)
+_MODULES = (matching_queries, audit_queries)
 
 
 def queries() -> dict:
