@@ -58,7 +58,9 @@ def text_issues(text: Column, sources: Column) -> Column:
     known = F.flatten(F.transform(sources, lambda s: X.measured_claims(s)))
     joined = F.concat_ws("\n", sources)
     unproven = F.size(F.array_except(X.measured_claims(text), known)) > 0
-    quoted = F.exists(X.quoted_claims(text), lambda q: ~F.contains(F.coalesce(explanation(joined), F.lit("")), q))
+    claims, source = X.quoted_claims(text), F.coalesce(explanation(joined), F.lit(""))
+    # the source goes in as an array, since a lambda can't hold the normalising UDF
+    quoted = F.exists(F.zip_with(claims, F.array_repeat(source, F.size(claims)), lambda q, s: ~F.contains(s, q)), lambda x: x)
     return F.array_compact(F.array(F.when(X.protected(text), "protected_attribute_language"), F.when(unproven, "unsupported_measured_claim"), F.when(quoted, "unsupported_quoted_claim")))
 
 

@@ -95,7 +95,7 @@ VIEWS = {
 
 
 def _needs(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text)) if n in TABLES or n in VIEWS]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +118,7 @@ def oracle(sql: str) -> str:
 
     for name in _needs(sql):
         visit(name)
-    plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
+    plain = lambda text: re.sub(r"\{([a-z]\w+)\}", r"\1", text)
     body = plain(sql).strip()
     if not order:
         return body

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 
-IMPORT_COLUMNS = tuple(schemas.IMPORT.fieldNames())
+IMPORT_COLUMNS = tuple(field.split()[0] for field in schemas.IMPORT.split(","))
 
 
 def check_header(names: list[str]) -> list[str]:
@@ -72,7 +72,7 @@ def document_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), "content", F.length("content").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table read with its declared schema, never an inferred one."""
     return spark.read.schema(schema).parquet(path)
 
