@@ -183,7 +183,7 @@ def looks_like_name(value: Column) -> Column:
 def propose(rows: DataFrame, text: str = "text", filename: str | None = None) -> DataFrame:
     """Rows with proposal: full_name, email, phone, location and review flags, from text and file name."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.transform(F.split(body, r"\R|[\x0B\x0C\x1C-\x1E\x85  ]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(body, r"\R|[\x1C-\x1E]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     rows = rows.withColumn("_lines", lines).withColumn("_emails", emails(body))
     # Phones of the first 30 lines; lines that speak of contact come first
     def of_line(line: Column, i: Column) -> Column:

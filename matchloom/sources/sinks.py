@@ -31,7 +31,9 @@ def draft_text(subject: Column, body: Column) -> Column:
 
 def export_drafts(drafts: DataFrame, path: str) -> None:
     """One text for each approved draft, a folder for each."""
-    drafts.filter("approved").select("draft_id", draft_text(F.col("subject"), F.col("body")).alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("draft_id").text(path)
+    # the writer ends each value with a line feed, so the text goes without its own
+    value = F.regexp_replace(draft_text(F.col("subject"), F.col("body")), r"\n\z", "")
+    drafts.filter("approved").select("draft_id", value.alias("value")).write.mode("overwrite").partitionBy("draft_id").text(path)
 
 
 def clean_event(df: DataFrame) -> DataFrame:
