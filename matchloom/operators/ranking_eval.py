@@ -58,3 +58,24 @@ def ranking_differences(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Ranks at which code or score differ from the expected list."""
     a, e = actual.select("query_id", "rnk", F.struct("code", "score").alias("got")), expected.select("query_id", "rnk", F.struct("code", "score").alias("wanted"))
     return a.join(e, ["query_id", "rnk"], "full").filter(~F.col("got").eqNullSafe(F.col("wanted")))
+
+
+def measurement_gate(queries: DataFrame, runs: DataFrame, pool: DataFrame) -> DataFrame:
+    """The first reason against measuring each query, else ok.
+
+    queries(query_id, requirements_id; null without current requirements),
+    runs(requirements_id, run_id, is_stale, candidates): the latest run counts,
+    pool(query_id, candidates): how many candidates a complete run covers.
+    """
+    newest = runs.withColumn("_n", F.row_number().over(Window.partitionBy("requirements_id").orderBy(F.desc("run_id")))).filter("_n = 1").drop("_n")
+    rows = queries.join(newest.withColumnRenamed("candidates", "covered"), "requirements_id", "left").join(pool, "query_id", "left")
+    reason = (
+        F.when(F.col("requirements_id").isNull(), "no_current_requirements").when(F.col("run_id").isNull(), "no_run").when(F.col("is_stale"), "run_is_stale")
+        .when(F.coalesce("covered", F.lit(0)) != F.coalesce("candidates", F.lit(0)), "pool_incomplete").otherwise("ok")
+    )
+    return rows.select("query_id", reason.alias("measurement_gate"))
+
+
+def dataset_identity(dataset: DataFrame) -> DataFrame:
+    """A hash of each dataset row's canonical JSON, names sorted at the top level."""
+    return dataset.select("dataset_id", F.sha2(F.to_json(F.struct(*sorted(dataset.columns)), {"ignoreNullFields": "false"}), 256).alias("identity"))

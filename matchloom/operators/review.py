@@ -96,3 +96,31 @@ def dashboard(organizations: DataFrame, candidates: DataFrame, vacancies: DataFr
     for part in (n(clients, "is_active", "active_clients"), n(candidates, "status = 'active'", "active_candidates"), n(vacancies, "status = 'open' and not is_deleted", "open_vacancies")):
         rows = rows.join(part, "org_id", "left")
     return rows.fillna(0)
+
+
+def listing(rows: DataFrame, kind: str, after: tuple | None = None, size: int = 20) -> DataFrame:
+    """Candidates by name and id, vacancies newest first; pages by keyset, so a later page doesn't sort the earlier ones.
+
+    ``after`` is the sort key of the last row seen.
+    """
+    first, second = ("full_name", "candidate_id") if kind == "candidate" else ("created_at", "vacancy_id")
+    up = kind == "candidate"
+    if after is not None:
+        a, b = F.lit(after[0]), F.lit(after[1])
+        past = (F.col(first) > a) if up else (F.col(first) < a)
+        rows = rows.filter(past | ((F.col(first) == a) & ((F.col(second) > b) if up else (F.col(second) < b))))
+    return rows.orderBy(*[F.col(c) if up else F.desc(c) for c in (first, second)]).limit(size)
+
+
+def minimised(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """F8: only the allowed columns, whatever else rows holds."""
+    return rows.select(*[c for c in allowed if c in rows.columns])
+
+
+def attach(parents: DataFrame, children: DataFrame, key: str, order: str, most: int = 1000) -> DataFrame:
+    """Parents with their children as an ordered array; parents with more than ``most`` get null there and keep them in long form."""
+    n = children.groupBy(key).agg(F.count("*").alias("n_children"))
+    few = children.join(n.filter(F.col("n_children") <= most).select(key), key, "left_semi")
+    rest = [order, *[c for c in children.columns if c not in (key, order)]]
+    arrays = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("children"))
+    return parents.join(n, key, "left").join(arrays, key, "left").fillna({"n_children": 0})

@@ -42,19 +42,41 @@ def _conditional(text: Column, pattern: str, keep) -> Column:
 
 
 def redact(text: Column, *known: Column) -> Column:
-    """Contact and sensitive lines, known values in any case, addresses, links, and phone numbers with a plus or ten digits."""
-    out = F.array_join(F.transform(lines(text), lambda x: F.when(x.rlike(CONTACT_LINE) | x.rlike(SENSITIVE_LINE), REDACTED).otherwise(x)), "\n")
+    """Contact and sensitive lines, known values in any case, addresses, links, and phone numbers with a plus or ten digits.
+
+    Whole lines go by one multi-line pattern; only texts with a number that long
+    pay for looking at each match.
+    """
+    out = F.regexp_replace(_even_lines(text), _LINE, REDACTED)
     for value in known:
         value = F.trim(F.coalesce(value, F.lit("")))
         literal = F.concat(F.lit(r"(?iu)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
         out = F.when(value == "", out).otherwise(F.regexp_replace(out, literal, F.lit(REDACTED)))
     out = F.regexp_replace(F.regexp_replace(out, EMAIL, REDACTED), URL, REDACTED)
-    return _conditional(out, PHONE, lambda m: ~m.startswith("+") & (F.length(F.regexp_replace(m, r"\D", "")) < 10))
+    return F.when(~out.rlike(PHONE), out).otherwise(_conditional(out, PHONE, lambda m: ~m.startswith("+") & (F.length(F.regexp_replace(m, r"\D", "")) < 10)))
 
 
 def sensitive(text: Column) -> Column:
     """X7."""
-    return F.exists(lines(text), lambda x: x.rlike(SENSITIVE_LINE))
+    return _even_lines(text).rlike(_SENSITIVE)
+
+
+def _even_lines(text: Column) -> Column:
+    """text with every line end as a line feed and none at the very end."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.when(text.rlike(_ODD_END), F.regexp_replace(text, r"\R", "\n")).otherwise(text)
+    return F.regexp_replace(plain, r"\n\z", "")
+
+
+def _multiline(pattern: str) -> str:
+    """A pattern for the start of one line as a pattern for lines of a text: its white space can't run over a line's end."""
+    body = pattern.removeprefix("(?i)^").replace(r"\s", r"[^\S\n]").replace("|$)", r"|(?=\n|\z))")
+    return rf"(?:^|(?<=\n)){body}"
+
+
+_ODD_END = r"[\r\x0B\x0C\x85\u2028\u2029]"
+_SENSITIVE = "(?i)" + _multiline(SENSITIVE_LINE)
+_LINE = "(?i)(?:" + _multiline(CONTACT_LINE) + "|" + _multiline(SENSITIVE_LINE) + r")[^\n]*"
 
 
 def protected(text: Column) -> Column:

@@ -131,7 +131,7 @@ def batch_key(members: DataFrame, batch: list[str], schema: str) -> DataFrame:
 
 def carry_forward(versions: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """V9: a draft of the next version with the columns of the latest confirmed one; none where any draft is open."""
-    current = latest(versions.filter("status = 'confirmed'"), [key], [F.desc("version")]).select(key, *columns)
+    current = latest(versions.filter("status = 'confirmed'"), [key], [F.desc("version"), *columns]).select(key, *columns)
     open_ = versions.filter("status = 'draft'").select(key).distinct()
     after = next_version(versions, versions, key)
     return current.join(open_, key, "left_anti").join(after, key).withColumnRenamed("next_version", "version").withColumn("status", F.lit("draft"))
