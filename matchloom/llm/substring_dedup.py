@@ -14,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stage import ensure
-from .textkit import Words, mix, text_slices
+from .textkit import SEGMENT, Words, mix, text_slices
 
 WINDOW = 13
 #: Windows a hash bucket holds on average; a bucket is what one task has in memory.
-BUCKET_WINDOWS = 1 << 21
+BUCKET_WINDOWS = 1 << 22
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -123,7 +124,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_windows: int
     docs = ensure(docs, "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (6 * bucket_windows)))
-    groups = max(1, -(-size // (3 * bucket_windows)))
+    groups = max(1, -(-size // bucket_windows))
     packed = docs.mapInArrow(_packer(window, buckets), "bucket int, hashes binary, ids binary, keys binary, sizes binary")
     judged = packed.groupBy("bucket").applyInArrow(_judge(groups), "group int, bucket int, ids binary, keys binary, sizes binary, hits binary")
     return judged.groupBy("group").applyInArrow(_gather, "id long, key long, answers array<struct<bucket:int,hits:binary>>"), buckets
@@ -142,7 +143,7 @@ def _cutter(window: int, buckets: int):
     """mapInArrow function over documents with their answers: removal intervals and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unpacked(batches):
             for part in text_slices(batch, "text"):
                 words = Words(part.column("text"))
                 h, first = words.windows(words.hashes(), window)
@@ -175,11 +176,24 @@ def _cutter(window: int, buckets: int):
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, the text compressed for the shuffle, and the key of its answers."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for part in text_slices(batch, "text"):
             words = Words(part.column("text"))
-            ids = pa.array(_ids(part))
-            yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(_key(part.column("text"), words, words.hashes()))], ["doc_id", "text", "id", "key"])
+            raw, off = words.raw, words.off.tolist()
+            packed = [squeeze(raw[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
+            key = _key(part.column("text"), words, words.hashes())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary()), pa.array(_ids(part)), pa.array(key)], ["doc_id", "packed", "id", "key"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the text again, no more of it at once than a slice holds (or one document)."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for part in text_slices(batch, "packed", SEGMENT // 4):
+            texts = pa.array([expand(x) for x in part.column("packed").to_pylist()], pa.binary()).cast(pa.large_binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, part.column("answers")], ["doc_id", "text", "answers"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
@@ -194,8 +208,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_windows: int =
     docs = ensure(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     answers, buckets = repeated_windows(docs, window, bucket_windows)
-    keyed = docs.mapInArrow(_keyed, f"doc_id {kind}, text string, id long, key long")
-    both = keyed.hint("merge").join(answers.hint("merge"), ["id", "key"], "left").select("doc_id", "text", "answers")
+    keyed = docs.mapInArrow(_keyed, f"doc_id {kind}, packed binary, id long, key long")
+    both = keyed.hint("merge").join(answers.hint("merge"), ["id", "key"], "left").select("doc_id", "packed", "answers")
     return both.mapInArrow(_cutter(window, buckets), f"doc_id {kind}, n_words long, n_removed long, removed array<array<long>>, kept string")
 
 

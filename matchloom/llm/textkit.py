@@ -61,7 +61,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SEGMENT) -> Iter
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts (null: empty), and where each text begins, with the end appended."""
     if texts.null_count:
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, offsets, data = texts.buffers()
     n = len(texts)
