@@ -46,7 +46,7 @@ def profile_claims(profiles: DataFrame) -> DataFrame:
 def evidence_issues(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """Claims whose evidence isn't in sources(profile_id, text), and facts that aren't in their evidence; each once."""
     texts = sources.select("profile_id", evidence_key("text").alias("source_key"))
-    shown = claims.filter("fact is null").withColumn("key", evidence_key("evidence")).join(texts, "profile_id", "left")
+    shown = claims.filter("fact is null").withColumn("key", evidence_key("evidence")).hint("merge").join(texts.hint("merge"), "profile_id", "left")
     missing = shown.filter((F.col("key") == "") | ~F.contains(F.coalesce("source_key", F.lit("")), F.col("key"))).select("profile_id", "ord", "label", F.lit("evidence_not_in_source").alias("reason"))
     facts = claims.filter("fact is not null and fact <> ''").withColumns({"key": fact_key("fact"), "evidence_key": fact_key("evidence")})
     unproven = facts.filter(~F.contains("evidence_key", "key")).select("profile_id", "ord", "label", F.lit("fact_not_in_evidence").alias("reason"))
@@ -86,9 +86,9 @@ def reference_issues(findings: DataFrame, required: DataFrame, known: DataFrame)
     twice = got.groupBy("assessment_id", "requirement_id").count().filter("count > 1")
     bare = findings.filter("category in ('match', 'gap') and coalesce(size(evidence_ids), 0) < 1")
     parts = [
-        code(asked.join(got, ["assessment_id", "requirement_id"], "left_anti"), "requirement_not_assessed", "requirement_id"),
-        code(got.join(asked, ["assessment_id", "requirement_id"], "left_anti").distinct(), "unknown_requirement", "requirement_id"),
-        code(cited.join(known, ["assessment_id", "evidence_id"], "left_anti").distinct(), "unknown_evidence", "evidence_id"),
+        code(asked.hint("merge").join(got.hint("merge"), ["assessment_id", "requirement_id"], "left_anti"), "requirement_not_assessed", "requirement_id"),
+        code(got.hint("merge").join(asked.hint("merge"), ["assessment_id", "requirement_id"], "left_anti").distinct(), "unknown_requirement", "requirement_id"),
+        code(cited.hint("merge").join(known.hint("merge"), ["assessment_id", "evidence_id"], "left_anti").distinct(), "unknown_evidence", "evidence_id"),
         code(twice, "requirement_repeated", "requirement_id"), code(bare, "evidence_required", "requirement_id"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -30,7 +30,7 @@ def identity_matches(rows: DataFrame, pool: DataFrame, row_id: str = "row_number
     """
     left, right = keys(rows, row_id), keys(pool, "candidate_id").withColumnRenamed("id", "candidate_id").distinct()
     # rows that share a key are matched once, as one key; only then do they meet the candidates they have in common
-    hits = left.join(right, ["org_id", "kind", "key"]).groupBy("org_id", "id").agg(
+    hits = left.hint("merge").join(right.hint("merge"), ["org_id", "kind", "key"]).groupBy("org_id", "id").agg(
         F.min("candidate_id").alias("candidate_id"), F.count_distinct("candidate_id").alias("n_candidates"), F.array_sort(F.collect_set("kind")).alias("kinds")
     )
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -50,24 +50,24 @@ def triage(rows: DataFrame, pool: DataFrame, valid: Column | None = None, row_id
     rows = rows.withColumn("_valid", valid if valid is not None else F.lit(True))
     known = keys(rows.filter("_valid"), row_id)
     existing = keys(pool, "candidate_id").select("org_id", "kind", "key").distinct()
-    in_pool = known.join(existing, ["org_id", "kind", "key"], "left_semi").select("org_id", "id").distinct()
-    open_ = cut(known.join(in_pool, ["org_id", "id"], "left_anti"))
+    in_pool = known.hint("merge").join(existing.hint("merge"), ["org_id", "kind", "key"], "left_semi").select("org_id", "id").distinct()
+    open_ = cut(known.hint("merge").join(in_pool.hint("merge"), ["org_id", "id"], "left_anti"))
     created = None
     while True:
         first = open_.groupBy("org_id", "kind", "key").agg(F.min("id").alias("low"))
-        state = open_.join(first, ["org_id", "kind", "key"]).groupBy("org_id", "id").agg(F.bool_and(F.col("id") == F.col("low")).alias("leads"))
+        state = open_.hint("merge").join(first.hint("merge"), ["org_id", "kind", "key"]).groupBy("org_id", "id").agg(F.bool_and(F.col("id") == F.col("low")).alias("leads"))
         new = cut(state.filter("leads").select("org_id", "id"))
         if new.isEmpty():
             break
         created = new if created is None else created.unionByName(new)
-        taken = open_.join(new, ["org_id", "id"], "left_semi").select("org_id", "kind", "key").distinct()
-        met = open_.join(taken, ["org_id", "kind", "key"], "left_semi").select("org_id", "id").distinct()
-        open_ = cut(open_.join(met, ["org_id", "id"], "left_anti"))
-    free = rows.filter("_valid").select("org_id", F.col(row_id).alias("id")).join(known.select("org_id", "id").distinct(), ["org_id", "id"], "left_anti")
+        taken = open_.hint("merge").join(new.hint("merge"), ["org_id", "id"], "left_semi").select("org_id", "kind", "key").distinct()
+        met = open_.hint("merge").join(taken.hint("merge"), ["org_id", "kind", "key"], "left_semi").select("org_id", "id").distinct()
+        open_ = cut(open_.hint("merge").join(met.hint("merge"), ["org_id", "id"], "left_anti"))
+    free = rows.filter("_valid").select("org_id", F.col(row_id).alias("id")).hint("merge").join(known.select("org_id", "id").distinct().hint("merge"), ["org_id", "id"], "left_anti")
     created = free if created is None else created.unionByName(free)
     made = created.distinct().select("org_id", F.col("id").alias(row_id), F.lit(True).alias("_made"))
     status = F.when(~F.col("_valid"), "invalid").when(F.col("_made"), "created").otherwise("duplicate")
-    return rows.join(made, ["org_id", row_id], "left").withColumn("status", status).drop("_valid", "_made")
+    return rows.hint("merge").join(made.hint("merge"), ["org_id", row_id], "left").withColumn("status", status).drop("_valid", "_made")
 
 
 def import_counts(triaged: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def validate(rows: DataFrame) -> DataFrame:
 def resolve_skills(labels: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """I8: labels(org_id, label, pos) with their normalised name, and the names new to vocabulary(org_id, normalized_name), first label kept."""
     rows = labels.withColumn("normalized_name", taxonomy(F.col("label"))).filter("normalized_name is not null")
-    fresh = rows.join(vocabulary.select("org_id", "normalized_name").distinct(), ["org_id", "normalized_name"], "left_anti")
+    fresh = rows.hint("merge").join(vocabulary.select("org_id", "normalized_name").distinct().hint("merge"), ["org_id", "normalized_name"], "left_anti")
     return rows, fresh.groupBy("org_id", "normalized_name").agg(F.min_by("label", "pos").alias("label"))
 
 
@@ -120,7 +120,7 @@ def publish_skills(profiles: DataFrame, held: DataFrame) -> tuple[DataFrame, Dat
     kept = held.join(profiles.select("candidate_id", "document_id"), ["candidate_id", "document_id"], "left_anti")
     rows = profiles.select("candidate_id", "document_id", F.posexplode("skills").alias("pos", "s")).select("candidate_id", "document_id", "pos", "s.*").withColumn("normalized_name", taxonomy(F.col("name"))).filter("normalized_name is not null")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("candidate_id", "normalized_name").orderBy("pos"))).filter("n = 1").drop("n")
-    return gone, rows.join(kept.select("candidate_id", "normalized_name").distinct(), ["candidate_id", "normalized_name"], "left_anti")
+    return gone, rows.hint("merge").join(kept.select("candidate_id", "normalized_name").distinct().hint("merge"), ["candidate_id", "normalized_name"], "left_anti")
 
 
 def batch_counts(batches: DataFrame, items: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def _heads(facts: DataFrame, wanted: DataFrame) -> DataFrame:
     places = F.when(F.coalesce("n_locations", F.lit(0)) == 0, F.array(F.lit(_ANY))).when(F.col("n_locations") > 1, F.array(F.lit(""))).otherwise(F.array("wanted_location", F.lit("")))
     asks = wanted.select("requirements_id", "org_id", F.explode(places).alias("group"), "min_tenths")
     asks = asks.withColumn("threshold", F.explode(F.array_compact(F.array(F.lit(-1), "min_tenths"))))
-    return asks.join(plain.unionByName(able), ["org_id", "group", "threshold"]).select("requirements_id", "candidate_id", "place", "years")
+    return asks.hint("merge").join(plain.unionByName(able).hint("merge"), ["org_id", "group", "threshold"]).select("requirements_id", "candidate_id", "place", "years")
 
 
 def scored_pairs(requirements: DataFrame, requirement_skill: DataFrame, rules: DataFrame, candidates: DataFrame, skills: DataFrame, with_heads: bool = True) -> DataFrame:
@@ -203,6 +203,6 @@ def profile_rule_outcomes(pairs: DataFrame, facts: DataFrame, profiles: DataFram
     any_fact = facts.select("candidate_id", "rule_type").distinct().withColumn("some", F.lit(True))
     match = facts.groupBy("candidate_id", "rule_type", F.col("fact_key").alias("expected_key")).agg(F.min_by("fact", "pos").alias("candidate_value"))
     known = profiles.select("candidate_id").distinct().withColumn("profiled", F.lit(True))
-    rows = pairs.join(match, ["candidate_id", "rule_type", "expected_key"], "left").join(any_fact, ["candidate_id", "rule_type"], "left").join(known, "candidate_id", "left")
+    rows = pairs.hint("merge").join(match.hint("merge"), ["candidate_id", "rule_type", "expected_key"], "left").hint("merge").join(any_fact.hint("merge"), ["candidate_id", "rule_type"], "left").join(known, "candidate_id", "left")
     reason = F.when(F.col("candidate_value").isNotNull(), "matched").when(F.col("profiled").isNull(), "no_profile").when(F.col("some").isNull(), "no_fact").otherwise("no_match")
     return rows.withColumn("reason", reason).withColumn("outcome", F.when(F.col("reason") == "matched", "passed").otherwise("unknown")).drop("some", "profiled")
