@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import canonical_hash
 
-POOL_BUCKETS = 4096
-
 
 def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
@@ -39,10 +37,15 @@ def candidate_hashes(candidates: DataFrame, skills: DataFrame) -> DataFrame:
     return live.join(held, "candidate_id", "left").select("org_id", "candidate_id", canonical_hash("candidate_id", "location", "skills").alias("hash"))
 
 
-def pool_signature(hashes: DataFrame, buckets: int = POOL_BUCKETS) -> DataFrame:
-    """V2, second level: hashes of 4,096 buckets, then of those, so that no row holds a pool."""
-    by = hashes.groupBy("org_id", F.pmod("candidate_id", F.lit(buckets)).alias("bucket")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "candidate_id", "hash")))), 256).alias("hash"))
-    return by.groupBy("org_id").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", F.lpad("bucket", 6, "0"), "hash")))), 256).alias("signature"))
+def pool_signature(hashes: DataFrame) -> DataFrame:
+    """V2, second level: a hash of each organisation's set of candidate hashes.
+
+    Three 64-bit hashes of every member are combined by exclusive or, which
+    neither needs an order nor gathers a pool anywhere; partial results meet, not
+    rows.  Candidate ids are distinct, so no two members cancel out.
+    """
+    mixed = [F.bit_xor(F.xxhash64(F.lit(k), "candidate_id", "hash")).cast("string") for k in ("one", "two", "three")]
+    return hashes.groupBy("org_id").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *mixed), 256).alias("signature"))
 
 
 def changed(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:

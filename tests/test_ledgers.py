@@ -47,7 +47,7 @@ def test_period_defaults(spark):
 def test_signatures_ignore_row_order(spark):
     c = spark.createDataFrame([(i, i % 2, f"p{i % 3}", "active") for i in range(50)], "candidate_id long, org_id int, location string, status string")
     s = spark.createDataFrame([(i, f"s{j}", j) for i in range(50) for j in range(3)], "candidate_id long, skill string, years_tenths int")
-    sign = lambda a, b: {r.org_id: r.signature for r in V.pool_signature(V.candidate_hashes(a, b), 8).collect()}
+    sign = lambda a, b: {r.org_id: r.signature for r in V.pool_signature(V.candidate_hashes(a, b)).collect()}
     one = sign(c, s)
     assert one == sign(c.orderBy(F.desc("candidate_id")).repartition(3), s.repartition(5))
     other = sign(c, s.filter("not (candidate_id = 7 and skill = 's1')"))
