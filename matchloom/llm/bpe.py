@@ -13,12 +13,14 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,10 @@ from .stage import ensure
 from .textkit import text_slices
 
 WORD_END = "</w>"
-#: Words kept in a worker's memory; beyond it the memory starts anew.
-MEMORY = 200_000
+#: Words in each of the two generations of a worker's memory.
+MEMORY = 120_000
+#: Symbols of a fragment from which it is merged by itself.
+LONG = 100
 #: Largest tokenizer file that is sent to the executors, in bytes.
 MOST_BYTES = 64 << 20
 #: White space of Unicode, as a character class.
@@ -90,42 +94,28 @@ class Vocabulary:
         self.words = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.memory: dict[str, bytes] = {}
-
-    def fragments(self, word: bytes) -> list[tuple[list[int], list[int]]]:
-        """The symbols of a word, cut where no token holds both neighbours, each part with the ranks of its pairs."""
+        self.older: dict[str, bytes] = {}
+        self.token_array = pa.array(self.tokens)
+        # the same tables as arrays: symbols of bytes, which neighbours some token holds, ranks by pair
+        self._inner, self._final = np.array(self.inner, np.int64), np.array(self.final, np.int64)
+        self._beside = [np.array([[(a, b) in self.beside for b in right] for a in self.inner]) for right in (self.inner, self.final)]
+        key = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        self._order = np.argsort(key)
+        self._pairs, self._merged = key[self._order], np.array([*self.merged, -1], np.int64)
+
+    def fragments(self, word: bytes) -> list[list[int]]:
+        """The symbols of a word, cut where no token holds both neighbours."""
         ids = [self.inner[b] for b in word]
         ids[-1] = self.final[word[-1]]
-        none, get = self.none, self.rank.get
-        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-        if none not in ranks:  # whatever merges also stands side by side in a token
-            return [(ids, ranks)]
         out, at = [], 0
-        for i, r in enumerate(ranks, 1):
-            if r == none and (ids[i - 1], ids[i]) not in self.beside:
-                out.append((ids[at:i], ranks[at : i - 1]))
+        for i, pair in enumerate(zip(ids, ids[1:], strict=False), 1):
+            if pair not in self.beside:
+                out.append(ids[at:i])
                 at = i
-        out.append((ids[at:], ranks[at:]))
-        return out
-
-    def merge(self, ids: list[int], ranks: list[int]) -> list[int]:
-        """Merges the pair of lowest rank, leftmost first, until none is left."""
-        if len(ids) > 100:
-            return self._merge_long(ids)
-        none, get = self.none, self.rank.get
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
-            i = ranks.index(low)
-            ids[i : i + 2] = [self.merged[low]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
-        return ids
+        return [*out, ids[at:]]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
+        """Merges the pair of lowest rank, leftmost first, until none is left, in time n log n."""
         n, get = len(ids), self.rank.get
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(r, i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := get(p)) is not None]
@@ -144,34 +134,121 @@ class Vocabulary:
                     heapq.heappush(heap, (x, a))
         return [x for x in ids if x >= 0]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a lower-cased run without white space, remembered if it is short."""
-        ids = [x for piece in self.words.findall(word) for part in self.fragments(piece.encode()) for x in self.merge(*part)]
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[word] = out
-        return out
-
-    def _plain(self, text: str) -> bytes:
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._order[at], self.none)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of many runs without white space, merged side by side.
+
+        All fragments lie in one array; a round merges the leftmost pair of
+        lowest rank of each fragment and lets go of those that have none left.
+        """
+        pieces = [[w] if w.isalpha() else self.words.findall(w) for w in words]
+        owner = np.repeat(np.arange(len(words)), [len(p) for p in pieces])
+        data = [p.encode() for own in pieces for p in own]
+        if not data:
+            return [b""] * len(words)
+        raw = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        stop = np.cumsum([len(d) for d in data])
+        last = np.zeros(len(raw), bool)
+        last[stop - 1] = True
+        sym = np.where(last, self._final[raw], self._inner[raw])
+        beside = np.where(last[1:], self._beside[1][raw[:-1], raw[1:]], self._beside[0][raw[:-1], raw[1:]])
+        begins = np.r_[True, last[:-1] | ~beside]
+        seg = np.cumsum(begins) - 1
+        home = np.repeat(owner, np.diff(np.r_[0, stop]))[begins]  # of each fragment its word
+        done_sym, done_seg = [], []
+        size = np.bincount(seg)
+        if (long := np.flatnonzero(size > LONG)).size:
+            first = np.flatnonzero(begins)
+            for f in long.tolist():
+                ids = self._merge_long(sym[first[f] : first[f] + size[f]].tolist())
+                done_sym.append(np.array(ids, np.int64))
+                done_seg.append(np.full(len(ids), f))
+            short = size[seg] <= LONG
+            sym, seg = sym[short], seg[short]
+        rank = np.full(len(sym), self.none)
+        inside = np.flatnonzero(seg[1:] == seg[:-1])
+        rank[inside] = self._ranks(sym[inside], sym[inside + 1])
+        while len(sym):
+            start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+            low = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.r_[start, len(seg)]))
+            open_ = low < self.none
+            done_sym.append(sym[~open_])
+            done_seg.append(seg[~open_])
+            sym, seg, rank, low = sym[open_], seg[open_], rank[open_], low[open_]
+            if not len(sym):
+                break
+            at = np.flatnonzero(rank == low)
+            at = at[np.r_[True, seg[at[1:]] != seg[at[:-1]]]]
+            sym[at] = self._merged[rank[at]]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            sym, seg, rank = sym[keep], seg[keep], rank[keep]
+            at -= np.arange(len(at))
+            rank[at] = self.none
+            after = at[at + 1 < len(sym)]
+            after = after[seg[after] == seg[after + 1]]
+            rank[after] = self._ranks(sym[after], sym[after + 1])
+            before = at[at > 0] - 1
+            before = before[seg[before] == seg[before + 1]]
+            rank[before] = self._ranks(sym[before], sym[before + 1])
+        sym, seg = np.concatenate(done_sym), np.concatenate(done_seg)
+        order = np.argsort(seg, kind="stable")
+        ids = sym[order].astype("<u4").tobytes()
+        edge = np.r_[0, np.cumsum(np.bincount(home[seg], minlength=len(words)))] * 4
+        return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+    def _runs(self, text: str) -> list[str]:
+        """Lower-cased runs without white space; all else that is dropped between words is dropped here."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma lowers without regard to its place
         text = text.lower()
-        get, word = self.memory.get, self._word
         # str.split also cuts at the four separators U+001C to U+001F, which the pattern keeps
-        runs = self.words.findall(text) if _CONTROLS.search(text) else text.split()
-        return b"".join([get(w) or word(w) for w in runs])
+        return self.words.findall(text) if _CONTROLS.search(text) else text.split()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Words new to the worker are merged together.  Short ones are remembered
+        in two generations: when the young one is full it becomes the old one,
+        and words met again come back, so common words stay.
+        """
+        parts: list[list[list[str] | str]] = []
+        for text in texts:
+            if self.specials is not None and any(t in text for t in self.special):
+                parts.append([p if p in self.special else self._runs(p) for p in self.specials.split(text) if p])
+            else:
+                parts.append([self._runs(text)])
+        if len(self.memory) >= MEMORY:
+            self.older, self.memory = self.memory, {}
+        memory, older, rest, new = self.memory, self.older, {}, []
+        for w in set().union(*[p for own in parts for p in own if not isinstance(p, str)]):
+            if w not in memory:
+                if (out := older.get(w)) is not None:
+                    memory[w] = out
+                else:
+                    new.append(w)
+        for w, out in zip(new, self._words(new), strict=True):
+            (memory if len(w) <= 64 else rest)[w] = out
+        get = memory.get
+        one = lambda p: struct.pack("<I", self.special[p]) if isinstance(p, str) else b"".join([get(w) or rest.get(w, b"") for w in p])
+        return [b"".join([one(p) for p in own]) for own in parts]
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.specials is None or not any(t in text for t in self.special):
-            return self._plain(text)
-        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in self.specials.split(text) if p)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The tokens, special ones included, with a space between them."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_all([ids])[0].as_py()
+
+    def decode_all(self, ids: list[bytes]) -> pa.Array:
+        """`decode` of many rows at once: tokens are taken and joined by Arrow."""
+        edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+        tokens = self.token_array.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), tokens), " ")
 
 
 @lru_cache(2)
@@ -191,12 +268,13 @@ def _added(part: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*part.columns, *columns.values()], [*part.schema.names, *columns])
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of docs, n_tokens (long) and ids (binary, little-endian unsigned 32-bit).
+def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The ``keep`` columns of docs, n_tokens (long), ids (binary, little-endian unsigned 32-bit) and, on demand, decoded.
 
     One row for each row, repeated ones too.  Null and empty texts have no
     tokens.  Extra columns are dropped unless kept by name.  A word of any length
-    is encoded whole, in time n log n.
+    is encoded whole, in time n log n.  ``decoded`` is what `decode` makes of the
+    ids, made in the same pass so that one worker holds the tables, not two.
     """
     docs, sent = ensure(docs, *keep, text), _sent(docs, tokenizer)
 
@@ -204,12 +282,14 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
         vocabulary = _vocabulary(sent.value)
         for batch in batches:
             for part in text_slices(batch, text):
-                ids = pa.array([vocabulary.encode(t or "") for t in part.column(text).to_pylist()], pa.binary())
-                n = pa.array([len(x) // 4 for x in ids.to_pylist()], pa.int64())
-                yield _added(part.select(list(keep)), {"n_tokens": n, "ids": ids})
+                ids = vocabulary.encode_all([t or "" for t in part.column(text).to_pylist()])
+                more = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    more["decoded"] = vocabulary.decode_all(ids)
+                yield _added(part.select(list(keep)), more)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema]
-    return docs.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "ids binary"]))
+    return docs.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "ids binary", *["decoded string"] * decoded]))
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -220,12 +300,12 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
         vocabulary = _vocabulary(sent.value)
         for batch in batches:
             for part in text_slices(batch, "ids"):
-                yield _added(part, {"decoded": pa.array([vocabulary.decode(x or b"") for x in part.column("ids").to_pylist()], pa.string())})
+                yield _added(part, {"decoded": vocabulary.decode_all([x or b"" for x in part.column("ids").to_pylist()])})
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema]
     return encoded.mapInArrow(run, ", ".join([*kinds, "decoded string"]))
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
-    done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    done = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
