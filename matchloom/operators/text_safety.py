@@ -1,4 +1,4 @@
-"""Redaction, claims and wording checks over text (X6-X13).  Patterns, word lists and labels are fixed values."""
+"""Redaction, claims and wording checks over text."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import explanation
 
+# fixed values: patterns, word lists and labels that results depend on
 REDACTED = "[CONTACT REDACTED]"
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 URL = r"(?i)\b(?:https?://|www\.)\S+"
