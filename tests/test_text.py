@@ -142,3 +142,14 @@ def test_profile_evidence(spark):
     sources = spark.createDataFrame([(1, "Expert in C++. Engineer at ACME 2019-2020. Lives in Bern; wants full-time work")], "profile_id int, text string")
     got = {(r.label, r.reason) for r in G.evidence_issues(G.profile_claims(df), sources).collect()}
     assert got == {("skill item 2", "evidence_not_in_source"), ("skill item 2", "fact_not_in_evidence")}
+
+
+def test_redaction_of_random_texts(spark):
+    import random
+
+    rnd = random.Random(11)
+    parts = ["\n", "\r\n", " ", "Email: x", "phone :", "tel", "AGE", "age", "- ", ": ", "a@b.co", "www.x.y", "https://q", "+", "12", "345 ", "(67)", "8-9", "\t", "x", "dob", "health\n", "\n\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    got = column(spark, texts, X.redact)
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if g != redact_py(t)] == []
+    assert column(spark, texts, X.sensitive) == [any(re.match(X.SENSITIVE_LINE, line) for line in t.splitlines()) for t in texts]
