@@ -59,11 +59,11 @@ def test_kneser_ney_equals_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "x", 0, "s", 1) for i, t in enumerate(texts)], DOCS)
     p = slow_model(texts)
     for most in (None, 0):
-        got = {r.doc_id: r.bits for r in N.score(docs, most_entries=most).collect()}
+        got = {r.doc_id: r.bits for r in N.score(docs, most_entries=most, every=True).collect()}
         for i, t in enumerate(texts):
             b = b"\0\0\0" + t.encode()
             assert got[i] == pytest.approx(-sum(math.log2(p(4, b[j - 3 : j + 1])) for j in range(3, len(b))), rel=1e-5, abs=1e-9)
-    model = N.pack(N.estimate(N.count(docs)))
+    model = N.pack(N.estimate(N.count(docs, True)))
     grams = [b"zzzz", b"the ", b"xthe", b" caz", b"\xff\xfe\xfd\xfc"]
     got = N.log_probabilities(model, "x", np.array([int.from_bytes(g, "big") for g in grams], np.uint32))
     assert got == pytest.approx([math.log2(p(4, g)) for g in grams], rel=1e-4)
