@@ -121,14 +121,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, metadata: tu
                     pa.array([sparse.ids[c].astype("<i4").tobytes() for c in cut], pa.binary()), pa.array([sparse.times[c].astype("<f4").tobytes() for c in cut], pa.binary()),
                 ], ["doc_id", "label", "stats", "ids", "times"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, stats binary, ids binary, times binary").toArrow()
-    seen, out = set(), {"label": [], "stats": [], "ids": [], "times": []}
-    for x in sorted(got.to_pylist(), key=lambda x: (x["doc_id"], x["stats"], x["ids"])):
-        if x["doc_id"] not in seen:
-            seen.add(x["doc_id"])
-            out["label"].append(x["label"])
-            for name, kind in (("stats", "<f4"), ("ids", "<i4"), ("times", "<f4")):
-                out[name].append(np.frombuffer(x[name], kind))
+    found = rows.mapInArrow(run, "doc_id long, label int, stats binary, ids binary, times binary")
+    # one row an id before anything is gathered, however often the documents repeat it
+    once = found.groupBy("doc_id").agg(F.min(F.struct("stats", "ids", "times", "label")).alias("x")).select("doc_id", "x.*")
+    out = {"label": [], "stats": [], "ids": [], "times": []}
+    for x in sorted(once.toArrow().to_pylist(), key=lambda x: x["doc_id"]):
+        out["label"].append(x["label"])
+        for name, kind in (("stats", "<f4"), ("ids", "<i4"), ("times", "<f4")):
+            out[name].append(np.frombuffer(x[name], kind))
     return out
 
 
