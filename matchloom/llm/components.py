@@ -42,3 +42,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     )
+
+
+def one_of_each(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of rows(doc_id, _key, ...) one row for each component of roots(node, root) over _key: the smallest doc_id, null last.
+
+    Rows are told apart by all their columns, not by doc_id.
+    """
+    rows = rows.withColumn("_row", F.xxhash64(*[f"`{c}`" for c in rows.columns]))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "_key")).alias("best")
+    low = cut(rows.groupBy("_key").agg(best))
+    low = low.hint("merge").join(roots.withColumnRenamed("node", "_key").hint("merge"), "_key", "left")
+    kept = low.groupBy(F.coalesce("root", "_key").alias("root")).agg(F.min("best").alias("best")).select("best._key", "best._row")
+    return rows.hint("merge").join(kept.hint("merge"), ["_key", "_row"], "left_semi").dropDuplicates(["_key", "_row"])

@@ -142,15 +142,14 @@ def overlaps(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE, seed
     """doc_id, item_id, item_words, covered, coverage, contaminated (true), tiles: documents against items they cover enough.
 
     Null texts are empty.  Items of fewer than ``seed`` words have no seeds and
-    match nothing.  Repeated rows of docs repeat their pairs, or, where the
-    benchmark is too large to send, give them once; rows of bench that repeat
-    count once.  Extra columns are ignored.
+    match nothing.  Repeated rows of docs repeat their pairs; rows of bench
+    that repeat count once.  Extra columns are ignored.
     """
     docs = ensure(docs, "doc_id", "text")
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()
     found = index(bench, most, seed)
     if found is None:
-        pairs = _overlaps_by_join(docs, bench, coverage, seed)
+        pairs = _same_row(docs, _overlaps_by_join(docs, bench, coverage, seed), "inner")
     else:
         sent = docs.sparkSession.sparkContext.broadcast(found)
 
@@ -175,7 +174,7 @@ def _rows(doc_ids: pa.Array, item_ids: pa.Array, lengths, tiles: list) -> pa.Rec
 
 
 def _overlaps_by_join(docs: DataFrame, bench: DataFrame, coverage: float, seed: int) -> DataFrame:
-    """The same pairs where the benchmark isn't small: seeds meet by a shuffled join, pairs are tiled by document and item."""
+    """The same pairs with doc_hash, once for each doc_id and text, where the benchmark isn't small: seeds meet by a shuffled join, pairs are tiled by document and item."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()
     left = _seed_rows(docs, "doc_id", seed).select(F.col("id").alias("doc_id"), F.col("text_hash").alias("doc_hash"), "seed", F.col("place").alias("doc_at"))
     right = _seed_rows(bench, "item_id", seed).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "n", "seed", F.col("place").alias("item_at"))
@@ -185,18 +184,25 @@ def _overlaps_by_join(docs: DataFrame, bench: DataFrame, coverage: float, seed:
         n = table.column("n")[0].as_py()
         keep = [tiles] if sum(t[2] for t in tiles) >= coverage * n else []
         one = lambda c: table.column(c).combine_chunks().slice(0, len(keep))
-        return pa.Table.from_batches([_rows(one("doc_id"), one("item_id"), [n] * len(keep), keep)])
+        return pa.Table.from_batches([_rows(one("doc_id"), one("item_id"), [n] * len(keep), keep).append_column("doc_hash", one("doc_hash"))])
 
     joined = left.hint("merge").join(right.hint("merge"), "seed")
-    return joined.groupBy("doc_id", "doc_hash", "item_id", "item_hash").applyInArrow(run, f"doc_id {kind}, item_id {item_kind}, item_words long, covered long, tiles {_TILE}")
+    return joined.groupBy("doc_id", "doc_hash", "item_id", "item_hash").applyInArrow(run, f"doc_id {kind}, item_id {item_kind}, item_words long, covered long, tiles {_TILE}, doc_hash long")
+
+
+def _same_row(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs joined with found(doc_id, doc_hash, ...) on id and text, since the id alone may be null or repeated."""
+    found = found.withColumnsRenamed({"doc_id": "_found_id", "doc_hash": "_found_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.xxhash64("text") == F.col("_found_hash"))
+    return docs.hint("merge").join(found.hint("merge"), same, how)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE, seed: int = SEED, most: int = MOST_SEEDS) -> DataFrame:
     """docs without contaminated rows, all columns kept."""
     found = index(bench, most, seed)
     if found is None:
-        bad = _overlaps_by_join(docs, bench, coverage, seed).select("doc_id").distinct()
-        return docs.hint("merge").join(bad.hint("merge"), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        bad = _overlaps_by_join(docs, bench, coverage, seed).select("doc_id", "doc_hash").distinct()
+        return _same_row(docs, bad, "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

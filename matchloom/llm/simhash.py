@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from .components import components
+from .components import components, one_of_each
 from .stage import cut, ensure
 from .textkit import text_slices
 
@@ -225,18 +226,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     )
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """docs without near-duplicates: of each component the row of the smallest doc_id stays, all columns kept.
 
-    Rows that repeat a doc_id count once.  Rows without doc_id stay.
+    Rows of one doc_id with unlike texts lie in components of their own.  A null
+    doc_id comes after all others.
     """
-    kept = near_duplicates(docs, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").hint("merge").join(kept.hint("merge"), "doc_id", "left_semi")
-    order = [F.xxhash64(*[f"`{c}`" for c in docs.columns])]
-    from pyspark.sql import Window
 
-    one = one.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_copy = 1").drop("_copy")
-    return one.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                fp = np.array([fingerprint((t.as_buffer() or b"") and t.as_buffer().to_pybytes(), shingle) for t in part.column("text").cast(pa.binary())], np.uint64)
+                yield part.append_column("_key", pa.array(fp.view(np.int64)))
+
+    rows = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_key", LongType()))
+    distinct = cut(rows.select(F.col("_key").alias("fp")).distinct())
+    return one_of_each(rows, components(links(distinct, distance))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
