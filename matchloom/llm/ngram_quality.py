@@ -313,7 +313,7 @@ def score(docs: DataFrame, width: tuple[float, float] = (WIDTH_LOW, WIDTH_HIGH),
     ``kept`` is false if the base rules fail or bits per byte lie outside the
     language's band.  All rows are looked at for the model, its reference texts are
     counted whole, and the bands come from all rows that pass the base rules.  Null
-    texts are empty and fail; a null language is a language of its own.  Where a
+    texts are empty and fail; a null language is the language ''.  Where a
     language has no text that passes the base rules, it has no band.
     """
     docs = ensure(docs, "doc_id", "text", "lang")
@@ -332,10 +332,10 @@ def score(docs: DataFrame, width: tuple[float, float] = (WIDTH_LOW, WIDTH_HIGH),
     scored = scored.drop("text_hash")
     failed: Column = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = cut(scored.withColumn("base_failed", failed))
-    bands = cut(_band(scored))
+    bands = cut(_band(scored.withColumn("lang", F.coalesce("lang", F.lit("")))))
     few = F.broadcast(bands) if bands.count() <= 10_000 else bands.hint("merge")
     lang = F.coalesce("lang", F.lit(""))
-    few = few.select(F.coalesce("lang", F.lit("")).alias("band_lang"), "middle", "spread")
+    few = few.select(F.col("lang").alias("band_lang"), "middle", "spread")
     x = F.col("bits") / F.nullif(F.col("n_bytes"), F.lit(0))
     noise = F.col("spread") * F.sqrt(1 + F.lit(NOISE_BYTES) / F.greatest(F.col("n_bytes"), F.lit(1)))
     rows = scored.join(few, lang == F.col("band_lang"), "left").withColumn("bits_per_byte", x)
