@@ -86,7 +86,7 @@ def _judge(groups: int):
         hit[order] = np.repeat(low, np.diff(np.r_[start, len(order)])) < doc[order]
         stop = np.cumsum(sizes)
         some = np.flatnonzero(np.add.reduceat(hit, stop - sizes) > 0)
-        group = _bucket(mix(keys[some].view(np.uint64)), groups)
+        group = _bucket(mix(keys[some].view(np.uint64) ^ mix(ids[some].view(np.uint64))), groups)  # copies of one text spread over groups
         some = some[np.argsort(group, kind="stable")]
         edge = np.searchsorted(np.sort(group), np.arange(groups + 1, dtype=np.uint64))
         bucket, rows = table.column("bucket")[0].as_py(), []
