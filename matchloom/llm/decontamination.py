@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import ensure
+from .stage import by_position, ensure
 from .textkit import Words, text_slices
 
 SEED = 5
@@ -199,10 +199,11 @@ def _same_row(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE, seed: int = SEED, most: int = MOST_SEEDS) -> DataFrame:
     """docs without contaminated rows, all columns kept."""
+    docs, restored = by_position(docs, "doc_id", "text")
     found = index(bench, most, seed)
     if found is None:
         bad = _overlaps_by_join(docs, bench, coverage, seed).select("doc_id", "doc_hash").distinct()
-        return _same_row(docs, bad, "left_anti")
+        return restored(_same_row(docs, bad, "left_anti"))
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +213,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, coverage: float = COVER
                 keep[[row for row, _, _ in _matches(sent.value, part.column("text"), seed, coverage)]] = False
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return restored(docs.mapInArrow(run, docs.schema))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

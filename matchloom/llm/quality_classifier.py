@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from .features import Sparse, hashed_words, held_out, join_rows, labelled_sample, meta_columns, row_sums, statistics
-from .stage import ensure
+from .stage import by_position
 from .textkit import Words, text_slices
 
 BUCKETS = 1 << 12
@@ -111,10 +112,8 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = METADATA, r
     are read.  With ``reject_below`` rows that score less are dropped and the
     columns of docs alone are returned.
     """
-    if reject_below is None:
-        docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("score", "predicted")])
+    docs, restored = by_position(docs, "text", *metadata)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB whatever the input
-    ensure(docs, "text", *metadata)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -132,10 +131,15 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = METADATA, r
                 if reject_below is not None:
                     yield part.filter(pa.array(p >= reject_below))
                 else:
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*part.schema.names, "score", "predicted"])
-
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join(kinds if reject_below is not None else [*kinds, "score double", "predicted int"]))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*part.schema.names, "_score_", "_predicted_"])
+
+    if reject_below is not None:
+        return restored(docs.mapInArrow(run, docs.schema))
+    scored = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score_", DoubleType()).add("_predicted_", IntegerType()))
+    # columns go by position, since names may clash
+    names = restored(docs).columns
+    kept = [(i, n) for i, n in enumerate(names) if n.lower() not in ("score", "predicted")]
+    return scored.select(*[docs.columns[i] for i, _ in kept], "_score_", "_predicted_").toDF(*[n for _, n in kept], "score", "predicted")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import ensure
+from .stage import by_position, ensure
 from .textkit import text_slices
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -139,6 +139,7 @@ def masked(text: str) -> str:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """docs with secrets masked in text and n_chars counted anew; all rows and columns stay, null texts stay null."""
     with_chars = "n_chars" in docs.columns
+    docs, restored = by_position(docs, "text", *(["n_chars"] if with_chars else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +153,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
                     part = part.set_column(at, part.schema.field(at), pa.array([o if t is None else len(t) for o, t in zip(old, texts, strict=True)], part.schema.field(at).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return restored(docs.mapInArrow(run, docs.schema))
 
 
 def _listed(spans: Column) -> Column:

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .components import components, one_of_each
-from .stage import cut, ensure
+from .components import components, join_hot, one_of_each
+from .stage import by_position, cut, ensure
 from .textkit import text_slices
 
 BLOCKS = (13, 13, 13, 13, 12)
@@ -79,14 +79,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
+def _of_texts(part: pa.RecordBatch, shingle: int) -> np.ndarray:
+    texts = (t.as_buffer() for t in part.column("text").cast(pa.binary()))
+    return np.array([fingerprint(t.to_pybytes() if t else b"", shingle) for t in texts], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): one row for each row of docs, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                fp = np.array([fingerprint((t.as_buffer() or b"") and t.as_buffer().to_pybytes(), shingle) for t in part.column("text").cast(pa.binary())], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_of_texts(part, shingle))], ["doc_id", "fp"])
 
     docs = ensure(docs, "doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -219,7 +223,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     roots = components(links(distinct.select("fp"), distance))
     rooted = distinct.hint("merge").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = rooted.hint("merge").join(named.hint("merge"), "root").select("fp", "component_id", "n")
+    labels = join_hot(rooted.select("root", "fp", "n"), named, "root").select("fp", "component_id", "n")
     dealt = salted.select("fp", "salt").hint("merge").join(labels.hint("merge"), "fp")
     return rows.hint("merge").join(dealt.hint("merge"), ["fp", "salt"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("n").alias("n_links")
@@ -236,12 +240,12 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                fp = np.array([fingerprint((t.as_buffer() or b"") and t.as_buffer().to_pybytes(), shingle) for t in part.column("text").cast(pa.binary())], np.uint64)
-                yield part.append_column("_key", pa.array(fp.view(np.int64)))
+                yield part.append_column("_key", pa.array(_of_texts(part, shingle)))
 
+    docs, restored = by_position(docs, "doc_id", "text")
     rows = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_key", LongType()))
     distinct = cut(rows.select(F.col("_key").alias("fp")).distinct())
-    return one_of_each(rows, components(links(distinct, distance))).select(*[f"`{c}`" for c in docs.columns])
+    return restored(one_of_each(rows, components(links(distinct, distance))))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ensure(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, matched by exact name; extra or clashing ones don't reach the operator."""
-    missing = [c for c in columns if c not in df.columns]
+    """Only the named columns, matched by exact name; columns that are extra or clash in case don't reach the operator."""
+    return by_position(df, *columns)[0].select(*columns)
+
+
+def by_position(df: DataFrame, *columns: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with the named columns as they are and all others under names that can't clash, and a function that gives a result its old columns back.
+
+    The first of several columns of one name counts.
+    """
+    names = df.columns
+    missing = [c for c in columns if c not in names]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*[f"`{c}`" for c in columns])
+    at = {names.index(c) for c in columns}
+    plain = [c if i in at else f"_column{i}_" for i, c in enumerate(names)]
+    return df.toDF(*plain), lambda out: out.select(*plain).toDF(*names)

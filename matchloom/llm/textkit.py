@@ -2,9 +2,10 @@
 
 Words are runs of bytes other than space and \\t \\n \\v \\f \\r.  All separators
 are ASCII, so working on UTF-8 bytes gives exactly the words of the text.  A
-polynomial prefix sum modulo 2**64 yields the hash of any byte range with one
-subtraction and one multiplication; ranges are moved to position zero by the
-inverse power, so equal words hash equally wherever they stand.
+word's hash chains a bijective mixer over its 8-byte blocks, so words of one
+block never collide before their length is mixed in; very long words take XXH64.
+Window hashes are polynomials in word hashes, which have no structure that a
+polynomial modulo 2**64 could be fooled by.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SEGMENT = 1 << 21
 
@@ -22,7 +24,9 @@ _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
 
 _BASE = 0x9E3779B97F4A7C15
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {}
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 256
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,19 +37,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SEGMENT + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SEGMENT) -> Iterator[pa.RecordBatch]:
     """Row slices of batch whose texts together hold about ``most`` bytes (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -101,20 +92,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """One mixed 64-bit hash a word; long inputs go in segments, so extra memory is bounded."""
-        out = np.empty(len(self.start), np.uint64)
-        at = 0
-        while at < len(self.start):
-            base = self.start[at]
-            to = max(at + 1, int(np.searchsorted(self.end, base + SEGMENT, "right")))
-            raw = self.raw[base : self.end[to - 1]]
-            up, down = _pow(len(raw) + 1)
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-            s, e = self.start[at:to] - base, self.end[at:to] - base
-            out[at:to] = (sums[e] - sums[s]) * down[s]
-            at = to
-        return mix(out)
+        """One mixed 64-bit hash a word."""
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64))
+        blocks = np.ndarray(len(self.raw), "<u8", np.concatenate([self.raw, np.zeros(8, np.uint8)]), strides=(1,))  # the 8 bytes from each place on
+        some, at = np.flatnonzero(size <= _LONG_WORD), 0
+        while len(some):
+            left = size[some] - at
+            out[some] = mix(out[some] ^ (blocks[self.start[some] + at] & _KEEP[np.minimum(left, 8)]))
+            at += 8
+            some = some[left > 8]
+        for i in np.flatnonzero(size > _LONG_WORD).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.raw[self.start[i] : self.end[i]].tobytes(), 42)
+        return out
 
     def windows(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Karp-Rabin hashes of every n consecutive words of one text, and the index of each first word."""
