@@ -1,11 +1,14 @@
 """Removal of repeated word passages by Karp-Rabin window hashes counted in Spark.
 
-Every window of 13 words is hashed.  A task packs the hashes of a slice of
-documents into one row for each hash bucket, in document order, so the shuffle
-carries little more than eight bytes a window.  A bucket finds, for each of its
-hashes, the smallest doc_id with that hash and answers, for each document that
-holds such a window too, which of its windows in that bucket go.  Documents meet
-their answers, windows turn into word intervals, and touching intervals merge.
+Every window of 13 words is hashed.  Within a slice of documents the windows that
+an earlier document of the slice has too are decided at once, and each document
+keeps one of equal windows, so that a window which very many documents share
+leaves a slice once.  The others are packed into one row for each hash bucket,
+in document order, so the shuffle carries little more than eight bytes a window.
+A bucket finds, for each of its hashes, the smallest doc_id with that hash and
+answers, for each document that holds such a window too, which of its windows in
+that bucket go.  Documents meet their answers, windows turn into word intervals,
+and touching intervals merge.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .stage import ensure
 from .textkit import SEGMENT, Words, mix, text_slices
 
 WINDOW = 13
-#: Windows a hash bucket holds on average; a bucket is what one task has in memory.
-BUCKET_WINDOWS = 1 << 22
+#: Windows a hash bucket holds on average; a bucket is what one task has in memory.  Beyond MANY buckets they hold up to 16 times as many.
+BUCKET_WINDOWS, MANY = 1 << 22, 2000
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -42,8 +45,23 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("doc_id").cast(pa.int64()).fill_null(_NULL_ID).to_numpy()
 
 
+def _decided(h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of a slice: whether an earlier document of the slice has it, and whether it is the first of its kind in its document."""
+    order = np.argsort(h, kind="stable")
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    start = np.flatnonzero(new)
+    own = ids[doc]
+    low, decided, first = np.minimum.reduceat(own[order], start), np.empty(len(h), bool), np.empty(len(h), bool)
+    decided[order] = np.repeat(low, np.diff(np.r_[start, len(order)])) < own[order]
+    first[order] = new | np.r_[True, doc[order][1:] != doc[order][:-1]]
+    return decided, first
+
+
+_MESSAGES = ("bucket", "slice", "hashes", "ids", "keys", "sizes", "hits")
+
+
 def _packer(window: int, buckets: int):
-    """mapInArrow function: (bucket, hashes, ids, keys, sizes) for each slice of documents."""
+    """mapInArrow function: for each slice of documents the undecided hashes of each bucket, and what the slice has decided itself (hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,66 +73,118 @@ def _packer(window: int, buckets: int):
                     continue
                 doc = np.repeat(np.arange(part.num_rows), words.counts())[first]
                 ids, keys = _ids(part), _key(part.column("text"), words, hashes)
-                b = _bucket(h, buckets).astype(np.int32)
-                order = np.argsort(b, kind="stable")
-                b, h, doc = b[order], h[order], doc[order]
-                edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True])
+                tag = int(mix(keys.view(np.uint64) ^ mix(ids.view(np.uint64))).sum(dtype=np.uint64).view(np.int64))
+                decided, once = _decided(h, doc, ids)
                 rows = []
-                for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    at = np.flatnonzero(np.r_[True, doc[s + 1 : e] != doc[s : e - 1], True])
-                    own = doc[s:e][at[:-1]]
-                    rows.append((int(b[s]), h[s:e].tobytes(), ids[own].tobytes(), keys[own].tobytes(), np.diff(at).astype(np.int32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "hashes", "ids", "keys", "sizes"])
+                edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                some = np.flatnonzero(np.bincount(doc[decided], minlength=part.num_rows))
+                if len(some):
+                    hits = b"".join([np.packbits(decided[edge[i] : edge[i + 1]]).tobytes() for i in some.tolist()])
+                    rows.append((tag % buckets, tag, None, ids[some].tobytes(), keys[some].tobytes(), np.diff(edge)[some].astype(np.int32).tobytes(), hits))
+                ask = np.flatnonzero(once & ~decided)
+                b = _bucket(h[ask], buckets).astype(np.int32)
+                order = np.argsort(b, kind="stable")
+                b, own_h, own_doc = b[order], h[ask][order], doc[ask][order]
+                edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else []
+                for s, e in zip(edge[:-1], edge[1:], strict=True):
+                    at = np.flatnonzero(np.r_[True, own_doc[s + 1 : e] != own_doc[s : e - 1], True])
+                    own = own_doc[s:e][at[:-1]]
+                    rows.append((int(b[s]), tag, own_h[s:e].tobytes(), ids[own].tobytes(), keys[own].tobytes(), np.diff(at).astype(np.int32).tobytes(), None))
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(_MESSAGES))
 
     return run
 
 
-def _column(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-
-
 def _judge(groups: int):
-    """applyInArrow function over one bucket: for each group of documents, whose windows start in an earlier one."""
+    """applyInArrow function over one bucket: for each group of documents, which of their windows start in an earlier one."""
 
-    def run(table: pa.Table) -> pa.Table:
-        h, ids, keys, sizes = (_column(table, n, k) for n, k in (("hashes", np.uint64), ("ids", np.int64), ("keys", np.int64), ("sizes", np.int32)))
-        doc = np.repeat(ids, sizes)
-        order = np.argsort(h, kind="stable")
-        start = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-        low = np.minimum.reduceat(doc[order], start)
-        hit = np.empty(len(h), bool)
-        hit[order] = np.repeat(low, np.diff(np.r_[start, len(order)])) < doc[order]
-        stop = np.cumsum(sizes)
-        some = np.flatnonzero(np.add.reduceat(hit, stop - sizes) > 0)
+    def answers(bucket, rows, chosen) -> list[tuple]:
+        """Rows for groups of documents; chosen tells which documents get an answer, and the bits of each."""
+        ids, keys, sizes = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in (("ids", np.int64), ("keys", np.int64), ("sizes", np.int32)))
+        tags = np.repeat(np.array([r["slice"] for r in rows], np.int64), [len(r["ids"]) // 8 for r in rows])
+        some, bits = chosen(ids, sizes)
         group = _bucket(mix(keys[some].view(np.uint64) ^ mix(ids[some].view(np.uint64))), groups)  # copies of one text spread over groups
         some = some[np.argsort(group, kind="stable")]
         edge = np.searchsorted(np.sort(group), np.arange(groups + 1, dtype=np.uint64))
-        bucket, rows = table.column("bucket")[0].as_py(), []
+        out = []
         for g in np.flatnonzero(np.diff(edge)).tolist():
             own = some[edge[g] : edge[g + 1]]
-            hits = b"".join([np.packbits(hit[stop[i] - sizes[i] : stop[i]]).tobytes() for i in own.tolist()])
-            rows.append((g, bucket, ids[own].tobytes(), keys[own].tobytes(), sizes[own].astype(np.int32).tobytes(), hits))
-        return pa.table(dict(zip(_ANSWERS.names, [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 6, _ANSWERS, strict=True)], strict=True)))
+            out.append((g, bucket, tags[own].tobytes(), ids[own].tobytes(), keys[own].tobytes(), sizes[own].tobytes(), b"".join([bits(i) for i in own.tolist()])))
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(list(_MESSAGES)).to_pylist()
+        done, asked, out = [r for r in rows if r["hashes"] is None], [r for r in rows if r["hashes"] is not None], []
+        if done:
+            data = b"".join([r["hits"] for r in done])
+
+            def all_of(ids, sizes):
+                size = -(-sizes // 8)
+                stop = np.cumsum(size)
+                return np.arange(len(ids)), lambda i: data[stop[i] - size[i] : stop[i]]
+
+            out += answers(-1, done, all_of)
+        if asked:
+            h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in asked])
+
+            def hit_ones(ids, sizes):
+                doc = np.repeat(ids, sizes)
+                order = np.argsort(h, kind="stable")
+                start = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+                low = np.minimum.reduceat(doc[order], start)
+                hit = np.empty(len(h), bool)
+                hit[order] = np.repeat(low, np.diff(np.r_[start, len(order)])) < doc[order]
+                stop = np.cumsum(sizes)
+                return np.flatnonzero(np.add.reduceat(hit, stop - sizes) > 0), lambda i: np.packbits(hit[stop[i] - sizes[i] : stop[i]]).tobytes()
+
+            out += answers(asked[0]["bucket"], asked, hit_ones)
+        return pa.table(dict(zip(_ANSWERS.names, [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(_ANSWERS), _ANSWERS, strict=True)], strict=True)))
 
     return run
 
 
-_ANSWERS = pa.schema([("group", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("hits", pa.binary())])
+_ANSWERS = pa.schema([("group", pa.int32()), ("bucket", pa.int32()), *[(n, pa.binary()) for n in ("slices", "ids", "keys", "sizes", "hits")]])
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """All answers to one group of documents: a row (id, key, answers) for each document with any."""
-    found: dict[tuple[int, int], dict[int, bytes]] = {}
-    for row in table.select(["bucket", "ids", "keys", "sizes", "hits"]).to_pylist():
+    """All answers to one group of documents: a row (id, key, answers) for each document with any.
+
+    Rows that are repeated in several slices have the same windows to lose; the answers of one slice are kept.
+    """
+    found: dict[tuple[int, int], dict[int, dict[int, bytes]]] = {}
+    for row in table.select(["bucket", "slices", "ids", "keys", "sizes", "hits"]).to_pylist():
         sizes, at = np.frombuffer(row["sizes"], np.int32), 0
-        for i, k, n in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["keys"], np.int64).tolist(), (-(-sizes // 8)).tolist(), strict=True):
-            found.setdefault((i, k), {})[row["bucket"]] = row["hits"][at : at + n]
+        tags, ids, keys = (np.frombuffer(row[c], np.int64).tolist() for c in ("slices", "ids", "keys"))
+        for t, i, k, n in zip(tags, ids, keys, (-(-sizes // 8)).tolist(), strict=True):
+            found.setdefault((i, k), {}).setdefault(t, {})[row["bucket"]] = row["hits"][at : at + n]
             at += n
-    answers = [[{"bucket": b, "hits": h} for b, h in x.items()] for x in found.values()]
+    answers = [[{"bucket": b, "hits": h} for b, h in x[min(x)].items()] for x in found.values()]
     kind = pa.list_(pa.struct([("bucket", pa.int32()), ("hits", pa.binary())]))
     return pa.table({"id": pa.array([i for i, _ in found], pa.int64()), "key": pa.array([k for _, k in found], pa.int64()), "answers": pa.array(answers, kind)})
 
 
+def _lost(h: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
+    """For the windows of one document whether they start in an earlier one, from the answers to it."""
+    hit = np.zeros(len(h), bool)
+    for a in answers:
+        if a["bucket"] < 0:
+            hit = np.unpackbits(np.frombuffer(a["hits"], np.uint8), count=len(h)).astype(bool)
+    rest = np.flatnonzero(~hit)
+    _, first, kind = np.unique(h[rest], return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    asked = rest[first[order]]
+    b, told = _bucket(h[asked], buckets), np.zeros(len(asked), bool)
+    for a in answers:
+        if a["bucket"] >= 0:
+            at = np.flatnonzero(b == a["bucket"])
+            told[at] = np.unpackbits(np.frombuffer(a["hits"], np.uint8), count=len(at)).astype(bool)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    hit[rest] = told[place[kind]]
+    return hit
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_windows: int = BUCKET_WINDOWS) -> tuple[DataFrame, int]:
     """(id, key, answers) for each document with repeated windows, and the number of buckets, which follows the size of all texts.
 
@@ -124,9 +194,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_windows: int
     docs = ensure(docs, "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (6 * bucket_windows)))
+    if buckets > MANY:
+        buckets = max(MANY, -(-size // (6 * 16 * bucket_windows)))
     groups = max(1, -(-size // bucket_windows))
-    packed = docs.mapInArrow(_packer(window, buckets), "bucket int, hashes binary, ids binary, keys binary, sizes binary")
-    judged = packed.groupBy("bucket").applyInArrow(_judge(groups), "group int, bucket int, ids binary, keys binary, sizes binary, hits binary")
+    packed = docs.mapInArrow(_packer(window, buckets), "bucket int, slice long, hashes binary, ids binary, keys binary, sizes binary, hits binary")
+    # as many partitions as buckets, so a task's share doesn't grow with the input
+    judged = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_judge(groups), "group int, bucket int, slices binary, ids binary, keys binary, sizes binary, hits binary")
     return judged.groupBy("group").applyInArrow(_gather, "id long, key long, answers array<struct<bucket:int,hits:binary>>"), buckets
 
 
@@ -155,12 +228,7 @@ def _cutter(window: int, buckets: int):
                     lo, hi = words.first[i], words.first[i + 1]
                     spans = np.zeros((0, 2), np.int64)
                     if answers[i]:
-                        own = h[edge[i] : edge[i + 1]]
-                        b = _bucket(own, buckets)
-                        hit = np.zeros(len(own), bool)
-                        for a in answers[i]:
-                            at = np.flatnonzero(b == a["bucket"])
-                            hit[at] = np.unpackbits(np.frombuffer(a["hits"], np.uint8), count=len(at)).astype(bool)
+                        hit = _lost(h[edge[i] : edge[i + 1]], answers[i], buckets)
                         spans = _cover(hi - lo, np.flatnonzero(hit), window)
                     keep = np.ones(hi - lo, bool)
                     for s, e in spans.tolist():
