@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """left joined with right(key, ...), one row a key, where one key may hold most rows of left: they are dealt under salts."""
+    """left joined with right, where one key may hold most rows of left: they are dealt under salts, and each row of right goes to all."""
     spread = left.withColumn("_salt_", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.hint("merge").join(copies.hint("merge"), [key, "_salt_"]).drop("_salt_")

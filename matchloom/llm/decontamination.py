@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import join_hot
 from .stage import by_position, ensure
-from .textkit import Words, text_slices
+from .textkit import Words, mix, text_slices
 
 SEED = 5
 COVERAGE = 0.5
@@ -44,14 +45,31 @@ class Index(NamedTuple):
     lengths: np.ndarray
 
 
-def seeds(texts: pa.Array, seed: int = SEED) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the folded texts; for each seed its hash, its text and its first word within the text."""
+def seeds(texts: pa.Array, seed: int = SEED, short: tuple[int, ...] = (), whole: bool = False) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the folded texts; for each seed its hash, its text and its first word within the text.
+
+    ``short`` adds windows of fewer words, with ``whole`` only of texts that have no more.
+    """
     words = Words(texts, _FOLD)
-    h, first = words.windows(words.hashes(), seed)
+    hashes = words.hashes()
+    h, first = words.windows(hashes, seed)
+    parts = [(h, first)]
+    for n in short:
+        h, first = words.windows(hashes, n)
+        if whole and len(h):
+            some = words.counts()[words.owner()[first]] == n
+            h, first = h[some], first[some]
+        parts.append((mix(h ^ np.uint64(n)), first))
+    h, first = (np.concatenate(x) for x in zip(*parts, strict=True))
     owner = words.owner()[first] if len(first) else first
     return words, h, owner, first - words.first[owner]
 
 
+def tiles_of(doc_at: np.ndarray, item_at: np.ndarray, n_words: int, seed: int) -> list[tuple[int, int, int]]:
+    """Tiles of one document and one item; an item shorter than a seed is found whole or not at all."""
+    return tile(doc_at, item_at, seed, seed) if n_words >= seed else [(int(doc_at.min()), 0, n_words)]
+
+
 def tile(doc_at: np.ndarray, item_at: np.ndarray, least: int = SEED, seed: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy tiles (doc word, item word, length) from pairs of equal seeds; longest first, ties by place."""
     pairs = np.unique(np.stack([doc_at - item_at, doc_at], 1), axis=0)
@@ -83,7 +101,7 @@ def tile(doc_at: np.ndarray, item_at: np.ndarray, least: int = SEED, seed: int =
 
 def index(bench: DataFrame, most: int = MOST_SEEDS, seed: int = SEED) -> Index | None:
     """All seeds of bench(item_id, text) as sorted arrays; None if there are more than ``most``."""
-    rows = _seed_rows(bench, "item_id", seed)
+    rows = _seed_rows(bench, "item_id", seed, tuple(range(1, seed)), True)
     held = rows.limit(most + 1).toArrow()
     if held.num_rows > most:
         return None
@@ -95,13 +113,13 @@ def index(bench: DataFrame, most: int = MOST_SEEDS, seed: int = SEED) -> Index |
     return Index(h[order], item[order], held.column("place").to_numpy()[order], [k[0] for k in known], np.array([k[1] for k in known], np.int64))
 
 
-def _seed_rows(df: DataFrame, name: str, seed: int) -> DataFrame:
+def _seed_rows(df: DataFrame, name: str, seed: int, short: tuple[int, ...], whole: bool = False) -> DataFrame:
     """(id, text_hash, n, seed, place): one row for each seed of each distinct row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                words, h, owner, place = seeds(part.column("text"), seed)
+                words, h, owner, place = seeds(part.column("text"), seed, short, whole)
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(at), part.column("text_hash").take(at), pa.array(words.counts()[owner]), pa.array(h.view(np.int64)), pa.array(place)],
@@ -116,7 +134,7 @@ def _seed_rows(df: DataFrame, name: str, seed: int) -> DataFrame:
 
 def _matches(found: Index, texts: pa.Array, seed: int, coverage: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
     """(row, item, tiles) for texts that cover enough of an item."""
-    _, h, owner, place = seeds(texts, seed)
+    _, h, owner, place = seeds(texts, seed, tuple(np.unique(found.lengths[found.lengths < seed]).tolist()))
     if not len(h) or not len(found.seeds):
         return
     sieve = np.zeros(1 << 20, bool)
@@ -133,7 +151,7 @@ def _matches(found: Index, texts: pa.Array, seed: int, coverage: float) -> Itera
         i = int(item[s])
         if len(np.unique(item_at[s:e])) + (seed - 1) * (e - s) < coverage * found.lengths[i]:
             continue  # so few seeds can't cover enough
-        tiles = tile(doc_at[s:e], item_at[s:e], seed, seed)
+        tiles = tiles_of(doc_at[s:e], item_at[s:e], int(found.lengths[i]), seed)
         if sum(t[2] for t in tiles) >= coverage * found.lengths[i]:
             yield int(row[s]), i, tiles
 
@@ -141,8 +159,8 @@ def _matches(found: Index, texts: pa.Array, seed: int, coverage: float) -> Itera
 def overlaps(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE, seed: int = SEED, most: int = MOST_SEEDS) -> DataFrame:
     """doc_id, item_id, item_words, covered, coverage, contaminated (true), tiles: documents against items they cover enough.
 
-    Null texts are empty.  Items of fewer than ``seed`` words have no seeds and
-    match nothing.  Repeated rows of docs repeat their pairs; rows of bench
+    Null texts are empty.  Items of fewer than ``seed`` words are matched as a
+    whole, items without words never.  Repeated rows of docs repeat their pairs; rows of bench
     that repeat count once.  Extra columns are ignored.
     """
     docs = ensure(docs, "doc_id", "text")
@@ -176,17 +194,19 @@ def _rows(doc_ids: pa.Array, item_ids: pa.Array, lengths, tiles: list) -> pa.Rec
 def _overlaps_by_join(docs: DataFrame, bench: DataFrame, coverage: float, seed: int) -> DataFrame:
     """The same pairs with doc_hash, once for each doc_id and text, where the benchmark isn't small: seeds meet by a shuffled join, pairs are tiled by document and item."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()
-    left = _seed_rows(docs, "doc_id", seed).select(F.col("id").alias("doc_id"), F.col("text_hash").alias("doc_hash"), "seed", F.col("place").alias("doc_at"))
-    right = _seed_rows(bench, "item_id", seed).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "n", "seed", F.col("place").alias("item_at"))
+    held = _seed_rows(bench, "item_id", seed, tuple(range(1, seed)), True)
+    short = tuple(sorted(r.n for r in held.filter(F.col("n") < seed).select("n").distinct().collect()))  # fewer than a seed's words
+    left = _seed_rows(docs, "doc_id", seed, short).select(F.col("id").alias("doc_id"), F.col("text_hash").alias("doc_hash"), "seed", F.col("place").alias("doc_at"))
+    right = held.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "n", "seed", F.col("place").alias("item_at"))
 
     def run(table: pa.Table) -> pa.Table:
-        tiles = tile(table.column("doc_at").to_numpy(), table.column("item_at").to_numpy(), seed, seed)
         n = table.column("n")[0].as_py()
+        tiles = tiles_of(table.column("doc_at").to_numpy(), table.column("item_at").to_numpy(), n, seed)
         keep = [tiles] if sum(t[2] for t in tiles) >= coverage * n else []
         one = lambda c: table.column(c).combine_chunks().slice(0, len(keep))
         return pa.Table.from_batches([_rows(one("doc_id"), one("item_id"), [n] * len(keep), keep).append_column("doc_hash", one("doc_hash"))])
 
-    joined = left.hint("merge").join(right.hint("merge"), "seed")
+    joined = join_hot(left, right, "seed", 8)  # a seed may stand in most documents
     return joined.groupBy("doc_id", "doc_hash", "item_id", "item_hash").applyInArrow(run, f"doc_id {kind}, item_id {item_kind}, item_words long, covered long, tiles {_TILE}, doc_hash long")
 
 
