@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import ensure
+from .stage import cut, ensure
 from .textkit import Words, text_slices
 
 STATISTICS = (
@@ -91,11 +91,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, metadata: tuple[str, ...], buckets: int, most: int, count=None) -> dict[str, list]:
+#: Entries (word bucket, times) of a labelled sample at most: 80 MB on the driver.
+MOST_SAMPLED = 10_000_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, metadata: tuple[str, ...], buckets: int, most: int, count=None, most_entries: int = MOST_SAMPLED) -> dict[str, list]:
     """Features of at most ``most`` labelled rows outside the held-out fold, gathered on the driver.
 
-    The rows are those with the smallest hashes of doc_id; that bound is the only
-    thing which limits what reaches the driver.  Labels that are null or not 0 or
+    The rows are those with the smallest hashes of doc_id, as many of them as hold
+    ``most_entries`` entries together; these bounds limit what reaches the driver.  Labels that are null or not 0 or
     1 are ignored, of several labels of one id the smallest counts, and of several
     documents with one id the one with the lowest statistics.  ``count`` turns
     texts into sparse rows in place of the plain words; statistics are left out then.
@@ -115,15 +119,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, metadata: tu
                     hashes = words.hashes()
                     stats, sparse = statistics(words, hashes), hashed_words(words, hashes, buckets)
                 stats = np.concatenate([stats, meta_columns(part, metadata)], 1).astype("<f4")
-                cut = [slice(a, b) for a, b in zip(sparse.first[:-1], sparse.first[1:], strict=True)]
+                spans = [slice(a, b) for a, b in zip(sparse.first[:-1], sparse.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").cast(pa.int64()), part.column("label"), pa.array([s.tobytes() for s in stats], pa.binary()),
-                    pa.array([sparse.ids[c].astype("<i4").tobytes() for c in cut], pa.binary()), pa.array([sparse.times[c].astype("<f4").tobytes() for c in cut], pa.binary()),
+                    pa.array([sparse.ids[c].astype("<i4").tobytes() for c in spans], pa.binary()), pa.array([sparse.times[c].astype("<f4").tobytes() for c in spans], pa.binary()),
                 ], ["doc_id", "label", "stats", "ids", "times"])
 
     found = rows.mapInArrow(run, "doc_id long, label int, stats binary, ids binary, times binary")
     # one row an id before anything is gathered, however often the documents repeat it
-    once = found.groupBy("doc_id").agg(F.min(F.struct("stats", "ids", "times", "label")).alias("x")).select("doc_id", "x.*")
+    once = cut(found.groupBy("doc_id").agg(F.min(F.struct("stats", "ids", "times", "label")).alias("x")).select("doc_id", "x.*"))
+    sizes = once.select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n")).toPandas().sort_values(["h", "doc_id"])  # ``most`` rows
+    last = int((sizes["n"].cumsum() <= most_entries).sum())
+    if last < len(sizes):
+        h, i = (int(sizes[c].iloc[last]) for c in ("h", "doc_id"))
+        once = once.filter((F.xxhash64("doc_id") < h) | ((F.xxhash64("doc_id") == h) & (F.col("doc_id") < i)))
     out = {"label": [], "stats": [], "ids": [], "times": []}
     for x in sorted(once.toArrow().to_pylist(), key=lambda x: x["doc_id"]):
         out["label"].append(x["label"])

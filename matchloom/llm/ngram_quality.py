@@ -1,11 +1,14 @@
 """Quality rules with an n-gram perplexity band for each language.
 
 The model is an interpolated modified Kneser-Ney model over the bytes of the
-text, of order four.  Spark counts the n-grams of all documents and turns them
-into discounted probabilities by grouping and joining; the result is kept as
-sorted arrays of 64-bit hashes with their log probabilities and back-off
-weights.  A document's score is its bits per byte, compared with the band
-that robust statistics of its own language span.
+text, of order four.  Spark counts the n-grams of all documents; each language's
+counts become sorted arrays of 64-bit hashes with log probabilities and back-off
+weights in one task, whose size the distinct n-grams of a language bound, not
+its text.  Every document is counted, but a model of all texts alone finds
+frequent junk as likely as it is frequent, so the probability of a byte mixes
+two such models: mostly that of reference texts, and with the weight ALL that of
+all.  A document's score is its bits per byte, compared with the band that
+robust statistics of its own language span.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ from pyspark.sql import functions as F
 
 from .features import repeats
 from .stage import cut, ensure
-from .textkit import Words, mix, text_slices, utf8
+from .textkit import Words, mix, text_slices
 
 ORDER = 4
-#: Entries of all orders that are sent to the executors at most; larger models are joined.
-MOST_ENTRIES = 3_000_000
+#: Weight of the model of all texts beside that of reference texts.
+ALL = 1 / 16
+#: Entries of all orders that are sent to the executors at once (one language at least); more languages take further rounds.
+MOST_ENTRIES = 6_000_000
 #: Half width of a band in robust standard deviations, and the bytes at which a text's own noise doubles its variance.
-WIDTH_LOW, WIDTH_HIGH, NOISE_BYTES = 8.0, 14.0, 1500.0
+WIDTH_LOW, WIDTH_HIGH, NOISE_BYTES = 6.0, 14.0, 1500.0
 
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -63,18 +68,15 @@ def grams(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def reference(words: Words, base: dict[str, np.ndarray]) -> np.ndarray:
-    """Texts that the model is counted on: those that pass the base rules and are neither symbol-ridden nor shouted.
-
-    A model of all texts would find junk as likely as it is frequent.
-    """
+    """Reference texts: those that pass the base rules and are neither symbol-ridden nor shouted."""
     total = np.concatenate([[0], np.cumsum(_UPPER[words.raw], dtype=np.int64)])
     upper = total[words.off[1:]] - total[words.off[:-1]]
     n = base["n_words"]
     return (n >= 50) & (2 * base["n_repeat_words"] <= n) & (10 * base["n_symbols"] <= n) & (5 * upper <= base["word_chars"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Grams of a partition's reference texts by language, counted before they are shuffled."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of a partition's texts by language, counted before they are shuffled: in all texts and in reference texts."""
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def merged(parts):
@@ -82,24 +84,25 @@ def _count(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Record
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        return key[start], np.add.reduceat(n, start) if len(key) else n
+        return key[start], np.add.reduceat(n, start, axis=0) if len(key) else n
 
     def rows():
         for name, parts in held.items():
             key, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], ["lang", "gram", "n", "n_ref"])
         held.clear()
 
     for batch in batches:
         for part in text_slices(batch, "text"):
             words, base = base_rules(part)
             names, lang = _language(part.column("lang"))
-            key = grams(words.raw, words.off)
-            slot = np.repeat(np.where(reference(words, base) | every, lang, -1), np.diff(words.off))
+            key, size = grams(words.raw, words.off), np.diff(words.off)
+            slot, chosen = np.repeat(lang, size), np.repeat(reference(words, base), size)
             for i, name in enumerate(names):
-                k, n = np.unique(key[slot == i], return_counts=True)
+                own = slot == i
+                k, at, n = np.unique(key[own], return_inverse=True, return_counts=True)
                 parts = held.setdefault(name, [])
-                parts.append((k, n.astype(np.int64)))
+                parts.append((k, np.stack([n, np.bincount(at, chosen[own], len(k)).astype(np.int64)], 1)))
                 if len(parts) >= 8:
                     held[name] = [merged(parts)]
             if sum(len(k) for parts in held.values() for k, _ in parts) > 4_000_000:
@@ -107,82 +110,87 @@ def _count(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Record
     yield from rows()
 
 
-def count(docs: DataFrame, every: bool = False) -> DataFrame:
-    """(lang, gram, n) over all reference texts, or over every text; null languages are the language ''."""
-    rows = ensure(docs, "text", "lang").mapInArrow(lambda batches: _count(batches, every), "lang string, gram long, n long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def count(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n, n_ref) over every text, and over reference texts; null languages are the language ''."""
+    rows = ensure(docs, "text", "lang").mapInArrow(_count, "lang string, gram long, n long, n_ref long")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_ref").alias("n_ref"))
 
 
-def _discounts(table: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of each language; plain values where the counts of counts give none."""
-    at = lambda k: F.count_if(F.col("n") == k).cast("double").alias(f"n{k}")
-    sums = table.groupBy("lang").agg(*[at(k) for k in (1, 2, 3, 4)])
-    y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
-    d = [
-        F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), F.coalesce(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(plain))))
-        for k, plain in ((1, 0.5), (2, 1.0), (3, 1.5))
-    ]
-    return sums.select("lang", *[x.alias(f"d{k}") for k, x in zip((1, 2, 3), d, strict=True)])
+def _discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more; plain values where the counts of counts give none."""
+    of = [np.count_nonzero(n == k) for k in range(5)]
+    y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else None
+    d = [k - (k + 1) * y * of[k + 1] / of[k] if y is not None and of[k] else plain for k, plain in ((1, 0.5), (2, 1.0), (3, 1.5))]
+    return np.clip(d, 0.05, [0.95, 1.95, 2.95])
 
 
-def estimate(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1 to ORDER: (lang, gram, p) and (lang, history, backoff), by joins alone.
+def kneser_ney(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 1 to ORDER: grams with log2 probabilities, histories with log2 back-off weights.
 
     Lower orders count the distinct grams that end with theirs (continuation
     counts); the lowest is interpolated with a uniform choice of 256 bytes.
     """
-    tables = {ORDER: counts}
+    order = np.argsort(gram)
+    tables = {ORDER: (gram[order].astype(np.uint64), n[order])}
     for m in range(ORDER - 1, 0, -1):
-        low = F.col("gram").bitwiseAND(F.lit((1 << (8 * m)) - 1)).alias("gram")
-        tables[m] = tables[m + 1].select("lang", low).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+        tables[m] = np.unique(tables[m + 1][0] & np.uint64((1 << (8 * m)) - 1), return_counts=True)
     out, below = [], None
     for m in range(1, ORDER + 1):
-        # languages are few, and a plain broadcast of discounts is refused where they are not
-        discount = cut(_discounts(tables[m]))
-        few = F.broadcast(discount) if discount.count() <= 10_000 else discount.hint("merge")
-        n = F.col("n")
-        rows = tables[m].join(few, "lang").select(
-            "lang", "gram", n.cast("double").alias("n"), F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"),
-            F.shiftright("gram", 8).alias("history"),
-        )
-        sums = rows.groupBy("lang", "history").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("backoff"))
-        rows = rows.hint("merge").join(sums.hint("merge"), ["lang", "history"])
-        if below is None:
-            lower = F.lit(1 / 256)
-        else:
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (m - 1))) - 1)))
-            rows = rows.hint("merge").join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")).hint("merge"), ["lang", "suffix"])
-            lower = F.col("lower")
-        p = (n - F.col("d")) / F.col("total") + F.col("backoff") * lower
-        below = cut(rows.select("lang", "gram", p.alias("p")))
-        out.append((below, sums.select("lang", "history", "backoff")))
+        g, c = tables[m]
+        d = _discounts(c)[np.minimum(c, 3) - 1]
+        history, at = np.unique(g >> np.uint64(8), return_inverse=True)
+        total, freed = np.bincount(at, c), np.bincount(at, d)
+        lower = 1 / 256 if below is None else below[np.searchsorted(tables[m - 1][0], g & np.uint64((1 << (8 * (m - 1))) - 1))]
+        below = (c - d) / total[at] + (freed / total)[at] * lower
+        out.append((g, np.log2(below), history, np.log2(freed / total)))
     return out
 
 
+_MODELS = "lang string, which int, level int, keys binary, logs binary, histories binary, backoffs binary, entries long"
+
+
+def _estimate(table: pa.Table) -> pa.Table:
+    """The models of one language (which: 0 all texts, 1 reference texts), a row for each order, hashed and sorted."""
+    lang, gram, rows = table.column("lang")[0].as_py(), table.column("gram").to_numpy(), []
+    for which, name in enumerate(("n", "n_ref")):
+        n = table.column(name).to_numpy()
+        if not (n > 0).any():
+            continue
+        for m, (g, p, h, b) in enumerate(kneser_ney(gram[n > 0], n[n > 0]), 1):
+            packed = []
+            for key, log in ((_hash(lang, g), p), (_hash(lang, h), b)):
+                order = np.argsort(key)
+                packed += [key[order].tobytes(), log[order].astype(np.float32).tobytes()]
+            rows.append((lang, which, m, *packed, len(g) + len(h)))
+    kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64())
+    names = [c.split()[0] for c in _MODELS.split(", ")]
+    return pa.table({c: pa.array(v, k) for c, v, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+
+
+def estimate(counts: DataFrame) -> DataFrame:
+    """Packed models of every language in counts(lang, gram, n, n_ref)."""
+    return counts.groupBy("lang").applyInArrow(_estimate, _MODELS)
+
+
 def _hash(lang: str, gram: np.ndarray) -> np.ndarray:
     return mix(np.uint64(xxhash.xxh64_intdigest(lang.encode())) ^ gram.astype(np.uint64))
 
 
-def pack(tables: list[tuple[DataFrame, DataFrame]]) -> Model | None:
-    """The model as sorted hash arrays; None if it has more than MOST_ENTRIES entries."""
-    if sum(a.count() + b.count() for a, b in tables) > MOST_ENTRIES:
-        return None
-    model = Model([], [], [], [])
-    for table, backoff in reversed(tables):
-        for rows, name, value, keys, logs in ((table, "gram", "p", model.keys, model.logs), (backoff, "history", "backoff", model.histories, model.backoffs)):
-            got = rows.select("lang", name, value).toArrow()
-            lang = got.column("lang").combine_chunks().dictionary_encode() if got.num_rows else None
-            key = np.zeros(got.num_rows, np.uint64)
-            if lang is not None:
-                lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
-                slot = lang.indices.to_numpy(zero_copy_only=False)
-                gram = got.column(name).to_numpy()
-                for i, text in enumerate(lang.dictionary.to_pylist()):
-                    key[slot == i] = _hash(text, gram[slot == i])
-            order = np.argsort(key)
-            keys.append(key[order])
-            logs.append(np.log2(got.column(value).to_numpy())[order].astype(np.float32))
-    return model
+def pack(models: pa.Table) -> list[Model]:
+    """Packed rows of some languages as two models: of all texts, and of reference texts."""
+    rows, out = models.to_pylist(), []
+    for which in (0, 1):
+        model = Model([], [], [], [])
+        for m in range(ORDER, 0, -1):
+            own = [r for r in rows if (r["which"], r["level"]) == (which, m)]
+            for name, other, keys, logs in (("keys", "logs", model.keys, model.logs), ("histories", "backoffs", model.histories, model.backoffs)):
+                key = np.concatenate([np.frombuffer(r[name], np.uint64) for r in own] or [np.zeros(0, np.uint64)])
+                log = np.concatenate([np.frombuffer(r[other], np.float32) for r in own] or [np.zeros(0, np.float32)])
+                order = np.argsort(key)
+                keys.append(key[order])
+                logs.append(log[order])
+        out.append(model)
+    return out
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +216,15 @@ def log_probabilities(model: Model, lang: str, gram: np.ndarray) -> np.ndarray:
     return out
 
 
+def mixed(models: list[Model], lang: str, gram: np.ndarray) -> np.ndarray:
+    """log2 of the mixed probability of each gram's last byte; a language without reference texts has the model of all its texts alone."""
+    every, chosen = models
+    p = log_probabilities(every, lang, gram)
+    if not _find(chosen.histories[-1], chosen.backoffs[-1], _hash(lang, np.zeros(1, np.uint64)))[0][0]:
+        return p
+    return np.logaddexp2(np.log2(ALL) + p, np.log2(1 - ALL) + log_probabilities(chosen, lang, gram))
+
+
 def base_rules(part: pa.RecordBatch) -> tuple[Words, dict[str, np.ndarray]]:
     """The word, symbol, line and repetition counts of each text."""
     words = Words(part.column("text"))
@@ -234,26 +251,24 @@ _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def _scorer(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value if sent else None
+        models = sent.value
         for batch in batches:
             for part in text_slices(batch, "text"):
                 words, base = base_rules(part)
-                bits = np.zeros(part.num_rows)
-                if model:
-                    names, lang = _language(part.column("lang"))
-                    key, slot = grams(words.raw, words.off), np.repeat(lang, np.diff(words.off))
-                    cost = np.zeros(len(key), np.float32)
-                    for i, name in enumerate(names):
-                        own = slot == i if len(names) > 1 else slice(None)
-                        k = key[own]
-                        distinct = np.unique(k)
-                        value = -log_probabilities(model, name, distinct).astype(np.float32)
-                        cost[own] = value[_places(distinct, k)]
-                    total = np.concatenate([[0.0], np.cumsum(cost, dtype=np.float64)])
-                    bits = total[words.off[1:]] - total[words.off[:-1]]
+                names, lang = _language(part.column("lang"))
+                key, slot = grams(words.raw, words.off), np.repeat(lang, np.diff(words.off))
+                cost = np.zeros(len(key), np.float32)
+                for i, name in enumerate(names):
+                    own = slot == i if len(names) > 1 else slice(None)
+                    k = key[own]
+                    distinct = np.unique(k)
+                    value = -mixed(models, name, distinct).astype(np.float32)
+                    cost[own] = value[_places(distinct, k)]
+                total = np.concatenate([[0.0], np.cumsum(cost, dtype=np.float64)])
+                bits = total[words.off[1:]] - total[words.off[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), part.column("lang"), *[pa.array(base[c].astype(np.int64)) for c in _BASE], pa.array(np.diff(words.off)), pa.array(bits)],
-                    ["doc_id", "text_hash", "lang", *_BASE, "n_bytes", "bits"],
+                    [part.column("doc_id"), part.column("lang"), *[pa.array(base[c].astype(np.int64)) for c in _BASE], pa.array(np.diff(words.off)), pa.array(bits)],
+                    ["doc_id", "lang", *_BASE, "n_bytes", "bits"],
                 )
 
     return run
@@ -271,33 +286,16 @@ def _places(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at
 
 
-def _bits_by_join(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(doc_id, text_hash, bits) where the model is too large to send: each text's grams meet it by shuffles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                raw, off = utf8(part.column("text"))
-                key = np.repeat(np.arange(part.num_rows, dtype=np.uint64) << np.uint64(32), np.diff(off)) | grams(raw, off)
-                key, n = np.unique(key, return_counts=True)
-                row = pa.array((key >> np.uint64(32)).astype(np.int64))
-                cols = [part.column(c).take(row) for c in ("doc_id", "text_hash", "lang")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "text_hash", "lang", "gram", "times"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", "text_hash", F.coalesce("lang", F.lit("")).alias("lang")).dropDuplicates(["doc_id", "text_hash"])
-    rows = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, lang string, gram long, times long")
-    rows = rows.withColumn("log", F.lit(0.0)).withColumn("done", F.lit(False))
-    for m in range(ORDER, 0, -1):
-        table, backoff = tables[m - 1]
-        g = F.col("gram").bitwiseAND(F.lit((1 << (8 * m)) - 1))
-        rows = rows.withColumn("g", g).withColumn("h", F.shiftright(g, 8))
-        rows = rows.hint("merge").join(table.select("lang", F.col("gram").alias("g"), F.log2("p").alias("lp")).hint("merge"), ["lang", "g"], "left")
-        rows = rows.hint("merge").join(backoff.select("lang", F.col("history").alias("h"), F.log2("backoff").alias("lb")).hint("merge"), ["lang", "h"], "left")
-        step = F.when(F.col("done"), 0.0).otherwise(F.coalesce("lp", "lb", F.lit(0.0)))
-        rows = rows.select("doc_id", "text_hash", "lang", "gram", "times", (F.col("log") + step).alias("log"), (F.col("done") | F.col("lp").isNotNull()).alias("done"))
-    bits = F.sum(-F.col("times") * (F.col("log") + F.when(F.col("done"), 0.0).otherwise(F.log2(F.lit(1 / 256)))))
-    return rows.groupBy("doc_id", "text_hash").agg(bits.alias("bits"))
+def rounds(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Languages dealt to rounds of at most ``most`` entries, one language at least."""
+    out, full = [], most
+    for lang, n in sorted(sizes):
+        if full + n > most:
+            out.append([])
+            full = 0
+        out[-1].append(lang)
+        full += n
+    return out
 
 
 def _band(scored: DataFrame) -> DataFrame:
@@ -307,34 +305,34 @@ def _band(scored: DataFrame) -> DataFrame:
     return q.select("lang", F.col("q")[1].alias("middle"), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(1e-3)).alias("spread"))
 
 
-def score(docs: DataFrame, width: tuple[float, float] = (WIDTH_LOW, WIDTH_HIGH), most_entries: int | None = None, every: bool = False) -> DataFrame:
+def score(docs: DataFrame, width: tuple[float, float] = (WIDTH_LOW, WIDTH_HIGH), most_entries: int = MOST_ENTRIES) -> DataFrame:
     """One row for each row of docs: doc_id, lang, base counts, n_bytes, bits, bits_per_byte, low, high, base_failed, kept.
 
     ``kept`` is false if the base rules fail or bits per byte lie outside the
-    language's band.  All rows are looked at for the model, its reference texts are
-    counted whole, and the bands come from all rows that pass the base rules.  Null
-    texts are empty and fail; a null language is the language ''.  Where a
-    language has no text that passes the base rules, it has no band.
+    language's band.  Every text is counted, and the bands come from all rows that
+    pass the base rules.  Null texts are empty and fail; a null language is the
+    language ''.  Where a language has no text that passes the base rules, it has
+    no band.  Models of more than ``most_entries`` entries go out in rounds of
+    languages, with the same results.
     """
     docs = ensure(docs, "doc_id", "text", "lang")
-    tables = estimate(cut(count(docs, every)))
-    model = pack(tables) if most_entries is None or most_entries > 0 else None
+    models = cut(estimate(count(docs)))
+    sizes = [(r.lang, r.n) for r in models.groupBy("lang").agg(F.sum("entries").alias("n")).collect()]  # a row a language
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, text_hash long, lang string, {', '.join(f'{c} long' for c in _BASE)}, n_bytes long, bits double"
-    keyed = docs.withColumn("text_hash", F.xxhash64("text", "lang"))
-    if model:
-        scored = keyed.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), out)
-    else:
-        bits = _bits_by_join(keyed, tables).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "bits")
-        rows = keyed.mapInArrow(_scorer(None), out).drop("bits")
-        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-        scored = rows.hint("merge").join(bits.hint("merge"), same, "left").drop("id", "hash").withColumn("bits", F.coalesce("bits", F.lit(0.0)))
-    scored = scored.drop("text_hash")
+    out = f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _BASE)}, n_bytes long, bits double"
+    lang, scored, dealt = F.coalesce("lang", F.lit("")), None, rounds(sizes, most_entries) or [[]]
+    for some in dealt:
+        own = F.col("lang").isin(some)
+        sent = docs.sparkSession.sparkContext.broadcast(pack(models.filter(own).toArrow()))
+        rows = docs if len(dealt) == 1 else docs.filter(lang.isin(some))
+        part = rows.mapInArrow(_scorer(sent), out)
+        scored = part if scored is None else scored.unionByName(part)
+    if len(dealt) > 1:  # languages that have no byte at all
+        scored = scored.unionByName(docs.filter(~lang.isin([x for x, _ in sizes])).mapInArrow(_scorer(sent), out))
     failed: Column = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = cut(scored.withColumn("base_failed", failed))
-    bands = cut(_band(scored.withColumn("lang", F.coalesce("lang", F.lit("")))))
+    bands = cut(_band(scored.withColumn("lang", lang)))
     few = F.broadcast(bands) if bands.count() <= 10_000 else bands.hint("merge")
-    lang = F.coalesce("lang", F.lit(""))
     few = few.select(F.col("lang").alias("band_lang"), "middle", "spread")
     x = F.col("bits") / F.nullif(F.col("n_bytes"), F.lit(0))
     noise = F.col("spread") * F.sqrt(1 + F.lit(NOISE_BYTES) / F.greatest(F.col("n_bytes"), F.lit(1)))

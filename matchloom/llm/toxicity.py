@@ -74,6 +74,27 @@ def grades(toxic: np.ndarray, sparse: Sparse, z: np.ndarray, least_z: float = 3.
     return out
 
 
+def loss_and_gradient(par: np.ndarray, size: int, where: np.ndarray, x: np.ndarray, first: np.ndarray, grade: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of grades with decay of the weights, and its gradient.
+
+    ``par`` is ``size`` weights, the first threshold, and the logarithms of the gaps to the next ones;
+    entries (where, x) of row i are those from first[i] on.
+    """
+    w, gap, n = par[:size], par[size:], len(grade)
+    row = np.repeat(np.arange(n), np.diff(first))
+    thetas = np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
+    s = row_sums(w[where] * x, first)
+    cut = np.concatenate([[-np.inf], thetas, [np.inf]])
+    up, low = _sigmoid(cut[grade + 1] - s), np.where(grade > 0, _sigmoid(cut[grade] - s), 0.0)
+    p = np.maximum(up - low, 1e-9)
+    du, dl = up * (1 - up) / p, low * (1 - low) / p
+    gs = (du - dl) / n  # of the loss by s
+    gt = np.bincount(grade, -du / n, GRADES)[: GRADES - 1] + np.bincount(grade, dl / n, GRADES)[1:]
+    tail = np.cumsum(gt[::-1])[::-1]
+    grad = np.concatenate([np.bincount(where, gs[row] * x, size) + decay * w, tail[:1], tail[1:] * np.exp(gap[1:])])
+    return float(-np.log(p).mean() + decay / 2 * (w**2).sum()), grad
+
+
 def fit(data: dict[str, list], rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, least_z: float = 2.5, least: int = 4) -> Model:
     """Full-batch Adam on the cumulative-link likelihood.  No rows, or no toxic ones: severity near zero.
 
@@ -92,22 +113,11 @@ def fit(data: dict[str, list], rounds: int = 300, rate: float = 0.05, decay: flo
     full, first = first, np.concatenate([[0], np.cumsum(told)])[first]
     x = _values(Sparse(full, ids, sparse.times))[told]
     used, where = np.unique(ids[told], return_inverse=True)
-    w, row = np.zeros(len(used)), np.repeat(np.arange(len(y)), np.diff(first))
-    n, gap = len(y), np.log(np.diff(thetas, prepend=thetas[0] - 1))
+    gap = np.log(np.diff(thetas, prepend=thetas[0] - 1))
     gap[0] = thetas[0]  # thetas are the first one and exponentials of gaps, so they stay in order
-    par, m, v = np.concatenate([w, gap]), 0.0, 0.0
+    par, m, v = np.concatenate([np.zeros(len(used)), gap]), 0.0, 0.0
     for t in range(1, rounds + 1):
-        w, gap = par[: len(used)], par[len(used) :]
-        thetas = np.cumsum(np.concatenate([gap[:1], np.exp(gap[1:])]))
-        s = row_sums(w[where] * x, first)
-        cut = np.concatenate([[-np.inf], thetas, [np.inf]])
-        up, low = _sigmoid(cut[grade + 1] - s), np.where(grade > 0, _sigmoid(cut[grade] - s), 0.0)
-        p = np.maximum(up - low, 1e-9)
-        du, dl = up * (1 - up) / p, low * (1 - low) / p
-        gs = (du - dl) / n  # of the loss by s
-        gt = np.bincount(grade, -du / n, GRADES)[: GRADES - 1] + np.bincount(grade, dl / n, GRADES)[1:]
-        tail = np.cumsum(gt[::-1])[::-1]
-        grad = np.concatenate([np.bincount(where, gs[row] * x, len(used)) + decay * w, tail[:1], tail[1:] * np.exp(gap[1:])])
+        _, grad = loss_and_gradient(par, len(used), where, x, first, grade, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         par = par - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
     weight = np.zeros(BUCKETS, np.float32)

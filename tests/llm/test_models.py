@@ -1,6 +1,7 @@
 """op4, op7, op9: models against brute force and on held-out rows."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -58,18 +59,76 @@ def test_kneser_ney_equals_brute_force(spark):
     texts = ["the cat sat on the mat " * 2, "a cat and a hat, the end", "été à la plage", "", "aaaa"]
     docs = spark.createDataFrame([(i, t, "x", 0, "s", 1) for i, t in enumerate(texts)], DOCS)
     p = slow_model(texts)
-    for most in (None, 0):
-        got = {r.doc_id: r.bits for r in N.score(docs, most_entries=most, every=True).collect()}
-        for i, t in enumerate(texts):
-            b = b"\0\0\0" + t.encode()
-            assert got[i] == pytest.approx(-sum(math.log2(p(4, b[j - 3 : j + 1])) for j in range(3, len(b))), rel=1e-5, abs=1e-9)
-    model = N.pack(N.estimate(N.count(docs, True)))
+    got = {r.doc_id: r.bits for r in N.score(docs).collect()}
+    for i, t in enumerate(texts):
+        b = b"\0\0\0" + t.encode()
+        assert got[i] == pytest.approx(-sum(math.log2(p(4, b[j - 3 : j + 1])) for j in range(3, len(b))), rel=1e-5, abs=1e-9)
+    models = N.pack(N.estimate(N.count(docs)).toArrow())
     grams = [b"zzzz", b"the ", b"xthe", b" caz", b"\xff\xfe\xfd\xfc"]
-    got = N.log_probabilities(model, "x", np.array([int.from_bytes(g, "big") for g in grams], np.uint32))
+    got = N.mixed(models, "x", np.array([int.from_bytes(g, "big") for g in grams], np.uint32))
     assert got == pytest.approx([math.log2(p(4, g)) for g in grams], rel=1e-4)
     for h in (b"the", b"\0\0\0", b"qqq"):  # probabilities of all bytes sum to one
         g = np.array([int.from_bytes(h + bytes([c]), "big") for c in range(256)], np.uint32)
-        assert sum(2 ** N.log_probabilities(model, "x", g)) == pytest.approx(1, abs=1e-4)
+        assert sum(2 ** N.log_probabilities(models[0], "x", g)) == pytest.approx(1, abs=1e-4)
+
+
+def plain_reference(text):
+    n, chars, symbols, _, again = slow_base(text)
+    return n >= 50 and 2 * again <= n and 10 * symbols <= n and 5 * sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) <= chars
+
+
+def odd_corpus():
+    """Texts of three languages: prose, shouted and symbol-ridden ones, loops, short, null and repeated rows."""
+    rnd, rows = random.Random(6), []
+    say = lambda stems, n: " ".join("".join(rnd.choice(stems) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    stems = {"en": ["the", "re", "ing", "at", "on"], "fr": ["é", "le", "ou", "ment"], "": ["xa", "yo"]}
+    for i in range(120):
+        lang = rnd.choice(list(stems))
+        text = say(stems[lang], rnd.randint(40, 90))
+        kind = rnd.random()
+        rows.append((i, text.upper() if kind < 0.1 else text.replace(" ", "%% ") if kind < 0.2 else text, None if lang == "" and i % 2 else lang))
+    return rows + [(200, None, "en"), (201, "", "zz"), rows[3], rows[3], (None, rows[5][1], rows[5][2]), (202, "ONLY SHOUTED " * 2 + " ".join(f"W{i}" for i in range(60)), "qq")]
+
+
+@pytest.mark.parametrize("most", [N.MOST_ENTRIES, 1])
+def test_bits_bands_and_verdicts_equal_brute_force(spark, most):
+    rows = odd_corpus()
+    every = {x: slow_model([t or "" for _, t, y in rows if (y or "") == x]) for x in {y or "" for _, _, y in rows}}
+    chosen = {x: [t for _, t, y in rows if (y or "") == x and t and plain_reference(t)] for x in every}
+    assert chosen["en"] and not chosen["qq"]
+    best = {x: slow_model(t) if t else None for x, t in chosen.items()}
+    want = {}
+    for _, t, y in rows:
+        y, b = y or "", b"\0\0\0" + (t or "").encode()
+        p = [(every[y](4, b[j - 3 : j + 1]), best[y] and best[y](4, b[j - 3 : j + 1])) for j in range(3, len(b))]
+        want[t, y] = -sum(math.log2(N.ALL * a + (1 - N.ALL) * r if best[y] else a) for a, r in p)
+    got = N.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_entries=most).collect()
+    assert len(got) == len(rows)
+    of = {}
+    for r in got:
+        of.setdefault((r.doc_id, r.lang), []).append(r)
+    per = defaultdict(list)
+    for i, t, y in rows:
+        n, *_, again = slow_base(t or "")
+        failed = n < 50 or 100 * again > 50 * n
+        assert all(r.base_failed == failed for r in of[i, y])
+        assert any(r.bits == pytest.approx(want[t, y or ""], rel=1e-5, abs=1e-9) for r in of[i, y])
+        if not failed:
+            per[y or ""].append(want[t, y or ""] / len(t.encode()))
+    for r in got:
+        if not r.n_bytes or (r.lang or "") not in per:
+            assert r.kept == (not r.base_failed)
+            continue
+        xs = sorted(per[r.lang or ""])
+        q1, q2, q3 = (xs[math.ceil(f * len(xs)) - 1] for f in (0.25, 0.5, 0.75))
+        noise = max((q3 - q1) / 1.349, 1e-3) * math.sqrt(1 + N.NOISE_BYTES / r.n_bytes)
+        assert (r.low, r.high) == pytest.approx((q2 - N.WIDTH_LOW * noise, q2 + N.WIDTH_HIGH * noise), rel=1e-4)
+        assert r.kept == (not r.base_failed and r.low <= r.bits_per_byte <= r.high)
+
+
+def test_rounds_of_languages():
+    assert N.rounds([("b", 5), ("a", 4), ("c", 20)], 9) == [["a", "b"], ["c"]]
+    assert N.rounds([], 9) == []
 
 
 def slow_base(text):
@@ -165,3 +224,44 @@ def test_statistics():
     s = X.statistics(w, w.hashes())
     at = dict(zip(X.STATISTICS, s.T, strict=True))
     assert at["distinct"].tolist() == [1.0, 0.0, 0.25] and at["same_as_before"].tolist() == [0.0, 0.0, 0.75] and at["upper_words"].tolist() == [0.25, 0.0, 0.0] and at["repeated_windows"].tolist() == [0.0, 0.0, 1.0]
+
+
+def test_gradient_of_the_ordinal_likelihood():
+    """The gradient that fitting follows equals finite differences of the loss."""
+    rng = np.random.default_rng(8)
+    first = np.array([0, 3, 5, 9, 12, 14])
+    where, x = rng.integers(0, 6, 14), rng.random(14) + 0.2
+    grade = np.array([0, 1, 2, 3, 0])
+    par = np.concatenate([rng.normal(size=6), [0.4, -0.3, 0.2]])
+
+    def slow(par):
+        w, gap = par[:6], par[6:]
+        cuts = [-math.inf, gap[0], gap[0] + math.exp(gap[1]), gap[0] + math.exp(gap[1]) + math.exp(gap[2]), math.inf]
+        sig = lambda z: 0.0 if z == -math.inf else 1.0 if z == math.inf else 1 / (1 + math.exp(-z))
+        out = 0.5 * 1e-3 * (w**2).sum()
+        for r, g in enumerate(grade):
+            s = sum(w[where[i]] * x[i] for i in range(first[r], first[r + 1]))
+            out -= math.log(sig(cuts[g + 1] - s) - sig(cuts[g] - s)) / len(grade)
+        return out
+
+    loss, grad = T.loss_and_gradient(par, 6, where, x, first, grade, 1e-3)
+    assert loss == pytest.approx(slow(par))
+    for k in range(len(par)):
+        step = np.zeros(len(par))
+        step[k] = 1e-5
+        assert grad[k] == pytest.approx((slow(par + step) - slow(par - step)) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    model = T.Model(np.array([0.5, 1.5, 3.0]), rng.normal(size=T.BUCKETS).astype(np.float32))
+    texts = ["You, you BAD bad thing!", "", None, "one two three " * 40, "é"]
+    got = {r.doc_id: r for r in T.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        sparse = T.word_counts(pa.array([t or ""]))
+        n = sum(sparse.times.tolist())
+        s = sum(model.weight[b] * (1 + math.log(c)) * (n / 100 + 1) ** -0.5 for b, c in zip(sparse.ids.tolist(), sparse.times.tolist(), strict=True))
+        above = [1 - 1 / (1 + math.exp(-(h - s))) for h in model.thetas]
+        p = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert got[i].severity == pytest.approx(sum(above), abs=1e-6) and got[i].p_toxic == pytest.approx(above[0], abs=1e-6)
+        assert got[i].grade == p.index(max(p)) and got[i].toxic == (above[0] >= T.THRESHOLD)
