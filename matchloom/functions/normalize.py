@@ -6,15 +6,26 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ASCII = r"^[\x00-\x7F]*$"
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+
+
+@F.pandas_udf(T.StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else x.strip().casefold(), na_action="ignore")
+
+
+def fold(c: Column) -> Column:
+    """Stripped and case folded, nothing else merged; only values that aren't ASCII are sent to Python."""
+    return F.when(c.rlike(_ASCII), F.lower(strip(c))).otherwise(_folded(F.when(~c.rlike(_ASCII), c)))
 
 
 @F.pandas_udf(T.StringType())
@@ -28,25 +39,25 @@ def taxonomy(c: Column) -> Column:
 
     ASCII values stay in the JVM; only others are sent to Python.
     """
-    plain = F.lower(F.trim(F.regexp_replace(c, r"[\s\x0B\x1C-\x1F]+", " ")))
+    plain = F.lower(F.trim(F.regexp_replace(c, r"[\s\x0B\x1C-\x1F]+", " ")))  # blanks are all that is left to trim
     odd = _nfkc_fold(F.when(~c.rlike(_ASCII), c))
     return F.nullif(F.when(c.rlike(_ASCII), plain).otherwise(odd), F.lit(""))
 
 
 def email_key(c: Column) -> Column:
-    """N2."""
-    return F.coalesce(F.when(c.rlike(_ASCII), F.lower(F.trim(c))).otherwise(taxonomy(c)), F.lit(""))
+    """Stripped and case folded, so that full-width and plain letters stay apart."""
+    return F.coalesce(fold(c), F.lit(""))
 
 
 def phone_key(c: Column) -> Column:
-    """Digits; fewer than seven give an empty key."""
-    digits = F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", "")
+    """Digits of any script; fewer than seven give an empty key."""
+    digits = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\D", "")
     return F.when(F.length(digits) >= 7, digits).otherwise("")
 
 
 def display(c: Column) -> Column:
     """N4."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def extracted_text(c: Column) -> Column:
@@ -57,6 +68,7 @@ def extracted_text(c: Column) -> Column:
     return F.struct(text.alias("text"), error.alias("error"))
 
 
+# fixed values: which characters make a word of evidence or of a fact
 _DASHES = re.compile("[‐-―−]")
 _EVIDENCE = re.compile(r"\w+(?:[+#./-]+\w+)*[+#]*")
 _FACT = re.compile(r"\w+(?:[+#./]+\w+)*[+#]*")
@@ -81,7 +93,7 @@ def explanation(c: Column) -> Column:
 
 def bounded(c: Column, n: int) -> Column:
     """X14."""
-    return F.substring(F.trim(F.coalesce(c.cast("string"), F.lit(""))), 1, n)
+    return F.substring(strip(F.coalesce(c.cast("string"), F.lit(""))), 1, n)
 
 
 def canonical_hash(*columns: Column | str) -> Column:
@@ -89,6 +101,20 @@ def canonical_hash(*columns: Column | str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def sorted_names(c: Column, kind: T.DataType) -> Column:
+    """c with the fields of every struct in it in the order of their names, however deep."""
+    if isinstance(kind, T.StructType):
+        fields = [sorted_names(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return F.transform(c, lambda x: sorted_names(x, kind.elementType)) if isinstance(kind, T.ArrayType) else c
+
+
+def canonical_json(df: DataFrame) -> Column:
+    """A row as compact JSON with sorted names at every level, nulls kept."""
+    fields = [sorted_names(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def decimal_text(c: Column) -> Column:
     """H2: plain notation without trailing zeros."""
     text = c.cast("string")

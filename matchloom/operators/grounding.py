@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import evidence_key, explanation, fact_key
+from ..functions.normalize import bounded, evidence_key, explanation, fact_key, fold, strip
 from . import text_safety as X
 
+SCHEMA_VERSION = "outreach_draft.v1"  # fixed value
 # fact columns of each nested group, with the label that issues carry
 GROUPS = (
     ("skills", "skill item", (("name", ""),)),
@@ -117,7 +118,7 @@ def finding_issues(findings: DataFrame) -> DataFrame:
     words = lambda a: F.concat_ws(" ", F.flatten(F.transform(a, lambda e: F.array(e["label"], e["evidence"]))))
     wanted = F.concat_ws(" ", "reference.label", "reference.evidence")
     lexical = F.arrays_overlap(X.meaningful_tokens(words(resolved)), X.meaningful_tokens(wanted))
-    silent = F.trim(F.coalesce("explanation", F.lit(""))) == ""
+    silent = strip(F.coalesce("explanation", F.lit(""))) == ""
     sources = F.array_compact(F.concat(F.array("reference.label", "reference.evidence"), F.flatten(F.transform(resolved, lambda e: F.array(e["label"], e["evidence"])))))
     match = (F.col("category") == "match") & F.col("reference").isNotNull() & (F.size(resolved) > 0) & ~silent & (F.size(X.meaningful_tokens(wanted)) > 0)
     codes = F.array_compact(F.array(
@@ -135,6 +136,14 @@ def assessment_review(findings: DataFrame, expected: DataFrame | None = None) ->
     return rows if expected is None else expected.select("assessment_id").distinct().join(rows, "assessment_id", "left").fillna({"review": "unavailable"})
 
 
+def review_report(reviews: DataFrame) -> DataFrame:
+    """Expected, reviewed, clean and flagged assessments; complete if all were reviewed, passing if none is flagged either."""
+    of = lambda s: F.count_if(F.col("review") == s)
+    rows = reviews.agg(F.count("*").alias("expected"), (of("clean") + of("flagged")).alias("reviewed"), of("clean").alias("clean"), of("flagged").alias("flagged"))
+    complete = F.col("reviewed") == F.col("expected")
+    return rows.withColumn("complete", complete).withColumn("passing", complete & (F.col("flagged") == 0))
+
+
 def issue_counts(reviews: DataFrame) -> DataFrame:
     """A13."""
     return reviews.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
@@ -145,23 +154,55 @@ def context_size(contexts: DataFrame, limit: int = 80_000) -> DataFrame:
     return contexts.withColumn("context_chars", F.length(F.to_json(F.struct(*[c for c in contexts.columns])))).withColumn("fits", F.col("context_chars") <= limit)
 
 
-def outreach_context(profiles: DataFrame, facts: int = 8, evidence: int = 3) -> DataFrame:
-    """The first facts of each profile, each with its evidence cut to 200 characters."""
-    rows = F.transform(F.slice(F.filter("skills", lambda s: F.coalesce(s["name"], F.lit("")) != ""), 1, facts), lambda s: F.struct(s["name"].alias("fact"), F.substring(s["evidence"], 1, 200).alias("evidence")))
-    return profiles.select("profile_id", rows.alias("facts"), F.slice(F.transform("skills", lambda s: s["evidence"]), 1, evidence).alias("evidence"))
+def python_length(text: Column) -> Column:
+    """Length of text as JSON with every character beyond ASCII escaped."""
+    wide = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    other = F.length(F.regexp_replace(text, r"[\x00-\x7F\x{10000}-\x{10FFFF}]", ""))
+    return F.length(text) + 11 * wide + 5 * other
+
+
+def outreach_context(decisions: DataFrame, facts: int = 8, evidence: int = 3, limit: int = 20_000) -> DataFrame:
+    """decisions(decision_id, organization_name, vacancy_title, findings) with the minimised context and whether it fits.
+
+    findings is an array of struct(requirement_label, candidate_evidence), the
+    latter an array of struct(evidence).  The first ``facts`` findings count, the
+    first ``evidence`` values of each; findings left without a label or evidence
+    go.  The size is that of JSON with blanks after separators, ASCII only.
+    """
+    shown = lambda f: F.filter(F.transform(F.slice(f["candidate_evidence"], 1, evidence), lambda e: bounded(e["evidence"], 500)), lambda x: x != "")
+    listed = F.transform(F.slice("findings", 1, facts), lambda f: F.struct(shown(f).alias("candidate_evidence"), bounded(f["requirement_label"], 300).alias("vacancy_requirement")))
+    rows = decisions.withColumn("facts", F.filter(listed, lambda f: (f["vacancy_requirement"] != "") & (F.size(f["candidate_evidence"]) > 0)))
+    context = F.struct(
+        F.col("facts").alias("approved_match_facts"), F.lit(X.PLACEHOLDER).alias("candidate_name_placeholder"), bounded(F.col("organization_name"), 200).alias("organization_name"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"), bounded(F.col("vacancy_title"), 200).alias("vacancy_title"),
+    )
+    inner = F.aggregate(F.transform("facts", lambda f: F.size(f["candidate_evidence"]) + 2), F.lit(0), lambda a, x: a + x)
+    blanks = 9 + F.greatest(F.size("facts") - 1, F.lit(0)) + inner
+    rows = rows.withColumn("context", F.to_json(context)).withColumn("context_chars", python_length(F.col("context")) + blanks)
+    return rows.select("decision_id", "facts", "context", "context_chars", (F.col("context_chars") <= limit).alias("fits"))
 
 
 def extraction_issues(profiles: DataFrame) -> DataFrame:
-    """Extracted profiles that say nothing, give facts without evidence, or repeat a name in other case."""
-    groups = [g for g, _, _ in GROUPS]
-    nothing = reduce(lambda a, b: a & b, [F.coalesce(F.size(g), F.lit(0)) == 0 for g in groups])
-    bare = reduce(lambda a, b: a | b, [F.exists(g, lambda x: F.coalesce(x["evidence"], F.lit("")) == "") for g in groups])
-    names = F.transform("skills", lambda x: F.lower(F.trim(x["name"])))
-    checks = [(nothing, "no_facts"), (bare, "evidence_required"), (F.size(F.array_distinct(names)) < F.size(names), "skills_repeat")]
+    """Extracted profiles that say nothing and don't tell why, give facts without evidence, or repeat list items in other case.
+
+    Fact columns that the table lacks count as empty.
+    """
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) != "" if c in profiles.columns else F.lit(False)
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0 if c in profiles.columns else F.lit(False)
+    mode = (F.col("work_mode") != "unknown") & there("work_mode") if "work_mode" in profiles.columns else F.lit(False)
+    scalars = ((there("summary"), "summary"), (there("location"), "location"), (mode, "work_mode"), (some("employment_types"), "employment_types"), (there("availability"), "availability"))
+    groups = [g for g, _, _ in GROUPS if g in profiles.columns]
+    facts = reduce(lambda a, b: a | b, [c for c, _ in scalars] + [some(g) for g in groups])
+    bare = reduce(lambda a, b: a | b, [c & ~there(f"{n}_evidence") for c, n in scalars] + [F.exists(g, lambda x: F.coalesce(x["evidence"], F.lit("")) == "") for g in groups])
+    twice = lambda keys: F.size(F.array_distinct(keys)) < F.size(keys)
+    repeats = [(twice(F.transform("skills", lambda x: F.lower(x["name"]))), "skills_repeat")] if "skills" in groups else []
+    repeats += [(twice(F.transform(c, F.lower)), f"{c}_repeat") for c in ("employment_types", "ambiguities") if c in profiles.columns]
+    checks = [(~facts & ~some("ambiguities"), "no_facts"), (bare, "evidence_required"), *repeats]
     return profiles.withColumn("issues", F.array_compact(F.array(*[F.when(c, n) for c, n in checks])))
 
 
 def disjoint_issues(requirements: DataFrame) -> DataFrame:
     """Requirements whose must and nice lists share a name in any case."""
-    low = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
-    return requirements.filter(F.arrays_overlap(low("must"), low("nice")))
+    names = lambda c: requirements.select("requirements_id", F.explode(c).alias("name")).select("requirements_id", fold(F.col("name")).alias("name"))
+    both = names("must").hint("merge").join(names("nice").hint("merge"), ["requirements_id", "name"]).select("requirements_id").distinct()
+    return requirements.hint("merge").join(both.hint("merge"), "requirements_id", "left_semi")

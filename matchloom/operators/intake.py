@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.normalize import email_key, phone_key, taxonomy
+from ..functions.normalize import email_key, phone_key, strip, taxonomy
 
 KINDS = ("email", "phone", "source reference")
 
@@ -16,26 +16,28 @@ def keys(rows: DataFrame, id_column: str) -> DataFrame:
     listed = F.array(
         F.struct(F.lit(0).alias("kind"), email_key(F.coalesce("email", F.lit(""))).alias("key")),
         F.struct(F.lit(1).alias("kind"), phone_key(F.col("phone")).alias("key")),
-        F.struct(F.lit(2).alias("kind"), F.trim(F.coalesce("source_reference", F.lit(""))).alias("key")),
+        F.struct(F.lit(2).alias("kind"), strip(F.coalesce("source_reference", F.lit(""))).alias("key")),
     )
     long = rows.select("org_id", F.col(id_column).alias("id"), F.explode(listed).alias("x"))
     return long.select("org_id", "id", "x.kind", "x.key").filter("key <> ''")
 
 
 def identity_matches(rows: DataFrame, pool: DataFrame, row_id: str = "row_number") -> DataFrame:
-    """For each row with a match its candidate (the smallest if several), how many match, and by what.
+    """For each row with a match its candidate (the smallest if several), whether several match, and by what.
 
     One candidate gives the kinds that lead to it; several give the kinds that
-    lead to any and the note conflicting.  Names are never identity.
+    lead to any and the note conflicting.  Names are never identity.  The
+    candidates of a key are reduced to the first and the last before any row
+    meets them, so a number that very many share makes no pairs.
     """
-    left, right = keys(rows, row_id), keys(pool, "candidate_id").withColumnRenamed("id", "candidate_id").distinct()
-    # rows that share a key are matched once, as one key; only then do they meet the candidates they have in common
+    left = keys(rows, row_id)
+    right = keys(pool, "candidate_id").groupBy("org_id", "kind", "key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     hits = left.hint("merge").join(right.hint("merge"), ["org_id", "kind", "key"]).groupBy("org_id", "id").agg(
-        F.min("candidate_id").alias("candidate_id"), F.count_distinct("candidate_id").alias("n_candidates"), F.array_sort(F.collect_set("kind")).alias("kinds")
+        F.min("first").alias("candidate_id"), F.max("last").alias("last"), F.array_sort(F.collect_set("kind")).alias("kinds")
     )
     names = F.array(*[F.lit(k) for k in KINDS])
     reasons = F.array_join(F.transform("kinds", lambda k: F.element_at(names, k + 1)), ", ")
-    return hits.select("org_id", F.col("id").alias(row_id), "candidate_id", "n_candidates", (F.col("n_candidates") > 1).alias("conflicting"), reasons.alias("reasons"))
+    return hits.select("org_id", F.col("id").alias(row_id), "candidate_id", (F.col("candidate_id") < F.col("last")).alias("conflicting"), reasons.alias("reasons"))
 
 
 def triage(rows: DataFrame, pool: DataFrame, valid: Column | None = None, row_id: str = "row_number") -> DataFrame:
@@ -87,7 +89,7 @@ def content_duplicates(documents: DataFrame, content: str = "text") -> DataFrame
 
 def validate(rows: DataFrame) -> DataFrame:
     """Rows with trimmed fields and the reasons for which they are invalid."""
-    text = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("full_name", "email", "phone", "location", "source_reference", "retention_until")}
+    text = {c: strip(F.coalesce(F.col(c), F.lit(""))) for c in ("full_name", "email", "phone", "location", "source_reference", "retention_until")}
     rows = rows.withColumns(text)
     long = [(F.length(c) > n, f"{c}_too_long") for c, n in (("full_name", 200), ("phone", 50), ("location", 200), ("source_reference", 500))]
     email = F.col("email").rlike(r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}$")
@@ -133,6 +135,29 @@ def batch_counts(batches: DataFrame, items: DataFrame) -> DataFrame:
 PRIVATE = ("full_name", "email", "phone", "location", "extracted_text", "review_flags", "file_name", "sha256", "notes", "content_type", "error", "source_reference")
 
 
+# labels shown for review flags; fixed values
+FLAG_LABELS = {
+    "name_missing": "Name needs entry",
+    "name_from_filename": "Name came from filename",
+    "email_missing": "Email not found",
+    "multiple_emails": "Multiple emails found",
+    "phone_missing": "Phone not found",
+    "multiple_phones": "Multiple phone numbers found",
+    "location_missing": "Location not found",
+}
+
+
+def review_rows(items: DataFrame, pool: DataFrame) -> DataFrame:
+    """Pending items(item_id, batch_id, org_id, email, phone, source_reference, status, review_flags) with position in their batch, match and flag labels."""
+    pending = items.filter("status = 'pending'")
+    match = identity_matches(pending, pool, "item_id").withColumnRenamed("reasons", "match_reasons")
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("item_id"))
+    known = F.create_map(*[F.lit(x) for pair in FLAG_LABELS.items() for x in pair])
+    labels = F.transform(F.coalesce("review_flags", F.array().cast("array<string>")), lambda f: F.coalesce(F.try_element_at(known, f), F.lit("Needs review")))
+    rows = pending.select("org_id", "batch_id", "item_id", place.alias("position"), labels.alias("flag_labels"))
+    return rows.hint("merge").join(match.hint("merge"), ["org_id", "item_id"], "left").fillna({"conflicting": False, "match_reasons": ""})
+
+
 def clear_payload(items: DataFrame) -> DataFrame:
     """Private fields of items that are no longer pending are blanked."""
     done = F.col("status") != "pending"
@@ -160,12 +185,11 @@ _TRIM = r"^[\s\-–—|•·]+|[\s\-–—|•·]+$"
 
 
 def _unique(values: Column, key) -> Column:
-    """The first of each key in order, blank keys left out."""
-    seen = F.aggregate(
-        values, F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, x: F.when(F.array_contains(acc["keys"], key(x)) | (key(x) == ""), acc).otherwise(F.struct(F.array_append(acc["keys"], key(x)).alias("keys"), F.array_append(acc["kept"], x).alias("kept"))),
-    )
-    return seen["kept"]
+    """The first of each key in order, blank keys left out; sorted by key, so it takes n log n steps."""
+    listed = F.array_sort(F.transform(values, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit("")), F.transform(listed, lambda e: e["k"]))
+    pairs = F.zip_with(listed, before, lambda e, p: F.struct(e["i"].alias("i"), e["x"].alias("x"), ((e["k"] != "") & (e["k"] != p)).alias("new")))
+    return F.transform(F.array_sort(F.filter(pairs, lambda e: e["new"])), lambda e: e["x"])
 
 
 def emails(text: Column) -> Column:
@@ -208,7 +232,7 @@ def propose(rows: DataFrame, text: str = "text", filename: str | None = None) ->
     with_phone = lambda s: F.exists(F.col("_phones"), lambda p: s.contains(p))
 
     def place(line: Column) -> Column:
-        segments = F.reverse(F.transform(F.split(line, r"\s*[|•·]\s*"), lambda s: F.trim(s)))
+        segments = F.reverse(F.transform(F.split(line, r"\s*[|•·]\s*"), lambda s: strip(s)))
         fine = F.filter(segments, lambda s: (s != "") & (s != F.col("_name")) & ~s.contains("@") & ~with_phone(s) & ~s.rlike(r"\d") & (F.length(s) <= 200) & F.size(F.split(s, r"\s+")).between(1, 5))
         return F.coalesce(F.try_element_at(fine, F.lit(1)), F.lit(""))
 

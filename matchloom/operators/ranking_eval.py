@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import gain
+from ..functions.normalize import canonical_json, gain
 
 
 def at_k(ranked: DataFrame, judgments: DataFrame, k: int = 5, relevant: int = 2) -> DataFrame:
@@ -77,5 +77,5 @@ def measurement_gate(queries: DataFrame, runs: DataFrame, pool: DataFrame) -> Da
 
 
 def dataset_identity(dataset: DataFrame) -> DataFrame:
-    """A hash of each dataset row's canonical JSON, names sorted at the top level."""
-    return dataset.select("dataset_id", F.sha2(F.to_json(F.struct(*sorted(dataset.columns)), {"ignoreNullFields": "false"}), 256).alias("identity"))
+    """A hash of each dataset row's canonical JSON, names sorted at every level."""
+    return dataset.select("dataset_id", F.sha2(canonical_json(dataset), 256).alias("identity"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import strip
 from .versions import first_failing, latest
 
 TRANSITIONS = (("draft", "open"), ("open", "paused"), ("open", "closed"), ("paused", "open"), ("paused", "closed"), ("closed", "open"))
@@ -20,8 +21,6 @@ def queue(assessments: DataFrame) -> DataFrame:
     return latest(assessments, ["entry_id"], [F.desc("version")]).withColumn("category", category())
 
 
-
-
 def page(items: DataFrame, number: int, size: int = 25) -> DataFrame:
     """One page in priority order; the sort is cut off at the page's last row."""
     order = [F.col("category"), F.desc("gaps"), F.desc("uncertain"), F.desc("ambiguities"), F.desc("version"), F.col("entry_id")]
@@ -66,7 +65,7 @@ def transition_issues(log: DataFrame, vacancies: DataFrame) -> DataFrame:
 
 def has_requirements(columns: dict[str, str]) -> Column:
     """any structured field is there; columns maps names to 'text', 'array' or 'number'."""
-    tests = {"text": lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != "", "array": lambda c: F.coalesce(F.size(c), F.lit(0)) > 0, "number": lambda c: F.col(c).isNotNull()}
+    tests = {"text": lambda c: strip(F.coalesce(F.col(c), F.lit(""))) != "", "array": lambda c: F.coalesce(F.size(c), F.lit(0)) > 0, "number": lambda c: F.col(c).isNotNull()}
     out = F.lit(False)
     for name, kind in columns.items():
         out = out | tests[kind](name)
@@ -77,7 +76,7 @@ def profile_gate(documents: DataFrame, limit: int = 60_000) -> DataFrame:
     """the first reason against reading a profile from each document, else ok."""
     return documents.withColumn("profile_gate", first_failing([
         (F.col("is_deleted"), "document_deleted"), (F.col("document_type") != "cv", "not_a_cv"), (F.col("extraction_status") != "succeeded", "not_extracted"),
-        (F.trim(F.coalesce("text", F.lit(""))) == "", "no_text"), (F.length("text") > limit, "text_too_long"),
+        (strip(F.coalesce("text", F.lit(""))) == "", "no_text"), (F.length("text") > limit, "text_too_long"),
     ]))
 
 
@@ -118,9 +117,10 @@ def minimised(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
 
 
 def attach(parents: DataFrame, children: DataFrame, key: str, order: str, most: int = 1000) -> DataFrame:
-    """Parents with their children as an ordered array; parents with more than ``most`` get null there and keep them in long form."""
-    n = children.groupBy(key).agg(F.count("*").alias("n_children"))
-    few = children.join(n.filter(F.col("n_children") <= most).select(key), key, "left_semi")
+    """Parents with their children as ordered arrays of at most ``most``: one row a parent, further blocks as further rows."""
+    place = Window.partitionBy(key).orderBy(order)
     rest = [order, *[c for c in children.columns if c not in (key, order)]]
-    arrays = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("children"))
-    return parents.join(n, key, "left").join(arrays, key, "left").fillna({"n_children": 0})
+    rows = children.withColumn("block", ((F.row_number().over(place) - 1) / most).cast("int"))
+    arrays = rows.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("children"))
+    n = children.groupBy(key).agg(F.count("*").alias("n_children"))
+    return parents.join(n, key, "left").join(arrays, key, "left").fillna({"n_children": 0, "block": 0})

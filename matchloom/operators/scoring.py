@@ -1,21 +1,26 @@
 """Rule filter (R), apportioned relevance scores and ranked shortlists (E, J1-J3).
 
 Only a location rule can fail a candidate; a fact that is not recorded leaves a
-rule unknown.  Scores come from one join of wanted skills with recorded skills;
-candidates without any hit are supplied from bounded heads of the lowest ids in
-each organisation and location, so no candidate x requirement product is made.
+rule unknown.  Skills and the facts of confirmed profiles are items of one long
+table, so scores and all rules that ask for an item come from one equi-join of
+wanted with recorded items.  Candidates without any hit are supplied from
+bounded heads of the lowest ids in each organisation and location, so no
+candidate x requirement product is made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import decimal_text, strip, taxonomy
+
 FULL_CENTS = 10_000
 TOP = 20
-#: Lowest ids kept of each group: 20 wanted, under 20 that score, under 20 that pass.
-HEAD = 60
 _ANY = "\u0000any"
+_SKILL = "required_skill"
 
 
 def skill_points(requirement_skill: DataFrame) -> DataFrame:
@@ -30,21 +35,79 @@ def skill_points(requirement_skill: DataFrame) -> DataFrame:
     return rows.withColumn("possible_cents", (F.col("base") + extra).cast("int")).drop("total", "base", "rest", "units")
 
 
+def evaluable(requirements: DataFrame) -> DataFrame:
+    """confirmed requirements of vacancies that aren't deleted, as far as the table says (status, vacancy_deleted)."""
+    if "status" in requirements.columns:
+        requirements = requirements.filter("status = 'confirmed'")
+    return requirements.filter("not coalesce(vacancy_deleted, false)") if "vacancy_deleted" in requirements.columns else requirements
+
+
+PROFILE_KINDS = {
+    # Rule type to the facts of a profile that can satisfy it, in order, each with its evidence
+    "work_mode": "transform(filter(array(work_mode), x -> x is not null and x not in ('', 'unknown')), x -> struct(x as fact, work_mode_evidence as evidence))",
+    "language": "flatten(transform(coalesce(languages, array()), x -> array(struct(concat_ws(' ', x.language, nullif(x.proficiency, '')) as fact, x.evidence as evidence), struct(x.language as fact, x.evidence as evidence))))",
+    "education": "transform(coalesce(education, array()), x -> struct(x.qualification as fact, x.evidence as evidence))",
+    "certification": "transform(coalesce(certifications, array()), x -> struct(x.name as fact, x.evidence as evidence))",
+    "employment_type": "transform(coalesce(employment_types, array()), x -> struct(x as fact, employment_types_evidence as evidence))",
+}
+
+
+def profile_facts(profiles: DataFrame, normalise: Callable[[Column], Column] = taxonomy) -> DataFrame:
+    """candidate_id, rule_type, pos, fact, evidence, fact_key: one row for each fact of a profile that a rule can match.
+
+    Columns work_mode_evidence and employment_types_evidence may be missing.
+    """
+    for c in ("work_mode_evidence", "employment_types_evidence"):
+        if c not in profiles.columns:
+            profiles = profiles.withColumn(c, F.lit(""))
+    out = None
+    for kind, facts in PROFILE_KINDS.items():
+        part = profiles.select("candidate_id", F.lit(kind).alias("rule_type"), F.posexplode(F.expr(facts)).alias("pos", "x")).select("candidate_id", "rule_type", "pos", "x.fact", "x.evidence")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("fact_key", normalise(F.col("fact"))).filter("fact_key is not null")
+
+
+def _item(kind: Column, value: Column) -> Column:
+    return F.concat_ws("|", kind, value)
+
+
+def keyed_rules(rules: DataFrame) -> DataFrame:
+    """rules with expected_key (places and facts by the taxonomy's rules, blank for none) and the item that a rule asks for (null for location and experience)."""
+    key = F.when(F.col("rule_type") == _SKILL, F.col("expected")).otherwise(F.coalesce(taxonomy(F.col("expected")), F.lit("")))
+    return rules.withColumn("expected_key", key).withColumn("item", F.when(~F.col("rule_type").isin("location", "minimum_experience"), _item(F.col("rule_type"), F.col("expected_key"))))
+
+
 def rule_rows(rules: DataFrame) -> DataFrame:
-    """One row for each requirement: location (its only expected one), n_locations, min_tenths, n_skills."""
+    """One row for each requirement of keyed rules: location (its only expected one), n_locations, min_tenths, n_items."""
     kind = lambda k: F.col("rule_type") == k
-    place = F.lower(F.trim("expected"))
+    place = F.col("expected_key")
     return rules.groupBy("requirements_id").agg(
         F.max(F.when(kind("location"), place)).alias("wanted_location"), F.count_distinct(F.when(kind("location"), place)).alias("n_locations"),
-        F.max(F.when(kind("minimum_experience"), F.col("tenths"))).alias("min_tenths"), F.count_distinct(F.when(kind("required_skill"), F.col("expected"))).alias("n_skills"),
+        F.max(F.when(kind("minimum_experience"), F.col("tenths"))).alias("min_tenths"), F.count_distinct("item").alias("n_items"),
     )
 
 
-def candidate_facts(candidates: DataFrame, skills: DataFrame) -> DataFrame:
-    """Active candidates: candidate_id, org_id, place (normalised, blank kept), years (largest known, in tenths)."""
+def candidate_facts(candidates: DataFrame, skills: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """Active candidates: candidate_id, org_id, place (normalised, blank kept), years (largest known, in tenths).
+
+    A candidate's own location counts before that of the confirmed profile
+    (profiles(candidate_id, location), one row a candidate).
+    """
     years = skills.groupBy("candidate_id").agg(F.max("years_tenths").alias("years"))
-    live = candidates.filter("status = 'active'").select("candidate_id", "org_id", F.lower(F.trim(F.coalesce("location", F.lit("")))).alias("place"))
-    return live.join(years, "candidate_id", "left")
+    live = candidates.filter("status = 'active'").select("candidate_id", "org_id", taxonomy(F.col("location")).alias("own"))
+    if profiles is not None:
+        live = live.join(profiles.select("candidate_id", taxonomy(F.col("location")).alias("told")), "candidate_id", "left")
+    else:
+        live = live.withColumn("told", F.lit(None).cast("string"))
+    return live.select("candidate_id", "org_id", F.coalesce("own", "told", F.lit("")).alias("place")).join(years, "candidate_id", "left")
+
+
+def _held(skills: DataFrame, facts: DataFrame | None) -> DataFrame:
+    """(candidate_id, item): recorded skills and profile facts."""
+    held = skills.select("candidate_id", _item(F.lit(_SKILL), F.col("skill")).alias("item"))
+    if facts is not None:
+        held = held.unionByName(facts.select("candidate_id", _item(F.col("rule_type"), F.col("fact_key")).alias("item")))
+    return held.distinct()
 
 
 def location_fails() -> Column:
@@ -54,9 +117,9 @@ def location_fails() -> Column:
 
 
 def any_unknown() -> Column:
-    """True if a rule is left open: blank place, missing skill, or years unknown or below the wanted ones."""
+    """True if a rule is left open: blank place, missing skill or profile fact, or years unknown or below the wanted ones."""
     years = F.col("min_tenths").isNotNull() & (F.col("years").isNull() | (F.col("years") < F.col("min_tenths")))
-    return F.coalesce(((F.col("n_locations") > 0) & (F.col("place") == "")) | years | (F.col("hits") < F.col("n_skills")), F.lit(False))
+    return F.coalesce(((F.col("n_locations") > 0) & (F.col("place") == "")) | years | (F.col("hits") < F.col("n_items")), F.lit(False))
 
 
 def outcome() -> Column:
@@ -64,47 +127,54 @@ def outcome() -> Column:
     return F.when(location_fails(), "failed").when(any_unknown(), "review").otherwise("passed")
 
 
-def _heads(facts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(requirements_id, candidate facts): lowest ids that could fill a list, by place and by experience threshold."""
+def _heads(facts: DataFrame, wanted: DataFrame, top: int) -> DataFrame:
+    """(requirements_id, candidate facts): lowest ids that could fill a list, by place and by experience threshold.
+
+    Of a group, everybody before a candidate without hits ranks before it, so
+    ``top`` of each group are enough.
+    """
     two = facts.withColumn("group", F.explode(F.array("place", F.lit(_ANY))))
     low = Window.partitionBy("org_id", "group").orderBy("candidate_id")
-    plain = two.withColumn("n", F.row_number().over(low)).filter(F.col("n") <= HEAD).withColumn("threshold", F.lit(-1)).drop("n")
+    plain = two.withColumn("n", F.row_number().over(low)).filter(F.col("n") <= top).withColumn("threshold", F.lit(-1)).drop("n")
     # experience thresholds in use are few for an organisation; each has heads of its own
     used = wanted.filter("min_tenths is not null").select("org_id", F.col("min_tenths").alias("threshold")).distinct()
     able = two.filter("years is not null").hint("shuffle_hash").join(used, "org_id").filter("years >= threshold")
     low = Window.partitionBy("org_id", "group", "threshold").orderBy("candidate_id")
-    able = able.withColumn("n", F.row_number().over(low)).filter(F.col("n") <= HEAD).select(*plain.columns)
+    able = able.withColumn("n", F.row_number().over(low)).filter(F.col("n") <= top).select(*plain.columns)
     places = F.when(F.coalesce("n_locations", F.lit(0)) == 0, F.array(F.lit(_ANY))).when(F.col("n_locations") > 1, F.array(F.lit(""))).otherwise(F.array("wanted_location", F.lit("")))
-    asks = wanted.select("requirements_id", "org_id", F.explode(places).alias("group"), "min_tenths")
+    asks = wanted.select("requirements_id", "org_id", F.explode(F.array_distinct(places)).alias("group"), "min_tenths")
     asks = asks.withColumn("threshold", F.explode(F.array_compact(F.array(F.lit(-1), "min_tenths"))))
     return asks.hint("merge").join(plain.unionByName(able).hint("merge"), ["org_id", "group", "threshold"]).select("requirements_id", "candidate_id", "place", "years")
 
 
-def scored_pairs(requirements: DataFrame, requirement_skill: DataFrame, rules: DataFrame, candidates: DataFrame, skills: DataFrame, with_heads: bool = True) -> DataFrame:
-    """Pairs with a skill hit, and the heads that may fill a list: cents, matched counts, outcome."""
-    facts = candidate_facts(candidates, skills)
-    wanted = requirements.select("requirements_id", "org_id").join(rule_rows(rules), "requirements_id", "left")
-    points = skill_points(requirement_skill).select("requirements_id", "skill", "possible_cents", (F.col("importance") == "must_have").cast("int").alias("must"), F.lit(0).alias("ruled"))
-    ruled = rules.filter("rule_type = 'required_skill'").select("requirements_id", F.col("expected").alias("skill"), F.lit(0).alias("possible_cents"), F.lit(-1).alias("must"), F.lit(1).alias("ruled")).distinct()
+def scored_pairs(requirements: DataFrame, requirement_skill: DataFrame, rules: DataFrame, candidates: DataFrame, skills: DataFrame, profiles: DataFrame | None = None, facts: DataFrame | None = None, heads: int = 0) -> DataFrame:
+    """Pairs with an item in common, and the heads that may fill a list of that length: cents, matched counts, outcome."""
+    known, rules = candidate_facts(candidates, skills, profiles), keyed_rules(rules)
+    wanted = evaluable(requirements).select("requirements_id", "org_id").join(rule_rows(rules), "requirements_id", "left")
+    points = skill_points(requirement_skill).select("requirements_id", _item(F.lit(_SKILL), F.col("skill")).alias("item"), "possible_cents", (F.col("importance") == "must_have").cast("int").alias("must"), F.lit(0).alias("ruled"))
+    ruled = rules.filter("item is not null").select("requirements_id", "item", F.lit(0).alias("possible_cents"), F.lit(-1).alias("must"), F.lit(1).alias("ruled")).distinct()
     items = points.unionByName(ruled).join(wanted.select("requirements_id", "org_id"), "requirements_id")
-    held = skills.select("candidate_id", "skill").distinct().join(facts, "candidate_id")
-    hits = held.join(items, ["org_id", "skill"]).select("requirements_id", "candidate_id", "place", "years", F.col("possible_cents").alias("cents"), "must", "ruled")
-    if with_heads:
+    held = _held(skills, facts).join(known, "candidate_id")
+    hits = held.hint("merge").join(items.hint("merge"), ["org_id", "item"]).select("requirements_id", "candidate_id", "place", "years", F.col("possible_cents").alias("cents"), "must", "ruled")
+    if heads:
         none = [F.lit(0).alias("cents"), F.lit(-1).alias("must"), F.lit(0).alias("ruled")]
-        hits = hits.unionByName(_heads(facts, wanted).select("*", *none))
+        hits = hits.unionByName(_heads(known, wanted, heads).select("*", *none))
     pairs = hits.groupBy("requirements_id", "candidate_id").agg(
         F.first("place").alias("place"), F.first("years").alias("years"), F.sum("cents").cast("int").alias("score_cents"),
         F.count_if(F.col("must") == 1).cast("int").alias("matched_must"), F.count_if(F.col("must") == 0).cast("int").alias("matched_nice"), F.sum("ruled").alias("hits"),
     )
-    return pairs.join(wanted.drop("org_id"), "requirements_id").withColumn("outcome", outcome())
+    return pairs.hint("merge").join(wanted.drop("org_id").hint("merge"), "requirements_id").withColumn("outcome", outcome())
 
 
-def shortlist(requirements, requirement_skill, rules, candidates, skills, top: int = TOP) -> DataFrame:
-    """The first ``top`` eligible candidates: score, passed before review, id."""
-    pairs = scored_pairs(requirements, requirement_skill, rules, candidates, skills).filter("outcome <> 'failed'")
+def shortlist(requirements, requirement_skill, rules, candidates, skills, top: int = TOP, profiles: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """The first ``top`` eligible candidates: score, passed before review, id; with the totals of wanted skills."""
+    pairs = scored_pairs(requirements, requirement_skill, rules, candidates, skills, profiles, facts, top).filter("outcome <> 'failed'")
     order = Window.partitionBy("requirements_id").orderBy(F.desc("score_cents"), (F.col("outcome") != "passed").cast("int"), "candidate_id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.select("requirements_id", "rank", "candidate_id", "score_cents", "outcome", "matched_must", "matched_nice")
+    must = F.count_if(F.col("importance") == "must_have").cast("int").alias("total_must")
+    totals = requirement_skill.groupBy("requirements_id").agg(must, F.count_if(F.col("importance") != "must_have").cast("int").alias("total_nice"))
+    rows = ranked.join(totals, "requirements_id", "left").fillna({"total_must": 0, "total_nice": 0})
+    return rows.select("requirements_id", "rank", "candidate_id", "score_cents", "outcome", "matched_must", "matched_nice", "total_must", "total_nice")
 
 
 def breakdown(entries: DataFrame, requirement_skill: DataFrame, skills: DataFrame) -> DataFrame:
@@ -121,24 +191,25 @@ def breakdown(entries: DataFrame, requirement_skill: DataFrame, skills: DataFram
     return entries.join(arrays, ["requirements_id", "candidate_id"], "left")
 
 
-def filter_report(requirements, rules, candidates, skills) -> DataFrame:
-    """Evaluated, passed, review, failed and eligible counts, from counts by place and years; no pairs but required-skill hits."""
-    facts = candidate_facts(candidates, skills)
-    wanted = requirements.select("requirements_id", "org_id").join(rule_rows(rules), "requirements_id", "left").fillna({"n_locations": 0, "n_skills": 0})
-    cells = facts.groupBy("org_id", "place", "years").agg(F.count("*").alias("n"))
+def filter_report(requirements, rules, candidates, skills, profiles: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """Evaluated, passed, review, failed and eligible counts, from counts by place and years; no pairs but hits of rules that ask for an item."""
+    known, rules = candidate_facts(candidates, skills, profiles), keyed_rules(rules)
+    wanted = evaluable(requirements).select("requirements_id", "org_id").join(rule_rows(rules), "requirements_id", "left").fillna({"n_locations": 0, "n_items": 0})
+    cells = known.groupBy("org_id", "place", "years").agg(F.count("*").alias("n"))
     by_place = cells.groupBy("org_id", "place").agg(F.sum("n").alias("n"))
     totals = by_place.groupBy("org_id").agg(F.sum("n").alias("evaluated"), F.sum(F.when(F.col("place") == "", F.col("n")).otherwise(0)).alias("blank"))
-    at = by_place.select("org_id", F.col("place").alias("wanted_location"), F.col("n").alias("there"))
+    at = by_place.filter("place <> ''").select("org_id", F.col("place").alias("wanted_location"), F.col("n").alias("there"))
     counted = wanted.join(totals, "org_id", "left").join(at, ["org_id", "wanted_location"], "left")
-    # passing without required skills: cells of the right place and enough years
-    asks = wanted.filter("n_skills = 0 and n_locations <= 1").select("requirements_id", "org_id", "wanted_location", "min_tenths")
+    # passing without rules for items: cells of the right place and enough years
+    asks = wanted.filter("n_items = 0 and n_locations <= 1").select("requirements_id", "org_id", "wanted_location", "min_tenths")
     right = F.col("wanted_location").isNull() | ((F.col("place") == F.col("wanted_location")) & (F.col("place") != ""))
     able = F.col("min_tenths").isNull() | (F.col("years") >= F.col("min_tenths"))
     plain = asks.hint("shuffle_hash").join(cells, "org_id").filter(right & able).groupBy("requirements_id").agg(F.sum("n").alias("plain"))
-    ruled = rules.filter("rule_type = 'required_skill'").select("requirements_id", F.col("expected").alias("skill")).distinct()
-    held = skills.select("candidate_id", "skill").distinct().join(facts, "candidate_id")
-    hits = held.join(ruled.join(wanted, "requirements_id"), ["org_id", "skill"]).filter((F.col("n_locations") <= 1) & right & able)
-    hits = hits.groupBy("requirements_id", "candidate_id", "n_skills").agg(F.count("*").alias("got")).filter("got = n_skills")
+    ruled = rules.filter("item is not null").select("requirements_id", "item").distinct()
+    held = _held(skills, facts).join(known, "candidate_id")
+    asked = ruled.join(wanted, "requirements_id").filter("n_locations <= 1")
+    hits = held.hint("merge").join(asked.hint("merge"), ["org_id", "item"]).filter(right & able)
+    hits = hits.groupBy("requirements_id", "candidate_id", "n_items").agg(F.count("*").alias("got")).filter("got = n_items")
     skilled = hits.groupBy("requirements_id").agg(F.count("*").alias("skilled"))
     rows = counted.join(plain, "requirements_id", "left").join(skilled, "requirements_id", "left").fillna({"evaluated": 0, "blank": 0, "there": 0, "plain": 0, "skilled": 0})
     failed = F.when(F.col("n_locations") == 0, 0).when(F.col("n_locations") > 1, F.col("evaluated") - F.col("blank")).otherwise(F.col("evaluated") - F.col("blank") - F.col("there"))
@@ -152,13 +223,17 @@ def run_summary(report: DataFrame, top: int = TOP) -> DataFrame:
     return report.select("requirements_id", "evaluated", "eligible", F.least("eligible", F.lit(top)).alias("shortlisted"))
 
 
+def tenths_text(tenths: Column) -> Column:
+    """H2 for years kept in tenths."""
+    return decimal_text((tenths / 10).cast("decimal(6,1)"))
+
+
 def min_experience(skills: DataFrame) -> DataFrame:
     """R2: the largest known years of each candidate; ties keep the first skill by name; shown without trailing zeros."""
     order = Window.partitionBy("candidate_id").orderBy(F.desc("years_tenths"), "skill")
     best = skills.filter("years_tenths is not null").withColumn("n", F.row_number().over(order)).filter("n = 1")
-    whole = F.expr("years_tenths div 10").cast("string")
-    text = F.when(F.col("years_tenths") % 10 == 0, whole).otherwise(F.concat(whole, F.lit("."), (F.col("years_tenths") % 10).cast("string")))
-    return best.select("candidate_id", "skill", "years_tenths", text.alias("years_text"))
+    more = [c for c in ("evidence",) if c in skills.columns]
+    return best.select("candidate_id", "skill", "years_tenths", tenths_text(F.col("years_tenths")).alias("years_text"), *more)
 
 
 def traffic_light(score: Column) -> Column:
@@ -168,41 +243,100 @@ def traffic_light(score: Column) -> Column:
 
 def expected_value(rule_type: Column, expected: Column, tenths: Column) -> Column:
     """R12."""
-    whole = F.expr("tenths div 10").cast("string")
-    years = F.when(tenths % 10 == 0, whole).otherwise(F.concat(whole, F.lit("."), (tenths % 10).cast("string")))
-    return F.when(rule_type == "minimum_experience", F.concat(F.lit("At least "), years, F.lit(" years"))).otherwise(expected)
-
-
-PROFILE_KINDS = {
-    # Rule type to the facts of a profile that can satisfy it, in order
-    "work_mode": "filter(array(work_mode), x -> x is not null and x not in ('', 'unknown'))",
-    "language": "flatten(transform(coalesce(languages, array()), x -> array(concat_ws(' ', x.language, nullif(x.proficiency, '')), x.language)))",
-    "education": "transform(coalesce(education, array()), x -> x.qualification)",
-    "certification": "transform(coalesce(certifications, array()), x -> x.name)",
-    "employment_type": "coalesce(employment_types, array())",
-}
-
-
-def profile_facts(profiles: DataFrame, normalise) -> DataFrame:
-    """candidate_id, rule_type, pos, fact, fact_key: one row for each fact that a profile rule can match."""
-    parts = []
-    for kind, facts in PROFILE_KINDS.items():
-        parts.append(profiles.select("candidate_id", F.lit(kind).alias("rule_type"), F.posexplode(F.expr(facts)).alias("pos", "fact")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("fact_key", normalise(F.col("fact"))).filter("fact_key is not null")
+    return F.when(rule_type == "minimum_experience", F.concat(F.lit("At least "), tenths_text(tenths), F.lit(" years"))).otherwise(expected)
 
 
 def profile_rule_outcomes(pairs: DataFrame, facts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """pairs(candidate_id, rule_id, rule_type, expected_key) with outcome, reason and the first matching fact.
+    """pairs(candidate_id, rule_id, rule_type, expected_key) with outcome, reason, and the first matching fact with its evidence.
 
     Without a profile, without facts of the kind, or without a match the rule is
     unknown, each for its own reason; nothing fails.
     """
+    if "evidence" not in facts.columns:
+        facts = facts.withColumn("evidence", F.lit(""))
     any_fact = facts.select("candidate_id", "rule_type").distinct().withColumn("some", F.lit(True))
-    match = facts.groupBy("candidate_id", "rule_type", F.col("fact_key").alias("expected_key")).agg(F.min_by("fact", "pos").alias("candidate_value"))
+    match = facts.groupBy("candidate_id", "rule_type", F.col("fact_key").alias("expected_key")).agg(F.min_by(F.struct("fact", "evidence"), "pos").alias("m"))
     known = profiles.select("candidate_id").distinct().withColumn("profiled", F.lit(True))
-    rows = pairs.hint("merge").join(match.hint("merge"), ["candidate_id", "rule_type", "expected_key"], "left").hint("merge").join(any_fact.hint("merge"), ["candidate_id", "rule_type"], "left").join(known, "candidate_id", "left")
-    reason = F.when(F.col("candidate_value").isNotNull(), "matched").when(F.col("profiled").isNull(), "no_profile").when(F.col("some").isNull(), "no_fact").otherwise("no_match")
-    return rows.withColumn("reason", reason).withColumn("outcome", F.when(F.col("reason") == "matched", "passed").otherwise("unknown")).drop("some", "profiled")
+    rows = pairs.hint("merge").join(match.hint("merge"), ["candidate_id", "rule_type", "expected_key"], "left").hint("merge").join(any_fact.hint("merge"), ["candidate_id", "rule_type"], "left").hint("merge").join(known.hint("merge"), "candidate_id", "left")
+    reason = F.when(F.col("m").isNotNull(), "matched").when(F.col("profiled").isNull(), "no_profile").when(F.col("some").isNull(), "no_fact").otherwise("no_match")
+    rows = rows.withColumn("reason", reason).withColumn("outcome", F.when(F.col("reason") == "matched", "passed").otherwise("unknown"))
+    return rows.withColumns({"candidate_value": F.col("m.fact"), "evidence": F.col("m.evidence")}).drop("some", "profiled", "m")
+
+
+# names of rule kinds and sentences shown with a rule's result; fixed values
+RULE_LABELS = {
+    "required_skill": "Required skill",
+    "minimum_experience": "Minimum years of experience",
+    "location": "Location",
+    "work_mode": "Work mode",
+    "language": "Language",
+    "education": "Education",
+    "certification": "Certification",
+    "employment_type": "Employment type",
+}
+NOT_RECORDED = "Not recorded"
+RECORD_LOCATION = "Candidate record location"
+SENTENCES = {
+    "skill_matched": "The recorded skill matches {}.",
+    "skill_missing": "No structured {} skill fact is recorded. Absence is not evidence that the candidate lacks the skill.",
+    "years_met": "Recorded skill experience proves the minimum duration is met.",
+    "years_below": "Recorded skill experience is below the threshold, but partial skill evidence cannot prove the candidate's total experience is insufficient.",
+    "years_unknown": "No structured candidate experience duration is recorded.",
+    "place_matched": "The recorded candidate location matches the required location.",
+    "place_other": "The recorded candidate location does not match the required location.",
+    "place_unknown": "No structured candidate location is recorded.",
+    "matched": "The confirmed candidate profile contains a matching source-grounded fact.",
+    "no_profile": "No confirmed candidate profile supplies a structured {} fact. The candidate remains eligible for recruiter review.",
+    "no_fact": "No structured candidate {} fact is recorded.",
+    "no_match": "The confirmed profile has related facts, but they do not prove this requirement. Absence is not treated as a failure.",
+}
+
+
+def _told(reason: Column, value: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for code, text in SENTENCES.items():
+        before, *after = text.split("{}")
+        said = F.concat(F.lit(before), value, F.lit(after[0])) if after else F.lit(text)
+        out = F.when(reason == code, said).otherwise(out)
+    return out
+
+
+def explain(entries: DataFrame, rules: DataFrame, candidates: DataFrame, skills: DataFrame, profiles: DataFrame, facts: DataFrame) -> DataFrame:
+    """The result of every rule for entries(requirements_id, candidate_id), such as a shortlist, in the order of the rules.
+
+    Columns: requirements_id, candidate_id, position, rule_type, rule_label,
+    source_text, outcome (passed, failed, unknown), reason, expected_value,
+    candidate_value, explanation, evidence.  rules may carry pos and source_text,
+    skills source_label and evidence, profiles location_evidence.
+    """
+    col = lambda df, c, other: F.col(c) if c in df.columns else F.lit(other)
+    rules = keyed_rules(rules).withColumns({"source_text": col(rules, "source_text", ""), "rule_pos": col(rules, "pos", 0)})
+    order = Window.partitionBy("requirements_id").orderBy("rule_pos", "rule_type", "expected")
+    rules = rules.withColumn("position", F.row_number().over(order)).withColumn("rule_id", F.col("position"))
+    rows = entries.select("requirements_id", "candidate_id").hint("merge").join(rules.hint("merge"), "requirements_id")
+    named = candidates.select("candidate_id", strip(F.coalesce("location", F.lit(""))).alias("own"))
+    told = profiles.select("candidate_id", strip(F.coalesce("location", F.lit(""))).alias("told"), col(profiles, "location_evidence", "").alias("told_evidence"))
+    held = skills.select("candidate_id", F.col("skill").alias("expected"), F.lit(_SKILL).alias("rule_type"), col(skills, "source_label", None).cast("string").alias("label"), col(skills, "evidence", "").alias("skill_evidence"), F.lit(True).alias("has"))
+    held = held.dropDuplicates(["candidate_id", "expected"])
+    best = min_experience(skills).select("candidate_id", F.col("skill").alias("best_skill"), F.col("years_tenths").alias("best_tenths"), col(skills, "evidence", "").alias("best_evidence"))
+    rows = profile_rule_outcomes(rows, facts, profiles).withColumnsRenamed({"reason": "profile_reason", "candidate_value": "fact", "evidence": "fact_evidence"}).drop("outcome")
+    for part, on in ((named, ["candidate_id"]), (told, ["candidate_id"]), (held, ["candidate_id", "rule_type", "expected"]), (best, ["candidate_id"])):
+        rows = rows.hint("merge").join(part.hint("merge"), on, "left")
+    kind = F.col("rule_type")
+    place = F.regexp_replace(F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce("told", F.lit(""))), r"(?U)\s+", " ")
+    place_reason = F.when(place == "", "place_unknown").when(taxonomy(place).eqNullSafe(F.col("expected_key")), "place_matched").otherwise("place_other")
+    years_reason = F.when(F.col("best_tenths").isNull(), "years_unknown").when(F.col("best_tenths") >= F.col("tenths"), "years_met").otherwise("years_below")
+    reason = F.when(kind == _SKILL, F.when(F.col("has"), "skill_matched").otherwise("skill_missing")).when(kind == "minimum_experience", years_reason).when(kind == "location", place_reason).otherwise(F.col("profile_reason"))
+    rows = rows.withColumn("reason", reason).withColumn("place", place)
+    labels = F.create_map(*[F.lit(x) for pair in RULE_LABELS.items() for x in pair])
+    outcome_ = F.when(F.col("reason") == "place_other", "failed").when(F.col("reason").isin("skill_matched", "years_met", "place_matched", "matched"), "passed").otherwise("unknown")
+    years = F.concat(tenths_text(F.col("best_tenths")), F.lit(" years with "), F.col("best_skill"))
+    value = F.when(kind == _SKILL, F.when(F.col("has"), F.coalesce("label", "expected"))).when(kind == "minimum_experience", years).when(kind == "location", F.nullif("place", F.lit(""))).otherwise(F.col("fact"))
+    of_place = F.when(F.col("own") != "", F.lit(RECORD_LOCATION)).when(F.col("place") != "", F.col("told_evidence"))
+    evidence = F.when(kind == _SKILL, F.col("skill_evidence")).when(kind == "minimum_experience", F.col("best_evidence")).when(kind == "location", of_place).otherwise(F.col("fact_evidence"))
+    subject = F.when(kind == _SKILL, F.col("expected")).otherwise(F.lower(labels[kind]))
+    return rows.select(
+        "requirements_id", "candidate_id", "position", "rule_type", labels[kind].alias("rule_label"), "source_text", outcome_.alias("outcome"), "reason",
+        expected_value(kind, F.col("expected"), F.col("tenths")).alias("expected_value"), F.coalesce(value, F.lit(NOT_RECORDED)).alias("candidate_value"),
+        _told(F.col("reason"), subject).alias("explanation"), F.coalesce(evidence, F.lit("")).alias("evidence"),
+    )

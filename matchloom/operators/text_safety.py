@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import explanation
+from ..functions.normalize import explanation, strip
 
 # fixed values: patterns, word lists and labels that results depend on
 REDACTED = "[CONTACT REDACTED]"
@@ -50,11 +50,13 @@ def redact(text: Column, *known: Column) -> Column:
     """
     out = F.regexp_replace(_even_lines(text), _LINE, REDACTED)
     for value in known:
-        value = F.trim(F.coalesce(value, F.lit("")))
+        value = strip(F.coalesce(value, F.lit("")))
         literal = F.concat(F.lit(r"(?iu)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        out = F.when(value == "", out).otherwise(F.regexp_replace(out, literal, F.lit(REDACTED)))
+        out = F.regexp_replace(out, F.when(value == "", _NEVER).otherwise(literal), F.lit(REDACTED))
     out = F.regexp_replace(F.regexp_replace(out, EMAIL, REDACTED), URL, REDACTED)
-    return F.when(~out.rlike(PHONE), out).otherwise(_conditional(out, PHONE, lambda m: ~m.startswith("+") & (F.length(F.regexp_replace(m, r"\D", "")) < 10)))
+    short = lambda m: ~m.startswith("+") & (F.length(F.regexp_replace(m, r"\D", "")) < 10)
+    # a lambda's variable is evaluated once, however often it is used
+    return F.transform(F.array(out), lambda t: F.when(~t.rlike(PHONE), t).otherwise(_conditional(t, PHONE, short)))[0]
 
 
 def sensitive(text: Column) -> Column:
@@ -75,6 +77,7 @@ def _multiline(pattern: str) -> str:
     return rf"(?:^|(?<=\n)){body}"
 
 
+_NEVER = "(?!)"
 _ODD_END = r"[\r\x0B\x0C\x85\u2028\u2029]"
 _SENSITIVE = "(?i)" + _multiline(SENSITIVE_LINE)
 _LINE = "(?i)(?:" + _multiline(CONTACT_LINE) + "|" + _multiline(SENSITIVE_LINE) + r")[^\n]*"
@@ -97,7 +100,7 @@ def measured_claims(text: Column) -> Column:
 
 def quoted_claims(text: Column) -> Column:
     """Quotations of 2 to 200 characters, of normalised text."""
-    return F.transform(F.regexp_extract_all(F.coalesce(explanation(text), F.lit("")), F.lit(QUOTED), 1), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(F.coalesce(explanation(text), F.lit("")), F.lit(QUOTED), 1), lambda x: strip(x))
 
 
 def meaningful_tokens(text: Column) -> Column:

@@ -35,10 +35,11 @@ def metrics(columns: list[str]) -> list[Column]:
         if name in columns:
             out += [F.coalesce(F.sum(name), F.lit(0)).alias(short), F.count(name).alias(f"{short}_known"), (F.count("*") - F.count(name)).alias(f"{short}_missing")]
     if "duration_ms" in columns:
-        out += [F.avg(F.col("duration_ms").cast("decimal(16,3)")).cast("decimal(16,3)").alias("average_duration_ms"), F.count("duration_ms").alias("duration_known")]
+        out += [F.avg(F.col("duration_ms").cast("decimal(16,3)")).cast("decimal(16,3)").alias("average_duration_ms"), F.count("duration_ms").alias("duration_known"), (F.count("*") - F.count("duration_ms")).alias("duration_missing")]
     return out + [
         F.coalesce(F.sum(F.when(with_id, F.col("retries_used"))), F.lit(0)).alias("retries_used"), F.count_if(with_id & (F.col("retries_used") > 0)).alias("retried_attempts"),
-        F.count_if(with_id).alias("retries_known"), F.count_if(F.col("model") != "").alias("model_known"),
+        F.count_if(with_id).alias("retries_known"), F.count_if(~F.coalesce(with_id, F.lit(False))).alias("retries_missing"),
+        F.count_if(F.col("model") != "").alias("model_known"), F.count_if(F.coalesce(F.col("model"), F.lit("")) == "").alias("model_missing"),
     ]
 
 

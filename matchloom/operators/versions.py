@@ -30,11 +30,23 @@ def requirements_signature(requirement_skill: DataFrame, rules: DataFrame) -> Da
     return both.select("requirements_id", canonical_hash("requirements_id", "rules", "skills").alias("signature"))
 
 
-def candidate_hashes(candidates: DataFrame, skills: DataFrame) -> DataFrame:
-    """V2, first level: a hash of each active candidate's matching facts; contact data are left out."""
+def candidate_hashes(candidates: DataFrame, skills: DataFrame, profiles: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """V2, first level: a hash of each active candidate's matching facts; contact data are left out.
+
+    profiles(candidate_id, ...) are the confirmed ones, one a candidate, with all
+    columns that filters read; facts(candidate_id, rule_type, pos, fact, evidence) what they tell.
+    """
     held = skills.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("skill", "years_tenths"))).alias("skills"))
-    live = candidates.filter("status = 'active'").select("candidate_id", "org_id", "location")
-    return live.join(held, "candidate_id", "left").select("org_id", "candidate_id", canonical_hash("candidate_id", "location", "skills").alias("hash"))
+    rows = candidates.filter("status = 'active'").select("candidate_id", "org_id", "location").join(held, "candidate_id", "left")
+    parts = ["candidate_id", "location", "skills"]
+    if profiles is not None:
+        rows = rows.join(profiles.select("candidate_id", F.struct(*sorted(c for c in profiles.columns if c != "candidate_id")).alias("confirmed_profile")), "candidate_id", "left")
+        parts.insert(1, "confirmed_profile")
+    if facts is not None:
+        told = facts.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("rule_type", "pos", "fact", "evidence"))).alias("facts"))
+        rows = rows.hint("merge").join(told.hint("merge"), "candidate_id", "left")
+        parts.insert(-2, "facts")
+    return rows.select("org_id", "candidate_id", canonical_hash(*parts).alias("hash"))
 
 
 def pool_signature(hashes: DataFrame) -> DataFrame:

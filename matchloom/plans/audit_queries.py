@@ -192,9 +192,10 @@ _M = """count(*) AS attempts, count(*) FILTER (status = 'succeeded') AS succeede
   CASE WHEN count(*) FILTER (status IN ('succeeded', 'failed')) > 0 THEN
     CAST(floor(count(*) FILTER (status = 'succeeded') * 1000.0 / count(*) FILTER (status IN ('succeeded', 'failed')) + 0.5) / 10 AS DECIMAL(5,1)) END AS success_rate,
   CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, count(total_tokens) AS total_tokens_known, count(*) - count(total_tokens) AS total_tokens_missing,
-  CAST(floor(CAST(sum(duration_ms) AS BIGINT) * 1000.0 / count(duration_ms) + 0.5) / 1000 AS DECIMAL(16,3)) AS average_duration_ms, count(duration_ms) AS duration_known,
+  CAST(floor(CAST(sum(duration_ms) AS BIGINT) * 1000.0 / count(duration_ms) + 0.5) / 1000 AS DECIMAL(16,3)) AS average_duration_ms, count(duration_ms) AS duration_known, count(*) - count(duration_ms) AS duration_missing,
   CAST(coalesce(sum(CASE WHEN provider_request_id <> '' THEN retries_used END), 0) AS BIGINT) AS retries_used,
-  count(*) FILTER (provider_request_id <> '' AND retries_used > 0) AS retried_attempts, count(*) FILTER (provider_request_id <> '') AS retries_known, count(*) FILTER (model <> '') AS model_known"""
+  count(*) FILTER (provider_request_id <> '' AND retries_used > 0) AS retried_attempts, count(*) FILTER (provider_request_id <> '') AS retries_known,
+  count(*) FILTER (provider_request_id = '') AS retries_missing, count(*) FILTER (model <> '') AS model_known, count(*) FILTER (model = '') AS model_missing"""
 
 _BEFORE = """
 before AS (SELECT candidate_id, CASE WHEN candidate_id % 29 = 0 THEN 'ELSEWHERE' ELSE location END AS location FROM {fx_candidate}

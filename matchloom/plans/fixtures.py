@@ -29,7 +29,20 @@ VIEWS = {
         SELECT o_custkey AS candidate_id, p_brand AS skill, CAST(MAX(l_quantity) AS INT) % 120 AS years_tenths
         FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey
         WHERE p_size = 1 AND l_linenumber = 1 GROUP BY o_custkey, p_brand""",
-    "fx_requirements": "SELECT s_suppkey AS requirements_id, n_regionkey AS org_id, n_name AS location FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey",
+    "fx_requirements": """
+        SELECT s_suppkey AS requirements_id, n_regionkey AS org_id, n_name AS location,
+               CASE WHEN s_suppkey % 29 = 0 THEN 'draft' ELSE 'confirmed' END AS status, s_suppkey % 31 = 0 AS vacancy_deleted
+        FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
+    "fx_profile": """
+        SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 14 = 0 THEN concat(' ', n_name) ELSE '' END AS location, concat('lives in ', n_name) AS location_evidence
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 10 <> 0""",
+    "fx_profile_fact": """
+        SELECT c_custkey AS candidate_id, 'language' AS rule_type, 0 AS pos, concat(n_name, ' Fluent') AS fact, concat('speaks ', n_name) AS evidence
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 10 <> 0 AND c_custkey % 2 = 0
+        UNION ALL SELECT c_custkey, 'language', 1, n_name, concat('speaks ', n_name) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 10 <> 0
+        UNION ALL SELECT c_custkey, 'work_mode', 0, 'remote', 'wants to work from home' FROM {customer} WHERE c_custkey % 10 <> 0 AND c_custkey % 3 = 0
+        UNION ALL SELECT c_custkey, 'certification', 0, concat('Cert ', CAST(c_custkey % 4 AS STRING)), 'holds it' FROM {customer} WHERE c_custkey % 10 <> 0
+        UNION ALL SELECT c_custkey, 'employment_type', 0, c_mktsegment, 'asked for it' FROM {customer} WHERE c_custkey % 10 <> 0""",
     "fx_requirement_skill": """
         SELECT s_suppkey AS requirements_id, k AS pos, concat('Brand#', CAST((s_suppkey * 7 + k * 3) % 25 + 1 AS STRING)) AS skill,
                CASE WHEN k < 2 THEN 'must_have' ELSE 'nice_to_have' END AS importance
@@ -38,7 +51,12 @@ VIEWS = {
         SELECT s_suppkey AS requirements_id, 'location' AS rule_type, n_name AS expected, 0 AS tenths
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0
         UNION ALL SELECT s_suppkey, 'required_skill', concat('Brand#', CAST(s_suppkey * 7 % 25 + 1 AS STRING)), 0 FROM {supplier} WHERE s_suppkey % 2 = 0
-        UNION ALL SELECT s_suppkey, 'minimum_experience', '', 40 FROM {supplier} WHERE s_suppkey % 5 = 0""",
+        UNION ALL SELECT s_suppkey, 'minimum_experience', '', 40 FROM {supplier} WHERE s_suppkey % 5 = 0
+        UNION ALL SELECT s_suppkey, 'language', concat('  ', lower(n_name)), 0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_suppkey % 4 = 1
+        UNION ALL SELECT s_suppkey, 'work_mode', 'Remote', 0 FROM {supplier} WHERE s_suppkey % 7 = 3
+        UNION ALL SELECT s_suppkey, 'certification', 'cert  1', 0 FROM {supplier} WHERE s_suppkey % 9 = 2
+        UNION ALL SELECT s_suppkey, 'employment_type', 'building', 0 FROM {supplier} WHERE s_suppkey % 8 = 5
+        UNION ALL SELECT s_suppkey, 'education', 'MSc', 0 FROM {supplier} WHERE s_suppkey % 23 = 0""",
     "fx_usage": """
         SELECT event_id, CAST(user_id % 5 AS INT) AS org_id,
                CASE event_type WHEN 'view' THEN 'vacancy_requirements' WHEN 'click' THEN 'candidate_profile' WHEN 'purchase' THEN 'match_assessment' ELSE 'outreach_draft' END AS workflow,
@@ -86,6 +104,19 @@ VIEWS = {
     "fx_vacancy": """
         SELECT o_orderkey AS vacancy_id, CAST(o_custkey % 5 AS INT) AS org_id,
                CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' ELSE 'draft' END AS status, o_orderkey % 19 = 0 AS is_deleted FROM {orders}""",
+    "fx_run": """
+        SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 40 = 0 THEN 0 ELSE 20 END AS shortlist_limit, CAST(floor(o_totalprice) AS INT) % 100 AS evaluated_count, CAST(o_custkey % 60 AS INT) AS eligible_count, CAST(o_orderkey % 25 AS INT) AS shortlisted_count FROM {orders}""",
+    "fx_entry": """
+        SELECT l_orderkey + CASE WHEN l_partkey % 100 = 0 THEN 100000000 ELSE 0 END AS run_id, l_suppkey AS candidate_id, l_linenumber - CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS rank, CAST(floor(l_quantity) AS INT) * 2 + 5 AS score,
+               CASE WHEN l_returnflag = 'A' AND l_tax > 0.07 THEN 'failed' ELSE 'passed' END AS filter_outcome, l_linenumber % 4 AS matched_must, 2 AS total_must FROM {lineitem}""",
+    "fx_audit": """
+        SELECT event_id, CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'candidate_deleted' WHEN 1 THEN 'candidate_document_downloaded' WHEN 2 THEN 'vacancy_deleted' WHEN 3 THEN 'renamed' ELSE 'candidate_retention_flagged' END AS action,
+               CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'vacancy' WHEN 1 THEN 'candidate_document' WHEN 2 THEN 'client' ELSE 'candidate' END AS object_type FROM {events}""",
+    "fx_attempt": """
+        SELECT event_id, status, CASE WHEN event_id % 37 = 0 THEN NULL WHEN status = 'pending' THEN NULL ELSE started_at END AS completed_at, failure_stage, CASE WHEN event_id % 41 = 0 THEN '' ELSE failure_code END AS failure_code, provider_request_id, model,
+               CASE WHEN status = 'succeeded' THEN 'profile' ELSE '' END AS result_type, CASE WHEN status = 'succeeded' AND event_id % 43 <> 0 THEN event_id END AS result_id FROM {fx_usage}""",
+    "fx_person": """
+        SELECT candidate_id, status, CASE WHEN status = 'deleted' AND candidate_id % 3 <> 0 THEN DATE '2024-05-01' END AS deleted_at, CASE WHEN status = 'deletion_requested' AND candidate_id % 4 <> 1 THEN DATE '2024-04-01' END AS deletion_requested_at FROM {fx_candidate}""",
     "fx_transition": """
         SELECT l_orderkey AS vacancy_id, l_linenumber AS step,
                CASE l_returnflag WHEN 'A' THEN 'draft' WHEN 'R' THEN 'open' ELSE 'paused' END AS from_status,

@@ -54,7 +54,7 @@ def draft_checks(spark, sf_dir):
 
 
 def export_texts(spark, sf_dir):
-    o = view(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0")
+    o = view(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")  # the approved ones
     return o.select("o_orderkey", sinks.draft_text(F.col("o_orderpriority"), F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit(" "))).alias("text"))
 
 
@@ -114,8 +114,8 @@ def vacancy_listing(spark, sf_dir):
 
 
 def attached_skills(spark, sf_dir):
-    rows = R.attach(view(spark, sf_dir, "fx_candidate").select("candidate_id"), view(spark, sf_dir, "fx_candidate_skill"), "candidate_id", "skill", 20)
-    return rows.select("candidate_id", "n_children", F.array_join(F.transform("children", lambda x: x["skill"]), ",").alias("skills"))
+    rows = R.attach(view(spark, sf_dir, "fx_candidate").select("candidate_id"), view(spark, sf_dir, "fx_candidate_skill"), "candidate_id", "skill", 5)
+    return rows.select("candidate_id", "n_children", "block", F.array_join(F.transform("children", lambda x: x["skill"]), ",").alias("skills"))
 
 
 _F = """
@@ -133,7 +133,7 @@ def sql() -> dict[str, str]:
         "draft_checks": oracle("""
             SELECT o_orderkey AS draft_id, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'contact_data' END, CASE WHEN o_orderkey % 7 = 0 THEN 'offer_wording' END,
               CASE WHEN o_orderkey % 3 = 0 THEN 'placeholder_not_once' END, CASE WHEN o_orderkey % 11 = 0 THEN 'placeholder_in_subject' END) AS issues FROM {orders}"""),
-        "export_texts": oracle("SELECT o_orderkey, concat('Subject: ', trim(o_orderpriority), chr(10), chr(10), o_orderstatus, chr(10)) AS text FROM {orders} WHERE o_orderkey % 2 = 0"),
+        "export_texts": oracle("SELECT o_orderkey, concat('Subject: ', trim(o_orderpriority), chr(10), chr(10), o_orderstatus, chr(10)) AS text FROM {orders} WHERE o_orderstatus = 'F'"),
         "report_lines": oracle("SELECT org_id, CASE WHEN count(total_tokens) = count(*) THEN concat('tokens: ', CAST(sum(total_tokens) AS STRING)) ELSE concat('tokens: unavailable (', CAST(count(total_tokens) AS STRING), '/', CAST(count(*) AS STRING), ')') END AS line FROM {fx_usage} GROUP BY 1"),
         "carry_forward": oracle("""
             WITH t AS (SELECT l_orderkey AS vacancy_id, l_linenumber AS version, l_partkey FROM {lineitem})
@@ -151,8 +151,12 @@ def sql() -> dict[str, str]:
         "candidate_listing": oracle("SELECT candidate_id, full_name FROM {fx_candidate} WHERE full_name > 'Customer#000000040' OR (full_name = 'Customer#000000040' AND candidate_id > 40) ORDER BY full_name, candidate_id LIMIT 25"),
         "vacancy_listing": oracle("SELECT o_orderkey AS vacancy_id FROM {orders} ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20"),
         "attached_skills": oracle("""
-            SELECT c.candidate_id, count(skill) AS n_children, CASE WHEN count(skill) BETWEEN 1 AND 20 THEN string_agg(skill, ',' ORDER BY skill) END AS skills
-            FROM {fx_candidate} c LEFT JOIN {fx_candidate_skill} s ON s.candidate_id = c.candidate_id GROUP BY 1"""),
+            WITH s AS (SELECT *, CAST((row_number() OVER (PARTITION BY candidate_id ORDER BY skill) - 1) // 5 AS INT) AS block, count(*) OVER (PARTITION BY candidate_id) AS n FROM {fx_candidate_skill})
+            SELECT c.candidate_id, coalesce(n, 0) AS n_children, coalesce(block, 0) AS block, string_agg(skill, ',' ORDER BY skill) AS skills
+            FROM {fx_candidate} c LEFT JOIN s ON s.candidate_id = c.candidate_id GROUP BY 1, 2, 3"""),
+        "batch_keys": oracle("""
+            WITH d AS (SELECT org_id, document_id % 50 AS batch, concat(CAST(document_id AS STRING), ':', sha256(coalesce(text, ''))) AS member FROM {fx_document})
+            SELECT org_id, batch, sha256(concat_ws('|', 'batch.v1', CAST(org_id AS STRING), CAST(batch AS STRING), string_agg(member, ',' ORDER BY member))) AS batch_key FROM d GROUP BY 1, 2"""),
     }
 
 

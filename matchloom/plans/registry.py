@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit_queries, matching_queries, more_queries, streaming_queries, text_queries
+from . import audit_queries, further_queries, matching_queries, more_queries, streaming_queries, text_queries
 
-_MODULES = (matching_queries, audit_queries, text_queries, more_queries, streaming_queries)
+_MODULES = (matching_queries, audit_queries, text_queries, more_queries, further_queries, streaming_queries)
 
 
 def queries() -> dict:

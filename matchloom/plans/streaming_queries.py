@@ -11,6 +11,7 @@ from ..functions.lineage import checkpoint_dir, cut
 from ..operators import scoring, versions
 from ..streaming import ledgers as T
 from .fixtures import VIEWS, oracle, view
+from .matching_queries import told
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -83,7 +84,7 @@ def stream_refresh(spark, sf_dir):
     def rebuild(orgs: DataFrame) -> DataFrame:
         req = v("fx_requirements").join(orgs, "org_id", "left_semi")
         mine = lambda n: v(n).join(req, "requirements_id", "left_semi")
-        return scoring.shortlist(req, mine("fx_requirement_skill"), mine("fx_rule"), v("fx_candidate"), skills)
+        return scoring.shortlist(req, mine("fx_requirement_skill"), mine("fx_rule"), v("fx_candidate"), skills, **told(spark, sf_dir))
 
     _batches(feed, spark, "refresh", T.refresh_shortlists(lambda: then, lambda: now, rebuild, lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")))
     return spark.read.parquet(out).select("requirements_id", "rank", "candidate_id", "score_cents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -18,8 +20,7 @@ def dup_documents(spark, sf_dir):
 
 
 def dup_identity(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_import").filter("row_number % 3 = 0")
-    return I.identity_matches(rows, view(spark, sf_dir, "fx_pool"))
+    return I.identity_matches(view(spark, sf_dir, "fx_import"), view(spark, sf_dir, "fx_pool"))
 
 
 def csv_triage(spark, sf_dir):
@@ -141,14 +142,17 @@ def overlap_at5(spark, sf_dir):
 
 
 def coverage_gate(spark, sf_dir):
-    a = view(spark, sf_dir, "fx_assessment").filter("version = 1").select("entry_id", "score", F.col("entry_id").alias("profile_id"))
-    e = view(spark, sf_dir, "fx_assessment").filter("version = 1").select((F.col("entry_id") % 10).alias("query_id"), "entry_id", F.col("entry_id").alias("rank"), F.when(F.col("entry_id") % 50 == 3, -1).otherwise(F.col("entry_id")).alias("current_profile"))
+    """Every version of an assessment as an entry of its own."""
+    entry = F.col("entry_id") * 97 + F.col("version")
+    rows = view(spark, sf_dir, "fx_assessment").select(entry.alias("entry_id"), "score")
+    a = rows.select("entry_id", "score", F.col("entry_id").alias("profile_id"))
+    e = rows.select((F.col("entry_id") % 10).alias("query_id"), "entry_id", F.col("entry_id").alias("rank"), F.when(F.col("entry_id") % 50 == 3, -1).otherwise(F.col("entry_id")).alias("current_profile"))
     return L.coverage_gate(e, a)
 
 
 def binding_issues(spark, sf_dir):
     codes = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"))
-    return L.binding_issues(codes, view(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 16 == 0, 100_000_000).otherwise(0)).alias("code")))
+    return L.binding_issues(codes, view(spark, sf_dir, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 16 == 0, 100_000_000).otherwise(0)).alias("code")))
 
 
 def ranking_differences(spark, sf_dir):
@@ -182,11 +186,12 @@ def normalised_names(spark, sf_dir):
     return view(spark, sf_dir, "supplier").select("s_suppkey", N.taxonomy(F.concat(F.lit("  "), F.upper("s_name"), F.lit(" \t x "))).alias("name"), N.phone_key(F.concat(F.lit("+(0) "), F.col("s_suppkey").cast("string"), F.lit("-12345"))).alias("phone"))
 
 
-def _rules_sql() -> str:
+def rules_sql(rules: list) -> str:
     parts = []
-    for r in RULES:
+    for r in rules:
         if isinstance(r, Q.Check):
-            parts.append(f"SELECT '{r.rule}' AS rule, CAST({r.key} AS STRING) AS key, count(*) AS count FROM {{{r.table}}} WHERE NOT ({r.condition}) GROUP BY 1, 2".replace("date'", "DATE '"))
+            condition = re.sub(r"\bdate'", "DATE '", r.condition)
+            parts.append(f"SELECT '{r.rule}' AS rule, CAST({r.key} AS STRING) AS key, count(*) AS count FROM {{{r.table}}} WHERE NOT ({condition}) GROUP BY 1, 2")
         elif isinstance(r, Q.Unique):
             key = ", ".join(f"CAST({c} AS STRING)" for c in r.columns)
             parts.append(f"SELECT '{r.rule}', concat_ws('|', {key}), count(*) FROM {{{r.table}}} GROUP BY {', '.join(r.columns)} HAVING count(*) > 1")
@@ -199,9 +204,16 @@ _SAID = """
 said AS (SELECT conv_id, turn, conv_id % 23 AS n, concat(coalesce(text, ''), CASE WHEN turn % 2 = 0 THEN concat(' over ', CAST(conv_id % 23 AS STRING), ' years ') ELSE ' twelve months ' END,
   CASE WHEN conv_id % 23 % 3 = 0 THEN ' said "hello there" ' ELSE '' END, CASE WHEN conv_id % 23 % 5 = 0 THEN ' her nationality ' ELSE '' END) AS text FROM {conversations})"""
 
+# every protected term, as the wording rule has it
+_PROTECTED = (
+    "(?i)\\b(age|aged|date\\s+of\\s+birth|dob|sex|gender|pregnan(t|cy)|sexual\\s+orientation|race|racial|ethnicity|ethnic|nationality|citizenship|"
+    "religion|religious|political\\s+(view|views|belief|beliefs)|disability|disabled|health|medical\\s+(condition|conditions)|marital\\s+status|family\\s+status)\\b"
+)
+_CLAIM = "'(?i)\\b(?:[0-9]+|twelve)\\s*\\+?\\s*(?:years?|yrs?|months?|percent)\\b'"
+
 _KEYS = """
-k AS (SELECT row_number, org_id, 0 AS kind, email AS key FROM {fx_import} WHERE row_number % 3 = 0 UNION ALL SELECT row_number, org_id, 1, phone FROM {fx_import} WHERE row_number % 3 = 0
-      UNION ALL SELECT row_number, org_id, 2, source_reference FROM {fx_import} WHERE row_number % 3 = 0),
+k AS (SELECT row_number, org_id, 0 AS kind, email AS key FROM {fx_import} UNION ALL SELECT row_number, org_id, 1, phone FROM {fx_import}
+      UNION ALL SELECT row_number, org_id, 2, source_reference FROM {fx_import}),
 p AS (SELECT candidate_id, org_id, 0 AS kind, email AS key FROM {fx_pool} UNION ALL SELECT candidate_id, org_id, 1, phone FROM {fx_pool} UNION ALL SELECT candidate_id, org_id, 2, source_reference FROM {fx_pool})"""
 
 
@@ -213,9 +225,13 @@ def sql() -> dict[str, str]:
             SELECT org_id, document_id, first_id, copy FROM (SELECT org_id, document_id, min(document_id) OVER w AS first_id, row_number() OVER (PARTITION BY org_id, coalesce(text, '') ORDER BY document_id) - 1 AS copy
               FROM {fx_document} WHERE NOT is_deleted WINDOW w AS (PARTITION BY org_id, coalesce(text, ''))) WHERE copy > 0"""),
         "dup_identity": oracle("WITH " + _KEYS + """
-            SELECT org_id, row_number, min(candidate_id) AS candidate_id, count(DISTINCT candidate_id) AS n_candidates, count(DISTINCT candidate_id) > 1 AS conflicting,
+            SELECT org_id, row_number, min(candidate_id) AS candidate_id, count(DISTINCT candidate_id) > 1 AS conflicting,
               concat_ws(', ', CASE WHEN bool_or(kind = 0) THEN 'email' END, CASE WHEN bool_or(kind = 1) THEN 'phone' END, CASE WHEN bool_or(kind = 2) THEN 'source reference' END) AS reasons
             FROM (SELECT k.org_id, k.row_number, k.kind, p.candidate_id FROM k JOIN p ON p.org_id = k.org_id AND p.kind = k.kind AND p.key = k.key) GROUP BY 1, 2"""),
+        "meaningful_tokens": oracle(
+            "WITH t AS (SELECT item_id, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS x FROM {benchmark}), k AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(x, '[\\p{L}\\p{M}\\p{N}_][\\p{L}\\p{M}\\p{N}_+#.]*[\\p{L}\\p{M}\\p{N}_]')) AS token FROM t)"
+            " SELECT item_id, token FROM k WHERE NOT regexp_full_match(token, '[0-9]+') AND token NOT IN ('and', 'at', 'candidate', 'experience', 'for', 'has', 'have', 'least', 'must', 'of', 'required', 'requires', 'skill', 'the', 'with', 'year', 'years')"
+        ),
         "batch_counts": oracle("""
             SELECT o_orderkey AS batch_id, CASE WHEN o_orderstatus = 'F' THEN 'cancelled' WHEN count(*) FILTER (status = 'queued') = 0 THEN 'completed' ELSE 'open' END AS batch_status,
               count(job_id) AS items, count(*) FILTER (status = 'queued') AS pending, count(*) FILTER (status = 'succeeded') AS created FROM {orders} LEFT JOIN {fx_task} ON job_id = o_orderkey GROUP BY o_orderkey, o_orderstatus"""),
@@ -223,10 +239,16 @@ def sql() -> dict[str, str]:
             SELECT DISTINCT CAST(l_orderkey % 5 AS INT) AS org_id, lower(concat(p_type, ' ', p_brand)) AS normalized_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_orderkey % 5 <> 0"""),
         "email_redaction": oracle("SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '[CONTACT REDACTED]', 'g')) AS redacted_sha256 FROM {documents}"),
         "claim_issues": oracle("WITH " + _SAID + """
-            SELECT conv_id, turn, concat_ws(',', CASE WHEN n % 5 = 0 THEN 'protected_attribute_language' END, CASE WHEN turn % 2 = 0 AND n <> 4 THEN 'unsupported_measured_claim' END,
-              CASE WHEN n % 3 = 0 AND conv_id % 2 <> 0 THEN 'unsupported_quoted_claim' END) AS issues FROM said"""),
-        "measured_claims": oracle("WITH " + _SAID + " SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN concat(CAST(n AS STRING), ' years') ELSE '12 months' END AS claims FROM said"),
-        "protected_language": oracle("WITH " + _SAID + " SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(nationality|age|aged|sex|race|health|gender)\\b') AS protected FROM said"),
+            SELECT conv_id, turn, concat_ws(',', CASE WHEN regexp_matches(text, '""" + _PROTECTED + """') THEN 'protected_attribute_language' END,
+              CASE WHEN len(list_filter(regexp_extract_all(text, """ + _CLAIM + """), lambda m: regexp_replace(lower(m), '\\s+', ' ', 'g') NOT IN ('12 months', 'twelve months', '4 years', '4 year', '4 yrs'))) > 0 THEN 'unsupported_measured_claim' END,
+              CASE WHEN len(list_filter(regexp_extract_all(lower(regexp_replace(text, '\\s+', ' ', 'g')), '"([^"]{2,200})"', 1), lambda q: NOT contains(CASE WHEN conv_id % 2 = 0 THEN '12 months and 4 years she said hello there to all' ELSE '12 months and 4 years nothing' END, trim(q)))) > 0
+                THEN 'unsupported_quoted_claim' END) AS issues FROM said"""),
+        "measured_claims": oracle(
+            "WITH " + _SAID + ", f AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, " + _CLAIM + ")) AS m, generate_subscripts(regexp_extract_all(text, " + _CLAIM + "), 1) AS i FROM said)"
+            ", c AS (SELECT conv_id, turn, i, concat(CASE WHEN lower(m) LIKE 'twelve%' THEN '12' ELSE CAST(CAST(regexp_extract(m, '[0-9]+') AS INT) AS STRING) END, CASE WHEN regexp_matches(m, '(?i)y(ears?|rs?)$') THEN ' years' WHEN regexp_matches(m, '(?i)months?$') THEN ' months' ELSE ' percent' END) AS claim FROM f)"
+            " SELECT s.conv_id, s.turn, coalesce(string_agg(claim, '|' ORDER BY i), '') AS claims FROM said s LEFT JOIN c ON c.conv_id = s.conv_id AND c.turn = s.turn GROUP BY 1, 2"
+        ),
+        "protected_language": oracle("WITH " + _SAID + " SELECT conv_id, turn, regexp_matches(text, '" + _PROTECTED + "') AS protected FROM said"),
         "requirement_refs": oracle("""
             WITH s AS (SELECT * FROM {fx_requirement_skill} WHERE requirements_id % 7 <> 0), r AS (
               SELECT requirements_id, 0 AS g, importance AS a, pos AS b, concat('skill:', skill) AS reference, skill AS label FROM s
@@ -245,13 +267,13 @@ def sql() -> dict[str, str]:
             FROM (SELECT query_id, CAST({rank} AS DECIMAL(6,4)) AS ndcg, CAST(round(count(*) FILTER (rnk <= 5 AND grade >= 2) / 5.0, 4) AS DECIMAL(6,4)) AS precision FROM {ranked} GROUP BY 1)"""),
         "overlap_at5": oracle("SELECT query_id, CAST(count(*) FILTER (rnk <= 5 AND rnk % 2 = 1) / 5.0 AS DECIMAL(6,4)) AS overlap FROM {fx_judgment} GROUP BY 1"),
         "coverage_gate": oracle("""
-            SELECT entry_id % 10 AS query_id, entry_id, CASE WHEN entry_id % 10 <> 3 THEN row_number() OVER (PARTITION BY entry_id % 10 ORDER BY score DESC, entry_id) END AS rnk,
-              CASE WHEN entry_id % 10 = 3 THEN 'unavailable' ELSE 'available' END AS gate FROM {fx_assessment} WHERE version = 1"""),
+            WITH x AS (SELECT entry_id * 97 + version AS entry_id, score FROM {fx_assessment}), g AS (SELECT *, entry_id % 10 AS query_id, count(*) FILTER (entry_id % 50 = 3) OVER (PARTITION BY entry_id % 10) = 0 AS fine FROM x)
+            SELECT query_id, entry_id, CASE WHEN fine THEN row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) END AS rnk, CASE WHEN fine THEN 'available' ELSE 'unavailable' END AS gate FROM g"""),
         "binding_issues": oracle("""
-            WITH b AS (SELECT o_custkey + CASE WHEN o_orderkey % 16 = 0 THEN 100000000 ELSE 0 END AS code, count(*) AS n FROM {orders} WHERE o_orderkey % 4 = 0 GROUP BY 1)
+            WITH b AS (SELECT o_custkey + CASE WHEN o_orderkey % 16 = 0 THEN 100000000 ELSE 0 END AS code, count(*) AS n FROM {orders} GROUP BY 1)
             SELECT * FROM (SELECT coalesce(c_custkey, code) AS code, CASE WHEN n IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'unexpected' WHEN n > 1 THEN 'repeated' END AS issue FROM {customer} FULL JOIN b ON code = c_custkey) WHERE issue IS NOT NULL"""),
         "ranking_differences": oracle("SELECT query_id, rnk FROM {fx_judgment} WHERE rnk % 9 = 0 OR rnk % 5 = 0"),
-        "quality_rules": oracle(_rules_sql()),
+        "quality_rules": oracle(rules_sql(RULES)),
         "normalised_names": oracle("SELECT s_suppkey, lower(concat(s_name, ' x')) AS name, CASE WHEN length(concat('0', CAST(s_suppkey AS STRING), '12345')) >= 7 THEN concat('0', CAST(s_suppkey AS STRING), '12345') ELSE '' END AS phone FROM {supplier}"),
         "email_counts": oracle("""
             WITH e AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS y FROM {documents})

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.normalize import strip
 
 IMPORT_COLUMNS = tuple(field.split()[0] for field in schemas.IMPORT.split(","))
 
@@ -32,8 +35,11 @@ def candidate_csv(spark: SparkSession, path: str) -> DataFrame:
     for its header; row numbers order the rows of one file by its blocks.  Rows
     with more values than the header carry extra_values and reject the import.
     """
-    first = spark.read.text(path).limit(1).collect()
-    header = check_header(first[0][0].split(",") if first else [])
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("value")).select("value").distinct().limit(2).collect()
+    if len(first) > 1:
+        raise ValueError("the files have different header rows")
+    header = check_header(next(csv.reader([first[0][0]], strict=True), []) if first else [])
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
     raw = (
         spark.read.schema(T.StructType([*fields, T.StructField("_extra", T.StringType())])).option("header", True).option("enforceSchema", True)
@@ -45,7 +51,7 @@ def candidate_csv(spark: SparkSession, path: str) -> DataFrame:
 
     rows = raw.select(F.input_file_name().alias("file"), "_at", F.col("_extra").isNotNull().alias("extra_values"), *cols)
     rows = rows.withColumn("row_number", F.row_number().over(Window.partitionBy("file").orderBy("_at")) + 1)
-    blank = F.forall(F.array(*IMPORT_COLUMNS), lambda x: F.trim(x) == "")
+    blank = F.forall(F.array(*IMPORT_COLUMNS), lambda x: strip(x) == "")
     return rows.filter(~blank).drop("_at", "file")
 
 
@@ -79,7 +85,9 @@ def typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def decode_json(column: Column, schema: T.DataType | str) -> Column:
     """Struct of value and error; text that isn't JSON of the schema's kind gives not_decodable."""
-    value = F.from_json(column, schema, {"mode": "PERMISSIVE"})
     simple = schema if isinstance(schema, str) else schema.simpleString()
+    # within an object of its own the text can be told to be corrupt whatever its kind
+    whole = F.from_json(F.concat(F.lit('{"v":'), column, F.lit("}")), f"v {simple}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     opens = r"^\s*\[" if simple.startswith("array") else r"^\s*\{"
-    return F.struct(value.alias("value"), F.when(column.isNotNull() & (value.isNull() | ~column.rlike(opens)), "not_decodable").alias("error"))
+    bad = column.isNotNull() & (whole["_corrupt"].isNotNull() | whole["v"].isNull() | ~column.rlike(opens))
+    return F.struct(F.when(~bad, whole["v"]).alias("value"), F.when(bad, "not_decodable").alias("error"))

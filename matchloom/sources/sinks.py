@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.normalize import canonical_json, strip
 from .files import IMPORT_COLUMNS
 
 
@@ -13,9 +14,22 @@ def append(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("append").partitionBy(*partition).parquet(path)
 
 
+def append_shortlists(runs: DataFrame, entries: DataFrame, path: str, limit: int = 20) -> None:
+    """Runs and their entries, appended as two tables by organisation.
+
+    Nothing is written if a run has more than ``limit`` entries or shortlists
+    more than are eligible, or if a run of the same id and organisation has entries twice at one rank.
+    """
+    bad = entries.groupBy("run_id").agg(F.count("*").alias("n"), F.max("rank").alias("top"), F.count_distinct("rank").alias("ranks")).filter((F.col("n") > limit) | (F.col("top") > limit) | (F.col("ranks") < F.col("n")))
+    if not bad.isEmpty() or not runs.filter("shortlisted > eligible or eligible > evaluated").isEmpty():
+        raise ValueError("runs or entries break the shortlist rules")
+    append(runs, f"{path}/runs", "org_id")
+    append(entries, f"{path}/entries", "org_id")
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     """Compact JSON with sorted names, nulls kept, one line a row."""
-    df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    df.select(canonical_json(df).alias("value")).write.mode("overwrite").text(path)
 
 
 def metric_line(label: str, value: Column, known: Column, total: Column) -> Column:
@@ -26,7 +40,7 @@ def metric_line(label: str, value: Column, known: Column, total: Column) -> Colu
 
 def draft_text(subject: Column, body: Column) -> Column:
     """S10."""
-    return F.concat(F.lit("Subject: "), F.trim(subject), F.lit("\n\n"), F.trim(body), F.lit("\n"))
+    return F.concat(F.lit("Subject: "), strip(subject), F.lit("\n\n"), strip(body), F.lit("\n"))
 
 
 def export_drafts(drafts: DataFrame, path: str) -> None:
@@ -47,7 +61,7 @@ def clean_event(df: DataFrame) -> DataFrame:
             digits = 3 if f.name == "duration_ms" else 9
             out[f.name] = F.when(x >= 0, F.round(x.cast(f"decimal(27,{digits + 3})"), digits)).cast(f"decimal({16 if digits == 3 else 18},{digits})")
         elif kind == "string":
-            out[f.name] = F.substring(F.trim(F.col(f.name)), 1, 255)
+            out[f.name] = F.substring(strip(F.col(f.name)), 1, 255)
         elif f.name.endswith("_tokens") or f.name == "retries_used":
             out[f.name] = F.when(F.col(f.name) >= 0, F.col(f.name))
     return df.withColumns(out)

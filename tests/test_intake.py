@@ -111,3 +111,48 @@ def test_documents_and_sinks(spark, tmp_path):
 def test_json_column(spark):
     df = spark.createDataFrame([('["a"]',), ("{}",), ("nope",), (None,)], "j string")
     assert [(r[0].value, r[0].error) for r in df.select(files.decode_json(F.col("j"), "array<string>")).collect()] == [(["a"], None), (None, "not_decodable"), (None, "not_decodable"), (None, None)]
+
+
+def test_csv_with_a_quoted_header(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"full_name","email", "location"\n"Ann, B",a@b.c,Rome\n'.replace(', "', ',"'))
+    rows = files.candidate_csv(spark, str(tmp_path / "q.csv")).collect()
+    assert [(r.full_name, r.email, r.location, r.row_number) for r in rows] == [("Ann, B", "a@b.c", "Rome", 2)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text("full_name\nAnn\n")
+    (tmp_path / "d" / "b.csv").write_text("full_name,email\nBob,b@c.d\n")
+    with pytest.raises(ValueError, match="different header"):
+        files.candidate_csv(spark, str(tmp_path / "d"))
+
+
+def test_identity_on_a_shared_number(spark):
+    """One number that many rows and many candidates share makes no pairs, and the verdict is that of all of them."""
+    rows = spark.createDataFrame([(i, 0, "", "5550000000", "") for i in range(2000)], "row_number long, org_id int, email string, phone string, source_reference string")
+    pool = spark.createDataFrame([(i, 0, "", "5550000000", "") for i in range(5, 2000)], "candidate_id long, org_id int, email string, phone string, source_reference string")
+    got = I.identity_matches(rows, pool)
+    assert got.count() == 2000 and got.select("candidate_id", "conflicting", "reasons").distinct().collect() == [(5, True, "phone")]
+
+
+def test_emails_once_each(spark):
+    df = spark.createDataFrame([("B@x.org a@x.org b@X.org c@x.org a@x.org",), ("none",)], "t string")
+    assert [r[0] for r in df.select(I.emails(F.col("t"))).collect()] == [["B@x.org", "a@x.org", "c@x.org"], []]
+
+
+def test_attached_children_in_blocks(spark):
+    from matchloom.operators import review as R
+
+    parents = spark.createDataFrame([(1,), (2,), (3,)], "p int")
+    children = spark.createDataFrame([(1, f"c{i:02d}") for i in range(12)] + [(2, "x")], "p int, c string")
+    got = sorted((r.p, r.block, r.n_children, [x.c for x in r.children or []]) for r in R.attach(parents, children, "p", "c", 5).collect())
+    names = [f"c{i:02d}" for i in range(12)]
+    assert got == [(1, 0, 12, names[:5]), (1, 1, 12, names[5:10]), (1, 2, 12, names[10:]), (2, 0, 1, ["x"]), (3, 0, 0, [])]
+
+
+def test_shortlists_are_stored_whole_or_not_at_all(spark, tmp_path):
+    runs = spark.createDataFrame([(1, 0, 5, 4, 2)], "run_id int, org_id int, evaluated int, eligible int, shortlisted int")
+    entries = spark.createDataFrame([(1, 0, 1, 10), (1, 0, 2, 11)], "run_id int, org_id int, rank int, candidate_id int")
+    sinks.append_shortlists(runs, entries, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s" / "entries")).count() == 2
+    for r, e in ((runs, entries.withColumn("rank", F.lit(1))), (runs, entries.withColumn("rank", F.col("rank") + 19)), (runs.withColumn("shortlisted", F.lit(5)), entries)):
+        with pytest.raises(ValueError, match="shortlist rules"):
+            sinks.append_shortlists(r, e, str(tmp_path / "t"))
+    assert not (tmp_path / "t").exists()

@@ -28,11 +28,19 @@ def test_taxonomy(spark):
 
 
 def test_phone_email_display(spark):
-    assert column(spark, ["+1 (555) 010-9999", "12-34", None, "٣٤٥ 1234567"], N.phone_key) == ["15550109999", "", "", "1234567"]
-    assert column(spark, [" A@B.C ", None], N.email_key) == ["a@b.c", ""]
+    phones = ["+1 (555) 010-9999", "12-34", None, "٣٤٥ 1234567"]
+    assert column(spark, phones, N.phone_key) == [x if len(x) >= 7 else "" for x in (re.sub(r"\D", "", v or "") for v in phones)]
+    mails = [" A@B.C ", None, "ａb@x.org", "\tA@b.c\n", "STRASSE@x.org", "straße@x.org", "\u00a0x@y.z\u2003"]
+    assert column(spark, mails, N.email_key) == [(v or "").strip().casefold() for v in mails]
+    assert column(spark, mails, lambda c: N.strip(c)) == [v and v.strip() for v in mails]
     assert column(spark, ["  a \n b "], N.display) == ["a b"]
 
 
+def test_canonical_json_sorts_every_level(spark):
+    df = spark.createDataFrame([(1, {"z": [{"k": 2, "a": None}], "b": "x"})], "id int, body struct<z:array<struct<k:int,a:string>>,b:string>")
+    assert df.select(N.canonical_json(df)).first()[0] == '{"body":{"b":"x","z":[{"a":null,"k":2}]},"id":1}'
+
+
 def test_extracted_text(spark):
     got = column(spark, ["a  \n\tb \x00\r\n\n", "  \n ", None, "x" * 1_000_001], N.extracted_text)
     assert (got[0].text, got[0].error) == ("a\n\tb", None) and got[1].error == got[2].error == "empty_text" and got[3].error == "text_too_long"
@@ -153,3 +161,24 @@ def test_redaction_of_random_texts(spark):
     got = column(spark, texts, X.redact)
     assert [(t, g) for t, g in zip(texts, got, strict=True) if g != redact_py(t)] == []
     assert column(spark, texts, X.sensitive) == [any(re.match(X.SENSITIVE_LINE, line) for line in t.splitlines()) for t in texts]
+
+
+def test_outreach_context_size(spark):
+    """The size is that of the JSON that Python writes with sorted names, ASCII only."""
+
+
+    findings = [(" Needs \"Spark\" é ", [("did it",), (" ",), ("😀 two",), ("fourth",)]), ("", [("x",)]), ("no proof", [(None,)])] + [(f"r{i}", [("y" * 600,)]) for i in range(8)]
+    df = spark.createDataFrame([(1, "Ö" * 210, " Title ", findings), (2, "O", "T", [])], "decision_id int, organization_name string, vacancy_title string, findings array<struct<requirement_label:string,candidate_evidence:array<struct<evidence:string>>>>")
+    got = {r.decision_id: r for r in G.outreach_context(df).collect()}
+    for r in got.values():
+        assert r.context_chars == len(json.dumps(json.loads(r.context), ensure_ascii=True, sort_keys=True))
+    facts = json.loads(got[1].context)["approved_match_facts"]
+    assert [f["vacancy_requirement"] for f in facts] == ['Needs "Spark" é', *[f"r{i}" for i in range(5)]] and facts[0]["candidate_evidence"] == ["did it", "😀 two"]
+    assert len(facts[1]["candidate_evidence"][0]) == 500 and got[2].fits and not json.loads(got[2].context)["approved_match_facts"]
+
+
+def test_redaction_of_known_values(spark):
+
+    df = spark.createDataFrame([("call Jane or +44 20 7946 0958 now", "jane", "", None), ("no one", " ", None, "x")], "t string, a string, b string, c string")
+    got = [r[0] for r in df.select(X.redact(F.col("t"), F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got == ["call [CONTACT REDACTED] or [CONTACT REDACTED] now", "no one"]
