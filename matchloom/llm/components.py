@@ -11,15 +11,12 @@ from .stage import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return (
-        both.filter("b > a").hint("merge").join(low.hint("merge"), "a")
-        .select(F.col("low").alias("a"), "b").filter("a < b").distinct()
-    )
+    return join_hot(both.filter("b > a"), low, "a", 8).select(F.col("low").alias("a"), "b").filter("a < b").distinct()  # a hub has most of the edges
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("b").agg(F.min("a").alias("low"))
-    moved = edges.hint("merge").join(low.hint("merge"), "b").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    moved = join_hot(edges, low, "b", 8).select(F.col("low").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(low.select(F.col("low").alias("a"), "b")).filter("a < b").distinct()
 
 

@@ -66,13 +66,23 @@ def weak_secrets(text: str) -> list[Span]:
     return out + [("secret", m.start(), m.end(), m.start(1)) for m in _PHRASE.finditer(text) if any(c.isdigit() for c in m.group(1))]
 
 
-def _near(part: Span, starts: list[int], longest: int, others: list[Span], breaks: list[int]) -> bool:
-    """Interval join of one part: whether any of ``others`` (sorted by start) lies in its scope within GAP."""
-    paragraph = bisect_right(breaks, part[1])
-    for i in range(bisect_left(starts, part[1] - GAP - longest), bisect_right(starts, part[2] + GAP)):
-        if others[i][2] >= part[1] - GAP and bisect_right(breaks, others[i][1]) == paragraph:
-            return True
-    return False
+def _index(parts: list[Span], breaks: list[int]) -> tuple[list[int], list[int]]:
+    """Starts of parts, sorted, and for each the furthest end of the parts of its paragraph up to it."""
+    starts, reach, paragraph = [], [], -1
+    for _, s, e, _ in sorted(parts, key=lambda p: p[1]):
+        at = bisect_right(breaks, s)
+        reach.append(e if at != paragraph else max(reach[-1], e))
+        starts.append(s)
+        paragraph = at
+    return starts, reach
+
+
+def _near(part: Span, starts: list[int], reach: list[int], breaks: list[int]) -> bool:
+    """Interval join of one part: whether any indexed part lies in its paragraph within GAP."""
+    at = bisect_right(breaks, part[1])
+    last = part[2] + GAP if at == len(breaks) else min(part[2] + GAP, breaks[at] - 1)
+    i = bisect_right(starts, last) - 1
+    return i >= 0 and starts[i] >= (breaks[at - 1] if at else 0) and reach[i] >= part[1] - GAP
 
 
 def scan_text(text: str) -> list[Span]:
@@ -96,10 +106,7 @@ def scan_text(text: str) -> list[Span]:
         if weak or ids or ends:
             breaks = [m.end() for m in _BREAK.finditer(text)]
             sides = {"s": secrets, "o": [b for b in base if b[0] == "access"] + ids + ends}
-            index = {}
-            for k, parts in sides.items():
-                parts.sort(key=lambda p: p[1])
-                index[k] = ([p[1] for p in parts], max((p[2] - p[1] for p in parts), default=0), parts)
+            index = {k: _index(parts, breaks) for k, parts in sides.items()}
             found += [p for p in weak if _near(p, *index["o"], breaks)]
             found += [p for p in ids + ends if _near(p, *index["s"], breaks)]
     order = {k: i for i, k in enumerate(KINDS)}

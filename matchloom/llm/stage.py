@@ -23,6 +23,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of an earlier stage, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint: later jobs read it, and lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)

@@ -198,8 +198,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_windows: int
         buckets = max(MANY, -(-size // (6 * 16 * bucket_windows)))
     groups = max(1, -(-size // bucket_windows))
     packed = docs.mapInArrow(_packer(window, buckets), "bucket int, slice long, hashes binary, ids binary, keys binary, sizes binary, hits binary")
-    # as many partitions as buckets, so a task's share doesn't grow with the input
-    judged = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_judge(groups), "group int, bucket int, slices binary, ids binary, keys binary, sizes binary, hits binary")
+    # a partition for each bucket, so a task's share doesn't grow with the input
+    judged = packed.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_judge(groups), "group int, bucket int, slices binary, ids binary, keys binary, sizes binary, hits binary")
     return judged.groupBy("group").applyInArrow(_gather, "id long, key long, answers array<struct<bucket:int,hits:binary>>"), buckets
 
 

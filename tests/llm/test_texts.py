@@ -157,3 +157,43 @@ def test_queries_equal_brute_force(spark, sf):
         base = slow_base(t or "")
         assert found[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert found[d].n_hex == sum(k == "hex" for k, _, _ in base)
+
+
+def slow_links(text):
+    """Weak parts that are reported, found by looking at all pairs of parts."""
+    base = C.strict(text)
+    free = lambda parts: [p for p in parts if not any(s < p[2] and p[1] < e for _, s, e, _ in base)]
+    weak = free(C.weak_secrets(text))
+    ids = free([("identifier", m.start(), m.end(), m.start(1)) for m in C._ACCOUNT.finditer(text)])
+    ends = free([("endpoint", m.start(), m.end(), m.start()) for m in C._ENDPOINT.finditer(text)])
+    breaks = [m.end() for m in C._BREAK.finditer(text)]
+    place = lambda p: sum(b <= p[1] for b in breaks)
+    near = lambda p, q: place(p) == place(q) and q[1] <= p[2] + C.GAP and q[2] >= p[1] - C.GAP
+    secrets, others = [b for b in base if b[0] != "access"] + weak, [b for b in base if b[0] == "access"] + ids + ends
+    return {p for p in weak if any(near(p, q) for q in others)} | {p for p in ids + ends if any(near(p, q) for q in secrets)}
+
+
+def test_no_link_is_missed():
+    rnd, linked = random.Random(11), 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randint(1, 14)):
+            parts.append(rnd.choice([
+                "user=alice7", "login: bob", "https://api.example.org/v1", "10.0.0.1:8080", "host.example.com:443", "Abcdefgh1234567890XyZw", "bearer a1b2c3d4e5", "password=hunter22", "AKIA" + "Z9" * 9, "f0" * 14,
+                "words " * rnd.randint(1, 90), "\n\n", "\n \t\n", "x" * rnd.randint(1, 400), "B1c" * 120,
+            ]))
+        text = rnd.choice([" ", "\n"]).join(parts)
+        got = {p for p in C.scan_text(text) if p[0] in ("secret", "identifier", "endpoint")}
+        assert got == slow_links(text)
+        linked += len(got)
+    assert linked > 100
+
+
+def test_many_parts_take_few_steps():
+    """A long part doesn't make others look at everything before them."""
+    import time
+
+    text = "user=" + "a" * 200_000 + " " + " ".join(f"user{i}=name{i}" for i in range(20_000)) + " " + "Qq1" * 60_000
+    start = time.time()
+    C.scan_text(text)
+    assert time.time() - start < 20
