@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import bounded, evidence_key, explanation, fact_key, fold, strip
 from . import text_safety as X
+from .scoring import RULE_LABELS, expected_value
 
 SCHEMA_VERSION = "outreach_draft.v1"  # fixed value
 # fact columns of each nested group, with the label that issues carry
@@ -65,18 +66,75 @@ def text_issues(text: Column, sources: Column) -> Column:
     return F.array_compact(F.array(F.when(X.protected(text), "protected_attribute_language"), F.when(unproven, "unsupported_measured_claim"), F.when(quoted, "unsupported_quoted_claim")))
 
 
+# scalar and list fields of requirements that are references, in order; work mode and employment type count unless unknown
+_SCALAR_FIELDS = ("minimum_experience", "location", "work_mode", "employment_type")
+_LIST_FIELDS = ("language", "education", "certification")
+MOST_REFERENCES = 100
+
+
 def requirement_references(requirements: DataFrame, skills: DataFrame, rules: DataFrame) -> DataFrame:
-    """G1: requirements_id, ordinal, reference, label: skills, then scalar fields, then rules; the summary alone if there is nothing else."""
-    skill = skills.select("requirements_id", F.lit(0).alias("g"), F.struct("importance", "pos").alias("o"), F.concat(F.lit("skill:"), F.col("skill")).alias("reference"), F.col("skill").alias("label"))
-    place = requirements.filter("location <> ''").select("requirements_id", F.lit(1).alias("g"), F.struct(F.lit("").alias("importance"), F.lit(0).alias("pos")).alias("o"), F.lit("field:location").alias("reference"), F.col("location").alias("label"))
-    kind = F.concat(F.lit("rule:"), F.col("rule_type"))
-    rule = rules.select("requirements_id", F.lit(2).alias("g"), F.struct(F.col("rule_type").alias("importance"), F.lit(0).alias("pos")).alias("o"), kind.alias("reference"), F.coalesce(F.nullif("expected", F.lit("")), F.col("rule_type")).alias("label"))
-    rows = skill.unionByName(place).unionByName(rule)
-    none = requirements.join(rows.select("requirements_id").distinct(), "requirements_id", "left_anti").select("requirements_id", F.lit(3).alias("g"), F.struct(F.lit("").alias("importance"), F.lit(0).alias("pos")).alias("o"), F.lit("field:summary").alias("reference"), F.lit("summary").alias("label"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("requirements_id").orderBy("g", "o", "reference")
-    return rows.unionByName(none).select("requirements_id", F.row_number().over(order).alias("ordinal"), "reference", "label")
+    """G1: requirements_id, ordinal, reference, label, category: skills, scalar fields, list fields, then rules; the summary alone if there is nothing else.
+
+    requirements may carry minimum_experience (decimal years), location,
+    work_mode, employment_type, language, education and certification (arrays)
+    and summary; what it lacks counts as empty.
+    """
+    where = lambda n: F.struct(F.lit(n).alias("g"), F.lit("").alias("a"), F.lit(0).alias("b"))
+    row = lambda o, ref, label, kind: ["requirements_id", o.alias("o"), ref.alias("reference"), label.alias("label"), kind.alias("category")]
+    at = lambda g, x, y: F.struct(F.lit(g).alias("g"), x.alias("a"), y.cast("int").alias("b"))
+    parts = [skills.select(*row(at(0, F.col("importance"), F.col("pos")), F.concat(F.lit("skill:"), F.col("skill")), F.col("skill"), F.col("importance")))]
+    for i, name in enumerate(c for c in _SCALAR_FIELDS if c in requirements.columns):
+        value = F.concat(F.lit("At least "), F.col(name).cast("string"), F.lit(" years of experience")) if name == "minimum_experience" else F.col(name)
+        there = F.coalesce(F.col(name).cast("string"), F.lit("")).isin("", "unknown") if name in ("work_mode", "employment_type") else F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
+        parts.append(requirements.filter(~there).select(*row(where(1 + i), F.lit(f"field:{name}"), value, F.lit(name))))
+    for i, name in enumerate(c for c in _LIST_FIELDS if c in requirements.columns):
+        rows = requirements.select("requirements_id", F.posexplode(name).alias("n", "value"))
+        parts.append(rows.select(*row(at(10 + i, F.lit(""), F.col("n")), F.concat(F.lit(f"field:{name}:"), (F.col("n") + 1).cast("string")), F.col("value"), F.lit(name))))
+    kind = F.col("rule_type")
+    labels = F.create_map(*[F.lit(x) for pair in RULE_LABELS.items() for x in pair])
+    shown = F.concat_ws(": ", labels[kind], expected_value(kind, F.col("expected"), F.col("tenths")))
+    parts.append(rules.select(*row(at(20, kind, F.lit(0)), F.concat(F.lit("rule:"), kind), shown, F.concat(F.lit("hard_constraint:"), kind))))
+    rows = reduce(DataFrame.unionByName, parts)
+    if "summary" in requirements.columns:
+        bare = requirements.withColumn("said", strip(F.coalesce("summary", F.lit("")))).filter("said <> ''").hint("merge").join(rows.select("requirements_id").distinct().hint("merge"), "requirements_id", "left_anti")
+        rows = rows.unionByName(bare.select(*row(where(30), F.lit("field:summary"), F.col("said"), F.lit("summary"))))
+    order = Window.partitionBy("requirements_id").orderBy("o", "reference", "label")
+    return rows.withColumn("ordinal", F.row_number().over(order)).select("requirements_id", "ordinal", "reference", "label", "category")
+
+
+def reference_bounds(requirements: DataFrame, references: DataFrame, most: int = MOST_REFERENCES) -> DataFrame:
+    """G1: requirements that can't be assessed, with no_requirements or too_many_requirements."""
+    n = references.groupBy("requirements_id").agg(F.count("*").alias("n"))
+    rows = requirements.select("requirements_id").hint("merge").join(n.hint("merge"), "requirements_id", "left")
+    return rows.withColumn("issue", F.when(F.col("n").isNull(), "no_requirements").when(F.col("n") > most, "too_many_requirements")).filter("issue is not null").select("requirements_id", "issue")
+
+
+# groups of a profile with the name of their references and the field that labels them
+_EVIDENCE_GROUPS = (("skill", "skills", "name"), ("employment", "employment", "job_title"), ("language", "languages", "language"), ("education", "education", "qualification"), ("certification", "certifications", "name"))
+
+
+def evidence_references(profiles: DataFrame) -> DataFrame:
+    """profile_id, ordinal, reference, label, evidence: what of a confirmed profile can be cited; facts without evidence can't.
+
+    The summary comes first, then the groups by position, then location, work
+    mode, availability and employment types.
+    """
+    row = lambda g, n, ref, label, proof: ["profile_id", F.struct(F.lit(g).alias("g"), n.alias("n")).alias("o"), ref.alias("reference"), label.alias("label"), proof.alias("evidence")]
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    scalar = lambda g, name, column, rows: rows.filter(~blank(column) & ~blank(f"{column}_evidence")).select(*row(g, F.lit(0), F.lit(f"profile:{name}"), F.col(column), F.col(f"{column}_evidence")))
+    parts = [scalar(0, "summary", "summary", profiles)]
+    for g, (name, column, field) in enumerate(_EVIDENCE_GROUPS, 1):
+        rows = profiles.select("profile_id", F.posexplode(column).alias("n", "x"))
+        label = F.col(f"x.{field}")
+        if name == "skill":
+            years = F.col("x.years_experience").cast("string")
+            label = F.when(years.isNotNull(), F.concat(label, F.lit(" ("), years, F.lit(" years)"))).otherwise(label)
+        parts.append(rows.select(*row(g, F.col("n"), F.concat(F.lit(f"profile:{name}:"), (F.col("n") + 1).cast("string")), label, F.col("x.evidence"))))
+    parts += [scalar(10, "location", "location", profiles), scalar(11, "work_mode", "work_mode", profiles.filter("work_mode <> 'unknown'")), scalar(12, "availability", "availability", profiles)]
+    rows = profiles.filter(~blank("employment_types_evidence")).select("profile_id", F.posexplode("employment_types").alias("n", "x"), "employment_types_evidence")
+    parts.append(rows.select(*row(13, F.col("n"), F.concat(F.lit("profile:employment_type:"), (F.col("n") + 1).cast("string")), F.col("x"), F.col("employment_types_evidence"))))
+    order = Window.partitionBy("profile_id").orderBy("o")
+    return reduce(DataFrame.unionByName, parts).withColumn("ordinal", F.row_number().over(order)).drop("o").select("profile_id", "ordinal", "reference", "label", "evidence")
 
 
 def reference_issues(findings: DataFrame, required: DataFrame, known: DataFrame) -> DataFrame:

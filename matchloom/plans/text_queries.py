@@ -90,7 +90,7 @@ def meaningful_tokens(spark, sf_dir):
     return view(spark, sf_dir, "benchmark").select("item_id", F.explode(X.meaningful_tokens(F.col("text"))).alias("token"))
 
 
-def grounding_issues(spark, sf_dir):
+def _profiles(spark, sf_dir):
     """Profiles made of conversations: first words of a turn as facts, with evidence from it or from elsewhere."""
     c = view(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     words = F.split("text", " ")
@@ -101,14 +101,44 @@ def grounding_issues(spark, sf_dir):
     )}
     blank = {n: F.lit("") for n in ("summary", "summary_evidence", "location", "location_evidence", "work_mode", "work_mode_evidence", "availability", "availability_evidence", "employment_types_evidence")}
     profiles = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]).alias("skills"))
-    profiles = profiles.withColumnRenamed("conv_id", "profile_id").withColumns({**empty, **blank})
+    return profiles.withColumnRenamed("conv_id", "profile_id").withColumns({**empty, **blank})
+
+
+def grounding_issues(spark, sf_dir):
+    """Claims of profiles made of conversations against their other turns."""
+    c = view(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     sources = c.filter("turn <> 2").groupBy(F.col("conv_id").alias("profile_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return G.evidence_issues(G.profile_claims(profiles), sources).select("profile_id", "label", "reason")
+    return G.evidence_issues(G.profile_claims(_profiles(spark, sf_dir)), sources).select("profile_id", "label", "reason")
+
+
+def _fields(spark, sf_dir):
+    """Requirements with all fields that can be references; one in seven has neither skills nor fields but a summary or nothing."""
+    r, k = view(spark, sf_dir, "fx_requirements"), F.col("requirements_id")
+    bare = k % 7 == 0
+    return r.select(
+        k, F.when(~bare, F.col("location")).alias("location"), F.when(~bare & (k % 5 == 0), F.lit(4.5)).cast("decimal(4,1)").alias("minimum_experience"), F.when(~bare & (k % 3 == 0), "Remote").otherwise("unknown").alias("work_mode"),
+        F.when(bare, None).otherwise("Full-time").alias("employment_type"), F.when(~bare & (k % 4 == 1), F.array(F.lit("Latin"), F.col("location"))).alias("language"), F.when(~bare & (k % 6 == 0), F.array(F.lit("MSc"))).alias("education"),
+        F.when(k % 14 == 0, "  about the job ").otherwise(" ").alias("summary"),
+    )
 
 
 def requirement_refs(spark, sf_dir):
     v = lambda n: view(spark, sf_dir, n)
-    return G.requirement_references(v("fx_requirements"), v("fx_requirement_skill").filter("requirements_id % 7 <> 0"), v("fx_rule"))
+    return G.requirement_references(_fields(spark, sf_dir), v("fx_requirement_skill").filter("requirements_id % 7 <> 0"), v("fx_rule").filter("requirements_id % 7 <> 0"))
+
+
+def requirement_bounds(spark, sf_dir):
+    """G1: requirements without references, or with more than eight."""
+    return G.reference_bounds(view(spark, sf_dir, "fx_requirements"), requirement_refs(spark, sf_dir), 8)
+
+
+def evidence_refs(spark, sf_dir):
+    """Turns of a chat as skills of a profile, with years for some, and a summary for some."""
+    p = _profiles(spark, sf_dir)
+    item = lambda x, i: F.struct(x["name"].alias("name"), x["evidence"].alias("evidence"), F.when(i % 2 == 1, F.lit(2.5)).cast("decimal(4,1)").alias("years_experience"))
+    p = p.withColumns({"skills": F.transform("skills", item), "summary": F.when(F.col("profile_id") % 3 == 0, "short").otherwise(""), "summary_evidence": F.when(F.col("profile_id") % 6 == 0, "shown").otherwise(""), "work_mode": F.lit("unknown"), "work_mode_evidence": F.lit("x"),
+                       "availability": F.lit("now"), "availability_evidence": F.lit("said so"), "employment_types": F.array(F.lit("full-time"), F.lit("contract")), "employment_types_evidence": F.when(F.col("profile_id") % 2 == 0, "asked").otherwise("")})
+    return G.evidence_references(p)
 
 
 def reference_issues(spark, sf_dir):
@@ -211,6 +241,20 @@ _PROTECTED = (
 )
 _CLAIM = "'(?i)\\b(?:[0-9]+|twelve)\\s*\\+?\\s*(?:years?|yrs?|months?|percent)\\b'"
 
+_REFS = """
+f AS (SELECT requirements_id AS k, location FROM {fx_requirements} WHERE requirements_id % 7 <> 0),
+r AS (
+  SELECT requirements_id AS k, 0 AS g, importance AS a, pos AS b, concat('skill:', skill) AS reference, skill AS label, importance AS category FROM {fx_requirement_skill} WHERE requirements_id % 7 <> 0
+  UNION ALL SELECT k, 1, '', 0, 'field:minimum_experience', 'At least 4.5 years of experience', 'minimum_experience' FROM f WHERE k % 5 = 0
+  UNION ALL SELECT k, 2, '', 0, 'field:location', location, 'location' FROM f UNION ALL SELECT k, 3, '', 0, 'field:work_mode', 'Remote', 'work_mode' FROM f WHERE k % 3 = 0
+  UNION ALL SELECT k, 4, '', 0, 'field:employment_type', 'Full-time', 'employment_type' FROM f
+  UNION ALL SELECT k, 10, '', 0, 'field:language:1', 'Latin', 'language' FROM f WHERE k % 4 = 1 UNION ALL SELECT k, 10, '', 1, 'field:language:2', location, 'language' FROM f WHERE k % 4 = 1
+  UNION ALL SELECT k, 11, '', 0, 'field:education:1', 'MSc', 'education' FROM f WHERE k % 6 = 0
+  UNION ALL SELECT requirements_id, 20, rule_type, 0, concat('rule:', rule_type), concat(CASE rule_type WHEN 'required_skill' THEN 'Required skill' WHEN 'minimum_experience' THEN 'Minimum years of experience' WHEN 'work_mode' THEN 'Work mode' WHEN 'employment_type' THEN 'Employment type'
+      ELSE concat(upper(left(rule_type, 1)), substr(rule_type, 2)) END, ': ', CASE WHEN rule_type = 'minimum_experience' THEN concat('At least ', CAST(tenths // 10 AS STRING), ' years') ELSE expected END), concat('hard_constraint:', rule_type) FROM {fx_rule} WHERE requirements_id % 7 <> 0
+  UNION ALL SELECT requirements_id, 30, '', 0, 'field:summary', 'about the job', 'summary' FROM {fx_requirements} WHERE requirements_id % 14 = 0),
+refs AS (SELECT k AS requirements_id, CAST(row_number() OVER (PARTITION BY k ORDER BY g, a, b, reference, label) AS INT) AS ordinal, reference, label, category FROM r)"""
+
 _KEYS = """
 k AS (SELECT row_number, org_id, 0 AS kind, email AS key FROM {fx_import} UNION ALL SELECT row_number, org_id, 1, phone FROM {fx_import}
       UNION ALL SELECT row_number, org_id, 2, source_reference FROM {fx_import}),
@@ -249,12 +293,19 @@ def sql() -> dict[str, str]:
             " SELECT s.conv_id, s.turn, coalesce(string_agg(claim, '|' ORDER BY i), '') AS claims FROM said s LEFT JOIN c ON c.conv_id = s.conv_id AND c.turn = s.turn GROUP BY 1, 2"
         ),
         "protected_language": oracle("WITH " + _SAID + " SELECT conv_id, turn, regexp_matches(text, '" + _PROTECTED + "') AS protected FROM said"),
-        "requirement_refs": oracle("""
-            WITH s AS (SELECT * FROM {fx_requirement_skill} WHERE requirements_id % 7 <> 0), r AS (
-              SELECT requirements_id, 0 AS g, importance AS a, pos AS b, concat('skill:', skill) AS reference, skill AS label FROM s
-              UNION ALL SELECT requirements_id, 1, '', 0, 'field:location', location FROM {fx_requirements} WHERE location <> ''
-              UNION ALL SELECT requirements_id, 2, rule_type, 0, concat('rule:', rule_type), coalesce(nullif(expected, ''), rule_type) FROM {fx_rule})
-            SELECT requirements_id, row_number() OVER (PARTITION BY requirements_id ORDER BY g, a, b, reference) AS ordinal, reference, label FROM r"""),
+        "requirement_refs": oracle("WITH " + _REFS + " SELECT requirements_id, ordinal, reference, label, category FROM refs"),
+        "requirement_bounds": oracle("WITH " + _REFS + """, n AS (SELECT requirements_id, count(*) AS n FROM refs GROUP BY 1)
+            SELECT r.requirements_id, CASE WHEN n IS NULL THEN 'no_requirements' ELSE 'too_many_requirements' END AS issue FROM {fx_requirements} r LEFT JOIN n ON n.requirements_id = r.requirements_id WHERE n IS NULL OR n > 8"""),
+        "evidence_refs": oracle("""
+            WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, string_split(coalesce(text, ''), ' ') AS w FROM {conversations}),
+            s AS (SELECT conv_id, n, array_to_string(w[1:2], ' ') AS name, CASE WHEN turn % 2 = 0 THEN array_to_string(w[1:4], ' ') ELSE array_to_string(w[2:4], ' ') END AS evidence FROM c),
+            p AS (SELECT DISTINCT conv_id FROM {conversations}),
+            r AS (
+              SELECT conv_id, 0 AS g, 0 AS n, 'profile:summary' AS reference, 'short' AS label, 'shown' AS evidence FROM p WHERE conv_id % 6 = 0
+              UNION ALL SELECT conv_id, 1, n, concat('profile:skill:', CAST(n AS STRING)), concat(name, CASE WHEN n % 2 = 0 THEN ' (2.5 years)' ELSE '' END), evidence FROM s
+              UNION ALL SELECT conv_id, 12, 0, 'profile:availability', 'now', 'said so' FROM p
+              UNION ALL SELECT conv_id, 13, 0, 'profile:employment_type:1', 'full-time', 'asked' FROM p WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, 13, 1, 'profile:employment_type:2', 'contract', 'asked' FROM p WHERE conv_id % 2 = 0)
+            SELECT conv_id AS profile_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY g, n) AS INT) AS ordinal, reference, label, evidence FROM r"""),
         "reference_issues": oracle("""
             WITH f AS (SELECT l_orderkey AS a, CAST(l_linenumber % 5 AS STRING) AS r, CASE WHEN l_tax < 0.02 THEN 'gap' ELSE 'match' END AS c, l_quantity > 5 AS cites, CAST(l_partkey % 4 AS STRING) AS e FROM {lineitem}),
             q AS (SELECT o_orderkey AS a, r FROM {orders} CROSS JOIN (SELECT '1' AS r UNION ALL SELECT '2' UNION ALL SELECT '3') x)
@@ -286,5 +337,5 @@ def sql() -> dict[str, str]:
 
 QUERIES = (
     dup_documents, dup_identity, csv_triage, import_counts, batch_counts, skill_vocabulary, identity_flags, email_counts, redaction_counts, email_redaction, claim_issues, measured_claims, protected_language,
-    meaningful_tokens, grounding_issues, requirement_refs, reference_issues, context_sizes, ndcg_at5, ndcg_macro, overlap_at5, coverage_gate, binding_issues, ranking_differences, quality_rules, normalised_names,
+    meaningful_tokens, grounding_issues, requirement_refs, requirement_bounds, evidence_refs, reference_issues, context_sizes, ndcg_at5, ndcg_macro, overlap_at5, coverage_gate, binding_issues, ranking_differences, quality_rules, normalised_names,
 )
