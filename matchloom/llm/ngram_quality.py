@@ -32,7 +32,7 @@ ALL = 1 / 16
 #: Entries of all orders that are sent to the executors at once (one language at least); more languages take further rounds.
 MOST_ENTRIES = 6_000_000
 #: Half width of a band in robust standard deviations, and the bytes at which a text's own noise doubles its variance.
-WIDTH_LOW, WIDTH_HIGH, NOISE_BYTES = 6.0, 14.0, 1500.0
+WIDTH_LOW, WIDTH_HIGH, NOISE_BYTES = 4.5, 14.0, 1500.0
 
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
