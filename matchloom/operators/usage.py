@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 STALE_MINUTES = 15
 TREND_DAYS = 90
 PERIODS = {"7": 7, "30": 30, "90": 90, "all": None}
-# labels shown for failure codes; fixed values
+# labels shown for workflows, failure stages and failure codes; fixed values
+WORKFLOW_LABELS = {
+    "vacancy_requirements": "Vacancy requirements",
+    "candidate_profile": "Candidate profile",
+    "match_assessment": "Match assessment",
+    "outreach_draft": "Outreach draft",
+}
+STAGE_LABELS = {
+    "gateway": "Gateway",
+    "application": "Application validation",
+}
 FAILURE_LABELS = {
     "ai_configuration_error": "AI configuration unavailable",
     "ai_invalid_response": "Structured response invalid",
@@ -48,8 +58,11 @@ def within(ledger: DataFrame, now: str, period: str = "30", workflow: str = "all
     days = PERIODS.get(period, 30)
     if days is not None:
         ledger = ledger.filter(F.col("started_at") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
-    known = ("vacancy_requirements", "candidate_profile", "match_assessment", "outreach_draft")
-    return ledger.filter(F.col("workflow") == workflow) if workflow in known else ledger
+    return ledger.filter(F.col("workflow") == workflow) if workflow in WORKFLOW_LABELS else ledger
+
+
+def _label(labels: dict[str, str], code: Column, other: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), code), other)
 
 
 def overall(ledger: DataFrame) -> DataFrame:
@@ -57,18 +70,18 @@ def overall(ledger: DataFrame) -> DataFrame:
 
 
 def by_dimension(ledger: DataFrame) -> DataFrame:
-    """A4: all, each workflow and each named model of every tenant, in one pass over grouping sets."""
+    """A4: all, each workflow and each named model of every tenant, in one pass over grouping sets; with labels, and positions by label in any case."""
     rows = ledger.groupingSets([["org_id"], ["org_id", "workflow"], ["org_id", "model"]], "org_id", "workflow", "model").agg(F.grouping_id().alias("g"), *metrics(ledger.columns))
     kind = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "workflow").otherwise("model")
     rows = rows.withColumn("dimension", kind).withColumn("value", F.coalesce(F.when(F.col("g") == 3, "").when(F.col("g") == 1, F.col("workflow")).otherwise(F.col("model")), F.lit("")))
-    return rows.filter("not (dimension = 'model' and value = '')").drop("workflow", "model", "g")
+    rows = rows.filter("dimension = 'all' or value <> ''").drop("workflow", "model", "g").withColumn("label", F.when(F.col("dimension") == "workflow", _label(WORKFLOW_LABELS, F.col("value"), F.col("value"))).otherwise(F.col("value")))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("org_id", "dimension").orderBy(F.lower("label"), "value")))
 
 
 def failures(ledger: DataFrame) -> DataFrame:
-    """A5: failed attempts by stage and code, with a label."""
-    labels = F.create_map(*[F.lit(x) for pair in FAILURE_LABELS.items() for x in pair])
+    """A5: failed attempts by stage and code, with their labels."""
     rows = ledger.filter("status = 'failed'").groupBy("org_id", "failure_stage", "failure_code").agg(F.count("*").alias("n"))
-    return rows.withColumn("label", F.coalesce(F.try_element_at(labels, F.col("failure_code")), F.lit("Other recorded failure")))
+    return rows.withColumns({"stage_label": _label(STAGE_LABELS, F.col("failure_stage"), F.lit("Recorded failure")), "label": _label(FAILURE_LABELS, F.col("failure_code"), F.lit("Other recorded failure"))})
 
 
 def daily(ledger: DataFrame, days: int = TREND_DAYS) -> DataFrame:

@@ -41,7 +41,7 @@ def usage_completion(spark, sf_dir):
     u = view(spark, sf_dir, "fx_usage")
     starts = u.select("event_id", "org_id", F.lit("pending").alias("status"), "failure_stage", "failure_code")
     ends = u.filter("status <> 'pending'").select(
-        "event_id", (F.col("status") == "succeeded").alias("ok"), (F.col("failure_stage") == "provider").alias("from_gateway"), F.concat(F.lit("ai_"), F.col("failure_code")).alias("failure_code")
+        "event_id", (F.col("status") == "succeeded").alias("ok"), (F.col("failure_stage") == "gateway").alias("from_gateway"), "failure_code"
     )
     return A.completions(starts, ends).groupBy("org_id", "status", "failure_stage", "failure_code").agg(F.count("*").alias("n"))
 
@@ -166,7 +166,7 @@ def staleness(spark, sf_dir):
 
 
 def pool_signatures(spark, sf_dir):
-    return V.pool_signature(V.candidate_hashes(view(spark, sf_dir, "fx_candidate"), view(spark, sf_dir, "fx_candidate_skill")))
+    return V.pool_signature(V.candidate_hashes(view(spark, sf_dir, "fx_candidate"), view(spark, sf_dir, "fx_candidate_skill"), view(spark, sf_dir, "fx_profile"), view(spark, sf_dir, "fx_profile_fact")))
 
 
 def pending_profiles(spark, sf_dir):
@@ -208,18 +208,22 @@ def sql() -> dict[str, str]:
         "usage_overall": oracle("SELECT org_id, " + _M + " FROM {fx_usage} GROUP BY 1"),
         "usage_period": oracle("SELECT org_id, " + _M + " FROM {fx_usage} WHERE started_at >= TIMESTAMP '2024-01-01 00:00:00' AND workflow = 'match_assessment' GROUP BY 1"),
         "usage_breakdown": oracle(
-            "SELECT org_id, 'all' AS dimension, '' AS value, " + _M + " FROM {fx_usage} GROUP BY 1 UNION ALL SELECT org_id, 'workflow', workflow, " + _M
-            + " FROM {fx_usage} GROUP BY 1, 3 UNION ALL SELECT org_id, 'model', model, " + _M + " FROM {fx_usage} WHERE model <> '' GROUP BY 1, 3"
-        ),
-        "usage_failures": oracle("SELECT org_id, failure_stage, failure_code, count(*) AS n, 'Other recorded failure' AS label FROM {fx_usage} WHERE status = 'failed' GROUP BY 1, 2, 3"),
+            "WITH b AS (SELECT org_id, 'all' AS dimension, '' AS value, " + _M + " FROM {fx_usage} GROUP BY 1 UNION ALL SELECT org_id, 'workflow', workflow, " + _M
+            + " FROM {fx_usage} GROUP BY 1, 3 UNION ALL SELECT org_id, 'model', model, " + _M + " FROM {fx_usage} WHERE model <> '' GROUP BY 1, 3),"
+            " l AS (SELECT *, CASE WHEN dimension = 'workflow' THEN concat(upper(left(value, 1)), replace(substr(value, 2), '_', ' ')) ELSE value END AS label FROM b)"
+            " SELECT *, CAST(row_number() OVER (PARTITION BY org_id, dimension ORDER BY lower(label), value) AS INT) AS position FROM l"
+        ),
+        "usage_failures": oracle("""
+            SELECT org_id, failure_stage, failure_code, count(*) AS n, CASE failure_stage WHEN 'gateway' THEN 'Gateway' WHEN 'application' THEN 'Application validation' ELSE 'Recorded failure' END AS stage_label,
+              CASE failure_code WHEN 'ai_request_failed' THEN 'AI request failed' WHEN 'ai_service_unavailable' THEN 'AI service unavailable' ELSE 'Other recorded failure' END AS label FROM {fx_usage} WHERE status = 'failed' GROUP BY 1, 2, 3"""),
         "usage_daily90": oracle("""
             SELECT * FROM (SELECT org_id, CAST(started_at AS DATE) AS day, count(*) AS attempts, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed,
               CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, count(total_tokens) AS tokens_known FROM {fx_usage} GROUP BY 1, 2)
             QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY day DESC) <= 90"""),
         "stale_pending": oracle("SELECT org_id, count(*) FILTER (status = 'pending' AND started_at < TIMESTAMP '2024-01-30 23:45:00') AS stale_pending FROM {fx_usage} GROUP BY 1"),
         "usage_completion": oracle("""
-            SELECT org_id, status, CASE WHEN status <> 'failed' THEN '' WHEN failure_stage = 'provider' THEN 'gateway' ELSE 'application' END AS failure_stage,
-              CASE WHEN status <> 'failed' THEN '' WHEN failure_stage = 'provider' THEN 'ai_request_failed' ELSE 'ai_application_validation' END AS failure_code, count(*) AS n FROM {fx_usage} GROUP BY 1, 2, 3, 4"""),
+            SELECT org_id, status, CASE WHEN status <> 'failed' THEN '' WHEN failure_stage = 'gateway' THEN 'gateway' ELSE 'application' END AS failure_stage,
+              CASE WHEN status <> 'failed' THEN '' WHEN failure_stage = 'gateway' THEN CASE WHEN failure_code LIKE 'ai_%' THEN failure_code ELSE 'ai_request_failed' END ELSE 'ai_application_validation' END AS failure_code, count(*) AS n FROM {fx_usage} GROUP BY 1, 2, 3, 4"""),
         "latest_version": oracle("SELECT entry_id, version, score FROM {fx_assessment} a WHERE version = (SELECT max(version) FROM {fx_assessment} b WHERE b.entry_id = a.entry_id)"),
         "next_version": oracle("SELECT p.entry_id, coalesce(max(version), 0) + 1 AS next_version FROM (SELECT entry_id FROM {fx_assessment} UNION SELECT o_orderkey FROM {orders}) p LEFT JOIN {fx_assessment} a ON a.entry_id = p.entry_id GROUP BY 1"),
         "review_queue": oracle("SELECT *, " + _CATEGORY + " AS category FROM {fx_review} QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY version DESC) = 1"),

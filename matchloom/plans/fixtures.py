@@ -65,8 +65,8 @@ VIEWS = {
                CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('req', CAST(event_id AS STRING)) END AS provider_request_id,
                CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(regexp_extract(props, '[0-9]+', 0) AS INT) END AS total_tokens,
                CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 900 AS INT) END AS duration_ms,
-               CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 2 = 0 THEN 'provider' ELSE 'validation' END AS failure_stage,
-               CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 3 = 0 THEN 'timeout' ELSE 'unexpected' END AS failure_code,
+               CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 2 = 0 THEN 'gateway' WHEN event_id % 3 = 0 THEN 'odd' ELSE 'application' END AS failure_stage,
+               CASE WHEN event_type <> 'error' THEN '' WHEN event_id % 3 = 0 THEN 'ai_request_failed' WHEN event_id % 3 = 1 THEN 'ai_service_unavailable' ELSE 'unexpected' END AS failure_code,
                CAST(event_id % 3 AS INT) AS retries_used, ts AS started_at
         FROM {events}""",
     "fx_source": """

@@ -62,14 +62,14 @@ def stream_new_documents(spark, sf_dir):
     out = _folder(spark, "new-documents")
     held = view(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select((F.col("doc_id") % 5).cast("int").alias("org_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
     _batches(T.new_documents(docs), spark, "new-documents", T.against_registry(lambda: held, lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")))
-    return spark.read.parquet(out).select("org_id", "sha256").distinct().groupBy("org_id").agg(F.count("*").alias("contents"))
+    return spark.read.parquet(out).select("org_id", "sha256").distinct()
 
 
 def stream_stale_starts(spark, sf_dir):
-    """Pending events have no end; others end after a minute."""
+    """Pending events have no end, others end after a minute; out come those whose time the watermark has passed."""
     u = _ledger(spark, sf_dir)
     ends = _ledger(spark, sf_dir).filter("status <> 'pending'").select("event_id", (F.col("started_at") + F.expr("INTERVAL 1 MINUTE")).alias("completed_at"))
-    return _drain(T.stale_starts(u, ends), spark, "stale").groupBy("org_id").agg((F.count("*") > 0).alias("any_stale"), (F.sum((F.col("event_id") % 10 != 3).cast("int")) == 0).alias("only_pending"))
+    return _drain(T.stale_starts(u, ends), spark, "stale").groupBy("org_id").agg(F.count("*").alias("stale"), F.sum("event_id").alias("id_sum"), F.max("started_at").alias("last"))
 
 
 def stream_refresh(spark, sf_dir):
@@ -100,13 +100,15 @@ def sql() -> dict[str, str]:
             FROM {fx_usage} WHERE date_trunc('day', started_at) + INTERVAL 1 DAY <= (SELECT max(started_at) - INTERVAL 1 DAY FROM {fx_usage}) GROUP BY 1, 2, 3"""),
         "stream_new_documents": oracle("""
             WITH d AS (SELECT DISTINCT CAST(doc_id % 5 AS INT) AS org_id, coalesce(text, '') AS x FROM {documents})
-            SELECT org_id, count(*) AS contents FROM d WHERE NOT EXISTS (SELECT 1 FROM {documents} r WHERE r.doc_id % 10 = 0 AND r.doc_id % 5 = d.org_id AND coalesce(r.text, '') = d.x) GROUP BY 1"""),
+            SELECT org_id, sha256(x) AS sha256 FROM d WHERE NOT EXISTS (SELECT 1 FROM {documents} r WHERE r.doc_id % 10 = 0 AND r.doc_id % 5 = d.org_id AND coalesce(r.text, '') = d.x)"""),
         "stream_sessions": oracle("""
             WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM {events}),
             s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS n FROM e),
             w AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end_, count(*) AS events FROM s GROUP BY user_id, n)
             SELECT user_id, start, end_ AS "end", events FROM w WHERE end_ <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {events})"""),
-        "stream_stale_starts": oracle("SELECT DISTINCT org_id, true AS any_stale, true AS only_pending FROM {fx_usage}"),
+        "stream_stale_starts": oracle("""
+            WITH w AS (SELECT least(max(started_at), max(CASE WHEN status <> 'pending' THEN started_at + INTERVAL 1 MINUTE END)) - INTERVAL 1 MINUTE AS passed FROM {fx_usage})
+            SELECT org_id, count(*) AS stale, CAST(sum(event_id) AS BIGINT) AS id_sum, max(started_at) AS last FROM {fx_usage} CROSS JOIN w WHERE status = 'pending' AND started_at + INTERVAL 15 MINUTE < passed GROUP BY 1"""),
         "stream_refresh": _over(f"WITH {_POINTS}, {_ALL}, {_RANKED} SELECT k.requirements_id, rank, candidate_id, score_cents FROM ranked k JOIN {{fx_requirements}} r ON r.requirements_id = k.requirements_id WHERE rank <= 20 AND r.org_id = 1"),
     }
 
