@@ -87,12 +87,12 @@ def shard(docs: DataFrame, shards: int = 8, base: int = 8, blocks: int = BLOCKS)
     unsigned CRC-32 (null: of the empty text).  ``slot`` numbers a shard's rows
     from 0 without gaps, by hash block, doc_id, CRC and size; repeated rows get
     slots of their own.  ``grown_shard`` is the shard with one more in the fleet.
-    Slots are numbered within 1,024 hash blocks a shard and moved by the sizes of
+    Slots are numbered within 1,024 hash blocks of id and text a shard and moved by the sizes of
     the blocks before, so no task holds a shard.
     """
     docs = ensure(docs, "doc_id", "text")
     key = F.col("doc_id")
-    block = F.pmod(F.xxhash64(key, F.lit("block")), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64(key, "text", F.lit("block")), F.lit(blocks)).cast("int")  # the text parts rows whose id is null or repeated
     sizes = docs.select(place(key, fleet(shards, base)).alias("shard"), block.alias("block")).groupBy("shard", "block").count()
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
