@@ -151,7 +151,7 @@ e AS (
 )
 SELECT requirements_id, candidate_id, CAST(position AS INT) AS position, rule_type, CASE WHEN reason = 'place_other' THEN 'failed' WHEN reason IN ('skill_matched', 'years_met', 'place_matched', 'matched') THEN 'passed' ELSE 'unknown' END AS outcome, reason,
   CASE WHEN rule_type = 'minimum_experience' THEN concat('At least ', CAST(tenths // 10 AS STRING), ' years') ELSE expected END AS expected_value,
-  coalesce(CASE rule_type WHEN 'required_skill' THEN CASE WHEN has THEN expected END WHEN 'minimum_experience' THEN concat(years_text, ' years with ', best_skill) WHEN 'location' THEN nullif(place, '') ELSE fact END, 'Not recorded') AS candidate_value,
+  coalesce(CASE rule_type WHEN 'required_skill' THEN CASE WHEN has THEN expected END WHEN 'minimum_experience' THEN CASE WHEN best IS NOT NULL THEN concat(years_text, ' years with ', best_skill) END WHEN 'location' THEN nullif(place, '') ELSE fact END, 'Not recorded') AS candidate_value,
   CASE reason WHEN 'skill_matched' THEN concat('The recorded skill matches ', expected, '.')
     WHEN 'skill_missing' THEN concat('No structured ', expected, ' skill fact is recorded. Absence is not evidence that the candidate lacks the skill.')
     WHEN 'years_met' THEN 'Recorded skill experience proves the minimum duration is met.'
