@@ -2,8 +2,8 @@
 
 A text is cut before each single space that follows a visible character: neither
 tokenizer can join what lies on both sides, so such a chunk has the same tokens
-anywhere, and a worker aligns each distinct one once.  A first pass counts linked
-pairs for each task.  The distinct pairs are dealt into shards of bounded size,
+anywhere, and a worker encodes each distinct one once.  The ids are written.  A
+first pass aligns them and counts linked pairs for each task.  The distinct pairs are dealt into shards of bounded size,
 and each shard gets a minimal perfect hash.  Counts become dense vectors indexed
 by it, one for a few tasks, which are summed along a tree.  A second pass aligns
 the documents again and looks counts up by hash, with the slot's key verified.
@@ -17,6 +17,7 @@ import json
 import math
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .bpe import MOST_BYTES, byte_symbols
 from .perfect_hash import PerfectHash, build
 from .stage import cut, ensure
-from .textkit import mix, text_slices
+from .textkit import SEGMENT, mix, text_slices
 
 #: Distinct pairs in a shard on average.
 SHARD = 1 << 14
@@ -39,8 +41,10 @@ SHARD = 1 << 14
 FAN = 16
 #: Pairs that are sent to every worker at most, about 20 bytes each.
 HEAD = 1 << 21
-#: Chunks a worker remembers, each of at most 64 characters, and pairs it counts before it hands them on.
+#: Chunks of at most 64 characters that a worker remembers, and pairs it counts before it hands them on.
 MEMORY, MOST_PAIRS = 200_000, 1 << 20
+#: Characters below this one are classed alike by all versions of Unicode, so the quicker encoder may have them.
+_PLAIN = "\u0250"
 _CUT = re.compile(r"(?<=\S) (?!\Z)")
 _BLANKS = [f"{c} " for c in map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 
@@ -53,7 +57,7 @@ def chunks(text: str) -> list[str]:
 
 
 class Aligner:
-    """Both tokenizers, and the alignments of the chunks seen lately."""
+    """Both tokenizers, and the tokens of the chunks seen lately."""
 
     def __init__(self, bytes_file: str, pieces_file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,98 +72,148 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
-        byte = {s: b for b, s in enumerate(byte_symbols())}
-        self.a_bytes = {i: bytes(byte.get(c, 63) for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        byte, names = {s: b for b, s in enumerate(byte_symbols())}, self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (1 + max(names.values()))
+        for t, i in names.items():
+            self.a_bytes[i] = bytes(byte.get(c, 63) for c in t)
+        self.quick = _by_rank(held["model"], self.a_bytes)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces_file)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces) or not pieces[self.b.encode("a")[0]].startswith("▁"):
             raise ValueError("the second tokenizer must mark spaces at the beginning of pieces only, and add one")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.memory: dict[str, tuple] = {}
-
-    def _align(self, chunk: str, a: list[int], b: list[int]) -> tuple:
-        """n_a, n_b, n_groups, linked pairs, groups as text; None for the pairs if the tokens' bytes aren't the chunk's."""
-        held = f" {chunk}".encode()
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != held or b"".join(b_parts) != held:
-            return 0, 0, 0, None, ""
-        i = j = a_end = b_end = from_a = from_b = 0
-        links, groups = [], []
-        a_end, b_end = len(a_parts[0]), len(b_parts[0])
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                from_a, from_b = i, j
-                a_end, b_end = a_end + len(a_parts[i]), b_end + len(b_parts[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(a_parts[i])
-            else:
-                j += 1
-                b_end += len(b_parts[j])
-        return len(a), len(b), len(groups), np.array(links, np.int64), ";".join(groups)
-
-    def table(self, wanted: list[str]) -> list[tuple]:
-        """The alignment of each of some distinct chunks."""
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.kind = np.dtype("<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4")
+        self.memory: dict[str, tuple[bytes, bytes] | None] = {}
+        self.decimals = _decimals(max(len(self.a_bytes), len(self.b_bytes)))
+
+    def _encoded(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of a space and the text; None where their bytes aren't those."""
+        held = f" {text}".encode()
+        quick = self.quick and (text.isascii() or max(text) < _PLAIN)
+        a = self.quick.encode_ordinary(f" {text}") if quick else self.a.encode(f" {text}", add_special_tokens=False).ids
+        b = self.b.encode(text, num_threads=1)
+        same = b"".join([self.a_bytes[i] for i in a]) == held and b"".join([self.b_bytes[i] for i in b]) == held
+        return (a, b) if same else None
+
+    def _packed(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
+        return np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()
+
+    def _together(self, some: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Tokens of chunks that end in a visible character, encoded in one go and cut at the chunks' ends."""
+        if not (both := self._encoded(" ".join(some))):
+            return {c: self._packed(*one) if (one := self._encoded(c)) else None for c in some}
+        end, parts = np.cumsum([1 + len(c.encode()) for c in some]), []
+        for ids, size in zip(both, (self.a_size, self.b_size), strict=True):
+            ids = np.array(ids, np.int64)
+            edge = [0, *(np.searchsorted(np.cumsum(size[ids]), end) + 1).tolist()]
+            raw, wide = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            parts.append([raw[wide * x : wide * y] for x, y in zip(edge[:-1], edge[1:], strict=True)])
+        return dict(zip(some, zip(*parts, strict=True), strict=True))
+
+    def table(self, wanted: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of each of some distinct chunks by both; None where the tokens' bytes aren't the chunk's."""
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        new = [c for c in wanted if c not in self.memory]
-        made = {}
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            a = self.a.encode_batch([f" {c}" for c in some], add_special_tokens=False)
-            b = self.b.encode(some, num_threads=1)
-            made.update((c, self._align(c, x.ids, y)) for c, x, y in zip(some, a, b, strict=True))
-        self.memory.update((c, x) for c, x in made.items() if len(c) <= 64)
-        return [made.get(c) or self.memory[c] for c in wanted]
+        memory, made = self.memory, {}
+        new = [c for c in wanted if c not in memory]
+        plain = [c for c in new if len(c) <= 64 and not c[-1].isspace() and "▁" not in c]
+        latin = {c for c in plain if c.isascii() or max(c) < _PLAIN}
+        for some in (list(latin), [c for c in plain if c not in latin]):
+            for at in range(0, len(some), 4000):
+                memory.update(self._together(some[at : at + 4000]))
+        for c in new:
+            if c not in memory:
+                made[c] = self._packed(*one) if (one := self._encoded(c)) else None
+        return [memory[c] if c in memory else made[c] for c in wanted]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text the number of its first ids as 8 bytes, those, and the other ids; nothing where it has no tokens."""
+        held = [chunks(t) if t else [] for t in texts]
+        at: dict[str, int] = {}
+        number = [[at.setdefault(c, len(at)) for c in own] for own in held]
+        rows = self.table(list(at))
+        bad = {i for i, r in enumerate(rows) if r is None}
+        first, second, out, wide = [r and r[0] for r in rows], [r and r[1] for r in rows], [], self.kind.itemsize
+        for own in number:
+            if not own or (bad and not bad.isdisjoint(own)):
+                out.append(b"")
+            else:
+                a = b"".join([first[k] for k in own])
+                out.append(struct.pack("<q", len(a) // wide) + a + b"".join([second[k] for k in own]))
+        return out
+
+
+def _by_rank(model: dict, tokens: list[bytes]):
+    """The same tokenizer by ranks, which is quicker; None where ids aren't in the order of merges."""
+    import public_tokenizers
+    import tiktoken
+
+    bare = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+    if sorted(map(len, tokens[:256])) != [1] * 256 or any(model["vocab"].get(t) != 256 + i for i, t in enumerate(bare)):
+        return None
+    return tiktoken.Encoding("by-rank", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens[: 256 + len(bare)])}, special_tokens={})
+
+
+def _decimals(n: int) -> pa.Array:
+    """Decimal numbers below n followed by nothing, a comma, a bar or a semicolon, one kind after the other."""
+    return pa.array([f"{i}{end}" for end in ("", ",", "|", ";") for i in range(n)], pa.large_string())
 
 
 class Aligned:
-    """The documents of a slice as chunks: ``number`` of each chunk in ``rows``, ``first`` of each document, and its sums."""
+    """The aligned tokens of some documents.
 
-    def __init__(self, aligner: Aligner, texts: list[str | None]):
-        held = [chunks(t) if t else [] for t in texts]
-        at: dict[str, int] = {}
-        number = [at.setdefault(c, len(at)) for own in held for c in own]
-        self.rows = aligner.table(list(at))
-        self.number = np.array(number, np.int64)
-        self.first = np.r_[0, np.cumsum([len(own) for own in held])]
-        bad = np.array([r[3] is None for r in self.rows], bool)
-        self.good = self.sums(bad) == 0
-        if bad.any():  # a document with such a chunk has no tokens
-            stays = np.repeat(self.good, np.diff(self.first))
-            self.number = self.number[stays]
-            self.first = np.r_[0, np.cumsum(np.where(self.good, np.diff(self.first), 0))]
-        none = np.zeros(0, np.int64)
-        self.links = [none if r[3] is None else r[3] for r in self.rows]
-        self.many = np.array([len(x) for x in self.links], np.int64)
-        self.pairs = np.concatenate([none, *self.links])
+    The byte ranges of both sides are laid end to end.  Every distinct end of a
+    token ends one link, of the tokens that cover the bytes before it; an end that
+    both sides share ends a group.
+    """
+
+    def __init__(self, aligner: Aligner, held: list[bytes]):
+        kind, self.aligner = aligner.kind, aligner
+        n = np.array([struct.unpack_from("<q", x)[0] if x else 0 for x in held], np.int64)
+        total = np.array([(len(x) - 8) // kind.itemsize if x else 0 for x in held], np.int64)
+        raw = np.frombuffer(b"".join([x[8:] for x in held]), kind).astype(np.int64)
+        self.n_a, self.n_b = n, total - n
+        left = np.repeat(np.tile([True, False], len(held)), np.column_stack([n, total - n]).ravel())
+        self.a, self.b = raw[left], raw[~left]
+        self.a_end, self.b_end = np.cumsum(aligner.a_size[self.a]), np.cumsum(aligner.b_size[self.b])
+        both = np.sort(np.concatenate([self.a_end, self.b_end]), kind="stable")  # two runs to merge
+        new = np.r_[True, both[1:] != both[:-1]][: len(both)]
+        self.end, self.closes = both[new], np.diff(np.r_[np.flatnonzero(new), len(both)]) == 2
+        self.at_a, self.at_b = np.searchsorted(self.a_end, self.end), np.searchsorted(self.b_end, self.end)
+        self.pairs = self.a[self.at_a] << 32 | self.b[self.at_b]
+        # the last link of each document
+        last = np.r_[0, self.a_end][np.cumsum(n)]
+        self.first = np.r_[0, np.searchsorted(self.end, last, "right")]
 
     def sums(self, value: np.ndarray) -> np.ndarray:
-        """For each document the sum of a value over its chunks."""
-        total = np.r_[0, np.cumsum(value[self.number])] if len(value) else np.zeros(1, np.int64)
+        """For each document the sum of a value of its links."""
+        total = np.r_[0, np.cumsum(value)]
         return total[self.first[1:]] - total[self.first[:-1]]
 
-    def of_chunks(self, value: np.ndarray) -> np.ndarray:
-        """For each chunk the sum of a value over its links."""
-        total, edge = np.r_[0, np.cumsum(value)], np.r_[0, np.cumsum(self.many)]
-        return total[edge[1:]] - total[edge[:-1]]
-
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs and the number of their links in the slice."""
-        times = np.bincount(self.number, minlength=len(self.rows))
-        pair, kind = np.unique(self.pairs, return_inverse=True)
-        n = np.bincount(kind, np.repeat(times, self.many), len(pair)).astype(np.int64)
-        return pair[n > 0], n[n > 0]
-
-    def groups(self) -> list[str]:
-        text = [r[4] for r in self.rows]
-        number = self.number.tolist()
-        return [";".join([text[k] for k in number[a:b]]) for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)]
+        """Distinct pairs and the number of their links."""
+        pair, n = np.unique(self.pairs, return_counts=True)
+        return pair, n.astype(np.int64)
+
+    def groups(self) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3`` of each document."""
+        ends = self.end[self.closes]
+        a_group, b_group = np.searchsorted(ends, self.a_end), np.searchsorted(ends, self.b_end)
+        many_a, many_b = (np.bincount(g, minlength=len(ends)) for g in (a_group, b_group))
+        upto_a, upto_b = np.cumsum(many_a), np.cumsum(many_b)
+        total = len(self.a) + len(self.b)
+        kind, token = np.ones(total, np.int64), np.empty(total, np.int64)
+        token[np.arange(len(self.a)) + (upto_b - many_b)[a_group]] = self.a
+        token[np.arange(len(self.b)) + upto_a[b_group]] = self.b
+        kind[upto_a + (upto_b - many_b) - 1] = 2
+        kind[upto_a + upto_b - 1] = 3
+        edge = np.r_[0, np.cumsum(self.n_a + self.n_b)]
+        kind[edge[1:][edge[1:] > edge[:-1]] - 1] = 0
+        text = self.aligner.decimals.take(pa.array(kind * (len(self.aligner.decimals) // 4) + token))
+        _, offsets, data = text.buffers()
+        at = np.frombuffer(offsets, np.int64)[: total + 1] if offsets is not None and total else np.zeros(total + 1, np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(edge) - 1, [None, pa.py_buffer(np.ascontiguousarray(at[edge])), data if data is not None else pa.py_buffer(b"")])
 
 
 @lru_cache(1)
@@ -181,10 +235,25 @@ def _sent_files(df: DataFrame, bytes_file: str | None, pieces_file: str | None):
     return df.sparkSession.sparkContext.broadcast((held[0].decode(), held[1]))
 
 
+def encoded(docs: DataFrame, sent) -> DataFrame:
+    """doc_id and tokens, compressed ids by both tokenizers, of every document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, pack = _aligner(*sent.value), zstandard.ZstdCompressor(1).compress
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                held = aligner.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack(x) if x else b"" for x in held], pa.binary())], ["doc_id", "tokens"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, tokens binary")
+
+
 def _slices(batches: Iterator[pa.RecordBatch], aligner: Aligner) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for part in text_slices(batch, "text"):
-            yield part, Aligned(aligner, part.column("text").to_pylist())
+        for part in text_slices(batch, "tokens", SEGMENT // 2):
+            yield part, Aligned(aligner, [unpack(x) if x else b"" for x in part.column("tokens").to_pylist()])
 
 
 def _merged(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +265,7 @@ def _fine(pair: np.ndarray) -> np.ndarray:
     return (mix(pair.view(np.uint64)) >> np.uint64(48)).astype(np.int32)
 
 
-def task_counts(docs: DataFrame, sent) -> DataFrame:
+def task_counts(tokens: DataFrame, sent) -> DataFrame:
     """_task, pair (first id shifted by 32, then the second), _fine (its hash in 16 bits), n: links of a pair in the documents of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +287,7 @@ def task_counts(docs: DataFrame, sent) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "_task int, pair long, _fine int, n long")
+    return tokens.mapInArrow(run, "_task int, pair long, _fine int, n long")
 
 
 def _hashed(pairs: DataFrame, shards: int) -> DataFrame:
@@ -340,7 +409,8 @@ def align(docs: DataFrame, bytes_file: str | None = None, pieces_file: str | Non
     docs = ensure(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent, context = _sent_files(docs, bytes_file, pieces_file), docs.sparkSession.sparkContext
-    totals, shards = pair_counts(task_counts(docs.select("text"), sent), shard)
+    tokens = cut(encoded(docs, sent))
+    totals, shards = pair_counts(task_counts(tokens.select("tokens"), sent), shard)
     table = _long_form(totals)
     highest = np.zeros(1, np.int64)
     # one row for each id of the second vocabulary at most
@@ -368,19 +438,17 @@ def align(docs: DataFrame, bytes_file: str | None = None, pieces_file: str | Non
         for part, own in _slices(batches, _aligner(*sent.value)):
             n = lookup.find(own.pairs)
             best = n == lookup.highest[np.minimum(own.pairs & 0xFFFFFFFF, len(lookup.highest) - 1)]
-            size = [np.array([r[k] for r in own.rows], np.int64) for k in range(3)]
-            sums = [own.sums(x) for x in (*size, own.many, own.of_chunks(best & (n > 0)), own.of_chunks(np.maximum(n, 0)))]
+            sums = [own.n_a, own.n_b, *map(own.sums, (own.closes, np.ones(len(n), np.int64), best & (n > 0), np.maximum(n, 0)))]
             more = []
             if by_join:
-                unknown = [own.links[k][own_n < 0] for k, own_n in enumerate(np.split(n, np.cumsum(own.many)[:-1]))] if len(own.many) else []
-                lists = [np.concatenate([np.zeros(0, np.int64), *[unknown[k] for k in own.number[a:b].tolist()]]).tolist() for a, b in zip(own.first[:-1].tolist(), own.first[1:].tolist(), strict=True)]
-                more = [pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, sums), pa.array(own.groups(), pa.string()), *more], [*_NAMES, *["_rest"] * len(more)])
+                unknown, edge = own.pairs[n < 0], np.r_[0, np.cumsum(own.sums(n < 0))]
+                more = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(unknown))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, sums), own.groups().cast(pa.string()), *more], [*_NAMES, *["_rest"] * len(more)])
 
     kinds = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     if not by_join:
-        return docs.mapInArrow(run, kinds)
-    found = cut(docs.mapInArrow(run, f"{kinds}, _rest array<long>")).withColumn("_key", F.monotonically_increasing_id())  # the checkpoint fixes the order
+        return tokens.mapInArrow(run, kinds)
+    found = cut(tokens.mapInArrow(run, f"{kinds}, _rest array<long>")).withColumn("_key", F.monotonically_increasing_id())  # the checkpoint fixes the order
     most = context.broadcast(highest)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
