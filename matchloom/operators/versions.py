@@ -1,11 +1,10 @@
-"""Versions, currency and eligibility (W, V, A14, J9, J12)."""
+"""Versions, currency and eligibility (W, V3, V5-V12, A14, J9, J12); signatures are in signatures.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import canonical_hash
 
 
 def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -20,54 +19,6 @@ def next_version(versions: DataFrame, parents: DataFrame, key: str) -> DataFrame
     return parents.select(key).distinct().join(top, key, "left").select(key, (F.coalesce("top", F.lit(0)) + 1).alias("next_version"))
 
 
-def requirements_signature(requirement_skill: DataFrame, rules: DataFrame) -> DataFrame:
-    """V1: a hash of each requirement's skills and rules in their default order."""
-    skill = F.struct("importance", "pos", "skill")
-    skills = requirement_skill.groupBy("requirements_id").agg(F.array_sort(F.collect_list(skill)).alias("skills"))
-    rule = F.struct("rule_type", "expected", "tenths")
-    ruled = rules.groupBy("requirements_id").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
-    both = skills.join(ruled, "requirements_id", "full")
-    return both.select("requirements_id", canonical_hash("requirements_id", "rules", "skills").alias("signature"))
-
-
-def candidate_hashes(candidates: DataFrame, skills: DataFrame, profiles: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """V2, first level: a hash of each active candidate's matching facts; contact data are left out.
-
-    profiles(candidate_id, ...) are the confirmed ones, one a candidate, with all
-    columns that filters read; facts(candidate_id, rule_type, pos, fact, evidence) what they tell.
-    """
-    held = skills.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("skill", "years_tenths"))).alias("skills"))
-    rows = candidates.filter("status = 'active'").select("candidate_id", "org_id", "location").join(held, "candidate_id", "left")
-    parts = ["candidate_id", "location", "skills"]
-    if profiles is not None:
-        rows = rows.join(profiles.select("candidate_id", F.struct(*sorted(c for c in profiles.columns if c != "candidate_id")).alias("confirmed_profile")), "candidate_id", "left")
-        parts.insert(1, "confirmed_profile")
-    if facts is not None:
-        told = facts.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("rule_type", "pos", "fact", "evidence"))).alias("facts"))
-        rows = rows.hint("merge").join(told.hint("merge"), "candidate_id", "left")
-        parts.insert(-2, "facts")
-    return rows.select("org_id", "candidate_id", canonical_hash(*parts).alias("hash"))
-
-
-def pool_signature(hashes: DataFrame) -> DataFrame:
-    """V2, second level: a hash of each organisation's set of candidate hashes.
-
-    Three 64-bit hashes of every member are combined by exclusive or, which
-    neither needs an order nor gathers a pool anywhere; partial results meet, not
-    rows.  Candidate ids are distinct, so no two members cancel out.
-    """
-    mixed = [F.bit_xor(F.xxhash64(F.lit(k), "candidate_id", "hash")).cast("string") for k in ("one", "two", "three")]
-    return hashes.groupBy("org_id").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *mixed), 256).alias("signature"))
-
-
-def changed(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:
-    """V4, V8: rows added, removed or changed between two snapshots of (key, value)."""
-    a, b = before.select(*key, F.col(value).alias("_a"), F.lit(1).alias("_in_a")), after.select(*key, F.col(value).alias("_b"), F.lit(1).alias("_in_b"))
-    rows = a.join(b, key, "full")
-    kind = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
-    return rows.select(*key, kind.alias("change")).filter("change is not null")
-
-
 REASONS = ("scoring_algorithm_changed", "input_snapshot_unavailable", "vacancy_requirements_changed", "candidate_inputs_changed", "vacancy_deleted")
 
 
@@ -144,9 +95,20 @@ def batch_key(members: DataFrame, batch: list[str], schema: str) -> DataFrame:
     return members.groupBy(*batch).agg(F.sha2(F.concat_ws("|", F.lit(schema), *[F.col(b).cast("string") for b in batch], F.concat_ws(",", listed)), 256).alias("batch_key"))
 
 
-def carry_forward(versions: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """V9: a draft of the next version with the columns of the latest confirmed one; none where any draft is open."""
-    current = latest(versions.filter("status = 'confirmed'"), [key], [F.desc("version"), *columns]).select(key, *columns)
+def carry_forward(versions: DataFrame, key: str, columns: list[str], children: dict[str, DataFrame] | None = None, version_id: str = "requirements_id"):
+    """V9: a draft of the next version with the columns of the latest confirmed one; none where any draft is open.
+
+    With ``children`` (each with ``version_id``, the id of the version that it belongs
+    to) the result is a pair: the drafts, with the id that they copy as ``copied_from``,
+    and for each name the children of those versions with key and version of the new draft.
+    """
+    held = [version_id] if children is not None else []
+    current = latest(versions.filter("status = 'confirmed'"), [key], [F.desc("version"), *columns, *held]).select(key, *columns, *held)
     open_ = versions.filter("status = 'draft'").select(key).distinct()
     after = next_version(versions, versions, key)
-    return current.join(open_, key, "left_anti").join(after, key).withColumnRenamed("next_version", "version").withColumn("status", F.lit("draft"))
+    drafts = current.join(open_, key, "left_anti").join(after, key).withColumnRenamed("next_version", "version").withColumn("status", F.lit("draft"))
+    if children is None:
+        return drafts
+    drafts = drafts.withColumnRenamed(version_id, "copied_from")
+    new = drafts.select(key, "version", F.col("copied_from").alias(version_id))
+    return drafts, {name: df.join(new, version_id).drop(version_id) for name, df in children.items()}

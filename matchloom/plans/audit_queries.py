@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint_dir
 from ..operators import retention as K
 from ..operators import review as R
+from ..operators import signatures as G
 from ..operators import usage as A
 from ..operators import versions as V
 from .fixtures import oracle, view
@@ -146,17 +150,22 @@ def _before(spark, sf_dir):
 
 
 def changed_candidates(spark, sf_dir):
-    s = view(spark, sf_dir, "fx_candidate_skill")
-    return V.changed(V.candidate_hashes(_before(spark, sf_dir), s), V.candidate_hashes(view(spark, sf_dir, "fx_candidate"), s), ["candidate_id"], "hash")
+    """Two stored trees: the earlier one has some candidates elsewhere, some not yet, and other evidence of the skills of some."""
+    v = lambda n: view(spark, sf_dir, n)
+    skills, folder = v("fx_candidate_skill_full"), f"{checkpoint_dir(spark)}/pool-{uuid.uuid4().hex}"
+    earlier = skills.withColumn("evidence", F.when(F.col("candidate_id") % 41 == 0, "").otherwise(F.col("evidence")))
+    G.save_tree(G.candidate_hashes(_before(spark, sf_dir), earlier), f"{folder}/before")
+    G.save_tree(G.candidate_hashes(v("fx_candidate"), skills), f"{folder}/after")
+    return G.tree_changes(G.read_tree(spark, f"{folder}/before"), G.read_tree(spark, f"{folder}/after"))
 
 
 def staleness(spark, sf_dir):
     v = lambda n: view(spark, sf_dir, n)
-    skills = v("fx_candidate_skill")
-    now_sig = V.requirements_signature(v("fx_requirement_skill"), v("fx_rule"))
-    then_sig = V.requirements_signature(v("fx_requirement_skill"), v("fx_rule").filter("requirements_id % 15 <> 0"))
-    pools = V.pool_signature(V.candidate_hashes(v("fx_candidate"), skills))
-    old = V.pool_signature(V.candidate_hashes(v("fx_candidate").filter("not (org_id = 1 and candidate_id % 31 = 5)"), skills))
+    skills, req = v("fx_candidate_skill_full"), v("fx_requirement_version")
+    now_sig = G.requirements_signature(req, v("fx_requirement_skill"), v("fx_rule"))
+    then_sig = G.requirements_signature(req, v("fx_requirement_skill"), v("fx_rule").filter("requirements_id % 15 <> 0"))
+    pools = _pools(G.candidate_hashes(v("fx_candidate"), skills))
+    old = _pools(G.candidate_hashes(v("fx_candidate").filter("not (org_id = 1 and candidate_id % 31 = 5)"), skills))
     r = F.col("requirements_id")
     runs = v("fx_requirements").join(then_sig, "requirements_id").join(old.withColumnRenamed("signature", "pool_signature"), "org_id").select(
         r.alias("run_id"), "requirements_id", "org_id", F.when(r % 8 == 0, "v0").otherwise("v1").alias("algorithm_version"), F.when(r % 9 == 0, "").otherwise("s1").alias("snapshot_version"),
@@ -165,8 +174,19 @@ def staleness(spark, sf_dir):
     return V.staleness(runs, now_sig, pools, "v1", "s1").select("run_id", "is_stale", F.concat_ws(",", "reasons").alias("reasons"))
 
 
+def _pools(hashes):
+    return G.pool_signature(G.bucket_nodes(G.leaves(hashes)))
+
+
 def pool_signatures(spark, sf_dir):
-    return V.pool_signature(V.candidate_hashes(view(spark, sf_dir, "fx_candidate"), view(spark, sf_dir, "fx_candidate_skill"), view(spark, sf_dir, "fx_profile"), view(spark, sf_dir, "fx_profile_fact")))
+    v = lambda n: view(spark, sf_dir, n)
+    return _pools(G.candidate_hashes(v("fx_candidate"), v("fx_candidate_skill_full"), v("fx_profile"), v("fx_profile_fact")))
+
+
+def requirement_signatures(spark, sf_dir):
+    """Every requirement, those without skills or rules too."""
+    v = lambda n: view(spark, sf_dir, n)
+    return G.requirements_signature(v("fx_requirement_version"), v("fx_requirement_skill").filter("requirements_id % 6 <> 1"), v("fx_rule"))
 
 
 def pending_profiles(spark, sf_dir):
@@ -197,10 +217,11 @@ _M = """count(*) AS attempts, count(*) FILTER (status = 'succeeded') AS succeede
   count(*) FILTER (provider_request_id <> '' AND retries_used > 0) AS retried_attempts, count(*) FILTER (provider_request_id <> '') AS retries_known,
   count(*) FILTER (provider_request_id = '') AS retries_missing, count(*) FILTER (model <> '') AS model_known, count(*) FILTER (model = '') AS model_missing"""
 
+_SUMS_SQL = "count(*) AS n, " + ", ".join(f"sum(('0x' || substr(hash, {1 + 15 * i}, 15))::BIGINT) AS s{i + 1}" for i in range(4))
 _BEFORE = """
-before AS (SELECT candidate_id, CASE WHEN candidate_id % 29 = 0 THEN 'ELSEWHERE' ELSE location END AS location FROM {fx_candidate}
+before AS (SELECT org_id, candidate_id, CASE WHEN candidate_id % 29 = 0 THEN 'ELSEWHERE' ELSE location END AS location FROM {fx_candidate}
            WHERE candidate_id % 31 <> 5 AND (candidate_id % 37 = 0 OR status = 'active')),
-after AS (SELECT candidate_id, location FROM {fx_candidate} WHERE status = 'active')"""
+after AS (SELECT org_id, candidate_id, location FROM {fx_candidate} WHERE status = 'active')"""
 
 
 def sql() -> dict[str, str]:
@@ -282,8 +303,26 @@ def sql() -> dict[str, str]:
         "visible_candidates": oracle("""
             SELECT candidate_id, org_id FROM {fx_candidate} WHERE org_id IN (SELECT m.org_id FROM {fx_member} m JOIN {fx_organization} o ON o.org_id = m.org_id WHERE m.user_id = 4 AND m.is_active AND m.is_admin AND o.is_active)"""),
         "changed_candidates": oracle("WITH " + _BEFORE + """
-            SELECT coalesce(b.candidate_id, a.candidate_id) AS candidate_id, CASE WHEN b.candidate_id IS NULL THEN 'added' WHEN a.candidate_id IS NULL THEN 'removed' ELSE 'changed' END AS change
-            FROM before b FULL JOIN after a ON a.candidate_id = b.candidate_id WHERE a.candidate_id IS NULL OR b.candidate_id IS NULL OR a.location <> b.location"""),
+            , skilled AS (SELECT DISTINCT candidate_id FROM {fx_candidate_skill_full} WHERE candidate_id % 41 = 0), x AS (
+            SELECT coalesce(b.org_id, a.org_id) AS org_id, coalesce(b.candidate_id, a.candidate_id) AS candidate_id, CASE WHEN b.candidate_id IS NULL THEN 'added' WHEN a.candidate_id IS NULL THEN 'removed'
+              WHEN a.location <> b.location OR a.candidate_id IN (SELECT candidate_id FROM skilled) THEN 'changed' END AS change
+            FROM before b FULL JOIN after a ON a.candidate_id = b.candidate_id AND a.org_id = b.org_id) SELECT * FROM x WHERE change IS NOT NULL"""),
+        "pool_signatures": oracle(f"""
+            WITH lines AS (
+              SELECT candidate_id, org_id, 'own ' || to_json(struct_pack(candidate_id := candidate_id, location := location))::VARCHAR AS line FROM {{fx_candidate}} WHERE status = 'active'
+              UNION ALL SELECT candidate_id, NULL, 'skill ' || to_json(struct_pack(evidence := evidence, skill := skill, source_document_id := source_document_id, source_label := source_label, years_tenths := years_tenths))::VARCHAR FROM {{fx_candidate_skill_full}}
+              UNION ALL SELECT candidate_id, NULL, 'profile ' || to_json(struct_pack(location := location, location_evidence := location_evidence))::VARCHAR FROM {{fx_profile}}
+              UNION ALL SELECT candidate_id, NULL, 'fact ' || to_json(struct_pack(evidence := evidence, fact := fact, pos := pos, rule_type := rule_type))::VARCHAR FROM {{fx_profile_fact}}),
+            h AS (SELECT candidate_id, max(org_id) AS org_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS hash FROM lines GROUP BY 1 HAVING max(org_id) IS NOT NULL),
+            b AS (SELECT org_id, candidate_id % 256 AS bucket, {_SUMS_SQL} FROM h GROUP BY 1, 2)
+            SELECT org_id, sha256(concat_ws(':', n, s1, s2, s3, s4)) AS signature FROM (
+              SELECT org_id, {_SUMS_SQL} FROM (SELECT org_id, sha256(concat_ws(':', n, s1, s2, s3, s4)) AS hash FROM b) GROUP BY 1)"""),
+        "requirement_signatures": oracle("""
+            WITH lines AS (
+              SELECT requirements_id, true AS own, 'own ' || to_json(struct_pack(requirements_id := requirements_id, schema_version := schema_version, version := version))::VARCHAR AS line FROM {fx_requirement_version}
+              UNION ALL SELECT requirements_id, false, 'skill ' || to_json(struct_pack(importance := importance, pos := pos, skill := skill))::VARCHAR FROM {fx_requirement_skill} WHERE requirements_id % 6 <> 1
+              UNION ALL SELECT requirements_id, false, 'rule ' || to_json(struct_pack(expected := expected, rule_type := rule_type, tenths := tenths))::VARCHAR FROM {fx_rule})
+            SELECT requirements_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS signature FROM lines GROUP BY 1 HAVING bool_or(own)"""),
         "staleness": oracle("""
             SELECT run_id, reasons <> '' AS is_stale, reasons FROM (SELECT requirements_id AS run_id, concat_ws(',', CASE WHEN requirements_id % 8 = 0 THEN 'scoring_algorithm_changed' END, CASE WHEN requirements_id % 9 = 0 THEN 'input_snapshot_unavailable' END,
               CASE WHEN requirements_id % 9 <> 0 AND requirements_id % 15 = 0 THEN 'vacancy_requirements_changed' END, CASE WHEN requirements_id % 9 <> 0 AND org_id = 1 THEN 'candidate_inputs_changed' END,
@@ -303,5 +342,5 @@ _CATEGORY = "CASE WHEN changed THEN 0 WHEN gaps > 0 THEN 1 WHEN uncertain > 0 TH
 QUERIES = (
     usage_overall, usage_breakdown, usage_period, usage_failures, usage_daily90, stale_pending, usage_completion, latest_version, next_version, review_queue, review_page, review_counts,
     contact_permission, status_transitions, profile_gate, job_rollup, retry_selection, dashboard_counts, retention_due, retention_missing, retention_dry_run, retention_snapshot, pending_deletions,
-    minimisation_issues, purge_sources, audit_history, visible_candidates, changed_candidates, staleness, pool_signatures, pending_profiles, reuse_results, decision_eligibility,
+    minimisation_issues, purge_sources, audit_history, visible_candidates, changed_candidates, staleness, pool_signatures, requirement_signatures, pending_profiles, reuse_results, decision_eligibility,
 )

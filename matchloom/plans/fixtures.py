@@ -29,6 +29,11 @@ VIEWS = {
         SELECT o_custkey AS candidate_id, p_brand AS skill, CAST(MAX(l_quantity) AS INT) % 120 AS years_tenths
         FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey
         WHERE p_size = 1 AND l_linenumber = 1 GROUP BY o_custkey, p_brand""",
+    "fx_candidate_skill_full": """
+        SELECT candidate_id, skill, years_tenths, concat('label of ', skill) AS source_label, concat('used "', skill, '" for years') AS evidence, CASE WHEN candidate_id % 4 <> 0 THEN candidate_id * 10 END AS source_document_id
+        FROM {fx_candidate_skill}""",
+    "fx_requirement_version": """
+        SELECT requirements_id, org_id, CASE WHEN requirements_id % 29 = 0 THEN 2 ELSE 1 END AS version, 'requirements.v1' AS schema_version FROM {fx_requirements}""",
     "fx_requirements": """
         SELECT s_suppkey AS requirements_id, n_regionkey AS org_id, n_name AS location,
                CASE WHEN s_suppkey % 29 = 0 THEN 'draft' ELSE 'confirmed' END AS status, s_suppkey % 31 = 0 AS vacancy_deleted

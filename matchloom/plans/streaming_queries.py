@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpoint_dir, cut
-from ..operators import scoring, versions
+from ..functions.lineage import checkpoint_dir
+from ..operators import scoring, signatures
 from ..streaming import ledgers as T
 from .fixtures import VIEWS, oracle, view
 from .matching_queries import told
@@ -73,20 +73,25 @@ def stream_stale_starts(spark, sf_dir):
 
 
 def stream_refresh(spark, sf_dir):
-    """T4: candidates of one organisation change; the shortlists of its requirements alone are rebuilt."""
+    """T4: two batches of candidate hashes; in the second some of one organisation are new, and its shortlists alone are rebuilt."""
     v = lambda n: view(spark, sf_dir, n)
-    skills = v("fx_candidate_skill")
-    now = cut(versions.candidate_hashes(v("fx_candidate"), skills))
-    then = cut(versions.candidate_hashes(v("fx_candidate").filter("not (org_id = 1 and candidate_id % 31 = 5)"), skills))
-    feed = _stream(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).cast("int").alias("org_id"))
-    out = _folder(spark, "refresh")
+    skills, feed, out = v("fx_candidate_skill"), _folder(spark, "snapshots"), _folder(spark, "refresh")
+    now = signatures.candidate_hashes(v("fx_candidate"), skills)
+    then = signatures.candidate_hashes(v("fx_candidate").filter("not (org_id = 1 and candidate_id % 31 = 5)"), skills)
+    for epoch, rows in enumerate((then, now)):
+        rows.select("org_id", F.col("candidate_id").cast("long").alias("candidate_id"), F.lit(epoch).cast("long").alias("version"), "hash").coalesce(1).write.mode("append").parquet(feed)
 
     def rebuild(orgs: DataFrame) -> DataFrame:
         req = v("fx_requirements").join(orgs, "org_id", "left_semi")
         mine = lambda n: v(n).join(req, "requirements_id", "left_semi")
         return scoring.shortlist(req, mine("fx_requirement_skill"), mine("fx_rule"), v("fx_candidate"), skills, **told(spark, sf_dir))
 
-    _batches(feed, spark, "refresh", T.refresh_shortlists(lambda: then, lambda: now, rebuild, lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")))
+    def write(df: DataFrame, epoch: int) -> None:
+        if epoch:  # the first batch, which only fills the state, needs no rebuilt lists here
+            df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    snapshots = spark.readStream.schema("org_id int, candidate_id long, version long, hash string").option("maxFilesPerTrigger", 1).parquet(feed)
+    _batches(T.changed_in_stream(snapshots), spark, "refresh", T.refresh_shortlists(rebuild, write))
     return spark.read.parquet(out).select("requirements_id", "rank", "candidate_id", "score_cents")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.lineage import cut
 from ..operators import usage
-from ..operators.versions import changed
 
 
 def usage_windows(ledger: DataFrame, width: str = "1 day", lateness: str = "1 day") -> DataFrame:
@@ -39,14 +41,33 @@ def against_registry(registry: Callable[[], DataFrame], write: Callable[[DataFra
     return run
 
 
-def refresh_shortlists(before: Callable[[], DataFrame], after: Callable[[], DataFrame], rebuild: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """T4: a foreachBatch function: tenants whose candidates' hashes changed get their shortlists rebuilt, others keep theirs."""
+def changed_in_stream(snapshots: DataFrame) -> DataFrame:
+    """T4: org_id, candidate_id, before, after of candidates whose hash differs from the last one seen.
+
+    snapshots(org_id, candidate_id, version, hash) streams candidates that may have
+    changed; a null hash says that the candidate left.  The state of a candidate is
+    its last version and hash, so a micro-batch touches those candidates alone that
+    came in.  Of several versions in a batch the newest counts, older ones than the
+    state's are ignored, and ties keep the smallest hash.
+    """
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (-1, None)
+        rows = [(int(v), None if pd.isna(h) else h) for f in frames for v, h in zip(f["version"], f["hash"], strict=True)]
+        version, new = min(rows, key=lambda r: (-r[0], r[1] is None, r[1] or ""))
+        if version > held[0]:
+            state.update((version, new))
+            if new != held[1]:
+                yield pd.DataFrame({"org_id": [key[0]], "candidate_id": [key[1]], "before": [held[1]], "after": [new]})
+
+    return snapshots.groupBy("org_id", "candidate_id").applyInPandasWithState(run, "org_id int, candidate_id long, before string, after string", "version long, hash string", "append", GroupStateTimeout.NoTimeout)
+
+
+def refresh_shortlists(rebuild: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """T4: a foreachBatch function over `changed_in_stream`: tenants with a changed candidate get their shortlists rebuilt, others keep theirs."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        now = after()
-        touched = batch.select("org_id").distinct()
-        diff = changed(before().join(touched, "org_id", "left_semi"), now.join(touched, "org_id", "left_semi"), ["org_id", "candidate_id"], "hash")
-        write(rebuild(diff.select("org_id").distinct()), epoch)
+        write(rebuild(cut(batch.select("org_id").distinct())), epoch)  # the batch is read once, however often its tenants are used
 
     return run
 

@@ -44,16 +44,6 @@ def test_period_defaults(spark):
     assert [r.i for r in A.within(df, "2024-03-01", "nonsense", "nonsense").collect()] == [2] and A.within(df, "2024-03-01", "all").count() == 2
 
 
-def test_signatures_ignore_row_order(spark):
-    c = spark.createDataFrame([(i, i % 2, f"p{i % 3}", "active") for i in range(50)], "candidate_id long, org_id int, location string, status string")
-    s = spark.createDataFrame([(i, f"s{j}", j) for i in range(50) for j in range(3)], "candidate_id long, skill string, years_tenths int")
-    sign = lambda a, b: {r.org_id: r.signature for r in V.pool_signature(V.candidate_hashes(a, b)).collect()}
-    one = sign(c, s)
-    assert one == sign(c.orderBy(F.desc("candidate_id")).repartition(3), s.repartition(5))
-    other = sign(c, s.filter("not (candidate_id = 7 and skill = 's1')"))
-    assert one[0] == other[0] and one[1] != other[1]
-
-
 def test_versions(spark):
     v = spark.createDataFrame([(1, 1, "confirmed", "a"), (1, 2, "confirmed", "b"), (2, 1, "confirmed", "c"), (2, 2, "draft", "d")], "k int, version int, status string, x string")
     assert [(r.k, r.version, r.status, r.x) for r in V.carry_forward(v, "k", ["x"]).collect()] == [(1, 3, "draft", "b")]
