@@ -40,36 +40,85 @@ def identity_matches(rows: DataFrame, pool: DataFrame, row_id: str = "row_number
     return hits.select("org_id", F.col("id").alias(row_id), "candidate_id", (F.col("candidate_id") < F.col("last")).alias("conflicting"), reasons.alias("reasons"))
 
 
-def triage(rows: DataFrame, pool: DataFrame, valid: Column | None = None, row_id: str = "row_number") -> DataFrame:
+_KEY, _ROW = ["org_id", "kind", "key"], ["org_id", "id"]
+
+
+def _semi(left: DataFrame, right: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
+def _leaders(open_: DataFrame) -> DataFrame:
+    """Rows that come first for all their keys."""
+    first = open_.groupBy(*_KEY).agg(F.min("id").alias("low"))
+    return _semi(open_, first, _KEY, "inner").groupBy(*_ROW).agg(F.bool_and(F.col("id") == F.col("low")).alias("leads")).filter("leads").select(*_ROW)
+
+
+def _chains(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that are created, and rows that are duplicates for certain, by following chains of single blockers.
+
+    A row whose only earlier open row is p has the opposite status of p.  Pointers to
+    p are doubled, with their parity, until they end at a row of another kind; if
+    that one leads all its keys, everything behind it is known.  Of a key whose
+    second row has the first as its only blocker one of the two is created, so all
+    later rows of the key are duplicates, whichever it is.
+    """
+    first = open_.groupBy(*_KEY).agg(F.min("id").alias("low"))
+    held = cut(_semi(open_, first, _KEY, "inner"))
+    second = held.filter("id > low").groupBy(*_KEY).agg(F.min("id").alias("second"))
+    placed = cut(_semi(held, second, _KEY, "left"))
+    blocker = F.when(F.col("id") == F.col("second"), F.col("low"))
+    rows = placed.groupBy(*_ROW).agg(F.coalesce(F.bool_or(F.col("id") > F.col("second")), F.lit(False)).alias("later"), F.min(blocker).alias("b"), F.max(blocker).alias("c"))
+    rows = cut(rows)
+    leads = rows.filter("not later and b is null").select(*_ROW)
+    active = cut(rows.filter("not later and b = c").select("org_id", "id", F.col("b").alias("to"), F.lit(True).alias("odd")))
+    decided = _semi(placed.filter("id = second"), active.select(*_ROW), _ROW).select(*_KEY, F.col("second").alias("_second"))
+    certain = _semi(placed.select(*_KEY, "id"), decided, _KEY, "inner").filter("id > _second").select(*_ROW).distinct()
+    while True:
+        ahead = active.select("org_id", F.col("id").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+        moved = cut(_semi(active, ahead, ["org_id", "to"], "left"))
+        if moved.filter("_to is not null").isEmpty():
+            break
+        active = moved.select("org_id", "id", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"))
+    known = _semi(active.filter("not odd"), leads.withColumnRenamed("id", "to"), ["org_id", "to"]).select(*_ROW)
+    return leads.unionByName(known), certain
+
+
+#: Rounds that take only leading rows; inputs without long chains end in them.
+PLAIN_ROUNDS = 2
+
+
+def triage(rows: DataFrame, pool: DataFrame, valid: Column | None = None, row_id: str = "row_number", plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     """Rows with status created, duplicate or invalid, as if taken one after another.
 
     A row is created if it shares no key with the pool or with an earlier
-    created row; duplicates and invalid rows are not remembered.  Each round
-    decides the rows that come first for all their keys, and those that meet a
-    created one; a chain of n rows that each share a key with the next takes
-    about n/2 rounds, other inputs a few.
+    created row; duplicates and invalid rows are not remembered.  A round decides
+    the rows that come first for all their keys, and those that meet a created one;
+    after a few such rounds chains of rows are followed by pointer doubling, so n
+    rows that each share a key with the next take log n steps.  Rows with several
+    open blockers each wait for them, and a maze of those may take many rounds: the
+    rule itself is sequential (it is the first maximal independent set).
     """
     rows = rows.withColumn("_valid", valid if valid is not None else F.lit(True))
     known = keys(rows.filter("_valid"), row_id)
-    existing = keys(pool, "candidate_id").select("org_id", "kind", "key").distinct()
-    in_pool = known.hint("merge").join(existing.hint("merge"), ["org_id", "kind", "key"], "left_semi").select("org_id", "id").distinct()
-    open_ = cut(known.hint("merge").join(in_pool.hint("merge"), ["org_id", "id"], "left_anti"))
-    created = None
+    existing = keys(pool, "candidate_id").select(*_KEY).distinct()
+    in_pool = _semi(known, existing, _KEY).select(*_ROW).distinct()
+    open_ = cut(_semi(known, in_pool, _ROW, "left_anti"))
+    created, n = None, 0
     while True:
-        first = open_.groupBy("org_id", "kind", "key").agg(F.min("id").alias("low"))
-        state = open_.hint("merge").join(first.hint("merge"), ["org_id", "kind", "key"]).groupBy("org_id", "id").agg(F.bool_and(F.col("id") == F.col("low")).alias("leads"))
-        new = cut(state.filter("leads").select("org_id", "id"))
+        new, certain = (_leaders(open_), None) if n < plain_rounds else _chains(open_)
+        new, n = cut(new), n + 1
         if new.isEmpty():
             break
         created = new if created is None else created.unionByName(new)
-        taken = open_.hint("merge").join(new.hint("merge"), ["org_id", "id"], "left_semi").select("org_id", "kind", "key").distinct()
-        met = open_.hint("merge").join(taken.hint("merge"), ["org_id", "kind", "key"], "left_semi").select("org_id", "id").distinct()
-        open_ = cut(open_.hint("merge").join(met.hint("merge"), ["org_id", "id"], "left_anti"))
-    free = rows.filter("_valid").select("org_id", F.col(row_id).alias("id")).hint("merge").join(known.select("org_id", "id").distinct().hint("merge"), ["org_id", "id"], "left_anti")
+        taken = _semi(open_, new, _ROW).select(*_KEY).distinct()
+        met = _semi(open_, taken, _KEY).select(*_ROW)
+        met = (met if certain is None else met.unionByName(certain)).distinct()
+        open_ = cut(_semi(open_, met, _ROW, "left_anti"))
+    free = _semi(rows.filter("_valid").select("org_id", F.col(row_id).alias("id")), known.select(*_ROW).distinct(), _ROW, "left_anti")
     created = free if created is None else created.unionByName(free)
     made = created.distinct().select("org_id", F.col("id").alias(row_id), F.lit(True).alias("_made"))
     status = F.when(~F.col("_valid"), "invalid").when(F.col("_made"), "created").otherwise("duplicate")
-    return rows.hint("merge").join(made.hint("merge"), ["org_id", row_id], "left").withColumn("status", status).drop("_valid", "_made")
+    return _semi(rows, made, ["org_id", row_id], "left").withColumn("status", status).drop("_valid", "_made")
 
 
 def import_counts(triaged: DataFrame) -> DataFrame:

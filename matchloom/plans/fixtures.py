@@ -159,4 +159,6 @@ def oracle(sql: str) -> str:
     if not order:
         return body
     ctes = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"

@@ -261,6 +261,20 @@ k AS (SELECT row_number, org_id, 0 AS kind, email AS key FROM {fx_import} UNION
 p AS (SELECT candidate_id, org_id, 0 AS kind, email AS key FROM {fx_pool} UNION ALL SELECT candidate_id, org_id, 1, phone FROM {fx_pool} UNION ALL SELECT candidate_id, org_id, 2, source_reference FROM {fx_pool})"""
 
 
+#: The rounds of "first for all its keys" as a recursion over open rows.
+_TRIAGED = f"WITH RECURSIVE {_KEYS.strip()}," + """
+open_ AS (SELECT * FROM k WHERE row_number % 11 <> 0 AND row_number NOT IN (SELECT k.row_number FROM k JOIN p ON p.org_id = k.org_id AND p.kind = k.kind AND p.key = k.key)),
+r AS (
+  SELECT row_number, org_id, kind, key, 'open' AS status FROM open_
+  UNION ALL
+  SELECT row_number, org_id, kind, key, CASE WHEN leads THEN 'created' WHEN bool_or(made) OVER (PARTITION BY row_number) THEN 'duplicate' ELSE 'open' END FROM (
+    SELECT *, bool_or(leads) OVER (PARTITION BY org_id, kind, key) AS made FROM (
+      SELECT *, bool_and(row_number = low) OVER (PARTITION BY row_number) AS leads FROM (
+        SELECT *, min(row_number) OVER (PARTITION BY org_id, kind, key) AS low FROM r WHERE status = 'open')))),
+triaged AS (SELECT i.org_id, i.row_number, CASE WHEN i.row_number % 11 = 0 THEN 'invalid' WHEN c.row_number IS NOT NULL THEN 'created' ELSE 'duplicate' END AS status
+  FROM {fx_import} i LEFT JOIN (SELECT DISTINCT row_number FROM r WHERE status = 'created') c ON c.row_number = i.row_number)"""
+
+
 def sql() -> dict[str, str]:
     rank = "round(sum(CASE WHEN rnk <= 5 THEN (pow(2, grade) - 1) / log2(rnk + 1) END) / sum(CASE WHEN i <= 5 THEN (pow(2, grade) - 1) / log2(i + 1) END), 4)"
     ranked = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS i FROM {fx_judgment})"
@@ -272,6 +286,9 @@ def sql() -> dict[str, str]:
             SELECT org_id, row_number, min(candidate_id) AS candidate_id, count(DISTINCT candidate_id) > 1 AS conflicting,
               concat_ws(', ', CASE WHEN bool_or(kind = 0) THEN 'email' END, CASE WHEN bool_or(kind = 1) THEN 'phone' END, CASE WHEN bool_or(kind = 2) THEN 'source reference' END) AS reasons
             FROM (SELECT k.org_id, k.row_number, k.kind, p.candidate_id FROM k JOIN p ON p.org_id = k.org_id AND p.kind = k.kind AND p.key = k.key) GROUP BY 1, 2"""),
+        "csv_triage": oracle(_TRIAGED + " SELECT org_id, row_number, status FROM triaged"),
+        "import_counts": oracle(_TRIAGED + """ SELECT org_id, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'duplicate') AS duplicate, count(*) FILTER (status = 'invalid') AS invalid,
+            count(*) AS total FROM triaged GROUP BY 1"""),
         "meaningful_tokens": oracle(
             "WITH t AS (SELECT item_id, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS x FROM {benchmark}), k AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(x, '[\\p{L}\\p{M}\\p{N}_][\\p{L}\\p{M}\\p{N}_+#.]*[\\p{L}\\p{M}\\p{N}_]')) AS token FROM t)"
             " SELECT item_id, token FROM k WHERE NOT regexp_full_match(token, '[0-9]+') AND token NOT IN ('and', 'at', 'candidate', 'experience', 'for', 'has', 'have', 'least', 'must', 'of', 'required', 'requires', 'skill', 'the', 'with', 'year', 'years')"

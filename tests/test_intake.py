@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions.lineage import cut
 from matchloom.operators import intake as I
 from matchloom.sources import files, sinks
 
@@ -26,8 +27,8 @@ def sequential(rows, pool):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_triage_equals_the_sequential_rule(spark, seed):
+@pytest.mark.parametrize(("seed", "plain"), [(0, 2), (1, 0), (2, 0)])
+def test_triage_equals_the_sequential_rule(spark, seed, plain):
     rnd = random.Random(seed)
     row = lambda i: (i, rnd.randint(0, 1), rnd.choice(["", "a@x.y", "b@x.y", f"m{rnd.randint(0, 30)}@x.y"]), rnd.choice(["", "12", f"55500{rnd.randint(10, 40)}"]), rnd.choice(["", f"r{rnd.randint(0, 30)}"]))
     rows = [(*row(i), rnd.random() > 0.1) for i in range(120)]
@@ -35,17 +36,22 @@ def test_triage_equals_the_sequential_rule(spark, seed):
     schema = "row_number long, org_id int, email string, phone string, source_reference string"
     df = spark.createDataFrame(rows, f"{schema}, ok boolean")
     held = spark.createDataFrame(pool, schema).withColumnRenamed("row_number", "candidate_id")
-    got = {r.row_number: r.status for r in I.triage(df, held, F.col("ok")).collect()}
+    got = {r.row_number: r.status for r in I.triage(df, held, F.col("ok"), plain_rounds=plain).collect()}
     assert got == sequential(rows, pool)
 
 
-def test_triage_of_a_chain(spark):
-    """Each row shares a key with the next: created, duplicate, created, ..."""
-    rows = [(i, 0, f"m{i // 2}@x.y", f"55500{100 + (i + 1) // 2}", "", True) for i in range(12)]
+@pytest.mark.parametrize("broken", [0, 97])
+def test_triage_of_a_chain_takes_few_rounds(spark, monkeypatch, broken):
+    """Each row shares a key with the next: created, duplicate, created, ...; some chains branch."""
+    cuts = []
+    monkeypatch.setattr(I, "cut", lambda df: cuts.append(1) or cut(df))
+    n = 10_000
+    rows = [(i, 0, f"m{i // 2}@x.y", f"55500{10_000 + (i + 1) // 2}", f"r{i // broken}" if broken and i % broken < 3 else "", True) for i in range(n)]
     schema = "row_number long, org_id int, email string, phone string, source_reference string, ok boolean"
     pool = spark.createDataFrame([], "candidate_id long, org_id int, email string, phone string, source_reference string")
     got = {r.row_number: r.status for r in I.triage(spark.createDataFrame(rows, schema), pool).collect()}
     assert got == sequential(rows, [])
+    assert len(cuts) < (40 if not broken else 90)
 
 
 def test_csv(spark, tmp_path):
