@@ -8,7 +8,8 @@ secret needs an identifier or an endpoint; those need a secret.  Strict finds
 take part in the join, as secrets (assign, hex) or identifiers (access).
 
 A document is one row, so its parts are joined inside its task by bisection over
-sorted starts; nothing is shuffled and a long document costs n log n.
+sorted starts; nothing is shuffled and a long document costs n log n: no pattern
+can look at one stretch of text again and again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,9 +38,14 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # weak parts
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_PHRASE = re.compile(r"""\b(?:pwd|passphrase|bearer|auth|credential|private_?key)["']?\x20*[:=\x20]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{8,})""", re.I | re.A)
+_PHRASE = re.compile(r"""\b(?:pwd|passphrase|bearer|auth|credential|private_?key)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?([A-Za-z0-9+/_.=!@#$%^&*-]{8,})""", re.I | re.A)
 _ACCOUNT = re.compile(r"""\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|app_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""", re.I | re.A)
-_ENDPOINT = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{2,5}\b|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b""", re.A)
+_ADDRESS = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{2,5}\b""", re.A)
+#: A host's name ends at its port, so ports are found first and names, of 253 characters and labels of 63 at most, before them.
+_PORT = re.compile(r":[0-9]{2,5}\b", re.A)
+_HOST = re.compile(r"\b(?:[a-z0-9-]{1,63}\.)+[a-z]{2,63}:[0-9]{2,5}\b", re.A)
+_HOST_BACK = re.compile(r"[a-z]{2,63}(?:\.[a-z0-9-]{1,63})+")
+_LONGEST_HOST = 253
 _BREAK = re.compile(r"\n[ \t]*\n")
 
 _SPANS = "array<struct<kind:string,start:long,end:long,mask_from:long>>"
@@ -66,6 +73,32 @@ def weak_secrets(text: str) -> list[Span]:
     return out + [("secret", m.start(), m.end(), m.start(1)) for m in _PHRASE.finditer(text) if any(c.isdigit() for c in m.group(1))]
 
 
+def endpoints(text: str) -> list[Span]:
+    """Addresses with a scheme, numbers with a port, and host names with a port, leftmost first; time grows with the text alone."""
+    found, at = [], 0
+    plain = [m.span() for m in _ADDRESS.finditer(text)]
+    before = plain[::-1]
+    for m in _PORT.finditer(text):
+        while before and before[-1][0] < m.start() - _LONGEST_HOST:
+            at = max(at, before.pop()[1])
+        if back := _HOST_BACK.match(text[max(0, m.start() - _LONGEST_HOST) : m.start()][::-1]):
+            low = max(m.start() - back.end(), at)
+            while host := _HOST.search(text, low, m.end()):
+                # an address that begins earlier takes its words
+                if over := next((e for s, e in takewhile(lambda x: x[0] <= host.start(), reversed(before)) if host.start() < e), None):
+                    low = over
+                    continue
+                found.append(host.span())
+                at = max(at, host.end())
+                break
+    out, at = [], 0
+    for s, e in sorted([*plain, *found], key=lambda x: (x[0], -x[1])):
+        if s >= at:
+            out.append(("endpoint", s, e, s))
+            at = e
+    return out
+
+
 def _index(parts: list[Span], breaks: list[int]) -> tuple[list[int], list[int]]:
     """Starts of parts, sorted, and for each the furthest end of the parts of its paragraph up to it."""
     starts, reach, paragraph = [], [], -1
@@ -102,7 +135,7 @@ def scan_text(text: str) -> list[Span]:
     found = list(base)
     if secrets or base:
         ids = free([("identifier", m.start(), m.end(), m.start(1)) for m in _ACCOUNT.finditer(text)])
-        ends = free([("endpoint", m.start(), m.end(), m.start()) for m in _ENDPOINT.finditer(text)])
+        ends = free(endpoints(text))
         if weak or ids or ends:
             breaks = [m.end() for m in _BREAK.finditer(text)]
             sides = {"s": secrets, "o": [b for b in base if b[0] == "access"] + ids + ends}
