@@ -25,8 +25,8 @@ from .stage import ensure
 from .textkit import SEGMENT, Words, mix, text_slices
 
 WINDOW = 13
-#: Windows a hash bucket holds on average; a bucket is what one task has in memory.  Beyond MANY buckets they hold up to 16 times as many.
-BUCKET_WINDOWS, MANY = 1 << 22, 2000
+#: Windows a hash bucket holds on average, whatever the input; a bucket is what one task has in memory.
+BUCKET_WINDOWS = 1 << 22
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -194,8 +194,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_windows: int
     docs = ensure(docs, "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (6 * bucket_windows)))
-    if buckets > MANY:
-        buckets = max(MANY, -(-size // (6 * 16 * bucket_windows)))
     groups = max(1, -(-size // bucket_windows))
     packed = docs.mapInArrow(_packer(window, buckets), "bucket int, slice long, hashes binary, ids binary, keys binary, sizes binary, hits binary")
     # a partition for each bucket, so a task's share doesn't grow with the input
