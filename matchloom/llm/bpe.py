@@ -30,7 +30,7 @@ from .textkit import text_slices
 
 WORD_END = "</w>"
 #: Words in each of the two generations of a worker's memory.
-MEMORY = 120_000
+MEMORY = 200_000
 #: Symbols of a fragment from which it is merged by itself.
 LONG = 100
 #: Largest tokenizer file that is sent to the executors, in bytes.
@@ -140,16 +140,14 @@ class Vocabulary:
         return np.where(self._pairs[at] == key, self._order[at], self.none)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of many runs without white space, merged side by side.
+        """Ids of many words, merged side by side.
 
         All fragments lie in one array; a round merges the leftmost pair of
         lowest rank of each fragment and lets go of those that have none left.
         """
-        pieces = [[w] if w.isalpha() else self.words.findall(w) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(p) for p in pieces])
-        data = [p.encode() for own in pieces for p in own]
+        data = [w.encode() for w in words]
         if not data:
-            return [b""] * len(words)
+            return []
         raw = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
         stop = np.cumsum([len(d) for d in data])
         last = np.zeros(len(raw), bool)
@@ -158,7 +156,7 @@ class Vocabulary:
         beside = np.where(last[1:], self._beside[1][raw[:-1], raw[1:]], self._beside[0][raw[:-1], raw[1:]])
         begins = np.r_[True, last[:-1] | ~beside]
         seg = np.cumsum(begins) - 1
-        home = np.repeat(owner, np.diff(np.r_[0, stop]))[begins]  # of each fragment its word
+        home = np.repeat(np.arange(len(words)), np.diff(np.r_[0, stop]))[begins]  # of each fragment its word
         done_sym, done_seg = [], []
         size = np.bincount(seg)
         if (long := np.flatnonzero(size > LONG)).size:
@@ -224,18 +222,30 @@ class Vocabulary:
                 parts.append([self._runs(text)])
         if len(self.memory) >= MEMORY:
             self.older, self.memory = self.memory, {}
-        memory, older, rest, new = self.memory, self.older, {}, []
-        for w in set().union(*[p for own in parts for p in own if not isinstance(p, str)]):
-            if w not in memory:
-                if (out := older.get(w)) is not None:
-                    memory[w] = out
-                else:
-                    new.append(w)
-        for w, out in zip(new, self._words(new), strict=True):
-            (memory if len(w) <= 64 else rest)[w] = out
-        get = memory.get
-        one = lambda p: struct.pack("<I", self.special[p]) if isinstance(p, str) else b"".join([get(w) or rest.get(w, b"") for w in p])
-        return [b"".join([one(p) for p in own]) for own in parts]
+        passing = self._learn(set().union(*[p for own in parts for p in own if not isinstance(p, str)]))
+        get = self.memory.__getitem__
+        out = [b"".join([struct.pack("<I", self.special[p]) if isinstance(p, str) else b"".join(map(get, p)) for p in own]) for own in parts]
+        for w in passing:
+            del self.memory[w]
+        return out
+
+    def _learn(self, runs: set[str]) -> list[str]:
+        """Puts the ids of all runs into the young memory and names the long ones, which aren't to stay; a run with signs in it is put together from its words."""
+        memory, older = self.memory, self.older
+        missing = runs.difference(memory)
+        known = missing.intersection(older)
+        memory.update(zip(known, map(older.__getitem__, known), strict=True))
+        missing -= known
+        signs = {w: self.words.findall(w) for w in missing if not w.isalpha()}
+        words = missing.difference(signs).union(*signs.values()).difference(memory)
+        for w in words.intersection(older):
+            memory[w] = older[w]
+        new = list(words.difference(memory))
+        memory.update(zip(new, self._words(new), strict=True))
+        get = memory.__getitem__
+        joined = {w: b"".join(map(get, own)) for w, own in signs.items()}
+        memory.update(joined)
+        return [w for w in {*new, *joined} if len(w) > 64]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
