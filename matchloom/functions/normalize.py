@@ -102,10 +102,13 @@ def canonical_hash(*columns: Column | str) -> Column:
 
 
 def sorted_names(c: Column, kind: T.DataType) -> Column:
-    """c with the fields of every struct in it in the order of their names, however deep."""
+    """c with the fields of every struct and the keys of every map in it in order, however deep."""
     if isinstance(kind, T.StructType):
         fields = [sorted_names(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
         return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        entry = lambda k: F.struct(k.alias("key"), sorted_names(F.element_at(c, k), kind.valueType).alias("value"))
+        return F.map_from_entries(F.transform(F.array_sort(F.map_keys(c)), entry))
     return F.transform(c, lambda x: sorted_names(x, kind.elementType)) if isinstance(kind, T.ArrayType) else c
 
 

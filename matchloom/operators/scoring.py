@@ -2,10 +2,13 @@
 
 Only a location rule can fail a candidate; a fact that is not recorded leaves a
 rule unknown.  Skills and the facts of confirmed profiles are items of one long
-table, so scores and all rules that ask for an item come from one equi-join of
-wanted with recorded items.  Candidates without any hit are supplied from
-bounded heads of the lowest ids in each organisation and location, so no
-candidate x requirement product is made.
+table.  Candidates of one organisation who are alike in place, in the experience
+thresholds that they reach and in the wanted items that they hold make a class:
+every requirement scores and judges them alike.  So classes meet requirements, by
+an equi-join of held with wanted items, and not candidates; only classes that can
+reach the list are expanded, to their lowest ids.  Candidates without any hit come
+from bounded heads of the lowest ids by place and threshold, and counts of a filter
+report from sums over thresholds.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.normalize import decimal_text, strip, taxonomy
 
 FULL_CENTS = 10_000
@@ -35,10 +39,21 @@ def skill_points(requirement_skill: DataFrame) -> DataFrame:
     return rows.withColumn("possible_cents", (F.col("base") + extra).cast("int")).drop("total", "base", "rest", "units")
 
 
-def evaluable(requirements: DataFrame) -> DataFrame:
-    """confirmed requirements of vacancies that aren't deleted, as far as the table says (status, vacancy_deleted)."""
+def evaluable(requirements: DataFrame, strict: bool = False) -> DataFrame:
+    """the current confirmed requirements of vacancies that aren't deleted.
+
+    A table with vacancy_id and version gives the newest confirmed version of each
+    vacancy.  Gates whose columns (status, vacancy_deleted, vacancy_id, version) a
+    table lacks are open, unless ``strict`` asks for all of them.
+    """
+    missing = {"status", "vacancy_deleted", "vacancy_id", "version"} - set(requirements.columns)
+    if strict and missing:
+        raise ValueError(f"requirements lack {', '.join(sorted(missing))}")
     if "status" in requirements.columns:
         requirements = requirements.filter("status = 'confirmed'")
+    if not missing & {"vacancy_id", "version"}:
+        newest = requirements.groupBy("vacancy_id").agg(F.max_by("requirements_id", F.struct("version", "requirements_id")).alias("requirements_id"))
+        requirements = requirements.hint("merge").join(newest.hint("merge"), ["vacancy_id", "requirements_id"], "left_semi")
     return requirements.filter("not coalesce(vacancy_deleted, false)") if "vacancy_deleted" in requirements.columns else requirements
 
 
@@ -127,91 +142,167 @@ def outcome() -> Column:
     return F.when(location_fails(), "failed").when(any_unknown(), "review").otherwise("passed")
 
 
-def _heads(facts: DataFrame, wanted: DataFrame, top: int) -> DataFrame:
-    """(requirements_id, candidate facts): lowest ids that could fill a list, by place and by experience threshold.
+#: Distinct experience thresholds of all rules; they are tenths of years, so real ones are a few hundred at most.
+MOST_THRESHOLDS = 10_000
+
+
+def _thresholds(rules: DataFrame) -> list[int]:
+    found = [r.tenths for r in rules.filter("rule_type = 'minimum_experience' and tenths is not null").select("tenths").distinct().limit(MOST_THRESHOLDS + 1).collect()]
+    if len(found) > MOST_THRESHOLDS:
+        raise ValueError("too many experience thresholds")
+    return sorted(found)
+
+
+def _reached(thresholds: list[int]) -> Column:
+    """Thresholds that the years reach, -1 (none wanted) always among them."""
+    return F.filter(F.array(*[F.lit(t) for t in (-1, *thresholds)]), lambda t: t <= F.coalesce("years", F.lit(-1)))
+
+
+def classes(known: DataFrame, held: DataFrame, items: DataFrame, thresholds: list[int], top: int = 0) -> DataFrame:
+    """Candidates by what requirements can tell apart: _class, org_id, place, step, items, n and, if asked for, the ``top`` lowest ids.
+
+    step is the largest threshold reached, -1 for none; items are those held that
+    some requirement of the organisation wants.
+    """
+    asked = items.select("org_id", "item").distinct()
+    mine = held.hint("merge").join(known.select("candidate_id", "org_id").hint("merge"), "candidate_id").hint("merge").join(asked.hint("merge"), ["org_id", "item"], "left_semi")
+    sets = mine.groupBy("candidate_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = known.hint("merge").join(sets.hint("merge"), "candidate_id", "left").select(
+        "candidate_id", "org_id", "place", F.array_max(_reached(thresholds)).alias("step"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
+    rows = cut(rows.withColumn("_class", F.sha2(F.to_json(F.struct("org_id", "place", "step", "items")), 256)))
+    out = rows.groupBy("_class").agg(*[F.any_value(c).alias(c) for c in ("org_id", "place", "step", "items")], F.count("*").alias("n"))
+    if not top:
+        return cut(out)
+    low = rows.select("_class", "candidate_id").withColumn("_n", F.row_number().over(Window.partitionBy("_class").orderBy("candidate_id"))).filter(F.col("_n") <= top)
+    return cut(out.hint("merge").join(low.groupBy("_class").agg(F.array_sort(F.collect_list("candidate_id")).alias("ids")).hint("merge"), "_class"))
+
+
+def _heads(grouped: DataFrame, wanted: DataFrame, thresholds: list[int], top: int) -> DataFrame:
+    """(requirements_id, candidate_id, place, step): lowest ids that could fill a list, by place and by experience threshold.
 
     Of a group, everybody before a candidate without hits ranks before it, so
     ``top`` of each group are enough.
     """
-    two = facts.withColumn("group", F.explode(F.array("place", F.lit(_ANY))))
-    low = Window.partitionBy("org_id", "group").orderBy("candidate_id")
-    plain = two.withColumn("n", F.row_number().over(low)).filter(F.col("n") <= top).withColumn("threshold", F.lit(-1)).drop("n")
-    # experience thresholds in use are few for an organisation; each has heads of its own
-    used = wanted.filter("min_tenths is not null").select("org_id", F.col("min_tenths").alias("threshold")).distinct()
-    able = two.filter("years is not null").hint("shuffle_hash").join(used, "org_id").filter("years >= threshold")
-    low = Window.partitionBy("org_id", "group", "threshold").orderBy("candidate_id")
-    able = able.withColumn("n", F.row_number().over(low)).filter(F.col("n") <= top).select(*plain.columns)
+    used = wanted.select("org_id", F.explode(F.array_compact(F.array(F.lit(-1), "min_tenths"))).alias("threshold")).distinct()
+    two = grouped.select("org_id", "place", "step", F.explode(F.array("place", F.lit(_ANY))).alias("group"), "ids").select("*", F.explode("ids").alias("candidate_id")).drop("ids")
+    low = lambda df, *key: df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("candidate_id"))).filter(F.col("_n") <= top).drop("_n")
+    steps = low(two, "org_id", "group", "step").withColumn("years", F.col("step"))
+    reached = steps.withColumn("threshold", F.explode(_reached(thresholds))).drop("years")
+    lists = low(reached.hint("merge").join(used.hint("merge"), ["org_id", "threshold"], "left_semi"), "org_id", "group", "threshold")
     places = F.when(F.coalesce("n_locations", F.lit(0)) == 0, F.array(F.lit(_ANY))).when(F.col("n_locations") > 1, F.array(F.lit(""))).otherwise(F.array("wanted_location", F.lit("")))
     asks = wanted.select("requirements_id", "org_id", F.explode(F.array_distinct(places)).alias("group"), "min_tenths")
-    asks = asks.withColumn("threshold", F.explode(F.array_compact(F.array(F.lit(-1), "min_tenths"))))
-    return asks.hint("merge").join(plain.unionByName(able).hint("merge"), ["org_id", "group", "threshold"]).select("requirements_id", "candidate_id", "place", "years")
+    asks = asks.withColumn("threshold", F.explode(F.array_compact(F.array(F.lit(-1), "min_tenths")))).drop("min_tenths")
+    return asks.hint("merge").join(lists.hint("merge"), ["org_id", "group", "threshold"]).select("requirements_id", "candidate_id", "place", "step")
 
 
-def scored_pairs(requirements: DataFrame, requirement_skill: DataFrame, rules: DataFrame, candidates: DataFrame, skills: DataFrame, profiles: DataFrame | None = None, facts: DataFrame | None = None, heads: int = 0) -> DataFrame:
-    """Pairs with an item in common, and the heads that may fill a list of that length: cents, matched counts, outcome."""
-    known, rules = candidate_facts(candidates, skills, profiles), keyed_rules(rules)
-    wanted = evaluable(requirements).select("requirements_id", "org_id").join(rule_rows(rules), "requirements_id", "left")
+def _judged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows(requirements_id, place, step, hits, ...) with the outcome."""
+    both = rows.hint("merge").join(wanted.drop("org_id").hint("merge"), "requirements_id").withColumn("years", F.nullif("step", F.lit(-1)))
+    return both.withColumn("outcome", outcome()).drop("years", "wanted_location", "n_locations", "min_tenths", "n_items")
+
+
+def class_pairs(requirements: DataFrame, requirement_skill: DataFrame, rules: DataFrame, candidates: DataFrame, skills: DataFrame, profiles: DataFrame | None = None, facts: DataFrame | None = None, top: int = TOP) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """Requirements with the classes that hold an item they want: cents, matched counts, outcome (E2, J1, R1-R10); the classes, the requirements, the thresholds."""
+    known, rules = candidate_facts(candidates, skills, profiles), cut(keyed_rules(rules))
+    wanted = cut(evaluable(requirements).select("requirements_id", "org_id").join(rule_rows(rules), "requirements_id", "left"))
     points = skill_points(requirement_skill).select("requirements_id", _item(F.lit(_SKILL), F.col("skill")).alias("item"), "possible_cents", (F.col("importance") == "must_have").cast("int").alias("must"), F.lit(0).alias("ruled"))
     ruled = rules.filter("item is not null").select("requirements_id", "item", F.lit(0).alias("possible_cents"), F.lit(-1).alias("must"), F.lit(1).alias("ruled")).distinct()
-    items = points.unionByName(ruled).join(wanted.select("requirements_id", "org_id"), "requirements_id")
-    held = _held(skills, facts).join(known, "candidate_id")
-    hits = held.hint("merge").join(items.hint("merge"), ["org_id", "item"]).select("requirements_id", "candidate_id", "place", "years", F.col("possible_cents").alias("cents"), "must", "ruled")
-    if heads:
-        none = [F.lit(0).alias("cents"), F.lit(-1).alias("must"), F.lit(0).alias("ruled")]
-        hits = hits.unionByName(_heads(known, wanted, heads).select("*", *none))
-    pairs = hits.groupBy("requirements_id", "candidate_id").agg(
-        F.first("place").alias("place"), F.first("years").alias("years"), F.sum("cents").cast("int").alias("score_cents"),
-        F.count_if(F.col("must") == 1).cast("int").alias("matched_must"), F.count_if(F.col("must") == 0).cast("int").alias("matched_nice"), F.sum("ruled").alias("hits"),
+    items = cut(points.unionByName(ruled).join(wanted.select("requirements_id", "org_id"), "requirements_id"))
+    thresholds = _thresholds(rules)
+    grouped = classes(known, _held(skills, facts), items, thresholds, top)
+    hits = grouped.select("_class", "org_id", F.explode("items").alias("item")).hint("merge").join(items.hint("merge"), ["org_id", "item"])
+    pairs = hits.groupBy("requirements_id", "_class").agg(
+        F.sum("possible_cents").cast("int").alias("score_cents"), F.count_if(F.col("must") == 1).cast("int").alias("matched_must"),
+        F.count_if(F.col("must") == 0).cast("int").alias("matched_nice"), F.sum("ruled").alias("hits"),
     )
-    return pairs.hint("merge").join(wanted.drop("org_id").hint("merge"), "requirements_id").withColumn("outcome", outcome())
+    pairs = pairs.hint("merge").join(grouped.select("_class", "place", "step", "n").hint("merge"), "_class")
+    return _judged(pairs, wanted), grouped, wanted, thresholds
 
 
 def shortlist(requirements, requirement_skill, rules, candidates, skills, top: int = TOP, profiles: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """The first ``top`` eligible candidates: score, passed before review, id; with the totals of wanted skills."""
-    pairs = scored_pairs(requirements, requirement_skill, rules, candidates, skills, profiles, facts, top).filter("outcome <> 'failed'")
-    order = Window.partitionBy("requirements_id").orderBy(F.desc("score_cents"), (F.col("outcome") != "passed").cast("int"), "candidate_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    """The first ``top`` eligible candidates: score, passed before review, id; with the totals of wanted skills.
+
+    Classes of one score and outcome are a level.  Levels that ``top`` candidates
+    stand above are left unexpanded.
+    """
+    pairs, grouped, wanted, thresholds = class_pairs(requirements, requirement_skill, rules, candidates, skills, profiles, facts, top)
+    pairs = cut(pairs.filter("outcome <> 'failed'"))
+    late = (F.col("outcome") != "passed").cast("int")
+    levels = pairs.groupBy("requirements_id", "score_cents", "outcome").agg(F.sum("n").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("requirements_id").orderBy(F.desc("score_cents"), late)) - F.col("n")
+    reach = levels.withColumn("above", above).filter(F.col("above") < top).drop("n", "above")
+    kept = pairs.hint("merge").join(reach.hint("merge"), ["requirements_id", "score_cents", "outcome"], "left_semi")
+    shown = ["requirements_id", "candidate_id", "score_cents", "outcome", "matched_must", "matched_nice"]
+    hits = kept.hint("merge").join(grouped.select("_class", "ids").hint("merge"), "_class").withColumn("candidate_id", F.explode("ids")).select(*shown, F.lit(1).alias("hit"))
+    nothing = {"score_cents": F.lit(0), "matched_must": F.lit(0), "matched_nice": F.lit(0), "hits": F.lit(0)}
+    none = _judged(_heads(grouped, wanted, thresholds, top).distinct().withColumns(nothing), wanted).filter("outcome <> 'failed'").select(*shown, F.lit(0).alias("hit"))
+    best = F.max_by(F.struct(*shown[2:]), "hit").alias("x")  # whoever has a hit is no candidate without one
+    rows = hits.unionByName(none).groupBy(*shown[:2]).agg(best).select(*shown[:2], "x.*")
+    order = Window.partitionBy("requirements_id").orderBy(F.desc("score_cents"), late, "candidate_id")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     must = F.count_if(F.col("importance") == "must_have").cast("int").alias("total_must")
     totals = requirement_skill.groupBy("requirements_id").agg(must, F.count_if(F.col("importance") != "must_have").cast("int").alias("total_nice"))
-    rows = ranked.join(totals, "requirements_id", "left").fillna({"total_must": 0, "total_nice": 0})
+    rows = ranked.hint("merge").join(totals.hint("merge"), "requirements_id", "left").fillna({"total_must": 0, "total_nice": 0})
     return rows.select("requirements_id", "rank", "candidate_id", "score_cents", "outcome", "matched_must", "matched_nice", "total_must", "total_nice")
 
 
 def breakdown(entries: DataFrame, requirement_skill: DataFrame, skills: DataFrame) -> DataFrame:
-    """Entries with an array of every wanted skill in order, matched or not, and its points."""
-    points = skill_points(requirement_skill)
-    held = skills.select("candidate_id", "skill").distinct().withColumn("matched", F.lit(True))
-    rows = entries.select("requirements_id", "candidate_id").join(points, "requirements_id").join(held, ["candidate_id", "skill"], "left")
-    got = F.coalesce("matched", F.lit(False))
+    """Entries with an array of every wanted skill in order, matched or not, and its points.
+
+    Each has the label of the requirement (source_label, else the skill), the label
+    under which the candidate recorded it, or NOT_RECORDED, and the evidence.
+    Tables without source_label or evidence count as having blank ones.
+    """
+    col = lambda df, c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    points = skill_points(requirement_skill).withColumn("label", F.coalesce(F.nullif(col(requirement_skill, "source_label"), F.lit("")), "skill"))
+    recorded = F.coalesce(F.nullif(col(skills, "source_label"), F.lit("")), F.col("skill"))
+    held = skills.groupBy("candidate_id", "skill").agg(F.min(F.struct(recorded.alias("label"), col(skills, "evidence").alias("evidence"))).alias("held"))
+    rows = entries.select("requirements_id", "candidate_id").hint("merge").join(points.hint("merge"), "requirements_id").hint("merge").join(held.hint("merge"), ["candidate_id", "skill"], "left")
+    got = F.col("held").isNotNull()
     item = F.struct(
         (F.col("importance") != "must_have").cast("int").alias("rank_group"), F.col("pos").cast("int").alias("pos"), "skill", "importance", got.alias("matched"),
         F.when(got, F.col("possible_cents")).otherwise(0).alias("awarded_cents"), "possible_cents",
+        F.col("label").alias("skill_label"), F.coalesce("held.label", F.lit(NOT_RECORDED)).alias("candidate_label"), F.coalesce("held.evidence", F.lit("")).alias("evidence"),
     )
     arrays = rows.groupBy("requirements_id", "candidate_id").agg(F.array_sort(F.collect_list(item)).alias("skill_scores"))
-    return entries.join(arrays, ["requirements_id", "candidate_id"], "left")
+    return entries.hint("merge").join(arrays.hint("merge"), ["requirements_id", "candidate_id"], "left")
+
+
+def _reach_counts(cells: DataFrame, marks: DataFrame) -> DataFrame:
+    """For marks(org_id, group, threshold) the candidates of the group that reach the threshold, by sums along the steps of cells(org_id, place, step, n)."""
+    two = cells.select("org_id", F.explode(F.array("place", F.lit(_ANY))).alias("group"), F.col("step").alias("threshold"), "n")
+    steps = two.groupBy("org_id", "group", "threshold").agg(F.sum("n").alias("n"))
+    both = steps.withColumn("mark", F.lit(False)).unionByName(marks.distinct().select("org_id", "group", "threshold", F.lit(0).cast("long").alias("n"), F.lit(True).alias("mark")))
+    # few rows a group: its steps and the thresholds asked for; equal ones count
+    down = Window.partitionBy("org_id", "group").orderBy(F.desc("threshold"))
+    return both.withColumn("reached", F.sum("n").over(down)).filter("mark").select("org_id", "group", "threshold", "reached")
 
 
 def filter_report(requirements, rules, candidates, skills, profiles: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """Evaluated, passed, review, failed and eligible counts, from counts by place and years; no pairs but hits of rules that ask for an item."""
-    known, rules = candidate_facts(candidates, skills, profiles), keyed_rules(rules)
-    wanted = evaluable(requirements).select("requirements_id", "org_id").join(rule_rows(rules), "requirements_id", "left").fillna({"n_locations": 0, "n_items": 0})
-    cells = known.groupBy("org_id", "place", "years").agg(F.count("*").alias("n"))
-    by_place = cells.groupBy("org_id", "place").agg(F.sum("n").alias("n"))
-    totals = by_place.groupBy("org_id").agg(F.sum("n").alias("evaluated"), F.sum(F.when(F.col("place") == "", F.col("n")).otherwise(0)).alias("blank"))
-    at = by_place.filter("place <> ''").select("org_id", F.col("place").alias("wanted_location"), F.col("n").alias("there"))
-    counted = wanted.join(totals, "org_id", "left").join(at, ["org_id", "wanted_location"], "left")
-    # passing without rules for items: cells of the right place and enough years
-    asks = wanted.filter("n_items = 0 and n_locations <= 1").select("requirements_id", "org_id", "wanted_location", "min_tenths")
-    right = F.col("wanted_location").isNull() | ((F.col("place") == F.col("wanted_location")) & (F.col("place") != ""))
-    able = F.col("min_tenths").isNull() | (F.col("years") >= F.col("min_tenths"))
-    plain = asks.hint("shuffle_hash").join(cells, "org_id").filter(right & able).groupBy("requirements_id").agg(F.sum("n").alias("plain"))
+    """Evaluated, passed, review, failed and eligible counts; candidates are counted by class and threshold, never paired."""
+    known, rules = candidate_facts(candidates, skills, profiles), cut(keyed_rules(rules))
+    wanted = cut(evaluable(requirements).select("requirements_id", "org_id").join(rule_rows(rules), "requirements_id", "left").fillna({"n_locations": 0, "n_items": 0}))
     ruled = rules.filter("item is not null").select("requirements_id", "item").distinct()
-    held = _held(skills, facts).join(known, "candidate_id")
-    asked = ruled.join(wanted, "requirements_id").filter("n_locations <= 1")
-    hits = held.hint("merge").join(asked.hint("merge"), ["org_id", "item"]).filter(right & able)
-    hits = hits.groupBy("requirements_id", "candidate_id", "n_items").agg(F.count("*").alias("got")).filter("got = n_items")
-    skilled = hits.groupBy("requirements_id").agg(F.count("*").alias("skilled"))
-    rows = counted.join(plain, "requirements_id", "left").join(skilled, "requirements_id", "left").fillna({"evaluated": 0, "blank": 0, "there": 0, "plain": 0, "skilled": 0})
+    asked = cut(ruled.hint("merge").join(wanted.filter("n_locations <= 1").hint("merge"), "requirements_id"))
+    grouped = classes(known, _held(skills, facts), asked, _thresholds(rules))
+    # what each requirement looks up: everybody, blank places, its place, and who passes without rules for items
+    least, one = F.coalesce("min_tenths", F.lit(-1)), F.col("n_locations") == 1
+    ask = lambda kind, group, threshold, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(kind).alias("kind"), group.alias("group"), threshold.cast("int").alias("threshold")))
+    asks = F.array_compact(F.array(
+        ask("evaluated", F.lit(_ANY), F.lit(-1)), ask("blank", F.lit(""), F.lit(-1)), ask("there", F.col("wanted_location"), F.lit(-1), one & (F.col("wanted_location") != "")),
+        ask("plain", F.when(one, F.col("wanted_location")).otherwise(F.lit(_ANY)), least, (F.col("n_items") == 0) & (F.col("n_locations") <= 1) & (F.coalesce("wanted_location", F.lit("?")) != "")),
+    ))
+    asks = cut(wanted.select("requirements_id", "org_id", F.explode(asks).alias("x")).select("requirements_id", "org_id", "x.*"))
+    counts = _reach_counts(grouped, asks.select("org_id", "group", "threshold"))
+    found = asks.hint("merge").join(counts.hint("merge"), ["org_id", "group", "threshold"])
+    counted = found.groupBy("requirements_id").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("reached"))), F.lit(0)).alias(k) for k in ("evaluated", "blank", "there", "plain")])
+    right = F.col("wanted_location").isNull() | ((F.col("place") == F.col("wanted_location")) & (F.col("place") != ""))
+    able = F.col("min_tenths").isNull() | (F.col("step") >= F.col("min_tenths"))
+    hits = grouped.select("_class", "org_id", "place", "step", "n", F.explode("items").alias("item")).hint("merge").join(asked.hint("merge"), ["org_id", "item"]).filter(right & able)
+    hits = hits.groupBy("requirements_id", "_class", "n_items", "n").agg(F.count("*").alias("got")).filter("got = n_items")
+    skilled = hits.groupBy("requirements_id").agg(F.sum("n").alias("skilled"))
+    rows = wanted.hint("merge").join(counted.hint("merge"), "requirements_id").hint("merge").join(skilled.hint("merge"), "requirements_id", "left").fillna({"skilled": 0})
     failed = F.when(F.col("n_locations") == 0, 0).when(F.col("n_locations") > 1, F.col("evaluated") - F.col("blank")).otherwise(F.col("evaluated") - F.col("blank") - F.col("there"))
     rows = rows.withColumn("failed", failed).withColumn("passed", F.col("plain") + F.col("skilled"))
     eligible = F.col("evaluated") - F.col("failed")

@@ -121,7 +121,7 @@ VIEWS = {
         SELECT event_id, status, CASE WHEN event_id % 37 = 0 THEN NULL WHEN status = 'pending' THEN NULL ELSE started_at END AS completed_at, failure_stage, CASE WHEN event_id % 41 = 0 THEN '' ELSE failure_code END AS failure_code, provider_request_id, model,
                CASE WHEN status = 'succeeded' THEN 'profile' ELSE '' END AS result_type, CASE WHEN status = 'succeeded' AND event_id % 43 <> 0 THEN event_id END AS result_id FROM {fx_usage}""",
     "fx_person": """
-        SELECT candidate_id, status, CASE WHEN status = 'deleted' AND candidate_id % 3 <> 0 THEN DATE '2024-05-01' END AS deleted_at, CASE WHEN status = 'deletion_requested' AND candidate_id % 4 <> 1 THEN DATE '2024-04-01' END AS deletion_requested_at FROM {fx_candidate}""",
+        SELECT candidate_id, org_id, status, CASE WHEN status = 'deleted' AND candidate_id % 3 <> 0 THEN DATE '2024-05-01' END AS deleted_at, CASE WHEN status = 'deletion_requested' AND candidate_id % 4 <> 1 THEN DATE '2024-04-01' END AS deletion_requested_at FROM {fx_candidate}""",
     "fx_transition": """
         SELECT l_orderkey AS vacancy_id, l_linenumber AS step,
                CASE l_returnflag WHEN 'A' THEN 'draft' WHEN 'R' THEN 'open' ELSE 'paused' END AS from_status,

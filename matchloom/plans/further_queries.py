@@ -10,6 +10,7 @@ from ..functions import normalize as N
 from ..functions.lineage import checkpoint_dir
 from ..operators import grounding as G
 from ..operators import intake as I
+from ..operators import constraints as C
 from ..operators import quality_rules as Q
 from ..operators import ranking_eval as L
 from ..operators import review as R
@@ -72,7 +73,8 @@ def dataset_identities(spark, sf_dir):
     n = view(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
     r = view(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
     nations = F.transform("x", lambda x: F.struct(x["n_nationkey"].alias("key"), x["n_name"].alias("code")))
-    return L.dataset_identity(r.select(F.struct(F.col("r_name").alias("title"), nations.alias("candidates")).alias("body"), F.col("r_regionkey").alias("dataset_id")))
+    judged = F.map_from_entries(F.reverse(F.transform("x", lambda x: F.struct(x["n_name"].alias("key"), (x["n_nationkey"] % 4).alias("value")))))  # against the order of keys
+    return L.dataset_identity(r.select(F.struct(F.col("r_name").alias("title"), nations.alias("candidates"), judged.alias("judgments")).alias("body"), F.col("r_regionkey").alias("dataset_id")))
 
 
 def canonical_hashes(spark, sf_dir):
@@ -183,50 +185,18 @@ def stored_shortlists(spark, sf_dir):
     runs = S.run_summary(S.filter_report(req, rules, cands, skills, **more)).withColumnRenamed("requirements_id", "run_id").join(orgs, "run_id")
     entries = S.shortlist(req, wanted, rules, cands, skills, **more).withColumnRenamed("requirements_id", "run_id").join(orgs, "run_id")
     path = f"{checkpoint_dir(spark)}/shortlists-{uuid.uuid4().hex}"
-    sinks.append_shortlists(runs, entries, path)
-    n = spark.read.parquet(f"{path}/entries").groupBy("run_id").agg(F.count("*").alias("stored"), F.sum("score_cents").alias("cents"))
-    return spark.read.parquet(f"{path}/runs").join(n, "run_id", "left").select("run_id", "org_id", "evaluated", "eligible", "shortlisted", F.coalesce("stored", F.lit(0)).alias("stored"), "cents")
-
-
-LEDGER_RULES = [
-    # Runs and their entries
-    Q.Check("match_run_limit_is_positive", "fx_run", "run_id", "shortlist_limit >= 1"),
-    Q.Check("match_run_eligible_not_above_evaluated", "fx_run", "run_id", "eligible_count <= evaluated_count"),
-    Q.Check("match_run_shortlisted_not_above_eligible", "fx_run", "run_id", "shortlisted_count <= eligible_count"),
-    Q.Check("match_run_shortlisted_not_above_limit", "fx_run", "run_id", "shortlisted_count <= shortlist_limit"),
-    Q.Unique("unique_candidate_per_match_run", "fx_entry", ("run_id", "candidate_id")),
-    Q.Unique("unique_rank_per_match_run", "fx_entry", ("run_id", "rank")),
-    Q.Check("shortlist_entry_rank_is_positive", "fx_entry", "run_id", "rank >= 1"),
-    Q.Check("shortlist_entry_score_in_range", "fx_entry", "run_id", "score >= 0 and score <= 100"),
-    Q.Check("shortlist_entry_has_eligible_filter_outcome", "fx_entry", "run_id", "filter_outcome in ('passed', 'review')"),
-    Q.Check("shortlist_must_match_not_above_total", "fx_entry", "run_id", "matched_must <= total_must"),
-    Q.Reference("shortlist_entry_run", "fx_entry", "run_id", "fx_run", "run_id"),
-    # K8: the audit ledger and the usage ledger
-    Q.Check("audit_event_has_valid_action", "fx_audit", "event_id", "action in ('candidate_deletion_requested', 'candidate_retention_flagged', 'candidate_deletion_cancelled', 'candidate_deleted', 'candidate_document_downloaded', 'vacancy_deleted')"),
-    Q.Check("audit_event_has_valid_object_type", "fx_audit", "event_id", "object_type in ('candidate', 'candidate_document', 'vacancy')"),
-    Q.Check(
-        "audit_event_action_matches_object", "fx_audit", "event_id",
-        "(action in ('candidate_deletion_requested', 'candidate_retention_flagged', 'candidate_deletion_cancelled', 'candidate_deleted') and object_type = 'candidate') or (action = 'candidate_document_downloaded' and object_type = 'candidate_document') or (action = 'vacancy_deleted' and object_type = 'vacancy')",
-    ),
-    Q.Check("ai_usage_completion_matches_status", "fx_attempt", "event_id", "(status = 'pending' and completed_at is null) or (status in ('succeeded', 'failed') and completed_at is not null)"),
-    Q.Check("ai_usage_failure_fields_match_status", "fx_attempt", "event_id", "(status = 'failed' and failure_stage <> '' and failure_code <> '') or (status <> 'failed' and failure_stage = '' and failure_code = '')"),
-    Q.Check("ai_usage_success_has_result_metadata", "fx_attempt", "event_id", "status <> 'succeeded' or (provider_request_id <> '' and model <> '' and result_type <> '' and result_id is not null)"),
-    Q.Check("ai_usage_result_reference_complete", "fx_attempt", "event_id", "(result_type = '' and result_id is null) or (result_type <> '' and result_id is not null)"),
-    # Q1: people, intake, profiles, vacancies, jobs and memberships
-    Q.Check("deleted_candidate_has_timestamp", "fx_person", "candidate_id", "status <> 'deleted' or deleted_at is not null"),
-    Q.Check("candidate_deletion_request_has_timestamp", "fx_person", "candidate_id", "status <> 'deletion_requested' or deletion_requested_at is not null"),
-    Q.Check("candidate_profile_version_positive", "fx_assessment", "entry_id", "version >= 1"),
-    Q.Unique("unique_candidate_profile_version", "fx_assessment", ("entry_id", "version")),
-    Q.Check("job_task_valid_status", "fx_task", "job_id", "status in ('queued', 'succeeded', 'failed')"),
-    Q.Check("vacancy_valid_status", "fx_vacancy", "vacancy_id", "status in ('open', 'paused', 'closed')"),
-    Q.Unique("unique_membership", "fx_member", ("user_id", "org_id")),
-    Q.Reference("membership_organization", "fx_member", "org_id", "fx_organization", "org_id"),
-]
+    for _ in range(2):  # the second time stores nothing
+        sinks.append_shortlists(runs, entries, path, batch="first")
+    n = sinks.read_committed(spark, path, "entries").groupBy("run_id").agg(F.count("*").alias("stored"), F.sum("score_cents").alias("cents"))
+    return sinks.read_committed(spark, path, "runs").join(n, "run_id", "left").select("run_id", "org_id", "evaluated", "eligible", "shortlisted", F.coalesce("stored", F.lit(0)).alias("stored"), "cents")
+
+
+#: The view that stands for each table of the constraints.
+RULE_VIEWS = {"match_run": "fx_run", "shortlist_entry": "fx_entry", "audit_event": "fx_audit", "ai_usage_event": "fx_attempt", "candidate": "fx_person", "assessment": "fx_assessment", "background_task": "fx_task", "vacancy": "fx_vacancy", "membership": "fx_member", "organization": "fx_organization", "candidate_source": "fx_source", "candidate_skill": "fx_candidate_skill_full", "requirement_skill": "fx_requirement_skill", "vacancy_requirements": "fx_requirement_version", "candidate_document": "fx_document"}
 
 
 def ledger_rules(spark, sf_dir):
-    names = {r.table for r in LEDGER_RULES} | {r.other for r in LEDGER_RULES if isinstance(r, Q.Reference)}
-    return Q.run({n: view(spark, sf_dir, n) for n in names}, LEDGER_RULES)
+    return Q.run({n: view(spark, sf_dir, v) for n, v in RULE_VIEWS.items()}, C.RULES)
 
 
 def _gate(pairs: list[tuple[str, str]]) -> str:
@@ -270,7 +240,7 @@ def sql() -> dict[str, str]:
             SELECT i.org_id, batch_id, i.row_number AS item_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY i.row_number) AS INT) AS position, candidate_id, coalesce(conflicting, false) AS conflicting, coalesce(reasons, '') AS match_reasons,
               CASE WHEN i.row_number % 2 = 0 THEN 'Email not found' ELSE 'Needs review' END AS labels FROM i LEFT JOIN m ON m.org_id = i.org_id AND m.row_number = i.row_number"""),
         "dataset_identities": oracle("""
-            SELECT r_regionkey AS dataset_id, sha256(concat('{"body":{"candidates":[', string_agg(concat('{"code":"', n_name, '","key":', CAST(n_nationkey AS STRING), '}'), ',' ORDER BY n_nationkey), '],"title":"', r_name, '"},"dataset_id":', CAST(r_regionkey AS STRING), '}')) AS identity
+            SELECT r_regionkey AS dataset_id, sha256(concat('{"body":{"candidates":[', string_agg(concat('{"code":"', n_name, '","key":', CAST(n_nationkey AS STRING), '}'), ',' ORDER BY n_nationkey), '],"judgments":{', string_agg(concat('"', n_name, '":', CAST(n_nationkey % 4 AS STRING)), ',' ORDER BY n_name), '},"title":"', r_name, '"},"dataset_id":', CAST(r_regionkey AS STRING), '}')) AS identity
             FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name"""),
         "canonical_hashes": oracle("""
             SELECT o_orderkey, sha256(concat('{"a":', CAST(o_custkey AS STRING), ',"b":', CASE WHEN o_orderstatus <> 'F' THEN concat('"', o_orderstatus, '"') ELSE 'null' END, ',"c":"', o_orderpriority, '"}')) AS hash FROM {orders}"""),
@@ -309,7 +279,7 @@ def sql() -> dict[str, str]:
             o AS (SELECT requirements_id, count(*) AS evaluated, count(*) FILTER (outcome <> 'failed') AS eligible FROM outcomes GROUP BY 1), e AS (SELECT requirements_id, count(*) AS stored, sum(score_cents) AS cents FROM ranked WHERE rank <= 20 GROUP BY 1)
             SELECT r.requirements_id AS run_id, r.org_id, coalesce(evaluated, 0) AS evaluated, coalesce(eligible, 0) AS eligible, least(coalesce(eligible, 0), 20) AS shortlisted, coalesce(stored, 0) AS stored, CAST(cents AS BIGINT) AS cents
             FROM {fx_requirements} r LEFT JOIN o ON o.requirements_id = r.requirements_id LEFT JOIN e ON e.requirements_id = r.requirements_id WHERE r.status = 'confirmed' AND NOT vacancy_deleted"""),
-        "ledger_rules": oracle(rules_sql(LEDGER_RULES)),
+        "ledger_rules": oracle(rules_sql([r._replace(table=RULE_VIEWS[r.table], **({"other": RULE_VIEWS[r.other]} if isinstance(r, Q.Reference) else {})) for r in C.RULES])),
     }
 
 

@@ -28,9 +28,9 @@ def shortlist_fill(spark, sf_dir):
 
 
 def shortlist_breakdown(spark, sf_dir):
-    req, wanted, rules, cands, skills = _inputs(spark, sf_dir)
+    req, wanted, rules, cands, skills = _inputs(spark, sf_dir, "fx_candidate_skill_full")
     rows = S.breakdown(S.shortlist(req, wanted, rules, cands, skills, 3, **told(spark, sf_dir)), wanted, skills)
-    item = F.transform("skill_scores", lambda x: F.concat_ws(":", x["skill"], x["awarded_cents"].cast("string"), x["possible_cents"].cast("string")))
+    item = F.transform("skill_scores", lambda x: F.concat_ws(":", x["skill"], x["awarded_cents"].cast("string"), x["possible_cents"].cast("string"), x["candidate_label"], x["evidence"]))
     return rows.select("requirements_id", "rank", "candidate_id", F.array_join(item, ",").alias("breakdown"))
 
 
@@ -173,9 +173,9 @@ def sql() -> dict[str, str]:
         "shortlist_breakdown": _over(
             f"WITH {_POINTS}, {_ALL}, {_RANKED}"
             + """ SELECT k.requirements_id, rank, k.candidate_id,
-              string_agg(concat_ws(':', q.skill, CAST(CASE WHEN s.skill IS NULL THEN 0 ELSE possible_cents END AS STRING), CAST(possible_cents AS STRING)), ',' ORDER BY importance, pos) AS breakdown
+              string_agg(concat_ws(':', q.skill, CAST(CASE WHEN s.skill IS NULL THEN 0 ELSE possible_cents END AS STRING), CAST(possible_cents AS STRING), coalesce(s.source_label, 'Not recorded'), coalesce(s.evidence, '')), ',' ORDER BY importance, pos) AS breakdown
               FROM ranked k JOIN points q ON q.requirements_id = k.requirements_id
-              LEFT JOIN {fx_candidate_skill} s ON s.candidate_id = k.candidate_id AND s.skill = q.skill WHERE rank <= 3 GROUP BY 1, 2, 3"""
+              LEFT JOIN {fx_candidate_skill_full} s ON s.candidate_id = k.candidate_id AND s.skill = q.skill WHERE rank <= 3 GROUP BY 1, 2, 3"""
         ),
         "shortlist_explained": _over(f"WITH {_POINTS}, {_ALL}, {_RANKED}, {_EXPLAINED}"),
         "skill_points": oracle(f"WITH {_POINTS} SELECT * FROM points"),

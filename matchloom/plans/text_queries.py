@@ -216,6 +216,10 @@ def normalised_names(spark, sf_dir):
     return view(spark, sf_dir, "supplier").select("s_suppkey", N.taxonomy(F.concat(F.lit("  "), F.upper("s_name"), F.lit(" \t x "))).alias("name"), N.phone_key(F.concat(F.lit("+(0) "), F.col("s_suppkey").cast("string"), F.lit("-12345"))).alias("phone"))
 
 
+def key_sql(columns) -> str:
+    return "concat_ws('|', " + ", ".join(f"CAST({c} AS STRING)" for c in columns) + ")"
+
+
 def rules_sql(rules: list) -> str:
     parts = []
     for r in rules:
@@ -223,10 +227,12 @@ def rules_sql(rules: list) -> str:
             condition = re.sub(r"\bdate'", "DATE '", r.condition)
             parts.append(f"SELECT '{r.rule}' AS rule, CAST({r.key} AS STRING) AS key, count(*) AS count FROM {{{r.table}}} WHERE NOT ({condition}) GROUP BY 1, 2")
         elif isinstance(r, Q.Unique):
-            key = ", ".join(f"CAST({c} AS STRING)" for c in r.columns)
-            parts.append(f"SELECT '{r.rule}', concat_ws('|', {key}), count(*) FROM {{{r.table}}} GROUP BY {', '.join(r.columns)} HAVING count(*) > 1")
+            parts.append(f"SELECT '{r.rule}', {key_sql(r.columns)}, count(*) FROM {{{r.table}}} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in r.columns)} GROUP BY {', '.join(r.columns)} HAVING count(*) > 1")
         else:
-            parts.append(f"SELECT '{r.rule}', CAST({r.column} AS STRING), count(*) FROM {{{r.table}}} WHERE {r.column} IS NOT NULL AND {r.column} NOT IN (SELECT {r.other_column} FROM {{{r.other}}}) GROUP BY {r.column}")
+            own, other = ((c,) if isinstance(c, str) else c for c in (r.column, r.other_column))
+            same = " AND ".join(f"o.{o} = t.{c}" for c, o in zip(own, other, strict=True))
+            whole = " AND ".join(f"t.{c} IS NOT NULL" for c in own)
+            parts.append(f"SELECT '{r.rule}', {key_sql([f't.{c}' for c in own])}, count(*) FROM {{{r.table}}} t WHERE {whole} AND NOT EXISTS (SELECT 1 FROM {{{r.other}}} o WHERE {same}) GROUP BY {', '.join(f't.{c}' for c in own)}")
     return " UNION ALL ".join(parts)
 
 

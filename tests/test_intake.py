@@ -162,3 +162,31 @@ def test_shortlists_are_stored_whole_or_not_at_all(spark, tmp_path):
         with pytest.raises(ValueError, match="shortlist rules"):
             sinks.append_shortlists(r, e, str(tmp_path / "t"))
     assert not (tmp_path / "t").exists()
+
+
+def test_a_failure_between_two_tables_leaves_nothing_readable(spark, tmp_path, monkeypatch):
+    runs = spark.createDataFrame([(1, 0, 5, 3, 2)], "run_id long, org_id int, evaluated int, eligible int, shortlisted int")
+    entries = spark.createDataFrame([(1, 0, 1, 7), (1, 0, 2, 8)], "run_id long, org_id int, rank int, candidate_id long")
+    path, whole, moved = str(tmp_path / "s"), sinks._rename, []
+
+    def broken(session, old, new):
+        if moved:
+            raise OSError("the driver is lost")
+        moved.append(new)
+        whole(session, old, new)
+
+    monkeypatch.setattr(sinks, "_rename", broken)
+    with pytest.raises(OSError, match="lost"):
+        sinks.append_shortlists(runs, entries, path)
+    with pytest.raises(ValueError, match="nothing is committed"):
+        sinks.read_committed(spark, path, "runs")
+    monkeypatch.setattr(sinks, "_rename", whole)
+    assert sinks.append_shortlists(runs, entries, path) and not sinks.append_shortlists(runs.repartition(2), entries, path)
+    more = runs.withColumn("run_id", F.lit(2).cast("long"))
+    assert sinks.append_shortlists(more, entries.withColumn("run_id", F.lit(2).cast("long")), path, batch="epoch-2")
+    assert sorted(r.run_id for r in sinks.read_committed(spark, path, "runs").collect()) == [1, 2] and sinks.read_committed(spark, path, "entries").count() == 4
+    with pytest.raises(ValueError, match="named by"):
+        sinks.append_shortlists(runs, entries, path, batch="../x")
+    events = spark.createDataFrame([(1, 0, " x ", -5)], "event_id long, org_id int, model string, total_tokens int")
+    assert [sinks.append_events(events, str(tmp_path / "e"), "0") for _ in range(2)] == [True, False]
+    assert [(r.model, r.total_tokens) for r in sinks.read_committed(spark, str(tmp_path / "e"), "events").collect()] == [("x", None)]

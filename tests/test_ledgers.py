@@ -108,3 +108,28 @@ def test_rules_treat_unknown_as_fine(spark):
 def test_has_requirements(spark):
     df = spark.createDataFrame([(" ", [], None), ("x", None, None), ("", ["a"], None), (None, None, 2)], "t string, a array<string>, n int")
     assert [r[0] for r in df.select(R.has_requirements({"t": "text", "a": "array", "n": "number"})).collect()] == [False, True, True, True]
+
+
+def test_uniqueness_and_references_as_in_sql(spark):
+    t = {
+        "t": spark.createDataFrame([(1, None, "a|b", "c"), (2, None, "a", "b|c"), (3, 5, "x", "y"), (4, 5, "x", "y"), (5, 6, None, "y"), (6, 6, None, "y")], "id int, n int, a string, b string"),
+        "o": spark.createDataFrame([(5, "x"), (6, "z")], "n int, a string"),
+    }
+    rules = [Q.Unique("n_once", "t", ("n",)), Q.Unique("pair_once", "t", ("a", "b")), Q.Reference("known", "t", ("n", "a"), "o", ("n", "a")), Q.Reference("single", "t", "n", "o", "n"), Q.Unique("keys", "t", ("a", "b"), "id < 3")]
+    got = sorted((r.rule, r.key, r["count"]) for r in Q.run(t, rules).collect())
+    assert got == [("n_once", "5", 2), ("n_once", "6", 2), ("pair_once", "x|y", 2)]
+    both = Q.run({"t": t["t"].filter("id < 3").unionByName(t["t"].filter("id < 3"))}, [rules[1]]).collect()
+    assert sorted(r.key for r in both) == ["a\\|b|c", "a|b\\|c"]
+
+
+def test_maps_have_one_identity_in_any_order(spark):
+    from matchloom.operators import ranking_eval as L
+
+    make = lambda m: spark.createDataFrame([("d", {"k": m, "e": None}, [m])], "dataset_id string, deep map<string,map<string,int>>, listed array<map<string,int>>")
+    one, two = (L.dataset_identity(make(m)).first().identity for m in ({"b": 1, "a": 2}, {"a": 2, "b": 1}))
+    assert one == two != L.dataset_identity(make({"a": 1, "b": 2})).first().identity
+    import hashlib
+    import json
+
+    want = json.dumps({"dataset_id": "d", "deep": {"k": {"b": 1, "a": 2}, "e": None}, "listed": [{"b": 1, "a": 2}]}, sort_keys=True, separators=(",", ":"))
+    assert one == hashlib.sha256(want.encode()).hexdigest()
