@@ -66,7 +66,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of several texts: byte spans, and ``first[i]:first[i + 1]`` as the words of text i."""
 
-    __slots__ = ("raw", "off", "start", "end", "first")
+    __slots__ = ("raw", "off", "start", "end", "first", "_hashes")
 
     def __init__(self, texts: pa.Array, table: np.ndarray | None = None):
         self.raw, self.off = utf8(texts)
@@ -83,6 +83,7 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.off)
+        self._hashes: np.ndarray | None = None
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -92,7 +93,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """One mixed 64-bit hash a word."""
+        """One mixed 64-bit hash a word, made once."""
+        if self._hashes is not None:
+            return self._hashes
         size = self.end - self.start
         out = mix(size.astype(np.uint64))
         blocks = np.ndarray(len(self.raw), "<u8", np.concatenate([self.raw, np.zeros(8, np.uint8)]), strides=(1,))  # the 8 bytes from each place on
@@ -104,6 +107,7 @@ class Words:
             some = some[left > 8]
         for i in np.flatnonzero(size > _LONG_WORD).tolist():
             out[i] = xxhash.xxh64_intdigest(self.raw[self.start[i] : self.end[i]].tobytes(), 42)
+        self._hashes = out
         return out
 
     def windows(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
