@@ -116,6 +116,19 @@ def minimised(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     return rows.select(*[c for c in allowed if c in rows.columns])
 
 
+def denormalise(rows: DataFrame, parents: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Rows with the columns of their parents, prefixed by the parent's name.
+
+    parents gives for each name its table, the column of rows that refers to it, which
+    may come from an earlier parent, and its id, which is unique.  Rows without a
+    parent keep nulls.
+    """
+    for name, (df, reference, key) in parents.items():
+        named = df.toDF(*[f"{name}_{c}" for c in df.columns])
+        rows = rows.hint("merge").join(named.hint("merge"), F.col(reference) == F.col(f"{name}_{key}"), "left")
+    return rows
+
+
 def attach(parents: DataFrame, children: DataFrame, key: str, order: str, most: int = 1000) -> DataFrame:
     """Parents with their children as ordered arrays of at most ``most``: one row a parent, further blocks as further rows."""
     place = Window.partitionBy(key).orderBy(order)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint_dir
 from ..functions.normalize import taxonomy
 from ..operators import grounding as G
 from ..operators import ranking_eval as L
@@ -124,6 +127,26 @@ i AS (SELECT a, line, CASE WHEN bare THEN 1 END AS i1, CASE WHEN silent THEN 1 E
 _I = "concat_ws(',', CASE WHEN %s THEN 'invalid_explanation_text' END, CASE WHEN %s THEN 'match_without_lexical_support' END, CASE WHEN %s THEN 'missing_required_evidence' END, CASE WHEN %s THEN 'unsupported_measured_claim' END)"
 
 
+def denormalised_entries(spark, sf_dir):
+    """Entries with their run, candidate and, through the candidate, organisation."""
+    v = lambda n: view(spark, sf_dir, n)
+    parents = {"run": (v("fx_run"), "run_id", "run_id"), "candidate": (v("fx_candidate"), "candidate_id", "candidate_id"), "organization": (v("fx_organization"), "candidate_org_id", "org_id")}
+    rows = R.denormalise(v("fx_entry"), parents)
+    return rows.select("run_id", "candidate_id", "rank", "run_eligible_count", "candidate_full_name", "candidate_location", "organization_slug", "organization_is_active")
+
+
+def stored_events(spark, sf_dir):
+    """A ledger with odd values, cleaned and stored as two batches, each tried twice."""
+    e = view(spark, sf_dir, "fx_usage").select(
+        "event_id", "org_id", F.concat(F.lit("  "), "model", F.lit(" ")).alias("model"), F.when(F.col("event_id") % 5 == 0, -1).otherwise(F.col("total_tokens")).alias("total_tokens"),
+        F.when(F.col("event_id") % 9 == 0, -1 - F.col("duration_ms")).otherwise(F.col("duration_ms")).alias("duration_ms"),
+    )
+    path = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    for batch in (0, 1, 0, 1):
+        sinks.append_events(e.filter(F.col("event_id") % 2 == batch), path, f"part-{batch}")
+    return sinks.read_committed(spark, path, "events").select("event_id", "org_id", "model", "total_tokens", "duration_ms")
+
+
 def sql() -> dict[str, str]:
     sorted_ = _I % ("max(i2) = 1", "max(i3) = 1", "max(i1) = 1", "max(i4) = 1")
     return {
@@ -154,6 +177,11 @@ def sql() -> dict[str, str]:
             WITH s AS (SELECT *, CAST((row_number() OVER (PARTITION BY candidate_id ORDER BY skill) - 1) // 5 AS INT) AS block, count(*) OVER (PARTITION BY candidate_id) AS n FROM {fx_candidate_skill})
             SELECT c.candidate_id, coalesce(n, 0) AS n_children, coalesce(block, 0) AS block, string_agg(skill, ',' ORDER BY skill) AS skills
             FROM {fx_candidate} c LEFT JOIN s ON s.candidate_id = c.candidate_id GROUP BY 1, 2, 3"""),
+        "denormalised_entries": oracle("""
+            SELECT e.run_id, e.candidate_id, e.rank, r.eligible_count AS run_eligible_count, c.full_name AS candidate_full_name, c.location AS candidate_location, o.slug AS organization_slug, o.is_active AS organization_is_active
+            FROM {fx_entry} e LEFT JOIN {fx_run} r ON r.run_id = e.run_id LEFT JOIN {fx_candidate} c ON c.candidate_id = e.candidate_id LEFT JOIN {fx_organization} o ON o.org_id = c.org_id"""),
+        "stored_events": oracle("""
+            SELECT event_id, org_id, model, CASE WHEN event_id % 5 <> 0 THEN total_tokens END AS total_tokens, CASE WHEN event_id % 9 <> 0 THEN CAST(duration_ms AS DECIMAL(16,3)) END AS duration_ms FROM {fx_usage}"""),
         "batch_keys": oracle("""
             WITH d AS (SELECT org_id, document_id % 50 AS batch, concat(CAST(document_id AS STRING), ':', sha256(coalesce(text, ''))) AS member FROM {fx_document})
             SELECT org_id, batch, sha256(concat_ws('|', 'batch.v1', CAST(org_id AS STRING), CAST(batch AS STRING), string_agg(member, ',' ORDER BY member))) AS batch_key FROM d GROUP BY 1, 2"""),
@@ -161,5 +189,5 @@ def sql() -> dict[str, str]:
 
 
 QUERIES = (
-    finding_issues, assessment_reviews, issue_counts, draft_checks, export_texts, report_lines, carry_forward, batch_keys, profile_rules, disjoint_groups, measurement_gate, candidate_listing, vacancy_listing, attached_skills,
+    finding_issues, assessment_reviews, issue_counts, draft_checks, export_texts, report_lines, carry_forward, batch_keys, profile_rules, disjoint_groups, measurement_gate, candidate_listing, vacancy_listing, attached_skills, denormalised_entries, stored_events,
 )
