@@ -40,6 +40,8 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _PHRASE = re.compile(r"""\b(?:pwd|passphrase|bearer|auth|credential|private_?key)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?([A-Za-z0-9+/_.=!@#$%^&*-]{8,})""", re.I | re.A)
 _ACCOUNT = re.compile(r"""\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|app_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""", re.I | re.A)
+#: What an endpoint is.  Searched for as it stands it reads long runs of labels again and again; `endpoints` finds the same in one pass.
+_ENDPOINT = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{2,5}\b|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b""", re.A)
 _ADDRESS = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{2,5}\b""", re.A)
 #: A host's name ends at its port, so ports are found first and names, of 253 characters and labels of 63 at most, before them.
 _PORT = re.compile(r":[0-9]{2,5}\b", re.A)
