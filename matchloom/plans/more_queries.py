@@ -15,7 +15,7 @@ from ..operators import scoring as S
 from ..operators import text_safety as X
 from ..operators import usage as A
 from ..operators import versions as V
-from ..sources import sinks
+from ..sources import files, sinks
 from .fixtures import oracle, view
 
 
@@ -147,6 +147,17 @@ def stored_events(spark, sf_dir):
     return sinks.read_committed(spark, path, "events").select("event_id", "org_id", "model", "total_tokens", "duration_ms")
 
 
+def imported_csv(spark, sf_dir):
+    """Whole texts, line ends and quotes included, written as CSV files and read back in blocks by the strict reader."""
+    rows = view(spark, sf_dir, "documents").select(
+        F.concat(F.lit("Candidate "), F.col("doc_id")).alias("full_name"), F.coalesce("text", F.lit("")).alias("location"), F.concat(F.lit('ref,"'), F.col("doc_id")).alias("source_reference")
+    )
+    path = f"{checkpoint_dir(spark)}/imports-{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = files.candidate_csv(spark, path)
+    return read.select("full_name", "email", "source_reference", F.length("location").cast("long").alias("n_chars"), F.sha2(F.col("location").cast("binary"), 256).alias("location_sha256"), "extra_values")
+
+
 def sql() -> dict[str, str]:
     sorted_ = _I % ("max(i2) = 1", "max(i3) = 1", "max(i1) = 1", "max(i4) = 1")
     return {
@@ -182,6 +193,8 @@ def sql() -> dict[str, str]:
             FROM {fx_entry} e LEFT JOIN {fx_run} r ON r.run_id = e.run_id LEFT JOIN {fx_candidate} c ON c.candidate_id = e.candidate_id LEFT JOIN {fx_organization} o ON o.org_id = c.org_id"""),
         "stored_events": oracle("""
             SELECT event_id, org_id, model, CASE WHEN event_id % 5 <> 0 THEN total_tokens END AS total_tokens, CASE WHEN event_id % 9 <> 0 THEN CAST(duration_ms AS DECIMAL(16,3)) END AS duration_ms FROM {fx_usage}"""),
+        "imported_csv": oracle("""
+            SELECT concat('Candidate ', doc_id) AS full_name, '' AS email, concat('ref,"', doc_id) AS source_reference, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, sha256(coalesce(text, '')) AS location_sha256, false AS extra_values FROM {documents}"""),
         "batch_keys": oracle("""
             WITH d AS (SELECT org_id, document_id % 50 AS batch, concat(CAST(document_id AS STRING), ':', sha256(coalesce(text, ''))) AS member FROM {fx_document})
             SELECT org_id, batch, sha256(concat_ws('|', 'batch.v1', CAST(org_id AS STRING), CAST(batch AS STRING), string_agg(member, ',' ORDER BY member))) AS batch_key FROM d GROUP BY 1, 2"""),
@@ -189,5 +202,5 @@ def sql() -> dict[str, str]:
 
 
 QUERIES = (
-    finding_issues, assessment_reviews, issue_counts, draft_checks, export_texts, report_lines, carry_forward, batch_keys, profile_rules, disjoint_groups, measurement_gate, candidate_listing, vacancy_listing, attached_skills, denormalised_entries, stored_events,
+    finding_issues, assessment_reviews, issue_counts, draft_checks, export_texts, report_lines, carry_forward, batch_keys, profile_rules, disjoint_groups, measurement_gate, candidate_listing, vacancy_listing, attached_skills, denormalised_entries, stored_events, imported_csv,
 )

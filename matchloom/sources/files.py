@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.normalize import strip
+from . import strict_csv
 
 IMPORT_COLUMNS = tuple(field.split()[0] for field in schemas.IMPORT.split(","))
 
@@ -31,28 +30,27 @@ def check_header(names: list[str]) -> list[str]:
 def candidate_csv(spark: SparkSession, path: str) -> DataFrame:
     """The allowed columns (missing ones empty), row_number from 2 in file order, and extra_values.
 
-    Rows of blanks are left out.  A file is read as a whole text row by row only
-    for its header; row numbers order the rows of one file by its blocks.  Rows
-    with more values than the header carry extra_values and reject the import.
+    Quoting is strict, and files are read in blocks (`strict_csv`).  A file with
+    malformed quoting, null bytes or bytes that aren't UTF-8 is an error, as are
+    files of different headers.  Empty lines have no number; rows of blanks have
+    one and are left out.  Rows with more values than the header carry
+    extra_values and reject the import.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("value")).select("value").distinct().limit(2).collect()
+    rows = strict_csv.lines(spark, path)
+    known = strict_csv.blocks(rows)
+    if bad := known.filter("fault is not null").select("file", "fault").distinct().limit(5).collect():
+        raise ValueError("the CSV is not valid: " + ", ".join(f"{r.file} is {r.fault}" for r in bad))
+    # the header ends in one of the blocks that no row ends before
+    reach = known.filter(F.col("first") == 0).agg(F.max("block")).first()[0] or 0
+    first = strict_csv.records(rows.filter(F.col("block") <= reach), known).filter(F.col("number") == 0).select("values").distinct().limit(2).collect()
     if len(first) > 1:
         raise ValueError("the files have different header rows")
-    header = check_header(next(csv.reader([first[0][0]], strict=True), []) if first else [])
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
-    raw = (
-        spark.read.schema(T.StructType([*fields, T.StructField("_extra", T.StringType())])).option("header", True).option("enforceSchema", True)
-        .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("quote", '"').option("escape", '"').csv(path)
-    )
-    raw = raw.withColumn("_at", F.monotonically_increasing_id())
-    cols = [F.coalesce(F.col(f"c{header.index(n)}"), F.lit("")).alias(n) if n in header else F.lit("").alias(n) for n in IMPORT_COLUMNS]
-    from pyspark.sql import Window
-
-    rows = raw.select(F.input_file_name().alias("file"), "_at", F.col("_extra").isNotNull().alias("extra_values"), *cols)
-    rows = rows.withColumn("row_number", F.row_number().over(Window.partitionBy("file").orderBy("_at")) + 1)
+    header = check_header(first[0][0] if first else [])
+    values = strict_csv.records(rows, known).filter(F.col("number") > 0)
+    cols = [F.coalesce(F.get("values", F.lit(header.index(n))), F.lit("")).alias(n) if n in header else F.lit("").alias(n) for n in IMPORT_COLUMNS]
+    out = values.select((F.size("values") > len(header)).alias("extra_values"), *cols, (F.col("number") + 1).alias("row_number"))
     blank = F.forall(F.array(*IMPORT_COLUMNS), lambda x: strip(x) == "")
-    return rows.filter(~blank).drop("_at", "file")
+    return out.filter(~blank | F.col("extra_values"))
 
 
 def frozen_dataset(spark: SparkSession, path: str) -> DataFrame:
