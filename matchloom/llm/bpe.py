@@ -207,8 +207,8 @@ class Vocabulary:
         # str.split also cuts at the four separators U+001C to U+001F, which the pattern keeps
         return self.words.findall(text) if _CONTROLS.search(text) else text.split()
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
+    def encode_all(self, texts: list[str], specials: bool = True) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; without ``specials`` their strings are plain text.
 
         Words new to the worker are merged together.  Short ones are remembered
         in two generations: when the young one is full it becomes the old one,
@@ -216,7 +216,7 @@ class Vocabulary:
         """
         parts: list[list[list[str] | str]] = []
         for text in texts:
-            if self.specials is not None and any(t in text for t in self.special):
+            if specials and self.specials is not None and any(t in text for t in self.special):
                 parts.append([p if p in self.special else self._runs(p) for p in self.specials.split(text) if p])
             else:
                 parts.append([self._runs(text)])
@@ -302,6 +302,43 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
     return docs.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "ids binary", *["decoded string"] * decoded]))
 
 
+def encode_columns(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...], tokenizer: str | None = None) -> DataFrame:
+    """The ``keep`` columns of df, and ids_<name> (array of long) for each of several text columns, in one pass with one vocabulary a worker.
+
+    Strings of special tokens are plain text here, so texts can't bring control ids in.  Null and empty texts give empty arrays.
+    """
+    df, sent = ensure(df, *keep, *columns), _sent(df, tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(sent.value)
+        for batch in batches:
+            for part in _all_sliced(batch, columns):
+                more = {}
+                for name in columns:
+                    ids = vocabulary.encode_all([t or "" for t in part.column(name).to_pylist()], specials=False)
+                    edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                    more[f"ids_{name}"] = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int64)))
+                yield _added(part.select(list(keep)), more)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in keep]).schema]
+    return df.mapInArrow(run, ", ".join([*kinds, *[f"ids_{c} array<long>" for c in columns]]))
+
+
+def _all_sliced(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    if not columns:
+        yield batch
+        return
+    for part in text_slices(batch, columns[0]):
+        yield from _all_sliced(part, columns[1:])
+
+
+def vocabulary_size(tokenizer: str | None = None) -> int:
+    """One more than the largest id."""
+    with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
+        held = json.load(f)
+    return 1 + max([*held["model"]["vocab"].values(), *[t["id"] for t in held["added_tokens"]]])
+
+
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """encoded(ids, ...) with a column decoded: tokens joined by one space, as the file names no decoder.  Null ids: empty."""
     sent = _sent(encoded, tokenizer)

@@ -7,11 +7,17 @@ segment.  Each tree is one packed sequence of its segments in depth-first order;
 a shared segment stands there once.  A segment carries the position in its
 conversation of its first character and the intervals of the packed sequence
 that it attends to besides itself: those of its ancestors.  Units are code
-points of the formatted text.
+points of the formatted text and, in a second set of columns, tokens.
 
 A turn is OPEN role newline text CLOSE newline.  In roles and texts a backslash
 is put before every backslash and inside every control string, so none is left
 there, and taking the backslashes out gives the text back.
+
+As tokens, OPEN and CLOSE are two ids next after the vocabulary, so no text
+can hold them; role and text between them are encoded each by itself, as they
+are, without backslashes and with special tokens' strings as plain text.  Tokens of
+a turn hence don't depend on its neighbours: only turns of distinct nodes are
+encoded, once, and the segments of a conversation give its ids.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from .stage import cut, ensure
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -81,56 +88,84 @@ def _segmented(rows: DataFrame) -> DataFrame:
     return rows.withColumn("new", new).withColumn("segment", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def build(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _contents(rows: DataFrame, tokenizer: str | None) -> DataFrame:
+    """c, s (conversation and segment of each distinct node), text, loss, ids, n_tokens and loss_tokens, loss in units of the segment."""
+    own = rows.filter(F.col("owner").eqNullSafe(F.col("conv_id")))
+    own = own.select("conv_id", "segment", "at", "role", "text", F.length("body").cast("long").alias("chars"), F.concat("head", "body", F.lit(CLOSE)).alias("formatted"), F.length("head").cast("long").alias("inner"), (F.col("role") == LOSS_ROLE).alias("loss"))
+    size = bpe.vocabulary_size(tokenizer)
+    coded = bpe.encode_columns(own, ("role", "text"), ("conv_id", "segment", "at", "formatted", "inner", "chars", "loss"), tokenizer)
+    coded = coded.select(
+        "conv_id", "segment", "at", "formatted", "loss", "inner", "chars",
+        F.concat(F.array(F.lit(size).cast("long")), "ids_role", "ids_text", F.array(F.lit(size + 1).cast("long"))).alias("ids"),
+        (F.size("ids_role") + 1).cast("long").alias("inner_tokens"), F.size("ids_text").cast("long").alias("own_tokens"),
+    )
+    earlier = Window.partitionBy("conv_id", "segment").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.length("formatted")).over(earlier), F.lit(0)) + F.col("inner")
+    first_token = F.coalesce(F.sum(F.size("ids")).over(earlier), F.lit(0)) + F.col("inner_tokens")
+    span = lambda start, n: F.when(F.col("loss"), F.struct(start.cast("long").alias("start"), (start + F.col(n)).cast("long").alias("end")))
+    spans = coded.select("conv_id", "segment", "at", "formatted", "ids", span(first, "chars").alias("l"), span(first_token, "own_tokens").alias("lt"))
+    turns_ = spans.groupBy("conv_id", "segment").agg(
+        F.array_sort(F.collect_list(F.struct("at", "formatted", "ids"))).alias("t"), F.array_sort(F.collect_list("l")).alias("loss"), F.array_sort(F.collect_list("lt")).alias("loss_tokens")
+    )
+    whole = turns_.select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), F.array_join(F.col("t.formatted"), "").alias("text"), "loss", F.flatten(F.col("t.ids")).alias("ids"), "loss_tokens")
+    return whole.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+def build(chats: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The packed segments, and (conv_id, segment, k1, k2): which segments make up each conversation.
 
     Segments: tree, k1, k2 (key), conv_id (smallest that holds it), depth,
     start and end in the tree's packed sequence, position of the first character
     in its conversations, attends (array of start, end of all ancestors in
     order), text, loss (array of start, end within text under the loss mask),
-    sharing.  Rows are ordered by turn, role and text within a conversation, null
-    roles and texts are empty, rows without conv_id are one conversation, and
-    repeated rows are turns of their own.
+    sharing; and ids with token_start, token_end, token_position, token_attends
+    and token_loss, which say the same in tokens.  The position id of a segment's
+    i-th token is token_position + i.  Rows are ordered by turn, role and text
+    within a conversation, null roles and texts are empty, rows without conv_id
+    are one conversation, and repeated rows are turns of their own.
     """
     rows = cut(_segmented(turns(chats)))
-    inner = F.length("head").cast("long")
     per = rows.groupBy("conv_id", "segment").agg(
         F.min_by("p1", "at").alias("k1"), F.min_by("p2", "at").alias("k2"), F.first("tree").alias("tree"), F.first("sharing").alias("sharing"),
         F.first("owner").alias("owner"), F.min("position").alias("position"), F.sum("chars").alias("chars"),
     )
     path = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = cut(per)
+    per, contents = cut(per), cut(_contents(rows, tokenizer))
     mine = per.withColumn("path", F.collect_list("k1").over(path)).filter(F.col("owner").eqNullSafe(F.col("conv_id")))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))
+    mine = mine.hint("merge").join(contents.select("c", "s", "n_tokens").hint("merge"), same).drop("c", "s")
 
     # depth-first order is the order of paths; ranges of it are summed one by one, so a hot tree isn't one task
     parts = max(2, int(chats.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = cut(mine.repartitionByRange(parts, "tree", "path").withColumn("block", F.spark_partition_id()))
-    sums = ranged.groupBy("tree", "block").agg(F.sum("chars").alias("sum"))
+    sums = ranged.groupBy("tree", "block").agg(F.sum("chars").alias("sum"), F.sum("n_tokens").alias("token_sum"))
     before = Window.partitionBy("tree").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("tree", "block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("tree", "block").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("inner", F.coalesce(F.sum("chars").over(within), F.lit(0)))
-    placed = placed.hint("merge").join(offsets.hint("merge"), ["tree", "block"]).withColumn("start", F.col("offset") + F.col("inner"))
-    placed = cut(placed.select("tree", "k1", "k2", "conv_id", "segment", "sharing", "position", "start", (F.col("start") + F.col("chars")).alias("end"), "path"))
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    offsets = sums.select("tree", "block", so_far("sum", before).alias("offset"), so_far("token_sum", before).alias("token_offset"))
+    placed = ranged.withColumns({"inner": so_far("chars", within), "token_inner": so_far("n_tokens", within)})
+    placed = placed.hint("merge").join(offsets.hint("merge"), ["tree", "block"])
+    placed = placed.withColumns({"start": F.col("offset") + F.col("inner"), "token_start": F.col("token_offset") + F.col("token_inner")})
+    placed = cut(placed.select(
+        "tree", "k1", "k2", "conv_id", "segment", "sharing", "position", "start", (F.col("start") + F.col("chars")).alias("end"),
+        "token_start", (F.col("token_start") + F.col("n_tokens")).alias("token_end"), "path",
+    ))
 
     # ancestors: all keys of the path but the last
     up = placed.select("tree", "k1", "k2", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("a1"))
-    spans = placed.select("tree", F.col("k1").alias("a1"), F.struct("start", "end").alias("span"))
-    attends = _salted(up, spans, ["tree", "a1"], "k2").groupBy("tree", "k1", "k2").agg(F.array_sort(F.collect_list("span")).alias("attends"))
-
-    own = rows.filter(F.col("owner").eqNullSafe(F.col("conv_id"))).withColumn("formatted", F.concat("head", "body", F.lit(CLOSE)))
-    first = F.col("position") + inner
-    texts = own.groupBy("conv_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("at", "formatted"))).alias("t"),
-        F.array_sort(F.collect_list(F.when(F.col("role") == LOSS_ROLE, F.struct(first.alias("start"), (first + F.length("body")).alias("end"))))).alias("loss"),
-    )
-    texts = texts.select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), F.array_join(F.col("t.formatted"), "").alias("text"), "loss")
-    whole = placed.hint("merge").join(texts.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s"))).drop("c", "s")
-    shift = F.transform("loss", lambda x: F.struct((x["start"] - F.col("position")).alias("start"), (x["end"] - F.col("position")).alias("end")))
-    whole = whole.withColumn("loss", shift).hint("merge").join(attends.hint("merge"), ["tree", "k1", "k2"], "left")
+    token_span = F.struct(F.col("token_start").alias("start"), F.col("token_end").alias("end"))
+    spans = placed.select("tree", F.col("k1").alias("a1"), F.struct("start", "end").alias("span"), token_span.alias("token_span"))
+    attends = _salted(up, spans, ["tree", "a1"], "k2").groupBy("tree", "k1", "k2").agg(
+        F.array_sort(F.collect_list("span")).alias("attends"), F.array_sort(F.collect_list("token_span")).alias("token_attends")
+    )
+    whole = placed.hint("merge").join(contents.hint("merge"), same).drop("c", "s")
+    whole = whole.hint("merge").join(attends.hint("merge"), ["tree", "k1", "k2"], "left")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    seen = F.coalesce("token_attends", none)
     segments = whole.select(
-        "tree", "k1", "k2", "conv_id", F.size("path").alias("depth"), "sharing", "start", "end", "position",
-        F.coalesce("attends", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("attends"), "text", "loss",
+        "tree", "k1", "k2", "conv_id", F.size("path").alias("depth"), "sharing", "start", "end", "position", F.coalesce("attends", none).alias("attends"), "text", "loss",
+        "ids", "token_start", "token_end", F.aggregate(seen, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("token_position"),
+        seen.alias("token_attends"), F.col("loss_tokens").alias("token_loss"),
     )
     return segments, per.select("conv_id", "segment", "k1", "k2")
 

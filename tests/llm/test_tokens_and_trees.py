@@ -100,9 +100,32 @@ def test_trees(spark):
             stack = stack[: s.depth - 1]  # depth first: the open path is the ancestors
             assert [(a.start, a.end) for a in s.attends] == stack and sum(b - a for a, b in stack) == s.position
             stack.append((s.start, s.end))
+    # the same in tokens: a path's segments give the ids of the whole conversation, its positions and its loss mask
+    t, size = reference(), B.vocabulary_size()
+    enc = lambda x: t.encode(x or "", add_special_tokens=False).ids
+    for tree in by.values():
+        at, stack = 0, []
+        for s in tree:
+            assert s.token_start == at and s.token_end - s.token_start == len(s.ids)
+            at, stack = s.token_end, stack[: s.depth - 1]
+            assert [(a.start, a.end) for a in s.token_attends] == stack and sum(b - a for a, b in stack) == s.token_position
+            stack.append((s.token_start, s.token_end))
+    keyed, paths = {(s.k1, s.k2): s for s in seg}, {}
+    for m in members.collect():
+        paths.setdefault(m.conv_id, []).append((m.segment, keyed[m.k1, m.k2]))
+    for c, turns in conv.items():
+        path = [s for _, s in sorted(paths[c], key=lambda x: x[0])]
+        assert [i for s in path for i in s.ids] == [i for _, r, x in turns for i in [size, *enc(r), *enc(x), size + 1]]
+        assert [i for s in path for a in s.token_loss for i in s.ids[a.start : a.end]] == [i for _, r, x in turns if r == "assistant" for i in enc(x)]
     assert P.read_back(*P.build(df.limit(0))).count() == 0
 
 
+def test_special_tokens_in_turns_are_plain_text(spark):
+    special = next(iter(B.Vocabulary(open(B.default_tokenizer(), encoding="utf-8").read()).special.items()))
+    got = P.build(spark.createDataFrame([(1, 0, "user", f"a {special[0]} b"), (1, 1, special[0], None)], "conv_id long, turn int, role string, text string"))[0].collect()
+    assert len(got) == 1 and special[1] not in got[0].ids and [got[0].ids.count(B.vocabulary_size() + i) for i in (0, 1)] == [2, 2]
+
+
 def P_text(turn):
     import re
 
