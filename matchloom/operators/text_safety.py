@@ -42,23 +42,51 @@ def _conditional(text: Column, pattern: str, keep) -> Column:
     return F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def redact(text: Column, *known: Column) -> Column:
+def redact(text: Column, *known: Column, values: Column | None = None) -> Column:
     """Contact and sensitive lines, known values in any case, addresses, links, and phone numbers with a plus or ten digits.
 
     Whole lines go by one multi-line pattern; only texts with a number that long
-    pay for looking at each match.
+    pay for looking at each match.  ``values`` is an array of further known values
+    (`redact_values`), taken after those of ``known``.
     """
     out = F.regexp_replace(_even_lines(text), _LINE, REDACTED)
     for value in known:
-        value = strip(F.coalesce(value, F.lit("")))
-        literal = F.concat(F.lit(r"(?iu)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        out = F.regexp_replace(out, F.when(value == "", _NEVER).otherwise(literal), F.lit(REDACTED))
+        out = _replace_value(out, strip(F.coalesce(value, F.lit(""))))
+    if values is not None:
+        out = redact_values(out, values)
     out = F.regexp_replace(F.regexp_replace(out, EMAIL, REDACTED), URL, REDACTED)
     short = lambda m: ~m.startswith("+") & (F.length(F.regexp_replace(m, r"\D", "")) < 10)
     # a lambda's variable is evaluated once, however often it is used
     return F.transform(F.array(out), lambda t: F.when(~t.rlike(PHONE), t).otherwise(_conditional(t, PHONE, short)))[0]
 
 
+def redact_values(text: Column, values: Column) -> Column:
+    """Text with the values of an array replaced one after the other, in any case; nulls and blanks are left out.
+
+    A value is replaced by a pattern of its own only if it can occur: if its
+    skeleton (ASCII without i, k and s, the letters that others fold to) is
+    part of the text's, or if it may match what an earlier one was replaced by.
+    So many values cost little more than one look at the text each.
+    """
+
+    def replaced(row: Column) -> Column:
+        may = lambda v: row["bare"].contains(_skeleton(v)) | v.rlike(r"[\[\]]") | F.lit(REDACTED.lower()).contains(F.lower(v))
+        held = F.filter(F.transform(values, lambda v: strip(F.coalesce(v, F.lit("")))), lambda v: (v != "") & may(v))
+        return F.aggregate(held, row["text"], _replace_value)
+
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.size(values) > 0, F.transform(F.array(F.struct(text.alias("text"), _skeleton(text).alias("bare"))), replaced)[0]).otherwise(text)
+
+
+def _replace_value(text: Column, value: Column) -> Column:
+    literal = F.concat(F.lit(r"(?iu)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.regexp_replace(text, F.when(value == "", _NEVER).otherwise(literal), F.lit(REDACTED))
+
+
+def _skeleton(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, r"(?:[^\x00-\x7F]|[iIkKsS])+", ""))
+
+
 def sensitive(text: Column) -> Column:
     """X7."""
     return _even_lines(text).rlike(_SENSITIVE)

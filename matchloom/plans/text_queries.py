@@ -60,6 +60,15 @@ def redaction_counts(spark, sf_dir):
     return docs.select("doc_id", (F.size(F.split("r", r"\[CONTACT REDACTED\]", -1)) - 1).alias("redactions"), "sensitive")
 
 
+def known_value_redaction(spark, sf_dir):
+    """Each text without values known of its candidate: words of its own in another case, parts of the label, one that isn't there."""
+    docs = view(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", F.split(F.regexp_replace("text", r"[^A-Za-z0-9]+", " "), " "))
+    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    values = F.array(F.upper(word(1)), F.concat_ws(" ", word(2), word(3)), F.lit(" redacted] "), F.lower(word(5)), F.lit("act"), F.lit("no such [value]"), F.lit(None).cast("string"))
+    done = docs.select("doc_id", X.redact_values(F.col("text"), values).alias("r"))
+    return done.select("doc_id", F.length("r").cast("long").alias("n_chars"), F.sha2(F.col("r").cast("binary"), 256).alias("redacted_sha256"))
+
+
 def email_redaction(spark, sf_dir):
     return view(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), X.EMAIL, X.REDACTED).cast("binary"), 256).alias("redacted_sha256"))
 
@@ -304,6 +313,15 @@ def sql() -> dict[str, str]:
               count(job_id) AS items, count(*) FILTER (status = 'queued') AS pending, count(*) FILTER (status = 'succeeded') AS created FROM {orders} LEFT JOIN {fx_task} ON job_id = o_orderkey GROUP BY o_orderkey, o_orderstatus"""),
         "skill_vocabulary": oracle("""
             SELECT DISTINCT CAST(l_orderkey % 5 AS INT) AS org_id, lower(concat(p_type, ' ', p_brand)) AS normalized_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_orderkey % 5 <> 0"""),
+        "known_value_redaction": oracle(r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' ') AS w FROM {documents}),
+            v AS (SELECT doc_id, t, upper(coalesce(w[2], '')) AS a, trim(concat_ws(' ', coalesce(w[3], ''), coalesce(w[4], ''))) AS b, lower(coalesce(w[6], '')) AS c FROM d),
+            r AS (SELECT doc_id, CASE WHEN a = '' THEN t ELSE regexp_replace(t, a, '[CONTACT REDACTED]', 'gi') END AS t, b, c FROM v),
+            s AS (SELECT doc_id, CASE WHEN b = '' THEN t ELSE regexp_replace(t, b, '[CONTACT REDACTED]', 'gi') END AS t, c FROM r),
+            x AS (SELECT doc_id, regexp_replace(t, 'redacted\]', '[CONTACT REDACTED]', 'gi') AS t, c FROM s),
+            y AS (SELECT doc_id, CASE WHEN c = '' THEN t ELSE regexp_replace(t, c, '[CONTACT REDACTED]', 'gi') END AS t FROM x),
+            z AS (SELECT doc_id, regexp_replace(t, 'act', '[CONTACT REDACTED]', 'gi') AS t FROM y)
+            SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS redacted_sha256 FROM z"""),
         "email_redaction": oracle("SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '[CONTACT REDACTED]', 'g')) AS redacted_sha256 FROM {documents}"),
         "claim_issues": oracle("WITH " + _SAID + """
             SELECT conv_id, turn, concat_ws(',', CASE WHEN regexp_matches(text, '""" + _PROTECTED + """') THEN 'protected_attribute_language' END,
@@ -359,6 +377,6 @@ def sql() -> dict[str, str]:
 
 
 QUERIES = (
-    dup_documents, dup_identity, csv_triage, import_counts, batch_counts, skill_vocabulary, identity_flags, email_counts, redaction_counts, email_redaction, claim_issues, measured_claims, protected_language,
+    dup_documents, dup_identity, csv_triage, import_counts, batch_counts, skill_vocabulary, identity_flags, email_counts, redaction_counts, known_value_redaction, email_redaction, claim_issues, measured_claims, protected_language,
     meaningful_tokens, grounding_issues, requirement_refs, requirement_bounds, evidence_refs, reference_issues, context_sizes, ndcg_at5, ndcg_macro, overlap_at5, coverage_gate, binding_issues, ranking_differences, quality_rules, normalised_names,
 )

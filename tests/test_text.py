@@ -182,3 +182,40 @@ def test_redaction_of_known_values(spark):
     df = spark.createDataFrame([("call Jane or +44 20 7946 0958 now", "jane", "", None), ("no one", " ", None, "x")], "t string, a string, b string, c string")
     got = [r[0] for r in df.select(X.redact(F.col("t"), F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert got == ["call [CONTACT REDACTED] or [CONTACT REDACTED] now", "no one"]
+
+
+def values_py(text, values):
+    for v in values:
+        if v and v.strip():
+            text = re.sub(re.escape(v.strip()), X.REDACTED, text, flags=re.I)
+    return text
+
+
+def test_many_known_values_equal_one_pass_each(spark):
+    import random
+    import time
+
+    rnd = random.Random(4)
+    parts = ["Ki", "\u212am", "s", "\u017fo", "\u0130", "i", "[", "]", "act", "CON", "red", " ", ".", "\\E", "\\Q", "$1", "\u00c9", "\u00e9", "\u03a3", "\u03c2", "\u03c3", "x", "]x", "d]"]
+    word = lambda n: "".join(rnd.choice(parts) for _ in range(rnd.randint(1, n)))
+    rows = [(word(30), [rnd.choice([None, " ", word(3), word(2)]) for _ in range(rnd.randint(0, 6))]) for _ in range(600)]
+    df = spark.createDataFrame(rows, "t string, v array<string>")
+    plain = lambda t, vs: __import__("functools").reduce(X._replace_value, vs, t)
+    one_each = plain(F.col("t"), [N.strip(F.coalesce(F.get("v", F.lit(i)), F.lit(""))) for i in range(6)])
+    for r, (t, vs) in zip(df.select(X.redact_values(F.col("t"), F.col("v")).alias("got"), one_each.alias("want")).collect(), rows, strict=True):
+        assert r.got == r.want, (t, vs)
+        if not set("\u0130\u212a\u017f\u03c2") & set(t + "".join(v or "" for v in vs)):
+            assert r.got == values_py(t, vs), (t, vs)
+    many = spark.createDataFrame([("some words of a text " * 5000 + "value 77x", [f"value {i}x" for i in range(1000)])], "t string, v array<string>")
+    began = time.time()
+    assert many.select(X.redact_values(F.col("t"), F.col("v"))).first()[0].count(X.REDACTED) == 1
+    assert time.time() - began < 10
+    assert spark.createDataFrame([(None, ["a"]), ("a", None)], "t string, v array<string>").select(X.redact_values(F.col("t"), F.col("v"))).collect() == [("",), ("a",)]
+
+
+def test_redaction_of_all_documents(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    from matchloom.plans import text_queries
+
+    got = {r.doc_id: (r.redactions, r.sensitive) for r in text_queries.redaction_counts(spark, sf).collect()}
+    assert got == {d: (redact_py(t).count(X.REDACTED), any(re.match(X.SENSITIVE_LINE, line) for line in t.splitlines())) for d, t in docs.items()}
