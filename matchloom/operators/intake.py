@@ -224,6 +224,41 @@ def integrity(registry: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("path", reason.alias("reason"))
 
 
+# fixed values: the content types of stored documents
+PDF = "application/pdf"
+DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+
+
+def safe_filename(name: Column) -> Column:
+    """The last part of a path, trimmed; null if that is empty, longer than 255 characters or holds control or format characters."""
+    last = strip(F.element_at(F.split(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/")), "/", -1), -1))
+    return F.when((last != "") & (F.length(last) <= 255) & ~last.rlike(r"[\p{Cc}\p{Cf}]"), last)
+
+
+def delivery(registry: DataFrame, files: DataFrame, max_bytes: int = 10 << 20) -> DataFrame:
+    """A row for each registered document with path, filename and reason: may its stored bytes be handed out?
+
+    registry(path, original_filename, document_type, content_type, extraction_status,
+    size_bytes, sha256, is_deleted, candidate_status) against files(path, content).
+    In this order: deleted, of a deleted candidate or not extracted
+    (document_unavailable); not a CV of a known type with a safe name
+    (invalid_document_metadata); no stored bytes (document_unavailable); empty,
+    over ``max_bytes``, or of another size or hash (document_integrity_failed);
+    else ok.  Nulls count as values that no rule allows.  Only sizes and hashes of
+    files are shuffled.
+    """
+    found = files.select("path", F.length("content").alias("_size"), F.sha2("content", 256).alias("_sha"))
+    rows = registry.withColumn("filename", safe_filename(F.col("original_filename"))).hint("merge").join(found.hint("merge"), "path", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    reason = (
+        F.when(no(~F.col("is_deleted")) | no(F.col("candidate_status") != "deleted") | no(F.col("extraction_status") == "succeeded"), "document_unavailable")
+        .when(no(F.col("document_type") == "cv") | no(F.col("content_type").isin(PDF, DOCX)) | F.col("filename").isNull(), "invalid_document_metadata")
+        .when(F.col("_size").isNull(), "document_unavailable")
+        .when(~F.col("_size").between(1, max_bytes) | no(F.col("_size") == F.col("size_bytes")) | no(F.col("_sha") == F.col("sha256")), "document_integrity_failed").otherwise("ok")
+    )
+    return rows.select("path", "filename", reason.alias("reason"))
+
+
 # identity proposals; the word lists and patterns are fixed values
 NAME_STOPS = ("candidate", "contact", "curriculum", "cv", "developer", "engineer", "experience", "details", "profile", "resume", "skills", "synthetic", "supplied", "vitae")
 FILE_STOPS = (*NAME_STOPS, "document", "final", "test", "fixture")

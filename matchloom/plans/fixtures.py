@@ -84,6 +84,13 @@ VIEWS = {
         SELECT doc_id AS document_id, doc_id % 500 AS candidate_id, CAST(doc_id % 5 AS INT) AS org_id, text, n_chars AS size_chars,
                CASE WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'succeeded' END AS extraction_status, CASE WHEN doc_id % 4 = 3 THEN 'other' ELSE 'cv' END AS document_type,
                doc_id % 17 = 0 AS is_deleted FROM {documents}""",
+    "fx_registry": """
+        SELECT concat('store/', CAST(document_id AS STRING)) AS path, text, is_deleted, extraction_status, document_type,
+               CASE document_id % 11 WHEN 3 THEN 'text/plain' WHEN 5 THEN NULL WHEN 6 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'application/pdf' END AS content_type,
+               CASE document_id % 9 WHEN 1 THEN ' / ' WHEN 2 THEN concat('up/', chr(7), '.pdf') WHEN 4 THEN repeat('n', 256) WHEN 7 THEN NULL ELSE concat('a/b/ cv ', CAST(document_id AS STRING), '.pdf ') END AS original_filename,
+               CASE WHEN document_id % 19 = 0 THEN 1 ELSE 0 END AS size_error, document_id % 23 = 0 AS hash_lost, document_id % 29 <> 0 AS stored,
+               CASE WHEN candidate_id % 20 = 2 THEN 'deleted' ELSE 'active' END AS candidate_status
+        FROM {fx_document}""",
     "fx_assessment": "SELECT conv_id AS entry_id, turn + 1 AS version, length(text) % 101 AS score FROM {conversations}",
     "fx_review": """
         SELECT conv_id AS entry_id, turn + 1 AS version, CAST(length(text) % 3 AS INT) AS gaps, CAST(length(text) % 4 AS INT) AS uncertain,

@@ -60,6 +60,13 @@ def redaction_counts(spark, sf_dir):
     return docs.select("doc_id", (F.size(F.split("r", r"\[CONTACT REDACTED\]", -1)) - 1).alias("redactions"), "sensitive")
 
 
+def document_delivery(spark, sf_dir):
+    """Registered documents against stored bytes, some of another size or hash, some missing."""
+    r = view(spark, sf_dir, "fx_registry").withColumn("content", F.coalesce("text", F.lit("")).cast("binary"))
+    registry = r.withColumn("size_bytes", F.length("content") + F.col("size_error")).withColumn("sha256", F.when(~F.col("hash_lost"), F.sha2("content", 256)))
+    return I.delivery(registry.drop("content", "text"), r.filter("stored").select("path", "content"))
+
+
 def known_value_redaction(spark, sf_dir):
     """Each text without values known of its candidate: words of its own in another case, parts of the label, one that isn't there."""
     docs = view(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", F.split(F.regexp_replace("text", r"[^A-Za-z0-9]+", " "), " "))
@@ -313,6 +320,12 @@ def sql() -> dict[str, str]:
               count(job_id) AS items, count(*) FILTER (status = 'queued') AS pending, count(*) FILTER (status = 'succeeded') AS created FROM {orders} LEFT JOIN {fx_task} ON job_id = o_orderkey GROUP BY o_orderkey, o_orderstatus"""),
         "skill_vocabulary": oracle("""
             SELECT DISTINCT CAST(l_orderkey % 5 AS INT) AS org_id, lower(concat(p_type, ' ', p_brand)) AS normalized_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_orderkey % 5 <> 0"""),
+        "document_delivery": oracle(r"""
+            WITH n AS (SELECT *, trim(string_split(coalesce(original_filename, ''), '/')[-1]) AS f, strlen(coalesce(text, '')) AS size FROM {fx_registry}),
+            m AS (SELECT *, CASE WHEN f <> '' AND length(f) <= 255 AND NOT contains(f, chr(7)) THEN f END AS filename FROM n)
+            SELECT path, filename, CASE WHEN is_deleted OR candidate_status = 'deleted' OR extraction_status <> 'succeeded' THEN 'document_unavailable'
+                WHEN document_type <> 'cv' OR content_type IS NULL OR content_type = 'text/plain' OR filename IS NULL THEN 'invalid_document_metadata'
+                WHEN NOT stored THEN 'document_unavailable' WHEN size = 0 OR size > 10485760 OR size_error <> 0 OR hash_lost THEN 'document_integrity_failed' ELSE 'ok' END AS reason FROM m"""),
         "known_value_redaction": oracle(r"""
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' ') AS w FROM {documents}),
             v AS (SELECT doc_id, t, upper(coalesce(w[2], '')) AS a, trim(concat_ws(' ', coalesce(w[3], ''), coalesce(w[4], ''))) AS b, lower(coalesce(w[6], '')) AS c FROM d),
@@ -377,6 +390,6 @@ def sql() -> dict[str, str]:
 
 
 QUERIES = (
-    dup_documents, dup_identity, csv_triage, import_counts, batch_counts, skill_vocabulary, identity_flags, email_counts, redaction_counts, known_value_redaction, email_redaction, claim_issues, measured_claims, protected_language,
+    dup_documents, dup_identity, csv_triage, import_counts, batch_counts, skill_vocabulary, identity_flags, email_counts, redaction_counts, known_value_redaction, document_delivery, email_redaction, claim_issues, measured_claims, protected_language,
     meaningful_tokens, grounding_issues, requirement_refs, requirement_bounds, evidence_refs, reference_issues, context_sizes, ndcg_at5, ndcg_macro, overlap_at5, coverage_gate, binding_issues, ranking_differences, quality_rules, normalised_names,
 )

@@ -114,6 +114,27 @@ def test_documents_and_sinks(spark, tmp_path):
     assert line == "cost: unavailable (1/3)"
 
 
+def test_delivery(spark):
+    import hashlib
+
+    sha = hashlib.sha256(b"abc").hexdigest()
+    good = ("g", "x\\y/ cv.pdf ", "cv", I.PDF, "succeeded", 3, sha, False, "active")
+    change = lambda path, at, value: (path, *good[1:at], value, *good[at + 1 :])
+    rows = [
+        (good, "ok"), (change("deleted", 7, True), "document_unavailable"), (change("gone", 8, "deleted"), "document_unavailable"), (change("failed", 4, "failed"), "document_unavailable"),
+        (change("other", 2, "letter"), "invalid_document_metadata"), (change("kind", 3, "text/plain"), "invalid_document_metadata"), (change("docx", 3, I.DOCX), "ok"), (change("name", 1, "a/"), "invalid_document_metadata"),
+        (change("control", 1, "a\u200b.pdf"), "invalid_document_metadata"), (change("255", 1, "é" * 255), "ok"), (change("256", 1, "é" * 256), "invalid_document_metadata"), (change("size", 5, 4), "document_integrity_failed"),
+        (change("hash", 6, ""), "document_integrity_failed"), (change("nohash", 6, None), "document_integrity_failed"), (change("missing", 5, 3), "document_unavailable"), (change("empty", 5, 0), "document_integrity_failed"),
+        (change("nullstate", 4, None), "document_unavailable"),
+    ]
+    registry = spark.createDataFrame([r for r, _ in rows], "path string, original_filename string, document_type string, content_type string, extraction_status string, size_bytes int, sha256 string, is_deleted boolean, candidate_status string")
+    stored = spark.createDataFrame([(r[0], bytearray(b"" if r[0] == "empty" else b"abc")) for r, _ in rows if r[0] != "missing"], "path string, content binary")
+    got = {r.path: (r.reason, r.filename) for r in I.delivery(registry, stored).collect()}
+    assert {p: r for p, (r, _) in got.items()} == {r[0]: want for r, want in rows} and got["g"][1] == "cv.pdf"
+    assert {r.reason for r in I.delivery(registry.filter("path = 'g'"), stored, max_bytes=2).collect()} == {"document_integrity_failed"}
+    assert I.delivery(registry.limit(0), stored).count() == 0
+
+
 def test_json_column(spark):
     df = spark.createDataFrame([('["a"]',), ("{}",), ("nope",), (None,)], "j string")
     assert [(r[0].value, r[0].error) for r in df.select(files.decode_json(F.col("j"), "array<string>")).collect()] == [(["a"], None), (None, "not_decodable"), (None, "not_decodable"), (None, None)]
