@@ -303,7 +303,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
 
 
 def encode_columns(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...], tokenizer: str | None = None) -> DataFrame:
-    """The ``keep`` columns of df, and ids_<name> (array of long) for each of several text columns, in one pass with one vocabulary a worker.
+    """The ``keep`` columns of df, and ids_<name> (array of int) for each of several text columns, in one pass with one vocabulary a worker.
 
     Strings of special tokens are plain text here, so texts can't bring control ids in.  Null and empty texts give empty arrays.
     """
@@ -317,11 +317,11 @@ def encode_columns(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...
                 for name in columns:
                     ids = vocabulary.encode_all([t or "" for t in part.column(name).to_pylist()], specials=False)
                     edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                    more[f"ids_{name}"] = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int64)))
+                    more[f"ids_{name}"] = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
                 yield _added(part.select(list(keep)), more)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in keep]).schema]
-    return df.mapInArrow(run, ", ".join([*kinds, *[f"ids_{c} array<long>" for c in columns]]))
+    return df.mapInArrow(run, ", ".join([*kinds, *[f"ids_{c} array<int>" for c in columns]]))
 
 
 def _all_sliced(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,7 @@ def _contents(rows: DataFrame, tokenizer: str | None) -> DataFrame:
     coded = bpe.encode_columns(own, ("role", "text"), ("conv_id", "segment", "at", "formatted", "inner", "chars", "loss"), tokenizer)
     coded = coded.select(
         "conv_id", "segment", "at", "formatted", "loss", "inner", "chars",
-        F.concat(F.array(F.lit(size).cast("long")), "ids_role", "ids_text", F.array(F.lit(size + 1).cast("long"))).alias("ids"),
+        F.concat(F.array(F.lit(size)), "ids_role", "ids_text", F.array(F.lit(size + 1))).alias("ids"),
         (F.size("ids_role") + 1).cast("long").alias("inner_tokens"), F.size("ids_text").cast("long").alias("own_tokens"),
     )
     earlier = Window.partitionBy("conv_id", "segment").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
