@@ -27,6 +27,10 @@ _VALUES = rf',(?:"{_BODY}"|[^,]*+)'
 _WRONG = -1
 
 
+def _body(piece: Column) -> Column:
+    return F.rtrim(piece, F.lit("\r\n"))
+
+
 def _end_state(line: Column) -> Column:
     return F.when(line.rlike(_ENDS_INSIDE), 1).when(line.rlike(_ENDS_OUTSIDE), 0).otherwise(_WRONG)
 
@@ -44,7 +48,7 @@ def _after(df: DataFrame, keys: list[str], order: list[str], from_outside: str,
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, at, part (their order), piece (a line with its end), body (without), and the states that it leads to from outside and from inside.
+    """file, block, at, part (their order), piece (a line with its end), empty, and the states that it leads to from outside and from inside.
 
     Lines end with a line feed, a carriage return or both.  A file whose lines
     end with carriage returns alone is one row to the reader.
@@ -53,11 +57,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.concat("value", F.lit("\n")).alias("value")
     )
     cuts = F.when(F.col("value").rlike(r"\r[^\n]"), F.split("value", r"(?<=\r)(?!\n)")).otherwise(F.array("value"))
-    pieces = raw.select("file", "block", "at", F.posexplode(cuts).alias("part", "piece")).withColumn("body", F.rtrim("piece", F.lit("\r\n")))
-    quoted = F.col("body").contains('"')
+    pieces = raw.select("file", "block", "at", F.posexplode(cuts).alias("part", "piece"))
+    body, quoted = _body(F.col("piece")), F.col("piece").contains('"')
     return pieces.withColumns({
-        "from_outside": F.when(quoted, _end_state(F.col("body"))).otherwise(0), "from_inside": F.when(quoted, _end_state(F.concat(F.lit('"'), "body"))).otherwise(1),
-        "unreadable": F.col("body").contains("\0") | ~F.is_valid_utf8("body"),
+        "empty": body == "", "from_outside": F.when(quoted, _end_state(body)).otherwise(0), "from_inside": F.when(quoted, _end_state(F.concat(F.lit('"'), body))).otherwise(1),
+        "unreadable": F.col("piece").contains("\0") | ~F.is_valid_utf8("piece"),
     })
 
 
@@ -66,7 +70,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     order = ["at", "part"]
     rows, before, after = _after(rows, ["file", "block"], order, "from_outside", "from_inside")
     rows = rows.withColumns({f"before{c}": before[c] for c in (0, 1)} | {f"after{c}": after[c] for c in (0, 1)})
-    ends = {f"ends{c}": ((F.col(f"after{c}") == 0) & ((F.col(f"before{c}") == 1) | (F.col("body") != ""))).cast("long") for c in (0, 1)}
+    ends = {f"ends{c}": ((F.col(f"after{c}") == 0) & ((F.col(f"before{c}") == 1) | ~F.col("empty"))).cast("long") for c in (0, 1)}
     earlier = Window.partitionBy("file", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumns(ends).withColumns({f"rank{c}": F.coalesce(F.sum(f"ends{c}").over(earlier), F.lit(0)) for c in (0, 1)})
 
@@ -89,14 +93,15 @@ def blocks(rows: DataFrame) -> DataFrame:
 def records(rows: DataFrame, known: DataFrame) -> DataFrame:
     """file, number (from 0, empty lines not counted) and values of every row of files without fault, given their lines and `blocks`.
 
-    Rows of one line are taken as they are; only those that run over several lines are gathered.
+    Rows of one line are taken as they are; only those that run over several lines are
+    gathered.  Both read the same columns, so that text is dealt to its blocks once.
     """
     joined = _placed(rows).hint("merge").join(known.hint("merge"), ["file", "block"])
     mine = lambda name: F.when(F.col("begins") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
-    joined = joined.select("file", "block", "at", "part", "piece", "body", mine("before").alias("before"), mine("after").alias("after"), (F.col("first") + mine("rank")).alias("number"))
+    joined = joined.select("file", "block", "at", "part", "piece", "empty", mine("before").alias("before"), mine("after").alias("after"), (F.col("first") + mine("rank")).alias("number"))
     alone = (F.col("before") == 0) & (F.col("after") == 0)
-    short = joined.filter(alone & (F.col("body") != "")).select("file", "number", F.col("body").alias("row"))
-    ordered = F.array_sort(F.collect_list(F.struct("block", "at", "part", F.when(F.col("after") == 0, F.col("body")).otherwise(F.col("piece")).alias("text"))))
+    short = joined.filter(alone & ~F.col("empty")).select("file", "number", _body(F.col("piece")).alias("row"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "at", "part", F.when(F.col("after") == 0, _body(F.col("piece"))).otherwise(F.col("piece")).alias("text"))))
     long = joined.filter(~alone).groupBy("file", "number").agg(F.array_join(ordered["text"], "").alias("row"))
     found = F.regexp_extract_all(F.concat(F.lit(","), "row"), F.lit(_VALUES), 0)
     plain = F.transform(found, lambda v: F.when(v.startswith(',"'), F.replace(v.substr(F.lit(3), F.length(v) - 3), F.lit('""'), F.lit('"'))).otherwise(v.substr(F.lit(2), F.length(v))))
