@@ -34,12 +34,20 @@ def _nfkc_fold(s: pd.Series) -> pd.Series:
     return s.map(fold, na_action="ignore")
 
 
-def taxonomy(c: Column) -> Column:
+def is_ascii(c: Column) -> Column:
+    """Whether a text has no character of several bytes; null for null."""
+    return F.length(c) == F.octet_length(c)
+
+
+def taxonomy(c: Column, ascii_only: bool = False) -> Column:
     """NFKC, trimmed, white space collapsed, case folded; blank gives null, which callers treat as an error.
 
-    ASCII values stay in the JVM; only others are sent to Python.
+    ASCII values stay in the JVM; only others are sent to Python.  ``ascii_only`` says
+    that there are no others, so that no row is.
     """
     plain = F.lower(F.trim(F.regexp_replace(c, r"[\s\x0B\x1C-\x1F]+", " ")))  # blanks are all that is left to trim
+    if ascii_only:
+        return F.nullif(plain, F.lit(""))
     odd = _nfkc_fold(F.when(~c.rlike(_ASCII), c))
     return F.nullif(F.when(c.rlike(_ASCII), plain).otherwise(odd), F.lit(""))
 
@@ -86,9 +94,9 @@ def fact_key(s: pd.Series) -> pd.Series:
     return s.fillna("").map(lambda x: " ".join(_FACT.findall(_DASHES.sub("-", unicodedata.normalize("NFKC", x).replace("_", " ")).replace("-", " "))).casefold())
 
 
-def explanation(c: Column) -> Column:
+def explanation(c: Column, ascii_only: bool = False) -> Column:
     """N1 with blank kept."""
-    return F.coalesce(taxonomy(c), F.when(c.isNotNull(), ""))
+    return F.coalesce(taxonomy(c, ascii_only), F.when(c.isNotNull(), ""))
 
 
 def bounded(c: Column, n: int) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import bounded, evidence_key, explanation, fact_key, fold, strip
+from ..functions.normalize import bounded, evidence_key, explanation, fact_key, fold, is_ascii, strip
 from . import text_safety as X
 from .scoring import RULE_LABELS, expected_value
 
@@ -55,14 +55,19 @@ def evidence_issues(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return missing.unionByName(unproven).groupBy("profile_id", "label", "reason").agg(F.min("ord").alias("ord"))
 
 
-def text_issues(text: Column, sources: Column) -> Column:
-    """Issue codes of a text against an array of source texts."""
+def text_issues(text: Column, sources: Column, ascii_only: bool = False) -> Column:
+    """Issue codes of a text against an array of source texts.
+
+    Sources are looked at only where the text holds a measured claim or a quotation.
+    """
     known = F.flatten(F.transform(sources, lambda s: X.measured_claims(s)))
     joined = F.concat_ws("\n", sources)
-    unproven = F.size(F.array_except(X.measured_claims(text), known)) > 0
-    claims, source = X.quoted_claims(text), F.coalesce(explanation(joined), F.lit(""))
+    unproven = F.coalesce(text, F.lit("")).rlike(X.MEASURED) & (F.size(F.array_except(X.measured_claims(text), known)) > 0)
+    claims, source = X.quoted_claims(text, ascii_only), F.coalesce(explanation(joined, ascii_only), F.lit(""))
     # the source goes in as an array, since a lambda can't hold the normalising UDF
     quoted = F.exists(F.zip_with(claims, F.array_repeat(source, F.size(claims)), lambda q, s: ~F.contains(s, q)), lambda x: x)
+    if ascii_only:  # normalising may make a quotation mark of another character otherwise
+        quoted = F.contains(F.coalesce(text, F.lit("")), F.lit('"')) & quoted
     return F.array_compact(F.array(F.when(X.protected(text), "protected_attribute_language"), F.when(unproven, "unsupported_measured_claim"), F.when(quoted, "unsupported_quoted_claim")))
 
 
@@ -167,24 +172,35 @@ def finding_issues(findings: DataFrame) -> DataFrame:
     findings(assessment_id, category, explanation, requirement (struct label,
     evidence, as stored), reference (the same as known now, null if unknown),
     stored and known (arrays of struct id, label, evidence)).  Stored evidence
-    counts as far as it is known.
+    counts as far as it is known.  Findings in plain ASCII never leave the JVM.
     """
+    said = lambda a: F.flatten(F.transform(a, lambda e: F.array(e["label"], e["evidence"])))
+    plain = is_ascii(F.concat_ws("", "explanation", "reference.label", "reference.evidence", said("stored")))
+    return _issues_of(findings.filter(plain), True).unionByName(_issues_of(findings.filter(~plain), False))
+
+
+def _issues_of(findings: DataFrame, ascii_only: bool) -> DataFrame:
     known_ids = F.transform("known", lambda k: k["id"])
-    resolved = F.filter("stored", lambda e: F.array_contains(known_ids, e["id"]))
+    # columns of their own, so that each is worked out once a row
+    columns, resolved, tokens = findings.columns, F.col("_resolved"), F.col("_tokens")
+    findings = findings.withColumn("_resolved", F.filter("stored", lambda e: F.array_contains(known_ids, e["id"])))
     exact = F.forall("stored", lambda e: F.exists("known", lambda k: k.eqNullSafe(e)))
     once = F.size(F.array_distinct(F.transform("stored", lambda e: e["id"]))) == F.size("stored")
     words = lambda a: F.concat_ws(" ", F.flatten(F.transform(a, lambda e: F.array(e["label"], e["evidence"]))))
     wanted = F.concat_ws(" ", "reference.label", "reference.evidence")
-    lexical = F.arrays_overlap(X.meaningful_tokens(words(resolved)), X.meaningful_tokens(wanted))
+    lexical = F.arrays_overlap(X.meaningful_tokens(words(resolved), ascii_only), tokens)
     silent = strip(F.coalesce("explanation", F.lit(""))) == ""
     sources = F.array_compact(F.concat(F.array("reference.label", "reference.evidence"), F.flatten(F.transform(resolved, lambda e: F.array(e["label"], e["evidence"])))))
-    match = (F.col("category") == "match") & F.col("reference").isNotNull() & (F.size(resolved) > 0) & ~silent & (F.size(X.meaningful_tokens(wanted)) > 0)
+    could = (F.col("category") == "match") & F.col("reference").isNotNull() & (F.size(resolved) > 0) & ~silent
+    findings = findings.withColumn("_tokens", F.when(could, X.meaningful_tokens(wanted, ascii_only)))
+    match = could & (F.size(tokens) > 0)
     codes = F.array_compact(F.array(
         F.when(~F.col("requirement").eqNullSafe(F.col("reference")), "invalid_requirement_snapshot"), F.when(~F.coalesce(exact & once, F.lit(False)), "invalid_evidence_snapshot"),
         F.when(F.col("category").isin("match", "gap") & (F.coalesce(F.size(resolved), F.lit(0)) < 1), "missing_required_evidence"), F.when(silent, "invalid_explanation_text"),
         F.when(match & ~F.coalesce(lexical, F.lit(False)), "match_without_lexical_support"),
     ))
-    return findings.withColumn("issues", F.concat(codes, F.when(silent, F.array().cast("array<string>")).otherwise(text_issues(F.col("explanation"), sources))))
+    issues = F.concat(codes, F.when(silent, F.array().cast("array<string>")).otherwise(text_issues(F.col("explanation"), sources, ascii_only)))
+    return findings.select(*[F.col(f"`{c}`") for c in columns], issues.alias("issues"))
 
 
 def assessment_review(findings: DataFrame, expected: DataFrame | None = None) -> DataFrame:

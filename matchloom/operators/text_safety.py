@@ -126,14 +126,14 @@ def measured_claims(text: Column) -> Column:
     return F.zip_with(plain, unit, lambda n, u: F.concat_ws(" ", n, u))
 
 
-def quoted_claims(text: Column) -> Column:
+def quoted_claims(text: Column, ascii_only: bool = False) -> Column:
     """Quotations of 2 to 200 characters, of normalised text."""
-    return F.transform(F.regexp_extract_all(F.coalesce(explanation(text), F.lit("")), F.lit(QUOTED), 1), lambda x: strip(x))
+    return F.transform(F.regexp_extract_all(F.coalesce(explanation(text, ascii_only), F.lit("")), F.lit(QUOTED), 1), lambda x: strip(x))
 
 
-def meaningful_tokens(text: Column) -> Column:
+def meaningful_tokens(text: Column, ascii_only: bool = False) -> Column:
     """X11: distinct tokens without stop words and plain numbers."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(explanation(text), F.lit("")), F.lit(TOKEN), 0))
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(explanation(text, ascii_only), F.lit("")), F.lit(TOKEN), 0))
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS) & ~t.rlike(r"(?U)^\d+$"))
 
 

@@ -140,6 +140,22 @@ def test_finding_issues(spark):
     assert {r.assessment_id: r.review for r in reviews.collect()} == {1: "clean", 2: "flagged", 3: "flagged", 4: "flagged", 5: "flagged", 6: "unavailable"}
 
 
+def test_plain_findings_stay_in_the_jvm(spark):
+    """ASCII findings meet no Python; others get the same issues as before, whatever character makes a quotation mark or a digit."""
+    schema = "assessment_id int, category string, explanation string, requirement struct<label:string,evidence:string>, reference struct<label:string,evidence:string>, stored array<struct<id:string,label:string,evidence:string>>, known array<struct<id:string,label:string,evidence:string>>"
+    ref, e, x = ("Python", "5 years of Python"), ("e1", "Skill", "Python for 6 years"), ("e1", "F\u00e4higkeit", "sagt \u201egut\u201c")
+    rows = [
+        (1, "match", 'says "six Go"', ref, ref, [e], [e]), (2, "match", "says \uff02six Go\uff02", ref, ref, [e], [e]), (3, "match", "says \u201cPython for\u201d", ref, ref, [e], [e]),
+        (4, "match", "has \uff16 years", ref, ref, [e], [e]), (5, "match", 'said "gut"', ref, ref, [x], [x]), (6, "gap", None, ref, None, None, None), (7, "match", "six years", ref, ref, [e], [e]),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.assessment_id: r.issues for r in G.finding_issues(df).collect()}
+    assert got[1] == got[2] == ["unsupported_quoted_claim"] and got[3] == got[7] == [] and got[4] == []
+    assert got[5] == ["match_without_lexical_support"] and got[6] == ["invalid_requirement_snapshot", "invalid_evidence_snapshot", "missing_required_evidence", "invalid_explanation_text"]
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "_nfkc_fold" not in plan(G._issues_of(df, True).select("issues")) and "_nfkc_fold" in plan(G._issues_of(df, False).select("issues"))
+
+
 def test_profile_evidence(spark):
     from matchloom import schemas
 
