@@ -116,17 +116,39 @@ def minimised(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     return rows.select(*[c for c in allowed if c in rows.columns])
 
 
+#: Rows of one key that a task joins at most.
+MOST_OF_KEY = 200_000
+
+
+def _with_parent(rows: DataFrame, parent: DataFrame, reference: str, key: str, most: int = MOST_OF_KEY) -> DataFrame:
+    """rows with the columns of their parent; a key of more than ``most`` rows, null among them, is dealt to several tasks, its parent to each."""
+    # one row for each ``most`` rows at most, so small enough to be broadcast
+    hot = rows.groupBy(F.col(reference).alias("_key")).count().filter(F.col("count") > most).select("_key", F.ceil(F.col("count") / most).cast("int").alias("_tasks"))
+    parts = lambda df, c: df.join(F.broadcast(hot), F.col(c).eqNullSafe(F.col("_key")), "left").drop("_key")
+    told = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    left = parts(rows, reference).withColumn("_part", F.pmod(F.xxhash64(*told), F.coalesce("_tasks", F.lit(1)))).drop("_tasks")
+    right = parts(parent, key).withColumn("_of", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1))).drop("_tasks")
+    return left.hint("merge").join(right.hint("merge"), (F.col(reference) == F.col(key)) & (F.col("_part") == F.col("_of")), "left").drop("_part", "_of")
+
+
 def denormalise(rows: DataFrame, parents: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """Rows with the columns of their parents, prefixed by the parent's name.
 
     parents gives for each name its table, the column of rows that refers to it, which
     may come from an earlier parent, and its id, which is unique.  Rows without a
-    parent keep nulls.
+    parent keep nulls.  A parent of a parent is joined to the latter, not to the rows.
     """
-    for name, (df, reference, key) in parents.items():
-        named = df.toDF(*[f"{name}_{c}" for c in df.columns])
-        rows = rows.hint("merge").join(named.hint("merge"), F.col(reference) == F.col(f"{name}_{key}"), "left")
-    return rows
+    named = {name: df.toDF(*[f"{name}_{c}" for c in df.columns]) for name, (df, _, _) in parents.items()}
+    shown = [*rows.columns, *[c for df in named.values() for c in df.columns]]
+    own = {name: set(df.columns) for name, df in named.items()}
+    names = list(parents)
+    for i, name in reversed(list(enumerate(names))):
+        _, reference, key = parents[name]
+        if child := next((n for n in names[:i] if reference in own[n] and reference not in rows.columns), None):
+            named[child] = _with_parent(named[child], named.pop(name), reference, f"{name}_{key}")
+    for name, df in named.items():
+        rows = _with_parent(rows, df, parents[name][1], f"{name}_{parents[name][2]}")
+    return rows.select(*[F.col(f"`{c}`") for c in shown])
 
 
 def attach(parents: DataFrame, children: DataFrame, key: str, order: str, most: int = 1000) -> DataFrame:
