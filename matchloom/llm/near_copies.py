@@ -13,8 +13,8 @@ is compared with those before it that its sketch is like, the likeliest first, b
 for those that links have joined with it already, so a family of copies yields a
 link a member.  The task holds the texts of the latest members within a bound, and
 the sketches of all; a likely pair with a member whose text has gone is compared
-elsewhere.  Bands of more members than MOST are split by their other band keys
-first, and what is still very large goes to tasks by pairs of blocks.
+elsewhere.  Bands of more members than MOST go to tasks by pairs of blocks, so any
+two members of a band meet, however many it has.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ LIKELY = 0.6
 SMALL, MOST = 16, 16_384
 #: Bytes of compressed texts that a task holds at most.
 MOST_BYTES = 256 << 20
-#: Members of a band, about 50 bytes each, that meet in one task; larger bands are cut into blocks, and each pair of blocks is a band.
+#: Members of a block at most, about 50 bytes each; half of ``most`` counts if it is less.
 BLOCK = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -278,23 +278,19 @@ def _near(signed: DataFrame) -> DataFrame:
 
 
 def bands(signed: DataFrame, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Of signed(key, bands, sketch) the likely pairs of small bands, and the rows (band, key, sketch) of large ones, those over ``most`` split."""
+    """Of signed(key, bands, sketch) the likely pairs of small bands, and the rows (band, key, sketch) of large ones, those over ``most`` by pairs of blocks."""
     dealt = lambda rows: rows.repartition("band").sortWithinPartitions("band", "key")
     rows = signed.select("key", "sketch", "bands", F.posexplode("bands").alias("at", "value")).withColumn("band", F.xxhash64("at", "value"))
     pairs = dealt(rows.select("band", "key", "sketch")).mapInArrow(_meet, "a long, b long")
     crowd = cut(rows.groupBy("band").count().filter(F.col("count") > SMALL))
-    members = lambda rows, some: rows.hint("merge").join(some.select("band").hint("merge"), "band", "left_semi")
-    large, huge = members(rows, crowd.filter(F.col("count") <= most)).select("band", "key", "sketch"), crowd.filter(F.col("count") > most)
-    if not huge.isEmpty():
-        others = F.transform("bands", lambda x, i: F.struct(F.xxhash64("band", i, x).alias("band"), i.alias("i")))
-        split = members(rows, huge).select("at", F.explode(others).alias("x"), "key", "sketch").filter(F.col("x.i") != F.col("at"))
-        large = large.unionByName(split.select("x.band", "key", "sketch"))
-    return pairs, _in_blocks(cut(large), block)
-
-
-def _in_blocks(large: DataFrame, block: int) -> DataFrame:
-    """Rows (band, key, sketch), those of bands over ``block`` members in a band for each pair of their blocks."""
-    blocks = cut(large.groupBy("band").count().filter(F.col("count") > block).select("band", F.ceil(F.col("count") / block).cast("int").alias("n")))
+    large = rows.hint("merge").join(crowd.select("band").hint("merge"), "band", "left_semi").select("band", "key", "sketch")
+    return pairs, _in_blocks(cut(large), most, block)
+
+
+def _in_blocks(large: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """Rows (band, key, sketch), those of bands over ``most`` members in a band for each pair of their blocks, the block with itself included; two blocks hold about ``most``."""
+    size = max(1, min(block, most // 2))
+    blocks = cut(large.groupBy("band").count().filter(F.col("count") > min(most, block)).select("band", F.ceil(F.col("count") / size).cast("int").alias("n")))
     if blocks.isEmpty():
         return large
     own, other = F.pmod(F.xxhash64("key"), F.col("n")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")

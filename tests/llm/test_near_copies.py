@@ -132,3 +132,14 @@ def test_bounds_of_memory_lose_no_link(spark):
     roots = lambda **bounds: sorted((r.root, r.node) for r in C.components(C.links(docs, **bounds)).collect())
     whole = roots()
     assert len(whole) > 60 and whole == roots(most=20, most_bytes=2000, block=30) == roots(most=2, block=25)
+
+
+def test_members_of_a_huge_band_all_meet(spark):
+    """Texts that share one huge band and no other key were parted before."""
+    rows = [(k, [7] + [1000 * k + i for i in range(1, C.BANDS)], b"\0" * 32) for k in range(70)]
+    large = C.bands(spark.createDataFrame(rows, "key long, bands array<long>, sketch binary"), 20)[1]
+    met = {}
+    for r in large.collect():
+        met.setdefault(r.band, set()).add(r.key)
+    assert max(map(len, met.values())) < 70
+    assert {(a, b) for m in met.values() for a in m for b in m} == {(a, b) for a in range(70) for b in range(70)}
