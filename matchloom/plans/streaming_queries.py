@@ -34,8 +34,9 @@ def _drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "appen
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _batches(stream: DataFrame, spark: SparkSession, name: str, run) -> None:
-    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", _folder(spark, f"{name}-state")).trigger(availableNow=True).start()
+def _batches(stream: DataFrame, spark: SparkSession, name: str, run, state: str = "") -> None:
+    """All that the stream has; runs with the same state folder go on where the last one ended."""
+    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", state or _folder(spark, f"{name}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -78,8 +79,6 @@ def stream_refresh(spark, sf_dir):
     skills, feed, out = v("fx_candidate_skill"), _folder(spark, "snapshots"), _folder(spark, "refresh")
     now = signatures.candidate_hashes(v("fx_candidate"), skills)
     then = signatures.candidate_hashes(v("fx_candidate").filter("not (org_id = 1 and candidate_id % 31 = 5)"), skills)
-    for epoch, rows in enumerate((then, now)):
-        rows.select("org_id", F.col("candidate_id").cast("long").alias("candidate_id"), F.lit(epoch).cast("long").alias("version"), "hash").coalesce(1).write.mode("append").parquet(feed)
 
     def rebuild(orgs: DataFrame) -> DataFrame:
         req = v("fx_requirements").join(orgs, "org_id", "left_semi")
@@ -90,8 +89,11 @@ def stream_refresh(spark, sf_dir):
         if epoch:  # the first batch, which only fills the state, needs no rebuilt lists here
             df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    snapshots = spark.readStream.schema("org_id int, candidate_id long, version long, hash string").option("maxFilesPerTrigger", 1).parquet(feed)
-    _batches(T.changed_in_stream(snapshots), spark, "refresh", T.refresh_shortlists(rebuild, write))
+    state = _folder(spark, "refresh-state")
+    for epoch, rows in enumerate((then, now)):  # what comes in between two runs, in however many files, is one batch
+        rows.select("org_id", F.col("candidate_id").cast("long").alias("candidate_id"), F.lit(epoch).cast("long").alias("version"), "hash").write.mode("append").parquet(feed)
+        snapshots = spark.readStream.schema("org_id int, candidate_id long, version long, hash string").parquet(feed)
+        _batches(T.changed_in_stream(snapshots), spark, "refresh", T.refresh_shortlists(rebuild, write), state)
     return spark.read.parquet(out).select("requirements_id", "rank", "candidate_id", "score_cents")
 
 

@@ -133,3 +133,14 @@ def test_maps_have_one_identity_in_any_order(spark):
 
     want = json.dumps({"dataset_id": "d", "deep": {"k": {"b": 1, "a": 2}, "e": None}, "listed": [{"b": 1, "a": 2}]}, sort_keys=True, separators=(",", ":"))
     assert one == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_batches_go_on_with_their_state(spark, tmp_path):
+    """A feed of several files is one batch, and a second run takes only what came after the first; one file a batch had to be written by one task before."""
+    from matchloom.plans import streaming_queries as Q
+
+    feed, seen = str(tmp_path / "feed"), []
+    for epoch in range(2):
+        spark.range(epoch * 10, epoch * 10 + 10, 1, 3).write.mode("append").parquet(feed)
+        Q._batches(spark.readStream.schema("id long").parquet(feed), spark, "feed", lambda df, n: seen.append((n, sorted(r.id for r in df.collect()))), str(tmp_path / "state"))
+    assert seen == [(0, list(range(10))), (1, list(range(10, 20)))]
